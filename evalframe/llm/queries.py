@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalframe.llm import decontaminate as dc
 from evalframe.llm import quality_rules as qr
+from evalframe.llm import toxicity as tx
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +23,34 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    found = dc.find_contamination(docs, items, keep=["doc_id"])
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    ids = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+def _fold(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = tx.score_toxicity(docs, labels, train=_fold(3) != 1, keep=["doc_id"])
+    return scored.select(
+        "doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted",
+        F.size("sentences").alias("n_sentences"), F.get(F.col("sentences"), F.lit(0))["n"].alias("first_sentence"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_decontaminate": op5_decontaminate,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
