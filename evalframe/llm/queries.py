@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.llm import decontaminate as dc
+from evalframe.llm import quality_model as qm
 from evalframe.llm import quality_rules as qr
 from evalframe.llm import toxicity as tx
 
@@ -38,6 +39,12 @@ def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = qm.score_quality(docs, labels, usable=_fold(5) != 0, keep=["doc_id"])
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     scored = tx.score_toxicity(docs, labels, train=_fold(3) != 1, keep=["doc_id"])
@@ -49,6 +56,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_quality_model": op3_quality_model,
     "op5_decontaminate": op5_decontaminate,
     "op9_toxicity": op9_toxicity,
 }

@@ -33,14 +33,16 @@ class Settings:
     sample_per_class: int = 3000
     max_features: int = 20_000
     min_docs: int = 5
-    steps: int = 200
+    steps: int = 600
     rate: float = 0.1
-    l2: float = 1e-4
+    l2: float = 1e-5
     threshold: float = 0.7
 
 
 def sentences(text: bytes | None) -> list[list[bytes]]:
-    return [] if not text else [w for s in text.translate(_SENTENCES).split(b"\n") if (w := s.split())]
+    """Each sentence's distinct words in order: a word repeated in a sentence is no more evidence."""
+    parts = (text or b"").translate(_SENTENCES).split(b"\n")
+    return [list(dict.fromkeys(w)) for s in parts if (w := s.split())]
 
 
 def word_features(word: bytes) -> set[bytes]:
@@ -50,7 +52,7 @@ def word_features(word: bytes) -> set[bytes]:
 
 def fit(rows: list[tuple[bytes | None, int]], cfg: Settings = Settings()) -> tuple[dict[bytes, float], float]:
     """Feature weights and bias. Features: the most telling by smoothed log odds of document counts."""
-    bags = [[[word_features(w) for w in s] for s in sentences(t)] for t, _ in rows]
+    bags = [sentences(t) for t, _ in rows]
     y = np.array([label for _, label in rows], float)
     keep = [k for k, b in enumerate(bags) if b]
     if not keep or y.min() == y.max():
@@ -58,7 +60,7 @@ def fit(rows: list[tuple[bytes | None, int]], cfg: Settings = Settings()) -> tup
     bags, y = [bags[k] for k in keep], y[keep]
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for bag, label in zip(bags, y):
-        seen[int(label)].update({f for s in bag for w in s for f in w})
+        seen[int(label)].update({f for w in {w for s in bag for w in s} for f in word_features(w)})
     n = (len(y) - y.sum(), y.sum())
     total = seen[0] + seen[1]
     odds = {
@@ -68,14 +70,18 @@ def fit(rows: list[tuple[bytes | None, int]], cfg: Settings = Settings()) -> tup
     }
     # Significance of the odds: log odds over its standard error.
     rank = {f: abs(v) / np.sqrt(1 / (seen[1][f] + 0.5) + 1 / (seen[0][f] + 0.5)) for f, v in odds.items()}
-    vocab = {f: k for k, f in enumerate(sorted(rank, key=lambda f: (-rank[f], f))[: cfg.max_features]) if rank[f] > 3}
+    vocab = {f: k for k, f in enumerate(sorted(rank, key=lambda f: (-rank[f], f))[: cfg.max_features]) if rank[f] > 3.5}
     vocab = {f: k for k, f in enumerate(vocab)}
+    ids: dict[bytes, list[int]] = {}
     doc_of, sent, feat = [], [], []
     for d, bag in enumerate(bags):
         for s in bag:
             at = len(doc_of)
             doc_of.append(d)
-            found = [vocab[f] for w in s for f in w if f in vocab]
+            for w in s:
+                if w not in ids:
+                    ids[w] = [vocab[f] for f in word_features(w) if f in vocab]
+            found = [k for w in s for k in ids[w]]
             sent.extend([at] * len(found))
             feat.extend(found)
     doc_of, sent, feat = np.array(doc_of), np.array(sent, int), np.array(feat, int)
