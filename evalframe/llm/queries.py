@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.llm import decontaminate as dc
 from evalframe.llm import quality_model as qm
 from evalframe.llm import quality_rules as qr
+from evalframe.llm import substring_dedup as sd
 from evalframe.llm import toxicity as tx
 
 
@@ -24,6 +27,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fields = [("n_words", "bigint", pa.int64()), ("n_removed", "bigint", pa.int64()), ("kept_sha256", "string", pa.string())]
+
+    def digest(words, left):
+        return len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()
+
+    return sd.remove_spans(sd.join_spans(docs, sd.find_repeats(docs)), fields, digest, keep=["doc_id"])
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     found = dc.find_contamination(docs, items, keep=["doc_id"])
@@ -57,6 +70,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_quality_model": op3_quality_model,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op9_toxicity": op9_toxicity,
 }
