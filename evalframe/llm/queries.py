@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.llm import decontaminate as dc
+from evalframe.llm import ngram_jaccard as nj
 from evalframe.llm import quality_model as qm
 from evalframe.llm import quality_rules as qr
 from evalframe.llm import substring_dedup as sd
@@ -27,6 +28,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nj.near_duplicates(_table(spark, sf_dir, "documents"), nj.Settings(n=4, threshold_pct=85))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     fields = [("n_words", "bigint", pa.int64()), ("n_removed", "bigint", pa.int64()), ("kept_sha256", "string", pa.string())]
@@ -69,6 +74,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_quality_model": op3_quality_model,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontaminate": op5_decontaminate,
