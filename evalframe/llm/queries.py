@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.llm import decontaminate as dc
+from evalframe.llm import line_dedup as ld
 from evalframe.llm import ngram_jaccard as nj
 from evalframe.llm import quality_model as qm
 from evalframe.llm import quality_rules as qr
@@ -63,6 +64,11 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = ld.dedup_lines(_table(spark, sf_dir, "documents"), n_removed="n_removed")
+    return cleaned.select("doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     scored = tx.score_toxicity(docs, labels, train=_fold(3) != 1, keep=["doc_id"])
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_model": op3_quality_model,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
 }
 
