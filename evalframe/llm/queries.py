@@ -16,6 +16,7 @@ from evalframe.llm import quality_model as qm
 from evalframe.llm import quality_rules as qr
 from evalframe.llm import substring_dedup as sd
 from evalframe.llm import toxicity as tx
+from evalframe.llm import warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,16 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(_table(spark, sf_dir, "pages"))
+    captures = warc.assemble(warc.read_records(spark, path, with_payload=False))
+    size, digest = warc.payload_facts(captures)
+    return captures.select(
+        "page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("response.kind").alias("record_type"),
+        F.col("response.refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = ld.dedup_lines(_table(spark, sf_dir, "documents"), n_removed="n_removed")
     return cleaned.select("doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -84,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_model": op3_quality_model,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op7_warc": op7_warc,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
 }
