@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.llm import decontaminate as dc
+from evalframe.llm import language_id as li
 from evalframe.llm import line_dedup as ld
+from evalframe.llm import mixing as mx
 from evalframe.llm import ngram_jaccard as nj
 from evalframe.llm import quality_model as qm
 from evalframe.llm import quality_rules as qr
@@ -55,6 +57,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mx.mix_sources(docs, keep=["doc_id", "source"]).select("doc_id", "source", "n_tokens", "epoch", "block")
+
+
 def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
@@ -65,6 +72,10 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return li.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents")).drop("posterior")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archives(_table(spark, sf_dir, "pages"))
     captures = warc.assemble(warc.read_records(spark, path, with_payload=False))
@@ -95,9 +106,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_model": op3_quality_model,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {}
