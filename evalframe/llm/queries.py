@@ -14,6 +14,7 @@ from evalframe.llm import language_id as li
 from evalframe.llm import line_dedup as ld
 from evalframe.llm import mixing as mx
 from evalframe.llm import ngram_jaccard as nj
+from evalframe.llm import oracles
 from evalframe.llm import quality_model as qm
 from evalframe.llm import quality_rules as qr
 from evalframe.llm import substring_dedup as sd
@@ -113,4 +114,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracles.quality_rules(),
+    "op2_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op5_decontaminate": oracles.DECONTAMINATE,
+    "op7_warc": oracles.WARC,
+}
