@@ -1,4 +1,4 @@
 """The registered queries, one or more for each operator, over the driver's tables."""
 
-from evalframe.plans import analysis, ingest, measures, selection  # noqa: F401
+from evalframe.plans import analysis, ingest, measures, more, selection  # noqa: F401
 from evalframe.plans.base import ORACLES, QUERIES  # noqa: F401
