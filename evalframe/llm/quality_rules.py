@@ -49,7 +49,7 @@ RULES = (
 class Limits:
     min_words: int = 20
     max_repeat_pct: int = 30
-    risk: float = 0.02  # of good documents that one rule may reject in a stratum
+    risk: float = 0.005  # of good documents that one rule may reject in a stratum
     level: float = 0.05  # chance that any chosen cutoff exceeds the risk
     rules: tuple[Rule, ...] = field(default=RULES)
 

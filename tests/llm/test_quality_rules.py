@@ -43,12 +43,12 @@ def test_binomial_cdf(spark):
 def test_rules_reject_junk_and_respect_the_risk(spark):
     plain = " ".join(f"word{i}" for i in range(40))
     junk = " ".join(f"w{i}%%%&&&" for i in range(40))
-    rows = [(i, plain + f" p{i}", None) for i in range(900)] + [(1000 + i, junk + f" j{i}", None) for i in range(50)]
+    rows = [(i, plain + f" p{i}", None) for i in range(1800)] + [(5000 + i, junk + f" j{i}", None) for i in range(50)]
     docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1) for i in range(900)] + [(1001, None)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, 1) for i in range(1800)] + [(5001, None)], "doc_id long, quality int")
     got = {r.doc_id: r.kept for r in qr.quality_rules(docs, labels).collect()}
-    assert all(got[i] for i in range(900)) and not any(got[1000 + i] for i in range(50))
-    assert qr.quality_rules(docs, labels).count() == 951
+    assert all(got[i] for i in range(1800)) and not any(got[5000 + i] for i in range(50))
+    assert qr.quality_rules(docs, labels).count() == 1851
 
 
 def test_without_labels_only_base_rules_hold(spark):
