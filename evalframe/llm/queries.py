@@ -74,7 +74,12 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return li.identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents")).drop("posterior")
+    """Pages by page_id, and documents by doc_id: plain texts without markup, whose source stands for the host."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    found = li.identify(pages, docs).withColumn("doc_id", F.lit(None).cast("long"))
+    plain = docs.select("doc_id", F.concat(F.lit("source://"), "source").alias("url"), F.col("text").alias("html"))
+    told = li.identify(plain, docs, key="doc_id").withColumn("page_id", F.lit(None).cast("long"))
+    return found.unionByName(told).drop("posterior").select("doc_id", "page_id", "lang", "confidence", "text_lang", "declared", "suffix", "host")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
