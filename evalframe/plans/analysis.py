@@ -223,7 +223,7 @@ def _(t):
 
 
 @query("t07_mcnemar_exact", """WITH b AS (SELECT dataset, count(*) FILTER (WHERE s.score >= 0.5 AND c.score < 0.5) AS b, count(*) FILTER (WHERE s.score < 0.5 AND c.score >= 0.5) AS c FROM scored s JOIN control c ON c.src_uid = s.uid WHERE s.uid % 97 = 0 GROUP BY dataset)
-SELECT dataset, round(least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))), 6) AS p FROM b""")
+SELECT dataset, CASE WHEN b + c > 0 THEN round(least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))), 6) END AS p FROM b""")
 def _(t):
     c = t.control.select(F.col("src_uid").alias("uid"), F.col("score").alias("bs"))
     j = t.scored.join(c, "uid").where("uid % 97 = 0").groupBy("dataset").agg(F.count_if(F.expr("score >= 0.5 AND bs < 0.5")).alias("b"), F.count_if(F.expr("score < 0.5 AND bs >= 0.5")).alias("c"))
