@@ -130,6 +130,8 @@ def find_repeats(docs: DataFrame, cfg: Settings = Settings(), key: str = "doc_id
     pairs = runs.select(key, F.explode(F.arrays_zip("starts", "hashes")).alias("w"))
     pairs = pairs.select(key, F.col("w.starts").alias("p"), F.col("w.hashes").alias("h"))
     owner = pairs.groupBy("h").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("h", "lo")
+    # Stored, so that the join shuffles both sides itself and can split a hot window's partition.
+    owner = materialize(owner, "owners")
     late = pairs.join(owner, "h").where(F.col(key) > F.col("lo"))
     starts = late.groupBy(key).agg(F.sort_array(F.collect_set("p")).alias("p"))
     whole = copies.distinct().select(key, F.array(F.struct("start", "end")).alias("spans"))
