@@ -130,6 +130,8 @@ def _buckets(full: DataFrame, pct: int) -> DataFrame:
     """t, id, n, parity: a set's places in the rare-first order that a partner must share one of."""
     grams = full.select("id", "n", F.explode("grams").alias("t"))
     known = grams.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Stored, so that the join with it can split a hot n-gram.
+    known = materialize(known, "shared")
     ranked = grams.join(known, "t").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("r"))
     # Places of the prefix, less those that unshared n-grams fill.
     places = F.floor(F.col("n") * (100 - pct) / 100) + 1 - (F.col("n") - F.size("r"))
