@@ -21,26 +21,31 @@ def link_groups(
     buckets: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
+    second_leaders: bool = True,
 ) -> DataFrame:
     """(node, component) of the linked ids; buckets has t, id and what may_link reads of either side.
 
     verify takes distinct pairs (a, b) and returns those that link. may_link is a necessary
-    condition on both sides' columns. Ids without a link are missing from the result.
+    condition on both sides' columns. Ids without a link are missing from the result. The round of
+    second leaders only saves pairs in the last; where few groups are left open it may be left out.
     """
     buckets = materialize(buckets.distinct(), "buckets")
     ends = buckets.groupBy("t").agg(F.min("id").alias("lead"), F.max("id").alias("hi")).where("lead <> hi")
-    led = buckets.select("t", "id").join(ends.select("t", "lead"), "t").where("id <> lead")
+    # Stored, as are other aggregates by t, so that joins with them can split a hot bucket.
+    ends = materialize(ends.select("t", "lead"), "leaders")
+    led = buckets.select("t", "id").join(ends, "t").where("id <> lead")
     links = materialize(verify(led.groupBy("id").agg(F.min("lead").alias("a")).select("a", F.col("id").alias("b"))), "links")
     comp = materialize(components(links), "components")
 
-    rows = _unresolved(buckets, comp)
-    lead = rows.groupBy("t").agg(F.max_by(F.struct("id", "comp"), F.xxhash64("id", "t")).alias("lead"))
-    led = rows.select("t", "id", "comp").join(lead, "t").where("comp <> lead.comp")
-    pairs = led.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-    more = materialize(verify(pairs), "links")
-    discard(comp)
-    links = materialize(links.unionByName(more), "links")
-    comp = materialize(components(links), "components")
+    if second_leaders:
+        rows = _unresolved(buckets, comp)
+        lead = rows.groupBy("t").agg(F.max_by(F.struct("id", "comp"), F.xxhash64("id", "t")).alias("lead"))
+        led = rows.select("t", "id", "comp").join(lead, "t").where("comp <> lead.comp")
+        pairs = led.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+        more = materialize(verify(pairs), "links")
+        discard(comp)
+        links = materialize(links.unionByName(more), "links")
+        comp = materialize(components(links), "components")
 
     rows = materialize(_unresolved(buckets, comp), "rows")
     main = rows.groupBy("t", "comp").count().groupBy("t").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
@@ -63,4 +68,4 @@ def _unresolved(buckets: DataFrame, comp: DataFrame) -> DataFrame:
     rows = buckets.join(named, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     rows = materialize(rows, "rows")
     open_ = rows.groupBy("t").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("t")
-    return rows.join(open_, "t", "left_semi")
+    return rows.join(materialize(open_, "open"), "t", "left_semi")
