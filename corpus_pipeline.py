@@ -34,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines; documents of which no word is left go, those that had none stay."""
     docs = docs.select(*COLUMNS)
-    cleaned = line_dedup.dedup_lines(docs, n_removed="_removed")
+    cleaned = line_dedup.dedup_lines(docs, line_dedup.WHOLE, n_removed="_removed")
     left = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x00-\x20]")
     return _resized(cleaned.where((F.col("_removed") == 0) | left))
 

@@ -1,15 +1,15 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-Lines are compared by their character shingles: the `shingle` characters (fewer at the line's
-end) from each start of a word of five or more, after trimming and lower-casing. Taking them at
-such starts makes them a tenth as many as characters; an edit changes only those that reach over
-it, and an insertion moves none. A line without such a word stands for itself: equal ones are found.
+Lines are compared by their character shingles after trimming and lower-casing. With `every` (op8 and the pipeline: WHOLE) these are the
+`shingle` characters at every position. Without it they are only those (fewer at the line's end)
+from each start of a word of five or more, a sample that does not see the rest of the line; a line
+without such a word then stands for itself.
 
-1. Equal lines are one from the start: lines are grouped by two hashes, and in the same
-   aggregation each group's MinHash signature is taken as minima over its shingles' hashes.
+1. Equal lines are one from the start: lines are grouped by two hashes, and each group's MinHash
+   signature is taken as minima over its shingles' hashes.
 2. Bands of `rows` signature values name buckets; `bands` of them find a pair at the threshold
    with a chance of over 99.7 %.
-3. Candidates pass an exact bound first (bits that the sets' shingles set, which differ no more
+3. Candidates pass an exact bound first (bits that the sets' shingles flip, which differ no more
    than the sets do), then the exact Jaccard similarity of their shingle sets decides. Components
    come from distributed union-find (see linking: a bucket's pairs are never all made).
 4. Of each component the line with the smallest (key, line number) is kept, every other
@@ -38,77 +38,102 @@ class Settings:
     bands: int = 6
     rows: int = 2
     min_chars: int = 20
+    every: bool = False
+
+
+#: Every position of a line.
+WHOLE = Settings(every=True)
+#: Positions in a piece of a line, so that taking substrings stays linear in its length.
+PIECE = 64
 
 
 def normal_line(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def line_shingles(line: Column, size: int) -> Column:
-    """Shingles of a normalised line, seen by a lookahead from each start of a longer word; else the line itself."""
-    found = F.regexp_extract_all(line, F.lit(r"(?:^| )(?=([^ ]{5}.{0,%d}))" % (size - 5)), F.lit(1))
+def line_shingles(line: Column, size: int, every: bool = False) -> Column:
+    """Shingles of a normalised line, seen by a lookahead from every position or each start of a longer word; else the line itself."""
+    pattern = r"(?s)(?=(.{%d}))" % size if every else r"(?:^| )(?=([^ ]{5}.{0,%d}))" % (size - 5)
+    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
     return F.when(F.size(found) > 0, found).otherwise(F.array(line))
 
 
-def _lines(docs: DataFrame, key: str, text: str, cfg: Settings) -> DataFrame:
-    """key, pos, line (normalised), h1, h2 of the lines that take part."""
+def _lines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """key, pos, line (normalised), h1, h2 of the lines of at least so many characters."""
     df = docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    df = df.withColumn("line", normal_line(F.col("line"))).where(F.length("line") >= cfg.min_chars)
+    df = df.withColumn("line", normal_line(F.col("line"))).where(F.length("line") >= least)
     return df.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit(1)))
 
 
+def _grams(lines: DataFrame, cfg: Settings) -> DataFrame:
+    """h1, h2, g: hashes of the lines' shingles, which may repeat."""
+    if not cfg.every:
+        return lines.select("h1", "h2", F.explode(line_shingles(F.col("line"), cfg.shingle)).alias("s")).select("h1", "h2", F.xxhash64("s").alias("g"))
+    most = PIECE + cfg.shingle - 1
+    cut = F.regexp_extract_all("line", F.lit(r"(?s)(?=(.{%d,%d})).{1,%d}" % (cfg.shingle, most, PIECE)), F.lit(1))
+    pieces = lines.select("h1", "h2", F.explode(F.when(F.length("line") > most, cut).otherwise(F.array("line"))).alias("p"))
+    last = F.greatest(F.length("p") - (cfg.shingle - 1), F.lit(1))
+    at = pieces.select("h1", "h2", "p", F.explode(F.sequence(F.lit(1), last)).alias("i"))
+    return at.select("h1", "h2", F.xxhash64(F.substring("p", F.col("i"), F.lit(cfg.shingle))).alias("g"))
+
+
+#: Words of 64 bits that a set's shingles flip.
+BITS = ("o0", "o1", "o2", "o3")
+
+
 def _may_link(pct: int):
     """Sizes near enough, and the sets' bits differ in no more places than the sets may."""
 
     def test(x, y):
         low, high = F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))
-        odd = F.bit_count(x("o0").bitwiseXOR(y("o0"))) + F.bit_count(x("o1").bitwiseXOR(y("o1")))
+        odd = sum((F.bit_count(x(o).bitwiseXOR(y(o))) for o in BITS), F.lit(0))
         return (low * 100 >= high * pct) & (odd * (100 + pct) <= (low + high) * (100 - pct))
 
     return test
 
 
+def _facts(sets: DataFrame) -> DataFrame:
+    """id, n, o0 to o3: the size of each set and the bits that its members flip."""
+    g = sets.select(F.col("h1").alias("id"), F.size("s").alias("n"), F.explode("s").alias("g"))
+    bit, word = F.expr("shiftleft(1L, cast(g & 63 AS int))"), F.expr("shiftright(g, 6) & 3")
+    flips = (F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(o) for i, o in enumerate(BITS))
+    return g.groupBy("id").agg(F.max("n").alias("n"), *flips)
+
+
 def find_repeated_lines(docs: DataFrame, cfg: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, drop: the sorted numbers of a document's lines that go; only documents that lose any."""
     k = cfg.bands * cfg.rows
     # Where lines are: read for each line's first place here and for its other places at the end.
-    seen = materialize(_lines(docs, key, text, cfg).select(key, "pos", "h1", "h2"), "places")
+    seen = materialize(_lines(docs, key, text, cfg.min_chars).select(key, "pos", "h1", "h2"), "places")
     spots = seen.groupBy("h1", "h2").agg(F.min(F.struct(key, "pos")).alias("first"), F.max(F.struct(key, "pos")).alias("last"))
     # Only numbers are aggregated over the shingles: hash aggregation, which a struct would turn into a sort.
-    grams = _lines(docs, key, text, cfg)
-    grams = grams.select("h1", "h2", F.array_distinct(line_shingles(F.col("line"), cfg.shingle)).alias("a"))
-    grams = grams.withColumn("n", F.size("a")).select("h1", "h2", "n", F.explode("a").alias("s"))
-    grams = grams.select("h1", "h2", "n", F.xxhash64("s").alias("g"))
-    bit = F.expr("shiftleft(1L, cast(g & 63 AS int))")
-    low = F.col("g").bitwiseAND(F.lit(64)) == 0
-    signed = grams.groupBy("h1", "h2").agg(
-        F.max("n").alias("n"),
-        F.bit_or(F.when(low, bit).otherwise(0)).alias("o0"),
-        F.bit_or(F.when(low, F.lit(0).cast("long")).otherwise(bit)).alias("o1"),
+    mins = _grams(_lines(docs, key, text, cfg.min_chars), cfg).groupBy("h1", "h2").agg(
         *(F.min(F.hash("g", F.lit(i))).alias(f"m{i}") for i in range(k)),
     )
     bands = [
         F.xxhash64(F.lit(b), *(f"m{b * cfg.rows + r}" for r in range(cfg.rows))).alias(f"b{b}") for b in range(cfg.bands)
     ]
-    signed = signed.join(spots, ["h1", "h2"]).select(
+    signed = spots.join(mins, ["h1", "h2"], "left").select(
         "h1", "h2", F.col(f"first.{key}").alias("key"), F.col("first.pos").alias("pos"),
-        (F.col("first") != F.col("last")).alias("again"), "n", "o0", "o1", *bands,
+        (F.col("first") != F.col("last")).alias("again"), F.col("m0").isNotNull().alias("fuzzy"), *bands,
     )
     signed = materialize(signed, "signatures")
 
     # A line's id is its first hash; lines that share it but not the second are told apart by the exact check.
-    facts = signed.select(F.col("h1").alias("id"), "n", "o0", "o1")
-    keyed = signed.select(F.col("h1").alias("id"), "n", "o0", "o1", F.explode(F.array(*(f"b{b}" for b in range(cfg.bands)))).alias("t"))
+    keyed = signed.where("fuzzy").select(F.col("h1").alias("id"), F.explode(F.array(*(f"b{b}" for b in range(cfg.bands)))).alias("t"))
     shared = keyed.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("t")
-    buckets = materialize(keyed.join(materialize(shared, "shared"), "t"), "bands")
-    ids = buckets.select("id").distinct()
-    places = materialize(signed.join(ids, signed.h1 == ids.id, "left_semi").select("key", "pos"), "places")
+    banded = materialize(keyed.join(materialize(shared, "shared"), "t"), "bands")
+    ids = banded.select("id").distinct()
+    places = materialize(signed.join(ids, signed.h1 == ids.id, "left_semi").where("fuzzy").select("key", "pos"), "places")
     holders = places.select(F.col("key").alias(key)).distinct()
     part = semi_join(docs.select(key, text), holders, [key], places.count())
-    sets = _lines(part, key, text, cfg).join(places.withColumnRenamed("key", key), [key, "pos"], "left_semi")
-    sets = sets.select("h1", F.array_distinct(F.transform(line_shingles(F.col("line"), cfg.shingle), lambda s: F.xxhash64(s))).alias("s"))
-    sets = materialize(sets.dropDuplicates(["h1"]), "lines")
-    facts = materialize(facts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "facts")
+    # Lines are stored and moved, not their sets, which are many times as large; few pairs are left to read them.
+    texts = _lines(part, key, text, cfg.min_chars).join(places.withColumnRenamed("key", key), [key, "pos"], "left_semi")
+    texts = materialize(texts.select("h1", "line").dropDuplicates(["h1"]), "lines")
+    members = lambda line: F.array_distinct(F.transform(line_shingles(F.col(line), cfg.shingle, cfg.every), lambda s: F.xxhash64(s)))
+    facts = materialize(_facts(texts.select("h1", members("line").alias("s"))), "facts")
+    buckets = materialize(banded.join(facts, "id"), "bands")
+    discard(banded)
 
     may = _may_link(cfg.threshold_pct)
 
@@ -116,9 +141,9 @@ def find_repeated_lines(docs: DataFrame, cfg: Settings = Settings(), key: str =
         u, v = (facts.select([F.col(c).alias(f"{side}_{c}") for c in facts.columns]) for side in "uv")
         pairs = pairs.join(u, F.col("a") == F.col("u_id")).join(v, F.col("b") == F.col("v_id"))
         pairs = pairs.where(may(lambda c: F.col(f"u_{c}"), lambda c: F.col(f"v_{c}"))).select("a", "b")
-        x = sets.select(F.col("h1").alias("a"), F.col("s").alias("sa"))
-        y = sets.select(F.col("h1").alias("b"), F.col("s").alias("sb"))
-        both = pairs.join(x, "a").join(y, "b")
+        x = texts.select(F.col("h1").alias("a"), F.col("line").alias("la"))
+        y = texts.select(F.col("h1").alias("b"), F.col("line").alias("lb"))
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", members("la").alias("sa"), members("lb").alias("sb"))
         both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")))
         union = F.size("sa") + F.size("sb") - F.col("c")
         return both.where(F.col("c") * 100 >= union * cfg.threshold_pct).select("a", "b")

@@ -93,7 +93,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = ld.dedup_lines(_table(spark, sf_dir, "documents"), n_removed="n_removed")
+    cleaned = ld.dedup_lines(_table(spark, sf_dir, "documents"), ld.WHOLE, n_removed="n_removed")
     return cleaned.select("doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
