@@ -1,6 +1,7 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-Lines are compared by their character shingles after trimming and lower-casing. With `every` (op8 and the pipeline: WHOLE) these are the
+Lines are compared by their character shingles after collapsing runs of separators (controls and
+spaces), trimming and lower-casing. With `every` (op8 and the pipeline: WHOLE) these are the
 `shingle` characters at every position. Without it they are only those (fewer at the line's end)
 from each start of a word of five or more, a sample that does not see the rest of the line; a line
 without such a word then stands for itself.
@@ -16,7 +17,8 @@ without such a word then stands for itself.
    occurrence goes.
 
 Edge cases: blank lines are never removed; null and empty texts stay as they are; lines whose
-normalised form is shorter than `min_chars` are left alone; rows that repeat a key are taken as one document and lose the same line numbers; empty
+normalised form is shorter than `min_chars` lose their exact copies with `every` and are left alone
+without; rows that repeat a key are taken as one document and lose the same line numbers; empty
 tables give empty results; other columns stay.
 """
 
@@ -41,14 +43,15 @@ class Settings:
     every: bool = False
 
 
-#: Every position of a line.
+#: Every position of a line, and exact copies of the lines below min_chars.
 WHOLE = Settings(every=True)
 #: Positions in a piece of a line, so that taking substrings stays linear in its length.
 PIECE = 64
 
 
 def normal_line(line: Column) -> Column:
-    return F.lower(F.trim(line))
+    """Runs of separators as one space, none at the ends, lower case; single spaces are not rewritten."""
+    return F.lower(F.trim(F.regexp_replace(line, r"[\x00-\x1F][\x00-\x20]*|\x20[\x00-\x20]+", " ")))
 
 
 def line_shingles(line: Column, size: int, every: bool = False) -> Column:
@@ -104,7 +107,7 @@ def find_repeated_lines(docs: DataFrame, cfg: Settings = Settings(), key: str =
     """key, drop: the sorted numbers of a document's lines that go; only documents that lose any."""
     k = cfg.bands * cfg.rows
     # Where lines are: read for each line's first place here and for its other places at the end.
-    seen = materialize(_lines(docs, key, text, cfg.min_chars).select(key, "pos", "h1", "h2"), "places")
+    seen = materialize(_lines(docs, key, text, 1 if cfg.every else cfg.min_chars).select(key, "pos", "h1", "h2"), "places")
     spots = seen.groupBy("h1", "h2").agg(F.min(F.struct(key, "pos")).alias("first"), F.max(F.struct(key, "pos")).alias("last"))
     # Only numbers are aggregated over the shingles: hash aggregation, which a struct would turn into a sort.
     mins = _grams(_lines(docs, key, text, cfg.min_chars), cfg).groupBy("h1", "h2").agg(

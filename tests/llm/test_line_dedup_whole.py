@@ -6,7 +6,7 @@ from evalframe.llm import queries
 
 
 def squeeze(line):
-    return line.strip(" ").lower()
+    return " ".join(w for w in "".join(" " if c <= " " else c for c in line).split(" ") if w).lower()
 
 
 def grams(line):
@@ -14,11 +14,11 @@ def grams(line):
 
 
 def brute(docs):
-    """Independent of the operator: every 12 characters, 0.8; keeps each group's first."""
+    """Independent of the operator: every 12 characters, 0.8, short lines by equality; keeps each group's first."""
     where = {}
     for key, t in docs:
         for pos, x in enumerate(t.split("\n")):
-            if len(squeeze(x)) >= 20:
+            if squeeze(x):
                 where.setdefault(squeeze(x), []).append((key, pos))
     long = sorted(x for x in where if len(x) >= 20)
     up = {x: x for x in where}
@@ -50,11 +50,12 @@ def case():
     long = " ".join("".join(rnd.choice("abcdefé") for _ in range(rnd.randrange(1, 9))) for _ in range(60))
     lines = [
         prose, prose[:70] + "一" + prose[71:], prose[:12] + han(138), han(150),
-        tabs, tabs[:12] + "\t" + "\t".join(f"{rnd.randrange(10**6)}" for _ in range(28)),
-        small, small[:90] + "b" + small[91:],
+        tabs, tabs.replace("\t", "  "), tabs[:12] + "\t" + "\t".join(f"{rnd.randrange(10**6)}" for _ in range(28)),
+        small, small[:90] + "b" + small[91:], small + "\r",
         *(url() for _ in range(6)),
-        long, long[:200] + "X" + long[201:], "tail of piece " + long,
+        long, long[:200] + "X" + long[201:], long.replace(" ", "\t "), "tail of piece " + long,
         "question 12: is it a or b", "question 12: an ox or a cat",
+        "menu", " Menu\r", "短い文。", "短い文。", "", "",
     ]
     lines += ["x" * 63 + "abcdefghijkl"[:n] for n in range(10, 13)]
     rnd.shuffle(lines)
@@ -69,6 +70,7 @@ def test_every_position_equals_brute_force(spark):
     assert got == want
     left = "\n".join(got.values())
     assert left.count("https://www.") == 6 and left.count("question 12:") == 2
+    assert left.lower().count("menu") == 1 and left.count("短い文。") == 1
 
 
 def test_query_and_pipeline_take_every_position(spark, tmp_path):
