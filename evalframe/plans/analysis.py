@@ -230,6 +230,14 @@ def _(t):
     return j.select("dataset", F.round(stats.mcnemar_exact(F.col("b"), F.col("c")), 6).alias("p"))
 
 
+@query("t07_mcnemar_exact_whole", """WITH b AS (SELECT dataset, count(*) FILTER (WHERE s.score >= 0.5 AND c.score < 0.5) AS b, count(*) FILTER (WHERE s.score < 0.5 AND c.score >= 0.5) AS c FROM scored s JOIN control c ON c.src_uid = s.uid GROUP BY dataset)
+SELECT dataset, b, c, CASE WHEN b + c > 0 THEN round(least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))), 6) END AS p FROM b""")
+def _(t):
+    c = t.control.select(F.col("src_uid").alias("uid"), F.col("score").alias("bs"))
+    j = t.scored.join(c, "uid").groupBy("dataset").agg(F.count_if(F.expr("score >= 0.5 AND bs < 0.5")).alias("b"), F.count_if(F.expr("score < 0.5 AND bs >= 0.5")).alias("c"))
+    return j.select("dataset", "b", "c", F.round(stats.mcnemar_exact(F.col("b"), F.col("c")), 6).alias("p"))
+
+
 _MH = """WITH t AS (SELECT family, count(*) FILTER (WHERE e AND h)::DOUBLE AS a, count(*) FILTER (WHERE e AND NOT h)::DOUBLE AS b, count(*) FILTER (WHERE NOT e AND h)::DOUBLE AS c, count(*) FILTER (WHERE NOT e AND NOT h)::DOUBLE AS d
  FROM (SELECT family, primitive = 'F' AS e, score >= 0.5 AS h FROM scored WHERE score IS NOT NULL) GROUP BY family),
 u AS (SELECT *, a + b + c + d AS n FROM t WHERE a + b > 0 AND c + d > 0 AND a + c > 0 AND b + d > 0),
