@@ -68,25 +68,31 @@ def banded_quota(df: DataFrame, value: str, bands: int, total: int, key: str) ->
     return banded.join(F.broadcast(sizes.select("bin", F.col("given").alias("quota"))), "bin")
 
 
-def pick_spread(df: DataFrame, axes: list[str], key: str, seed: int, pool: int = 2000) -> DataFrame:
+def pick_spread(df: DataFrame, axes: list[str], key: str, seed: int) -> DataFrame:
     """Each band's quota of rows, in band order, each time the row whose values on the axes were taken least.
 
-    The choice depends on all choices before it, so it is one sequential task; it sees at most `pool`
-    rows a band, the first by hash, which is the operator's documented bound.
+    The choice depends on all choices before it, so it is one sequential task. Rows of a band with the
+    same values on the axes are taken in the order of (hash, key), so that task sees the first `quota`
+    of each combination of values, and no row that it leaves out could be chosen.
     """
-    rank = F.row_number().over(W.partitionBy("bin").orderBy(windows.stable_hash(seed, F.col(key)), key))
-    rows = df.withColumn("_r", rank).where(F.col("_r") <= pool)
+    rank = F.row_number().over(W.partitionBy("bin", *axes).orderBy("_h", key))
+    rows = df.withColumn("_h", windows.stable_hash(seed, F.col(key))).withColumn("_r", rank).where("_r <= quota")
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         taken, out = Counter(), []
-        for _, band in frame.sort_values(["bin", "_r"]).groupby("bin", sort=True):
-            left = list(band.index)
-            for _ in range(min(int(band["quota"].iloc[0]), len(left))):
-                best = min(left, key=lambda i: sum(taken[(a, frame.at[i, a])] for a in axes))
-                left.remove(best)
-                out.append(best)
-                taken.update((a, frame.at[best, a]) for a in axes)
-        return frame.loc[out].drop(columns=["_r", "_all"])
+        frame = frame.sort_values(["bin", "_h", key]).reset_index(drop=True)
+        for _, band in frame.groupby("bin", sort=True):
+            heads = {}
+            for i, values in zip(band.index, band[axes].itertuples(index=False, name=None)):
+                heads.setdefault(tuple(None if pd.isna(v) else v for v in values), []).append(i)
+            heads = {v: left[::-1] for v, left in heads.items()}
+            for _ in range(min(int(band["quota"].iloc[0]), len(band))):
+                best = min(heads, key=lambda v: (sum(taken[x] for x in zip(axes, v)), heads[v][-1]))
+                out.append(heads[best].pop())
+                taken.update(zip(axes, best))
+                if not heads[best]:
+                    del heads[best]
+        return frame.loc[out].drop(columns=["_h", "_r", "_all"])
 
     return rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(choose, df.schema)
 
