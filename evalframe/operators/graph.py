@@ -43,24 +43,27 @@ def has_edge(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, directed: boo
     return j.select(*pairs.columns, F.when(known, F.coalesce("_e", F.lit(False))).alias("has_edge"))
 
 
-def hops(edges: DataFrame, sources: DataFrame, limit: int = 64, directed: bool = False) -> DataFrame:
+def hops(edges: DataFrame, sources: DataFrame, limit: int | None = None, directed: bool = False) -> DataFrame:
     """Fewest edges from each (gid, src) to every node it reaches: gid, src, node, hops; 0 to itself.
 
-    Breadth first: each round joins the last round's arrivals with the edges; `limit` bounds the depth.
+    Breadth first until a round arrives nowhere new; only where a `limit` is asked for, no deeper than that.
     """
     checkpoints = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     e = (edges if directed else undirected(edges)).select("gid", "src", "dst").distinct()
     found = sources.select("gid", "src", F.col("src").alias("node"), F.lit(0).alias("hops")).distinct()
     front, reached = found, found
-    for depth in range(1, limit + 1):
+    depth = 0
+    # Stored each round, else the plan grows by a level a round; in the checkpoint folder where there is one.
+    cut = lambda df: df.checkpoint() if checkpoints else df.localCheckpoint()
+    while limit is None or depth < limit:
+        depth += 1
         step = front.select("gid", "src", F.col("node").alias("_n")).join(e.select("gid", F.col("src").alias("_n"), "dst"), ["gid", "_n"])
         step = step.select("gid", "src", F.col("dst").alias("node")).distinct()
-        front = step.join(reached.select("gid", "src", "node"), ["gid", "src", "node"], "left_anti").withColumn("hops", F.lit(depth))
-        # Without a checkpoint folder the plan grows by a level a round, as deep as the graph is wide.
-        front = front.checkpoint() if checkpoints else front
+        front = cut(step.join(reached.select("gid", "src", "node"), ["gid", "src", "node"], "left_anti").withColumn("hops", F.lit(depth)))
         if front.isEmpty():
             break
         reached = reached.unionByName(front)
+        reached = cut(reached) if depth % 16 == 0 else reached
     return reached
 
 

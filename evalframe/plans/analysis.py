@@ -311,3 +311,25 @@ def _(t):
     nodes = t.nation.select(z, F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("label"))
     n1, n2 = t.nation.select("n_regionkey", F.col("n_nationkey").alias("a")), t.nation.select("n_regionkey", F.col("n_nationkey").alias("b"))
     return graph.has_edge(n1.join(n2, "n_regionkey").select(z, "a", "b"), nodes, e).select("a", "b", "has_edge")
+
+
+def _edges(t):
+    """Nation edges of all customers and suppliers; each side's distinct values first, so that the join stays small."""
+    c = t.customer.select(F.col("c_nationkey").alias("src"), F.expr("c_custkey % 50").alias("m")).distinct()
+    s = t.supplier.select(F.col("s_nationkey").alias("dst"), F.expr("s_suppkey % 50").alias("m")).distinct()
+    return c.join(s, "m").select(F.lit(0).alias("gid"), "src", "dst").distinct()
+
+
+@query("r04_hops_whole")
+def _(t):
+    e = _edges(t)
+    return graph.hops(e, graph.undirected(e).select("gid", "src").distinct()).select("src", "node", "hops")
+
+
+@query("r02_has_edge_whole", """WITH c AS (SELECT DISTINCT c_nationkey, c_custkey % 50 AS m FROM customer), s AS (SELECT DISTINCT s_nationkey, s_suppkey % 50 AS m FROM supplier), e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM c JOIN s USING (m))
+SELECT a.n_nationkey AS a, b.n_nationkey AS b, EXISTS (SELECT 1 FROM e WHERE e.src = a.n_nationkey AND e.dst = b.n_nationkey) AS has_edge FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey""")
+def _(t):
+    z = F.lit(0).alias("gid")
+    nodes = t.nation.select(z, F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("label"))
+    n1, n2 = t.nation.select("n_regionkey", F.col("n_nationkey").alias("a")), t.nation.select("n_regionkey", F.col("n_nationkey").alias("b"))
+    return graph.has_edge(n1.join(n2, "n_regionkey").select(z, "a", "b"), nodes, _edges(t)).select("a", "b", "has_edge")
