@@ -94,10 +94,8 @@ def _full_sets(docs: DataFrame, cfg: Settings, key: str, text: str) -> DataFrame
     return map_texts(docs, factory, fields, [key], text)
 
 
-def near_duplicates(
-    docs: DataFrame, cfg: Settings = Settings(), key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """One row per document: key, n_shingles, component_id (smallest key reachable by links)."""
+def _candidates(docs: DataFrame, cfg: Settings, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All sets, the classes of equal ones with their representative, full sets of representatives that may link."""
     pct = cfg.threshold_pct
     # Differences that a link allows: on one side of n, and in both sets of together m.
     first = materialize(_first_pass(docs, cfg, key, text), "first")
@@ -116,7 +114,35 @@ def near_duplicates(
 
     part = semi_join(docs.select(key, text), left, [key], left.count())
     full = _full_sets(part, cfg, key, text).withColumnRenamed(key, "id").dropDuplicates(["id"])
-    full = materialize(full, "full")
+    return sets, classes, materialize(full, "full")
+
+
+def near_duplicate_links(
+    docs: DataFrame, cfg: Settings = Settings(), key: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """links (a, b, a < b: every pair of representatives at the threshold) and members (key, rep), without loss.
+
+    Documents of equal sets share a representative, the smallest key, and link with each other too;
+    one without words is alone. A group of n representatives gives up to n * (n - 1) / 2 links, which
+    is what is asked for here; near_duplicates makes only those that settle the components.
+    """
+    sets, classes, full = _candidates(docs, cfg, key, text)
+    buckets = materialize(_buckets(full, cfg.threshold_pct), "buckets")
+    side = lambda s: lambda c: F.col(f"{s}.{c}")
+    on = (F.col("x.t") == F.col("y.t")) & (F.col("x.id") < F.col("y.id")) & _may_link(cfg.threshold_pct)(side("x"), side("y"))
+    pairs = buckets.alias("x").join(buckets.alias("y"), on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    links = materialize(_verified(pairs, full, cfg), "links")
+    discard(buckets, full)
+    named = sets.join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left")
+    return links, named.select(key, F.coalesce(F.when(F.col("n") > 0, F.col("rep")), key).alias("rep")).distinct()
+
+
+def near_duplicates(
+    docs: DataFrame, cfg: Settings = Settings(), key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row per document: key, n_shingles, component_id (smallest key reachable by links)."""
+    pct = cfg.threshold_pct
+    sets, classes, full = _candidates(docs, cfg, key, text)
     comp = link_groups(_buckets(full, pct), lambda pairs: _verified(pairs, full, cfg), _may_link(pct))
     comp = comp.select(F.col("node").alias("rep"), "component")
     named = classes.join(comp, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
