@@ -15,9 +15,11 @@ BROADCAST_KEYS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one is set only where the session names none (tests)."""
+    """The folder all executors share; one of this machine is set only where none is named and the master is local."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="evalframe-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -50,12 +52,12 @@ def discard(*frames: DataFrame | None) -> None:
 
 def semi_join(df: DataFrame, keys: DataFrame, on: list[str], n_keys: int) -> DataFrame:
     """Rows of df whose key is in keys; broadcast only a key set whose counted size is small."""
-    return df.join(F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys, on, "left_semi")
+    return df.join(F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys.hint("merge"), on, "left_semi")
 
 
 def join_small(df: DataFrame, small: DataFrame, on: list[str], n_rows: int, how: str = "left") -> DataFrame:
     """Join with a table of few columns; broadcast it only when its counted size is small."""
-    return df.join(F.broadcast(small) if n_rows <= BROADCAST_KEYS // 4 else small, on, how)
+    return df.join(F.broadcast(small) if n_rows <= BROADCAST_KEYS // 4 else small.hint("merge"), on, how)
 
 
 def words(text: Column) -> Column:
@@ -78,10 +80,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while mark[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u")
+        hung = large.join(least.hint("merge"), "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             hung.select("u", F.col("m").alias("v"))
         )

@@ -1,25 +1,26 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-Lines are compared by their character shingles after collapsing runs of separators (controls and
-spaces), trimming and lower-casing. With `every` (op8 and the pipeline: WHOLE) these are the
-`shingle` characters at every position. Without it they are only those (fewer at the line's end)
-from each start of a word of five or more, a sample that does not see the rest of the line; a line
-without such a word then stands for itself.
-
-1. Equal lines are one from the start: lines are grouped by two hashes, and each group's MinHash
-   signature is taken as minima over its shingles' hashes.
-2. Bands of `rows` signature values name buckets; `bands` of them find a pair at the threshold
-   with a chance of over 99.7 %.
-3. Candidates pass an exact bound first (bits that the sets' shingles flip, which differ no more
-   than the sets do), then the exact Jaccard similarity of their shingle sets decides. Components
-   come from distributed union-find (see linking: a bucket's pairs are never all made).
-4. Of each component the line with the smallest (key, line number) is kept, every other
+Lines are compared by their shingles, the `shingle` characters at every position, after collapsing
+runs of separators (controls and spaces), trimming and lower-casing.
+
+1. Equal lines are one from the start: a line is named by two 64-bit hashes.
+2. Signature: every position of a line's UTF-8 form gives one hash. It names one of the
+   signature's values and competes for its minimum (one permutation, cut into bins); a hash too
+   large to be one of the `per_value` smallest a bin may expect is dropped before the aggregation.
+   A value without a shingle borrows the next one's. A line in which few different shingles
+   repeat so often that all of them were dropped is hashed again with nothing dropped.
+3. Bands of `rows` values name buckets: of pairs at the threshold over 99 % share one.
+4. Candidates are decided by the exact Jaccard similarity of their sets of shingles, now of
+   characters. Components come from distributed union-find (see linking: a bucket's pairs are
+   not all made).
+5. Of each component the line with the smallest (key, line number) is kept, every other
    occurrence goes.
 
 Edge cases: blank lines are never removed; null and empty texts stay as they are; lines whose
-normalised form is shorter than `min_chars` lose their exact copies with `every` and are left alone
-without; rows that repeat a key are taken as one document and lose the same line numbers; empty
-tables give empty results; other columns stay.
+normalised form is shorter than `min_chars` lose their exact copies only; rows that repeat a key
+are taken as one document and lose the same line numbers; very long lines are shingled whole;
+empty tables give empty results; other columns stay, whatever their names, but one named as
+`n_removed` raises.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import BROADCAST_KEYS, discard, materialize, semi_join
+from evalframe.llm.common import BROADCAST_KEYS, discard, join_small, materialize, semi_join
 from evalframe.llm.linking import link_groups
 
 
@@ -40,44 +41,78 @@ class Settings:
     bands: int = 6
     rows: int = 2
     min_chars: int = 20
-    every: bool = False
-
-
-#: Every position of a line, and exact copies of the lines below min_chars.
-WHOLE = Settings(every=True)
-#: Positions in a piece of a line, so that taking substrings stays linear in its length.
-PIECE = 64
+    per_value: int = 4
 
 
 def normal_line(line: Column) -> Column:
     """Runs of separators as one space, none at the ends, lower case; single spaces are not rewritten."""
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x00-\x1F][\x00-\x20]*|\x20[\x00-\x20]+", " ")))
-
-
-def line_shingles(line: Column, size: int, every: bool = False) -> Column:
-    """Shingles of a normalised line, seen by a lookahead from every position or each start of a longer word; else the line itself."""
-    pattern = r"(?s)(?=(.{%d}))" % size if every else r"(?:^| )(?=([^ ]{5}.{0,%d}))" % (size - 5)
-    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(line))
+    collapsed = F.regexp_replace(line, r"[\x00-\x1F][\x00-\x20]*|\x20[\x00-\x20]+", " ")
+    # Most lines hold none: a search is cheaper than a replacement.
+    odd = F.contains(line, F.lit("  ")) | line.rlike(r"[\x00-\x1F]")
+    return F.lower(F.trim(F.when(odd, collapsed).otherwise(line)))
+
+
+def _lines(docs: DataFrame, cfg: Settings, key: str, text: str) -> DataFrame:
+    """key, pos, h1, h2, and line (normalised; null where shorter than min_chars) of the lines that are not blank."""
+    df = docs.select(F.col(key).alias("key"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    df = df.withColumn("line", normal_line(F.col("line"))).where(F.length("line") > 0)
+    long = F.when(F.length("line") >= cfg.min_chars, F.col("line"))
+    return df.select("key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), long.alias("line"))
+
+
+def _minima(lines: DataFrame, cfg: Settings, thin: bool) -> DataFrame:
+    """h1, h2 and the minimum of each of the signature's values, null where no shingle competed for it."""
+    k, span = cfg.bands * cfg.rows, 1 << 31
+    n = F.greatest(F.octet_length("line") - (cfg.shingle - 1), F.lit(1))
+    rows = lines.where("line is not null").select("h1", "h2", F.col("line").cast("binary").alias("b"), n.alias("n"))
+    rows = rows.select("h1", "h2", "b", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    rows = rows.select("h1", "h2", "n", "i", F.xxhash64(F.substring("b", F.col("i"), F.lit(cfg.shingle))).alias("g"))
+    rank = F.col("g").bitwiseAND(F.lit(span - 1))
+    competes = rank * F.col("n") < F.lit(k * cfg.per_value * span) if thin else F.lit(True)
+    # Position 1 keeps its row, so that a line of which every hash is dropped shows.
+    rows = rows.where(competes | (F.col("i") == 1))
+    value = F.when(competes, F.pmod(F.shiftright("g", 33), F.lit(k))).alias("value")
+    rows = rows.select("h1", "h2", value, rank.cast("int").alias("rank"))
+    return rows.groupBy("h1", "h2").agg(*(F.min(F.when(F.col("value") == i, F.col("rank"))).alias(f"m{i}") for i in range(k)))
+
+
+def _signatures(lines: DataFrame, cfg: Settings) -> DataFrame:
+    """h1, h2, m0, m1, ...: one row for each different line of at least min_chars; stored."""
+    names = [f"m{i}" for i in range(cfg.bands * cfg.rows)]
+    some = F.coalesce(*names).isNotNull()
+    found = materialize(_minima(lines, cfg, thin=True), "signatures")
+    few = materialize(found.where(~some).select("h1", "h2"), "few")
+    n_few = few.count()
+    if not n_few:
+        discard(few)
+        return found
+    # Each line once: the rest is as many rows as lines that repeat themselves, not as their copies.
+    again = semi_join(lines.where("line is not null").select("h1", "h2", "line"), few, ["h1", "h2"], 2 * n_few)
+    whole = _minima(again.dropDuplicates(["h1", "h2"]), cfg, thin=False)
+    out = materialize(found.where(some).unionByName(whole), "signatures")
+    discard(found, few)
+    return out
 
 
-def _lines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """key, pos, line (normalised), h1, h2 of the lines of at least so many characters."""
-    df = docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    df = df.withColumn("line", normal_line(F.col("line"))).where(F.length("line") >= least)
-    return df.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit(1)))
+def _bands(signed: DataFrame, cfg: Settings) -> DataFrame:
+    """t, id: the buckets of each line. An empty value borrows the next one that is not, marked by the distance."""
+    k = cfg.bands * cfg.rows
+    full = [
+        F.coalesce(*(F.col(f"m{(i + j) % k}").cast("long") + F.lit(j << 32) for j in range(k))).alias(f"v{i}") for i in range(k)
+    ]
+    named = signed.select(F.col("h1").alias("id"), *full)
+    band = lambda b: F.xxhash64(F.lit(b), *(f"v{b * cfg.rows + r}" for r in range(cfg.rows)))
+    return named.select("id", F.explode(F.array(*(band(b) for b in range(cfg.bands)))).alias("t"))
 
 
-def _grams(lines: DataFrame, cfg: Settings) -> DataFrame:
-    """h1, h2, g: hashes of the lines' shingles, which may repeat."""
-    if not cfg.every:
-        return lines.select("h1", "h2", F.explode(line_shingles(F.col("line"), cfg.shingle)).alias("s")).select("h1", "h2", F.xxhash64("s").alias("g"))
-    most = PIECE + cfg.shingle - 1
-    cut = F.regexp_extract_all("line", F.lit(r"(?s)(?=(.{%d,%d})).{1,%d}" % (cfg.shingle, most, PIECE)), F.lit(1))
-    pieces = lines.select("h1", "h2", F.explode(F.when(F.length("line") > most, cut).otherwise(F.array("line"))).alias("p"))
-    last = F.greatest(F.length("p") - (cfg.shingle - 1), F.lit(1))
-    at = pieces.select("h1", "h2", "p", F.explode(F.sequence(F.lit(1), last)).alias("i"))
-    return at.select("h1", "h2", F.xxhash64(F.substring("p", F.col("i"), F.lit(cfg.shingle))).alias("g"))
+def shingle_set(line: Column, size: int) -> Column:
+    """Distinct hashes of a line's characters by `size`, at every position; of a shorter line, of itself."""
+    # Four bytes a character, so that a shingle is cut out without counting; bound once for all positions.
+    cut = lambda b: F.transform(
+        F.sequence(F.lit(0), F.greatest((F.octet_length(b) / 4).cast("int") - size, F.lit(0))),
+        lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * size))),
+    )
+    return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "UTF-32")), cut), F.lit(0)))
 
 
 #: Words of 64 bits that a set's shingles flip.
@@ -88,92 +123,81 @@ def _may_link(pct: int):
     """Sizes near enough, and the sets' bits differ in no more places than the sets may."""
 
     def test(x, y):
-        low, high = F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))
+        low, high = F.least(x("size"), y("size")), F.greatest(x("size"), y("size"))
         odd = sum((F.bit_count(x(o).bitwiseXOR(y(o))) for o in BITS), F.lit(0))
         return (low * 100 >= high * pct) & (odd * (100 + pct) <= (low + high) * (100 - pct))
 
     return test
 
 
-def _facts(sets: DataFrame) -> DataFrame:
-    """id, n, o0 to o3: the size of each set and the bits that its members flip."""
-    g = sets.select(F.col("h1").alias("id"), F.size("s").alias("n"), F.explode("s").alias("g"))
+def _facts(texts: DataFrame, size: int) -> DataFrame:
+    """id, size, o0 to o3: the size of each line's set and the bits that its members flip."""
+    g = texts.select("id", F.explode(shingle_set(F.col("line"), size)).alias("g"))
     bit, word = F.expr("shiftleft(1L, cast(g & 63 AS int))"), F.expr("shiftright(g, 6) & 3")
     flips = (F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(o) for i, o in enumerate(BITS))
-    return g.groupBy("id").agg(F.max("n").alias("n"), *flips)
+    return g.groupBy("id").agg(F.count(F.lit(1)).alias("size"), *flips)
 
 
 def find_repeated_lines(docs: DataFrame, cfg: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, drop: the sorted numbers of a document's lines that go; only documents that lose any."""
-    k = cfg.bands * cfg.rows
-    # Where lines are: read for each line's first place here and for its other places at the end.
-    seen = materialize(_lines(docs, key, text, 1 if cfg.every else cfg.min_chars).select(key, "pos", "h1", "h2"), "places")
-    spots = seen.groupBy("h1", "h2").agg(F.min(F.struct(key, "pos")).alias("first"), F.max(F.struct(key, "pos")).alias("last"))
-    # Only numbers are aggregated over the shingles: hash aggregation, which a struct would turn into a sort.
-    mins = _grams(_lines(docs, key, text, cfg.min_chars), cfg).groupBy("h1", "h2").agg(
-        *(F.min(F.hash("g", F.lit(i))).alias(f"m{i}") for i in range(k)),
-    )
-    bands = [
-        F.xxhash64(F.lit(b), *(f"m{b * cfg.rows + r}" for r in range(cfg.rows))).alias(f"b{b}") for b in range(cfg.bands)
-    ]
-    signed = spots.join(mins, ["h1", "h2"], "left").select(
-        "h1", "h2", F.col(f"first.{key}").alias("key"), F.col("first.pos").alias("pos"),
-        (F.col("first") != F.col("last")).alias("again"), F.col("m0").isNotNull().alias("fuzzy"), *bands,
-    )
-    signed = materialize(signed, "signatures")
-
-    # A line's id is its first hash; lines that share it but not the second are told apart by the exact check.
-    keyed = signed.where("fuzzy").select(F.col("h1").alias("id"), F.explode(F.array(*(f"b{b}" for b in range(cfg.bands)))).alias("t"))
-    shared = keyed.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("t")
-    banded = materialize(keyed.join(materialize(shared, "shared"), "t"), "bands")
-    ids = banded.select("id").distinct()
-    places = materialize(signed.join(ids, signed.h1 == ids.id, "left_semi").where("fuzzy").select("key", "pos"), "places")
-    holders = places.select(F.col("key").alias(key)).distinct()
-    part = semi_join(docs.select(key, text), holders, [key], places.count())
-    # Lines are stored and moved, not their sets, which are many times as large; few pairs are left to read them.
-    texts = _lines(part, key, text, cfg.min_chars).join(places.withColumnRenamed("key", key), [key, "pos"], "left_semi")
-    texts = materialize(texts.select("h1", "line").dropDuplicates(["h1"]), "lines")
-    members = lambda line: F.array_distinct(F.transform(line_shingles(F.col(line), cfg.shingle, cfg.every), lambda s: F.xxhash64(s)))
-    facts = materialize(_facts(texts.select("h1", members("line").alias("s"))), "facts")
-    buckets = materialize(banded.join(facts, "id"), "bands")
-    discard(banded)
-
-    may = _may_link(cfg.threshold_pct)
+    lines = materialize(_lines(docs, cfg, key, text), "lines")
+    signed = _signatures(lines, cfg)
+    keyed = _bands(signed, cfg)
+    # Lines that share a bucket with another; their texts are what candidates are decided by.
+    ends = keyed.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("t")
+    ends = materialize(ends, "shared")
+    keyed = materialize(keyed.join(ends.hint("merge"), "t", "left_semi"), "bands")
+    ids = materialize(keyed.select(F.col("id").alias("h1")).distinct(), "ids")
+    texts = semi_join(lines.where("line is not null").select("h1", "h2", "line"), ids, ["h1"], ids.count())
+    # A line's id is its first hash. Of lines that share it but not the second, one stands in the links.
+    texts = texts.groupBy(F.col("h1").alias("id")).agg(F.min("h2").alias("h2"), F.min_by("line", "h2").alias("line"))
+    texts = materialize(texts, "texts")
+    discard(signed, ends, ids)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        u, v = (facts.select([F.col(c).alias(f"{side}_{c}") for c in facts.columns]) for side in "uv")
-        pairs = pairs.join(u, F.col("a") == F.col("u_id")).join(v, F.col("b") == F.col("v_id"))
-        pairs = pairs.where(may(lambda c: F.col(f"u_{c}"), lambda c: F.col(f"v_{c}"))).select("a", "b")
-        x = texts.select(F.col("h1").alias("a"), F.col("line").alias("la"))
-        y = texts.select(F.col("h1").alias("b"), F.col("line").alias("lb"))
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", members("la").alias("sa"), members("lb").alias("sb"))
+        x = texts.select(F.col("id").alias("a"), F.col("line").alias("la"))
+        y = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
+        both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
+        both = both.select("a", "b", shingle_set(F.col("la"), cfg.shingle).alias("sa"), shingle_set(F.col("lb"), cfg.shingle).alias("sb"))
         both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")))
         union = F.size("sa") + F.size("sb") - F.col("c")
         return both.where(F.col("c") * 100 >= union * cfg.threshold_pct).select("a", "b")
 
-    comp = materialize(link_groups(buckets, verify, may, every_leader=True), "components")
-    owned = signed.select("h1", "h2", "key", "pos", "again").join(comp.withColumnRenamed("node", "h1"), "h1", "left")
-    linked = owned.where(F.col("component").isNotNull())
-    keeper = linked.groupBy("component").agg(F.min(F.struct("key", "pos")).alias("keep"))
-    decided = linked.join(keeper, "component").select("h1", "h2", "keep").unionByName(
-        owned.where(F.col("component").isNull() & F.col("again")).select("h1", "h2", F.struct("key", "pos").alias("keep"))
-    )
-    gone = seen.join(decided, ["h1", "h2"]).where((F.col(key) != F.col("keep.key")) | (F.col("pos") != F.col("keep.pos")))
-    out = materialize(gone.groupBy(key).agg(F.sort_array(F.collect_set("pos")).alias("drop")), "dropped")
-    discard(buckets, places, comp, seen)
+    facts = lambda ids: _facts(texts.join(ids.hint("merge"), "id", "left_semi"), cfg.shingle)
+    comp = link_groups(keyed, verify, facts, _may_link(cfg.threshold_pct))
+    named = comp.withColumnRenamed("node", "id").join(texts.select("id", "h2").hint("merge"), "id")
+    named = materialize(named.select(F.col("id").alias("h1"), "h2", "component"), "named")
+    discard(keyed, texts, comp)
+
+    # Groups are components, or else equal lines.
+    occ = join_small(lines.select("key", "pos", "h1", "h2"), named, ["h1", "h2"], named.count())
+    other = F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0))
+    occ = occ.select("key", "pos", F.coalesce("component", "h1").alias("g1"), other.alias("g2"))
+    keep = occ.groupBy("g1", "g2").agg(F.min(F.struct("key", "pos")).alias("keep"), F.count(F.lit(1)).alias("n"))
+    # Stored, so that the join with it can split a hot line.
+    keep = materialize(keep.where("n > 1").select("g1", "g2", "keep"), "keep")
+    gone = occ.join(keep.hint("merge"), ["g1", "g2"]).where((F.col("key") != F.col("keep.key")) | (F.col("pos") != F.col("keep.pos")))
+    out = gone.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+    out = materialize(out, "dropped")
+    discard(lines, named, keep)
     return out
 
 
 def drop_lines(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", text: str = "text", n_removed: str | None = None) -> DataFrame:
     """docs without the dropped lines, all columns and rows kept; n_removed names a column for their number."""
+    if n_removed in docs.columns:
+        raise ValueError(f"there is a column {n_removed} already")
     size = dropped.agg(F.coalesce(F.sum(F.size("drop") + 1), F.lit(0))).first()[0]
     # Clashing names: the list travels under a name that no column has.
     name = "_drop"
     while name in docs.columns:
         name += "_"
     gone = dropped.withColumnRenamed("drop", name)
-    joined = docs.join(F.broadcast(gone) if size <= BROADCAST_KEYS else gone, key, "left")
-    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(name, i))
+    joined = docs.join(F.broadcast(gone) if size <= BROADCAST_KEYS else gone.hint("merge"), key, "left")
+    # A mark for each line up to the last that goes: false for those between two that go, true for these.
+    between = lambda p, i: p - F.coalesce(F.get(name, i - 1), F.lit(-1)) - 1
+    marks = F.flatten(F.transform(name, lambda p, i: F.concat(F.array_repeat(F.lit(False), between(p, i)), F.array(F.lit(True)))))
+    kept = F.array_compact(F.zip_with(F.split(text, "\n"), marks, lambda x, m: F.when(F.coalesce(m, F.lit(False)), F.lit(None)).otherwise(x)))
     cleaned = F.when(F.col(name).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     cols = [cleaned.alias(c) if c == text else F.col(c) for c in docs.columns]
     return joined.select(*cols, *([F.coalesce(F.size(name), F.lit(0)).alias(n_removed)] if n_removed else []))
@@ -181,3 +205,7 @@ def drop_lines(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", text: s
 
 def dedup_lines(docs: DataFrame, cfg: Settings = Settings(), key: str = "doc_id", text: str = "text", n_removed: str | None = None) -> DataFrame:
     return drop_lines(docs, find_repeated_lines(docs, cfg, key, text), key, text, n_removed)
+
+
+#: As the default; the name under which the query and the pipeline took every position.
+WHOLE = Settings()

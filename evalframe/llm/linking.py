@@ -1,10 +1,16 @@
-"""Components of exactly verified links inside buckets, without making a bucket's pairs.
+"""Components of exactly verified links inside buckets, without making a bucket's pairs at once.
 
-Ids in a bucket are candidates of each other. First each id is held against one leader, then
-against one leader per bucket of another component; what is left are buckets with ids of several
-components, and there the ids outside the bucket's main component are held against the others.
-Pairs inside one component are never made: their link changes nothing. So a group of n near
-copies costs about n checks, and no link between components is lost.
+Ids in a bucket are candidates of each other. A bucket of two is one check. In larger ones each id
+is first held against the one leader that it shares most buckets with. What then still holds ids
+of several components is settled in rounds: a few ids of each open bucket, drawn by hash, lead;
+every other id of another component is held against them, and a leader is done with its bucket.
+Each round quadruples the leaders, so even a bucket whose ids never link ends after a number of
+rounds that grows with the logarithm of its size, and its pairs are only made as far as no link
+found on the way has put both ids into one component. So a group of n near copies costs about n
+checks, and no link between components is lost.
+
+Tables that grow with the input are joined by sorting (merge hints): stored tables compress so
+well that their file size would pass for a small table.
 """
 
 from __future__ import annotations
@@ -16,65 +22,76 @@ from pyspark.sql import functions as F
 
 from evalframe.llm.common import components, discard, materialize
 
+Side = Callable[[str], Column]
+#: Leaders of a bucket in the first of the rounds.
+FIRST = 4
+
 
 def link_groups(
-    buckets: DataFrame,
+    keyed: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
-    second_leaders: bool = True,
-    every_leader: bool = False,
+    facts: Callable[[DataFrame], DataFrame] | None = None,
+    may_link: Callable[[Side, Side], Column] | None = None,
 ) -> DataFrame:
-    """(node, component) of the linked ids; buckets has t, id and what may_link reads of either side.
+    """(node, component) of the linked ids; keyed has t (bucket) and id (a long), each pair once.
 
-    verify takes distinct pairs (a, b) and returns those that link. may_link is a necessary
-    condition on both sides' columns. Ids without a link are missing from the result. The round of
-    second leaders only saves pairs in the last. With every_leader the first round takes two leaders of
-    each of an id's buckets instead of one leader an id: more and cheaper checks, fewer ids left over.
+    verify takes distinct pairs (a, b), a < b, and returns those that link. facts takes a table of
+    ids and returns what may_link, a necessary condition of a link, reads of either side. Ids
+    without a link are missing from the result; an empty table gives an empty one.
     """
-    buckets = materialize(buckets.distinct(), "buckets")
-    ends = buckets.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    # Stored, as are other aggregates by t, so that joins with them can split a hot bucket.
-    ends = materialize(ends, "leaders")
-    led = buckets.select("t", "id").join(ends, "t")
-    if every_leader:
-        # Both ends of each bucket: two pairs a row at most, which may_link thins before sets are read.
-        lead = F.explode(F.array("lo", "hi"))
-        led = led.select("id", lead.alias("lead")).where("id <> lead")
-        pairs = led.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    else:
-        pairs = led.where("id <> lo").groupBy("id").agg(F.min("lo").alias("a")).select("a", F.col("id").alias("b"))
-    links = materialize(verify(pairs), "links")
+    ends = keyed.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("_n"))
+    ends = materialize(ends.where("lo <> hi"), "buckets")
+    larger = ends.where("_n > 2").select("t", "lo", "_n")
+    rows = materialize(keyed.join(larger.hint("merge"), "t"), "rows")
+    shared = rows.where("id <> lo").groupBy("id", "lo").agg(F.count(F.lit(1)).alias("c"))
+    led = shared.groupBy("id").agg(F.max_by("lo", F.struct("c", "lo")).alias("lead"))
+    pairs = ends.where("_n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    pairs = pairs.unionByName(led.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")))
+    links = materialize(verify(pairs.distinct()), "links")
     comp = materialize(components(links), "components")
+    discard(links, ends)
 
-    if second_leaders:
-        rows = _unresolved(buckets, comp)
-        lead = rows.groupBy("t").agg(F.max_by(F.struct("id", "comp"), F.xxhash64("id", "t")).alias("lead"))
-        led = rows.select("t", "id", "comp").join(lead, "t").where("comp <> lead.comp")
-        pairs = led.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+    # A place in [0, 1) by hash; the rounds go through a bucket's ids in this order.
+    place = F.xxhash64("t", "id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    left = rows.select("t", "id", "_n").withColumn("_u", place)
+    done, step = 0, FIRST
+    while True:
+        stored = _open(left, comp)
+        discard(rows)
+        rows = stored
+        if rows.isEmpty():
+            discard(rows)
+            return comp
+        fresh = rows
+        if facts is not None:
+            fresh = rows.join(facts(rows.select("id").distinct()).hint("merge"), "id")
+            fresh = materialize(fresh, "rows")
+        leads = F.col("_u") * F.col("_n") < F.lit(float(done + step))
+        x, y = fresh.alias("x"), fresh.where(leads).hint("merge").alias("y")
+        on = (F.col("x.t") == F.col("y.t")) & (F.col("x._comp") != F.col("y._comp"))
+        # Two leaders meet once, by the order of their ids.
+        on &= (F.col("x._u") * F.col("x._n") >= F.lit(float(done + step))) | (F.col("x.id") > F.col("y.id"))
+        if may_link is not None:
+            on &= may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
+        pairs = x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         more = materialize(verify(pairs), "links")
-        discard(comp)
-        links = materialize(links.unionByName(more), "links")
-        comp = materialize(components(links), "components")
-
-    rows = materialize(_unresolved(buckets, comp), "rows")
-    main = rows.groupBy("t", "comp").count().groupBy("t").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    x = rows.join(main, "t").where("comp <> main").alias("x")
-    y = rows.join(main, "t").alias("y")
-    side = lambda s: lambda c: F.col(f"{s}.{c}")
-    on = (F.col("x.t") == F.col("y.t")) & (F.col("x.comp") != F.col("y.comp"))
-    on &= (F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    if may_link is not None:
-        on &= may_link(side("x"), side("y"))
-    pairs = x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = materialize(verify(pairs), "links")
-    discard(rows, comp, buckets)
-    return components(links.unionByName(more))
+        if not more.isEmpty():
+            both = more.select("a", "b").unionByName(comp.select(F.col("component").alias("a"), F.col("node").alias("b")))
+            merged = materialize(components(both), "components")
+            discard(comp)
+            comp = merged
+        discard(more, fresh if facts is not None else None)
+        done, step = done + step, step * 4
+        left = rows.where(F.col("_u") * F.col("_n") >= F.lit(float(done))).select("t", "id", "_n", "_u")
 
 
-def _unresolved(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows of the buckets that still hold ids of several components, with each id's component."""
-    named = comp.select(F.col("node").alias("id"), "component")
-    rows = buckets.join(named, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+def _open(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows of the buckets that still hold ids of several components, with each id's component; stored."""
+    named = comp.select(F.col("node").alias("id"), "component").hint("merge")
+    rows = rows.join(named, "id", "left").withColumn("_comp", F.coalesce("component", "id")).drop("component")
     rows = materialize(rows, "rows")
-    open_ = rows.groupBy("t").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("t")
-    return rows.join(materialize(open_, "open"), "t", "left_semi")
+    open_ = rows.groupBy("t").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo <> _hi").select("t")
+    open_ = materialize(open_, "open")
+    out = materialize(rows.join(open_.hint("merge"), "t", "left_semi"), "rows")
+    discard(rows, open_)
+    return out

@@ -15,8 +15,9 @@ hashes, and each is used on its own:
 Equal sets are one class from the start. Within buckets only as many pairs are made as are needed
 to settle the components (see linking). Edge cases: null or empty text has an empty set, which
 links with nothing; a text of fewer words than n is one n-gram; rows that repeat a key belong
-together; ties go to the smallest key; an empty table gives an empty result. Other columns are
-ignored.
+together, also with different texts; ties go to the smallest key; an empty table gives an empty
+result. Other columns are ignored, whatever their names. Equal sets are told by 128 bits, linked
+by 64.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.llm.batches import map_texts
-from evalframe.llm.common import discard, materialize, semi_join
+from evalframe.llm.common import components, discard, materialize, semi_join
 from evalframe.llm.linking import link_groups
 from evalframe.llm.token_hash import WordHashes, signed, windows
 
@@ -75,7 +76,7 @@ def _first_pass(docs: DataFrame, cfg: Settings, key: str, text: str) -> DataFram
 
 
 def _full_sets(docs: DataFrame, cfg: Settings, key: str, text: str) -> DataFrame:
-    """key, n, parity (256 bits in four longs: of each of 256 ranges, whether it holds an odd number), grams."""
+    """id (half of the set's digest), n, parity (256 bits in four longs: of each of 256 ranges, whether it holds an odd number), grams."""
     n = cfg.n
 
     def factory():
@@ -84,23 +85,25 @@ def _full_sets(docs: DataFrame, cfg: Settings, key: str, text: str) -> DataFrame
         def fn(texts):
             sets = [shingle_set((t or b"").lower().split(), n, hashes) for t in texts]
             odd = [np.packbits(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64) for s in sets]
-            return [pa.array([len(s) for s in sets], pa.int64()),
+            ids = [(xxhash.xxh3_128_intdigest(s.tobytes()) >> 64) - (1 << 63) for s in sets]
+            return [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     *(pa.array([int(o[k]) for o in odd], pa.int64()) for k in range(4)),
                     pa.array([signed(s) for s in sets], pa.list_(pa.int64()))]
 
         return fn
 
-    fields = "n bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, grams array<bigint>"
-    return map_texts(docs, factory, fields, [key], text)
+    fields = "id bigint, n bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, grams array<bigint>"
+    return map_texts(docs, factory, fields, [], text)
 
 
 def _candidates(docs: DataFrame, cfg: Settings, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All sets, the classes of equal ones with their representative, full sets of representatives that may link."""
+    """All sets, the classes of equal ones with their representative, full sets of classes that may link."""
     pct = cfg.threshold_pct
     # Differences that a link allows: on one side of n, and in both sets of together m.
     first = materialize(_first_pass(docs, cfg, key, text), "first")
-    sets = materialize(first.select(key, "n", "s1", "s2"), "sets")
-    classes = sets.where("n > 0").groupBy("s1", "s2").agg(F.min(key).alias("rep"), F.max("n").alias("n"))
+    sets = materialize(first.select(F.col(key).alias("key"), "n", "s1", "s2"), "sets")
+    classes = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("rep"), F.max("n").alias("n"))
+    classes = materialize(classes, "classes")
     low = int(cfg.first_fragment * 2**64)
     low = low if low < 2**63 else low - 2**64
     in_first = F.col("g").between(0, low - 1) if low >= 0 else (F.col("g") >= 0) | (F.col("g") < low)
@@ -108,13 +111,15 @@ def _candidates(docs: DataFrame, cfg: Settings, key: str, text: str) -> tuple[Da
     alone = grams.groupBy("g").agg(F.min("s1").alias("s1"), F.max("s1").alias("hi")).where("s1 = hi")
     alone = alone.groupBy("s1").agg(F.count(F.lit(1)).alias("all"), F.count_if(in_first).alias("low"))
     lone = F.coalesce(F.when(F.col("n") < cfg.small_set, F.col("all")).otherwise(F.col("low")), F.lit(0))
-    left = classes.join(alone, "s1", "left").where(lone * 100 <= F.col("n") * (100 - pct)).select(F.col("rep").alias(key))
-    left = materialize(left, "left")
+    left = classes.join(alone.hint("merge"), "s1", "left").where(lone * 100 <= F.col("n") * (100 - pct))
+    left = materialize(left.select(F.col("rep").alias(key)).distinct(), "left")
     discard(first)
 
     part = semi_join(docs.select(key, text), left, [key], left.count())
-    full = _full_sets(part, cfg, key, text).withColumnRenamed(key, "id").dropDuplicates(["id"])
-    return sets, classes, materialize(full, "full")
+    # A representative's key may stand on several texts; each is a set of its own.
+    full = materialize(_full_sets(part, cfg, key, text).dropDuplicates(["id"]), "full")
+    discard(left)
+    return sets, classes, full
 
 
 def near_duplicate_links(
@@ -127,14 +132,19 @@ def near_duplicate_links(
     is what is asked for here; near_duplicates makes only those that settle the components.
     """
     sets, classes, full = _candidates(docs, cfg, key, text)
-    buckets = materialize(_buckets(full, cfg.threshold_pct), "buckets")
+    buckets = materialize(_buckets(full, cfg.threshold_pct).join(full.drop("grams").hint("merge"), "id"), "buckets")
     side = lambda s: lambda c: F.col(f"{s}.{c}")
     on = (F.col("x.t") == F.col("y.t")) & (F.col("x.id") < F.col("y.id")) & _may_link(cfg.threshold_pct)(side("x"), side("y"))
-    pairs = buckets.alias("x").join(buckets.alias("y"), on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    links = materialize(_verified(pairs, full, cfg), "links")
-    discard(buckets, full)
-    named = sets.join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left")
-    return links, named.select(key, F.coalesce(F.when(F.col("n") > 0, F.col("rep")), key).alias("rep")).distinct()
+    pairs = buckets.alias("x").join(buckets.hint("merge").alias("y"), on)
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    found = materialize(_verified(pairs, full, cfg), "links")
+    rep = lambda c: classes.select(F.col("s1").alias(c), F.col("rep").alias(f"{c}_rep")).hint("merge")
+    links = found.join(rep("a"), "a").join(rep("b"), "b").where("a_rep <> b_rep")
+    links = links.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
+    links = materialize(links, "links")
+    discard(buckets, full, found)
+    named = sets.join(classes.select("s1", "s2", "rep").hint("merge"), ["s1", "s2"], "left")
+    return links, named.select(F.col("key").alias(key), F.coalesce(F.when(F.col("n") > 0, F.col("rep")), F.col("key")).alias("rep")).distinct()
 
 
 def near_duplicates(
@@ -143,26 +153,38 @@ def near_duplicates(
     """One row per document: key, n_shingles, component_id (smallest key reachable by links)."""
     pct = cfg.threshold_pct
     sets, classes, full = _candidates(docs, cfg, key, text)
-    comp = link_groups(_buckets(full, pct), lambda pairs: _verified(pairs, full, cfg), _may_link(pct))
-    comp = comp.select(F.col("node").alias("rep"), "component")
-    named = classes.join(comp, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = sets.join(named, ["s1", "s2"], "left")
-    return out.select(
-        key, F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), key).alias("component_id")
+    keyed = materialize(_buckets(full, pct), "keyed")
+    facts = full.drop("grams")
+    comp = link_groups(
+        keyed, lambda pairs: _verified(pairs, full, cfg), lambda ids: facts.join(ids.hint("merge"), "id", "left_semi"), _may_link(pct)
     )
+    discard(keyed, full)
+    # A key on several texts holds their classes together.
+    several = sets.where("n > 0").groupBy("key").agg(F.min("s1").alias("a"), F.max("s1").alias("b"), F.count(F.lit(1)).alias("c"))
+    several = materialize(several.where("a <> b").select("key", "a"), "several")
+    if not several.isEmpty():
+        held = sets.where("n > 0").join(several.hint("merge"), "key").where("s1 <> a").select("a", F.col("s1").alias("b"))
+        comp = materialize(components(held.unionByName(comp.select(F.col("component").alias("a"), F.col("node").alias("b")))), "components")
+    linked = classes.join(comp.withColumnRenamed("node", "s1").hint("merge"), "s1")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = linked.select("s1", "s2", "component").join(materialize(least, "least").hint("merge"), "component").drop("component")
+    named = classes.select("s1", "s2", "rep").join(linked.hint("merge"), ["s1", "s2"], "left")
+    named = named.select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
+    out = sets.join(materialize(named, "named").hint("merge"), ["s1", "s2"], "left")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
 def _buckets(full: DataFrame, pct: int) -> DataFrame:
-    """t, id, n, parity: a set's places in the rare-first order that a partner must share one of."""
+    """t, id: a set's places in the rare-first order that a partner must share one of."""
     grams = full.select("id", "n", F.explode("grams").alias("t"))
     known = grams.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # Stored, so that the join with it can split a hot n-gram.
     known = materialize(known, "shared")
-    ranked = grams.join(known, "t").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("r"))
+    ranked = grams.join(known.hint("merge"), "t").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("r"))
     # Places of the prefix, less those that unshared n-grams fill.
     places = F.floor(F.col("n") * (100 - pct) / 100) + 1 - (F.col("n") - F.size("r"))
     rows = ranked.where(places > 0).select("id", F.explode(F.slice("r", F.lit(1), places.cast("int"))).alias("x"))
-    return rows.select(F.col("x.t").alias("t"), "id").join(full.drop("grams"), "id")
+    return rows.select(F.col("x.t").alias("t"), "id")
 
 
 def _may_link(pct: int):
@@ -182,7 +204,7 @@ def _verified(pairs: DataFrame, full: DataFrame, cfg: Settings) -> DataFrame:
     sides = full.drop("grams")
     x = sides.select([F.col(c).alias(f"x_{c}") for c in sides.columns])
     y = sides.select([F.col(c).alias(f"y_{c}") for c in sides.columns])
-    near = pairs.join(x, F.col("a") == F.col("x_id")).join(y, F.col("b") == F.col("y_id"))
+    near = pairs.join(x.hint("merge"), F.col("a") == F.col("x_id")).join(y.hint("merge"), F.col("b") == F.col("y_id"))
     near = near.where(_may_link(pct)(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}")))
     near = materialize(near.select("a", "b", (F.col("x_n") + F.col("y_n")).alias("m")), "pairs")
     # Fragment of a hash: its top bits, as k equal ranges of the unsigned order.
@@ -197,9 +219,9 @@ def _verified(pairs: DataFrame, full: DataFrame, cfg: Settings) -> DataFrame:
         ).alias("s"),
     ).select("id", "s.f", "s.part")
     asked = near.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("f"))
-    one = asked.join(cut.select(F.col("id").alias("a"), "f", F.col("part").alias("pa")), ["a", "f"])
-    two = one.join(cut.select(F.col("id").alias("b"), "f", F.col("part").alias("pb")), ["b", "f"])
+    one = asked.join(cut.select(F.col("id").alias("a"), "f", F.col("part").alias("pa")).hint("merge"), ["a", "f"])
+    two = one.join(cut.select(F.col("id").alias("b"), "f", F.col("part").alias("pb")).hint("merge"), ["b", "f"])
     partial = two.select("a", "b", F.size(F.array_intersect("pa", "pb")).alias("c"))
     both = partial.groupBy("a", "b").agg(F.sum("c").alias("c"))
     # c / (m - c) >= pct / 100
-    return both.join(near, ["a", "b"]).where(F.col("c") * (100 + pct) >= F.col("m") * pct).select("a", "b")
+    return both.join(near.hint("merge"), ["a", "b"]).where(F.col("c") * (100 + pct) >= F.col("m") * pct).select("a", "b")

@@ -65,7 +65,7 @@ def case():
 def test_every_position_equals_brute_force(spark):
     docs = case()
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in ld.dedup_lines(df.repartition(3), ld.WHOLE).collect()}
+    got = {r.doc_id: r.text for r in ld.dedup_lines(df.repartition(3)).collect()}
     want = brute(docs)
     assert got == want
     left = "\n".join(got.values())
