@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evalframe.functions import text as tx
+from evalframe.functions.geometry import MAX_EDGE
 
 
 def prompt(question: Column, kind: Column, options: Column | None = None, own: Column | None = None) -> Column:
@@ -57,9 +58,32 @@ def lenient_point(x: Column) -> Column:
     return F.when(b.isNotNull(), of_box).when(p.isNotNull(), F.struct(F.lit("point").alias("kind"), p[0].alias("x"), p[1].alias("y")))
 
 
-def to_unit(v: Column, size: Column) -> Column:
-    """A coordinate that may be in pixels: divided by the delivered size if it passes 1."""
-    return F.when(F.abs(v) > 1, v / size).otherwise(v)
+#: The protocol's answer formats, strict, and with signs, spaces and single brackets allowed.
+_PLAIN, _LOOSE = r"(\d+\.\d+|\d+)", r"\s*([-+]?\d*\.?\d+)\s*"
+
+
+def official_answer(response: Column) -> Column:
+    """(strict, values) of a response: whether it holds a box or point as asked for, and the first box, or else point,
+    that it holds in any form; null values if none."""
+    strict, loose = (lambda n: r"\[\[" + ",".join([_PLAIN] * n) + r"\]\]"), (lambda n: r"\[?\[" + ",".join([_LOOSE] * n) + r"\]\]?")
+    read = lambda n: F.when(response.rlike(loose(n)), F.array(*(F.regexp_extract(response, loose(n), k + 1).try_cast("double") for k in range(n))))
+    told = F.coalesce(response.rlike(strict(4)) | response.rlike(strict(2)), F.lit(False))
+    return F.struct(told.alias("strict"), F.coalesce(read(4), read(2)).alias("values"))
+
+
+def panel_steps(question: Column) -> Column:
+    """Rows and columns from the first panel to the one that a question names by both; null if it names none so."""
+    row, column = (F.regexp_extract(question, r"^For the subplot at row (\d+) and column (\d+)", k).try_cast("int") for k in (1, 2))
+    return row - 1 + column - 1
+
+
+def to_unit(values: Column, width: Column, height: Column, max_edge: int = MAX_EDGE) -> Column:
+    """(values, violated) of a point or box: if any value passes 1, all are pixels and divided by the size that was
+    delivered, the sent one with its longer edge capped."""
+    shrink = F.least(F.lit(1.0), max_edge / F.greatest(width, height))
+    beyond = F.coalesce(F.exists(values, lambda v: F.abs(v) > 1), F.lit(False))
+    scaled = F.transform(values, lambda v, i: v / (F.when(i % 2 == 0, width).otherwise(height) * shrink))
+    return F.struct(F.when(beyond, scaled).otherwise(values).alias("values"), beyond.alias("violated"))
 
 
 def verdict(error: Column, point: Column, hit: Column) -> Column:
@@ -82,18 +106,22 @@ def expression_value(x: Column) -> Column:
     return F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).when(op == "/", F.try_divide(a, b))
 
 
-def arithmetic_slip(expression: Column, gold: Column, pred: Column, page_numbers: Column, tol: float = 1e-6) -> Column:
-    """Why a computed answer is off: right, another operation on the operands, another operand from the page, or unparsed."""
-    a, op, b = (F.regexp_extract(expression, _EXPRESSION, k) for k in (1, 2, 3))
-    a, b = a.try_cast("double"), b.try_cast("double")
-    near = lambda u, v: F.coalesce(F.abs(u - v) <= tol * F.greatest(F.lit(1.0), F.abs(v)), F.lit(False))
-    others = F.array(a + b, a - b, b - a, a * b, F.try_divide(a, b), F.try_divide(b, a))
-    run = lambda u, v: F.when(op == "+", u + v).when(op == "-", u - v).when(op == "*", u * v).otherwise(F.try_divide(u, v))
-    swapped = F.exists(page_numbers, lambda n: near(pred, run(n, b)) | near(pred, run(a, n)))
+def trace_numbers(x: Column) -> Column:
+    """Numbers that a trace mentions, without signs."""
+    found = F.regexp_extract_all(F.regexp_replace(F.coalesce(x, F.lit("")), ",", ""), F.lit(r"\d+\.?\d*"), F.lit(0))
+    return F.transform(found, lambda n: n.try_cast("double"))
+
+
+def arithmetic_slip(right: Column, equivalent: Column, expression: Column, trace: Column) -> Column:
+    """Why a computed answer is off: exact, format_only, unparsed_expr, or by whether the trace names both
+    operands (to half a hundredth) wrong_operation, else wrong_operand."""
+    e = F.trim(F.regexp_replace(F.coalesce(expression, F.lit("")), ",", ""))
+    pattern = r"^([\d.]+)\s*[-+*/]\s*([\d.]+)$"
+    a, b = (F.regexp_extract(e, pattern, k).try_cast("double") for k in (1, 2))
+    seen = lambda v: F.exists(trace_numbers(trace), lambda n: F.abs(n - v) < 0.005)
     return (
-        F.when(a.isNull() | b.isNull() | pred.isNull(), "unparsed").when(near(pred, gold), "exact")
-        .when(F.exists(others, lambda o: near(pred, o)), "wrong_operation").when(F.coalesce(swapped, F.lit(False)), "wrong_operand")
-        .otherwise("other")
+        F.when(right, "exact").when(equivalent, "format_only").when(a.isNull() | b.isNull(), "unparsed_expr")
+        .when(seen(a) & seen(b), "wrong_operation").otherwise("wrong_operand")
     )
 
 
@@ -105,22 +133,3 @@ def bucket(value: Column, edges: list[float], labels: list[str]) -> Column:
     for edge, label in zip(reversed(edges), reversed(labels[:-1])):
         out = F.when(value < edge, label).otherwise(out)
     return F.when(value.isNotNull(), out)
-
-
-#: Widths, heights and other units that a slide's number may carry.
-UNITS = ("percent", "%", "million", "billion", "thousand", "dollars", "usd", "$")
-
-
-def slide_equivalent(pred: Column, gold: Column) -> Column:
-    """Equal numbers once units are taken off, or texts of which one holds the other as whole words of four letters or more."""
-    off = r"(?i)(" + "|".join(u.replace("$", r"\$") for u in UNITS) + ")"
-    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), off, ""), ",", ""))
-    p, g = clean(pred), clean(gold)
-    pn, gn = tx.as_float(p), tx.as_float(g)
-    short = F.when(F.length(p) <= F.length(g), p).otherwise(g)
-    long = F.when(F.length(p) <= F.length(g), g).otherwise(p)
-    held = (F.length(short) >= 4) & F.concat(F.lit(" "), long, F.lit(" ")).contains(F.concat(F.lit(" "), short, F.lit(" ")))
-    both = pn.isNotNull() & gn.isNotNull()
-    return F.when(both, F.abs(pn - gn) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(gn))).when(pn.isNotNull() | gn.isNotNull(), F.lit(False)).otherwise(
-        (p == g) | held
-    )

@@ -100,15 +100,19 @@ def says_not_applicable(x: Column) -> Column:
     return F.rtrim(F.lower(strip(x)), F.lit(".")).isin(*NOT_APPLICABLE)
 
 
+def bare(x: Column) -> Column:
+    """Lower case, single spaces, without spaces and full stops at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(strip(x)), _WS, " "), r"^[ .]+|[ .]+$", "")
+
+
 def list_items(x: Column) -> Column:
-    """Items split at the first of comma, semicolon or line feed that occurs; normalised, blanks left out."""
-    t = F.coalesce(x, F.lit(""))
+    """Items split at the first of comma, semicolon or line feed that occurs; bare, blanks left out."""
+    t = strip(F.coalesce(x, F.lit("")))
     parts = (
         F.when(t.contains(","), F.split(t, ",")).when(t.contains(";"), F.split(t, ";")).when(t.contains("\n"), F.split(t, "\n"))
         .otherwise(F.array(t))
     )
-    norm = F.transform(parts, lambda i: F.regexp_replace(F.lower(strip(i)), _WS, " "))
-    return F.array_remove(norm, "")
+    return F.array_remove(F.transform(parts, bare), "")
 
 
 def numbers_in(x: Column) -> Column:
@@ -117,55 +121,136 @@ def numbers_in(x: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda n: n.try_cast("double"))))
 
 
+#: Fixed value: words that an answer may carry beside its value.
+UNIT_WORDS = r"(?Ui)\b(million|billion|thousand|percent|pct|usd|dollars?|people|users?|countries|cases|years?|days?|m|bn|k)\b"
+
+
 def failure_mode(pred: Column, golds: Column) -> Column:
-    """How an answer differs from the golds, list structure first; the first gold that explains it decides."""
-    p = list_items(pred)
+    """How a wrong answer differs from the golds.
+
+    Lists come first, over all golds: an answer and a gold of which either has two items or more are
+    compared as sets, then in order. Only then the surface: the same bare text, the same numbers, or
+    the same text without unit words.
+    """
+    p = F.coalesce(pred, F.lit(""))
+    mine = list_items(p)
+
+    def listed(g: Column) -> Column:
+        items = list_items(g)
+        extra, missing = F.size(F.array_except(mine, items)), F.size(F.array_except(items, mine))
+        return (
+            F.when(((F.size(items) < 2) & (F.size(mine) < 2)) | (F.size(items) == 0), None)
+            .when((extra == 0) & (missing == 0), F.when(items == mine, "format_only").otherwise("order_only"))
+            .when(missing == 0, "extra_items").when(extra == 0, "missing_items")
+            .when(F.size(F.array_intersect(mine, items)) > 0, "partial_overlap")
+        )
+
+    digits = lambda x: F.regexp_extract_all(F.regexp_replace(x, ",", ""), F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0))
+    unitless = lambda x: bare(F.regexp_replace(F.regexp_replace(x, "[%$]", ""), UNIT_WORDS, ""))
+
+    def same_value(g: Column) -> Column:
+        numbers = (F.size(digits(g)) > 0) & (digits(g) == digits(p))
+        return (bare(g) == bare(p)) | numbers | ((unitless(g) != "") & (unitless(g) == unitless(p)))
+
+    modes = F.array_compact(F.transform(golds, listed))
+    surface = F.when(F.coalesce(F.exists(golds, same_value), F.lit(False)), "format_only").otherwise("unclassified")
+    return F.coalesce(F.get(modes, F.lit(0)), surface)
+
+
+#: Scale words and their factors; the first rule below does not know the single b.
+SCALES = {
+    "k": 1e3, "thousand": 1e3, "thousands": 1e3, "m": 1e6, "mn": 1e6, "million": 1e6, "millions": 1e6,
+    "bn": 1e9, "b": 1e9, "billion": 1e9, "billions": 1e9, "tn": 1e12, "trillion": 1e12,
+}
+
+
+def _either(pred: Column, golds: Column, read, same) -> Column:
+    """Whether some gold equals pred: by same where both can be read as numbers, else as letters and digits."""
+    p = read(pred)
 
     def one(g: Column) -> Column:
-        q = list_items(g)
-        many = (F.size(q) > 1) & (F.size(p) > 0)
-        ps, qs = F.array_distinct(p), F.array_distinct(q)
-        extra, missing = F.size(F.array_except(ps, qs)), F.size(F.array_except(qs, ps))
-        bare = lambda x: F.regexp_replace(F.lower(x), r"[\s,;]+", "")
-        num = lambda x: numbers_in(x)
-        unit = F.regexp_replace(F.regexp_replace(F.lower(pred), r"[a-z%$\s]", ""), ",", "")
-        unit_g = F.regexp_replace(F.regexp_replace(F.lower(g), r"[a-z%$\s]", ""), ",", "")
-        listed = (
-            F.when((p != q) & (extra == 0) & (missing == 0), "order_only").when((extra > 0) & (missing == 0), "extra_items")
-            .when((extra == 0) & (missing > 0), "missing_items").when(F.size(F.array_intersect(ps, qs)) > 0, "partial_overlap")
-        )
-        surface = F.when(
-            (bare(pred) == bare(g)) | ((F.size(num(g)) > 0) & (num(pred) == num(g)) & (unit == unit_g) & (unit != "")), "format_only"
-        )
-        return F.when(many & (p == q), F.lit("format_only")).when(many, F.coalesce(listed, surface)).otherwise(surface)
+        v = read(g)
+        return F.when(p.isNotNull() & v.isNotNull(), same(v, p)).otherwise((fold(pred) == fold(g)) & (fold(pred) != ""))
+
+    return F.coalesce(F.exists(golds, one), F.lit(False))
 
-    modes = F.filter(F.transform(golds, one), lambda m: m.isNotNull())
-    return F.coalesce(F.get(modes, F.lit(0)), F.lit("unclassified"))
 
+def report_number(x: Column) -> Column:
+    """A number with a scale word anywhere applied, the longest that occurs; words of letters after it are ignored."""
+    t = F.regexp_replace(F.lower(strip(x)), "[,$€£%]", "")
+    left, factor = t, F.lit(1.0)
+    for word in sorted((w for w in SCALES if w != "b"), key=len):
+        held = rf"(?U)(?<![a-z]){word}\b"
+        left = F.when(t.rlike(held), F.regexp_replace(t, held, "")).otherwise(left)
+        factor = F.when(t.rlike(held), F.lit(SCALES[word])).otherwise(factor)
+    number = F.regexp_extract(left, r"^\s*(-?\d+\.?\d*)\s*[a-z]*\s*$", 1)
+    return number.try_cast("double") * factor
 
-#: Scale words and their factors.
-SCALES = (("thousand", 1e3), ("million", 1e6), ("billion", 1e9), ("trillion", 1e12))
 
+def format_equivalent(pred: Column, golds: Column) -> Column:
+    """The report's rule: numbers are compared exactly."""
+    return _either(pred, golds, report_number, lambda v, p: v == p)
 
-def scaled_number(x: Column) -> Column:
-    """A number with an optional scale word applied; null for anything else."""
-    t = F.regexp_replace(F.lower(strip(x)), "[,$% ]", "")
-    bare = F.regexp_replace(t, "(" + "|".join(w for w, _ in SCALES) + ")$", "")
-    factor = F.lit(1.0)
-    for word, by in SCALES:
-        factor = F.when(t.endswith(word), F.lit(by)).otherwise(factor)
-    return F.when(bare.rlike(_NUMBER), bare.try_cast("double") * factor)
 
+def readings(x: Column) -> Column:
+    """The numbers that a text of one number may mean, bare and with its scale word applied; null for anything else."""
+    t = F.regexp_replace(F.regexp_replace(F.translate(strip(x), "−", "-"), "[$€£]", ""), _WS, " ")
+    pattern = r"^\s*([+-]?)\s*(\d{1,3}(?:,\d{3})+|\d+(?:\.\d+)?|\.\d+)\s*%?\s*([a-zA-Z]*)\s*$"
+    sign, number, word = (F.regexp_extract(t, pattern, k) for k in (1, 2, 3))
+    v = F.regexp_replace(number, ",", "").try_cast("double") * F.when(sign == "-", -1.0).otherwise(1.0)
+    factor = F.create_map(*(c for w, by in SCALES.items() for c in (F.lit(w), F.lit(by))))[F.lower(word)]
+    return F.when(v.isNotNull() & (word == ""), F.array(v)).when(v.isNotNull() & factor.isNotNull(), F.array(v, v * factor))
 
-def format_equivalent(pred: Column, golds: Column, rel: float = 1e-9) -> Column:
-    """Equal as scaled numbers or, unless both are numbers, as letters and digits."""
-    p = scaled_number(pred)
+
+def cause_equivalent(pred: Column, golds: Column) -> Column:
+    """The causes' rule: some reading of one equals some reading of the other, but for rounding of the ninth digit."""
+    close = lambda a, b: (a == b) | ((a != 0) & (F.abs(a - b) <= 1e-9 * F.abs(a)))
+    return _either(pred, golds, readings, lambda gs, ps: F.exists(gs, lambda a: F.exists(ps, lambda b: close(a, b))))
+
+
+def drill_number(x: Column) -> Column:
+    """A number with a known scale word at its end applied; null with any other word."""
+    t = F.regexp_replace(F.lower(strip(x)), "[,$€£% ]", "")
+    pattern = r"^([+-]?\d*\.?\d+)\s*([a-z]*)$"
+    number, word = F.regexp_extract(t, pattern, 1).try_cast("double"), F.regexp_extract(t, pattern, 2)
+    factor = F.create_map(*(c for w, by in SCALES.items() for c in (F.lit(w), F.lit(by))))[word]
+    return number * F.when(word == "", 1.0).otherwise(factor)
+
+
+def drill_equivalent(pred: Column, golds: Column) -> Column:
+    """The drill-down's rule: numbers may differ by 1e-9 of the larger, or by 1e-12."""
+    close = lambda a, b: F.abs(a - b) <= F.greatest(1e-9 * F.greatest(F.abs(a), F.abs(b)), F.lit(1e-12))
+    return _either(pred, golds, drill_number, close)
+
+
+#: Fixed value: units that a slide's number may carry, as whole words.
+SLIDE_UNITS = (
+    r"(?U)\b(bn|billion|billions|million|millions|mn|thousand|k|usd|dollars?|euros?|eur|gbp|percent|pct|tonnes?|tons?|units?"
+    r"|people|users?|trillion|crores?|lakhs?|percentage\s*points?|points?|pts?)\b"
+)
+
+
+def slide_text(x: Column) -> Column:
+    """Lower case without commas, currency signs, units and other signs, single spaces."""
+    t = F.regexp_replace(F.regexp_replace(F.lower(strip(x)), "[,$€£%]", ""), SLIDE_UNITS, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?U)[^\w\s.+\-]", " "), _WS, " "))
+
+
+def slide_equivalent(pred: Column, golds: Column) -> Column:
+    """The slides' rule: equal slide texts or numbers, or texts of which one, of four letters or more, is whole words of the other."""
+    p = slide_text(pred)
+    number = lambda t: F.when(t.rlike(r"^[+\-]?\d*\.?\d+$"), t.try_cast("double"))
 
     def one(g: Column) -> Column:
-        v = scaled_number(g)
-        return F.when(p.isNotNull() & v.isNotNull(), F.abs(p - v) <= rel * F.greatest(F.abs(p), F.abs(v))).otherwise(
-            (fold(pred) == fold(g)) & (fold(pred) != "")
-        )
+        t = slide_text(g)
+        short, long = F.when(F.length(p) < F.length(t), p).otherwise(t), F.when(F.length(p) < F.length(t), t).otherwise(p)
+        held = F.regexp_like(long, F.concat(F.lit(r"(?U)(?<!\w)\Q"), short, F.lit(r"\E(?!\w)")))
+        a, b = number(p), number(t)
+        return (
+            F.when((p == "") | (t == ""), False).when(p == t, True)
+            .when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(b)))
+            .when(a.isNotNull() | b.isNotNull(), False).otherwise((F.length(short) >= 4) & held)
+        )
 
     return F.coalesce(F.exists(golds, one), F.lit(False))
 
@@ -192,8 +277,18 @@ def coordinates(x: Column, n: int) -> Column:
     return F.when(x.rlike(pattern), parts)
 
 
+#: Ordinals from 1 on.
+ORDINALS = (
+    "first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth", "thirteenth",
+    "fourteenth", "fifteenth", "sixteenth", "seventeenth", "eighteenth", "nineteenth", "twentieth",
+)
+
+
 def cited_pages(x: Column, most: int = 20) -> Column:
-    """Sorted distinct page numbers mentioned after 'slide' or 'page' within range."""
-    found = F.regexp_extract_all(F.lower(x), F.lit(r"(?:slide|page)s?\s+(\d+)"), F.lit(1))
-    pages = F.filter(F.transform(found, lambda n: n.try_cast("int")), lambda n: n.between(1, most))
-    return F.array_sort(F.array_distinct(pages))
+    """Sorted distinct pages that a text names: slide, page or image with a number up to most, or an ordinal before it."""
+    t = F.lower(F.coalesce(x, F.lit("")))
+    numbers = F.regexp_extract_all(t, F.lit(r"\b(?:slide|page|image)\s*#?\s*(\d{1,2})\b"), F.lit(1))
+    named = F.regexp_extract_all(t, F.lit(r"\b(" + "|".join(ORDINALS) + r")\s+(?:slide|page|image)\b"), F.lit(1))
+    place = F.create_map(*(c for i, w in enumerate(ORDINALS) for c in (F.lit(w), F.lit(i + 1))))
+    pages = F.filter(F.transform(numbers, lambda n: n.cast("int")), lambda n: n.between(1, most))
+    return F.array_sort(F.array_distinct(F.concat(pages, F.transform(named, lambda w: place[w]))))

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalframe.functions import answers as an
 from evalframe.functions import geometry as geo
 from evalframe.functions import stats
+from evalframe.operators import windows
 
 SUPPRESS_BELOW = 30
 
@@ -48,10 +50,19 @@ def pivot_matrix(df: DataFrame, row: str, col: str, score: str = "score") -> Dat
 
 def signed_errors(df: DataFrame, by: list[str], pred: str, truth: str) -> DataFrame:
     d = F.col(pred) - F.col(truth)
-    return df.groupBy(*by).agg(
+    out = df.groupBy(*by).agg(
         F.avg(d).alias("mean_signed"), F.avg(F.when(d != 0, d)).alias("mean_signed_when_wrong"),
-        F.median(F.abs(d)).alias("median_abs"), F.count_if(d < 0).alias("under"), F.count_if(d > 0).alias("over"),
+        F.count_if(d < 0).alias("under"), F.count_if(d > 0).alias("over"),
     )
+    middle = windows.percentiles(df.withColumn("_d", F.abs(d)), by, "_d", median_abs=("median", 0)).drop("n")
+    return _beside(out, middle, by).select(*by, "mean_signed", "mean_signed_when_wrong", "median_abs", "under", "over")
+
+
+def _beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """a with the columns of b for the same groups; a group may be null."""
+    names = {c: f"_{c}" for c in by}
+    on = reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()))
+    return a.join(b.withColumnsRenamed(names), on, "left").drop(*names.values())
 
 
 def with_empty_bins(cells: DataFrame, bins: list[str], name: str) -> DataFrame:
@@ -63,8 +74,9 @@ def with_empty_bins(cells: DataFrame, bins: list[str], name: str) -> DataFrame:
 def top_with_rest(df: DataFrame, category: str, k: int, other: str = "other") -> DataFrame:
     """Counts of the k most frequent categories and of all others together."""
     counts = df.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("_r", F.row_number().over(W.orderBy(F.desc("n"), F.asc(category))))
-    name = F.when(F.col("_r") <= k, F.col(category)).otherwise(other)
+    top = counts.orderBy(F.desc("n"), F.asc(category)).limit(k).select(F.col(category).alias("_top"), F.lit(True).alias("_is"))
+    ranked = counts.join(F.broadcast(top), F.col(category).eqNullSafe(F.col("_top")), "left")
+    name = F.when(F.col("_is"), F.col(category)).otherwise(other)
     return ranked.groupBy(name.alias(category)).agg(F.sum("n").alias("n"))
 
 
@@ -90,10 +102,42 @@ def miss_summary(df: DataFrame, by: list[str], x: str, y: str, box: str) -> Data
     d = geo.to_box(F.col(x), F.col(y), b)
     misses = df.where(~geo.in_box(F.col(x), F.col(y), b)).withColumn("_d", d).withColumn("_b", geo.miss_band(d))
     out = misses.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_miss"), F.median("_d").alias("median_d"), F.sort_array(F.collect_list("_d")).alias("_s"),
-        *(F.count_if(F.col("_b") == name).alias(name) for name in ("near", "moderate", "wrong_region")),
-    )
-    return out.withColumn("p90_d", stats.exclusive_percentile(F.col("_s"), 90)).drop("_s")
+        F.count(F.lit(1)).alias("n_miss"), *(F.count_if(F.col("_b") == name).alias(name) for name in ("near", "moderate", "wrong_region"))
+    )
+    cuts = windows.percentiles(misses, by, "_d", median_d=("median", 0), p90_d=("exclusive", 90)).drop("n")
+    return _beside(out, cuts, by)
+
+
+def judged_clicks(df: DataFrame, response: str, box: str, width: str, height: str) -> DataFrame:
+    """df plus strict, parsed, followed (all values within 0 and 1, as asked) and hit (a box counts by its centre)."""
+    told = an.official_answer(F.col(response))
+    rows = df.withColumn("_t", told).withColumn("_v", F.col("_t.values"))
+    unit = an.to_unit(F.col("_v"), F.col(width), F.col(height))["values"]
+    at = lambda k: F.when(F.size(unit) == 4, (unit[k] + F.get(unit, F.lit(k + 2))) / 2).otherwise(unit[k])
+    hit = F.coalesce(geo.in_box(at(0), at(1), F.col(box)), F.lit(False))
+    followed = F.coalesce(F.forall("_v", lambda v: F.abs(v) <= 1), F.lit(False))
+    return rows.select(
+        *df.columns, F.col("_t.strict").alias("strict"), F.col("_v").isNotNull().alias("parsed"), followed.alias("followed"), hit.alias("hit")
+    )
+
+
+def funnel(judged: DataFrame) -> DataFrame:
+    """Of all responses, how many could be read, matched the format, kept to the range and hit."""
+    return judged.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(c) for c in ("parsed", "strict", "followed", "hit")))
+
+
+def independence(judged: DataFrame) -> DataFrame:
+    """Hit rates of what could be read, by whether it kept to the range."""
+    return judged.where("parsed").groupBy("followed").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("double")).alias("rate"))
+
+
+def frame_audit(df: DataFrame, by: list[str], x: str, y: str, sent: tuple[str, str], delivered: tuple[str, str]) -> DataFrame:
+    """Of points quoted in a sent image's pixels, how many lie outside the delivered one; and the rescaling, by groups."""
+    outside = (F.col(x) > F.col(delivered[0])) | (F.col(y) > F.col(delivered[1]))
+    out = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(outside).alias("outside"), F.min(F.col(delivered[0]) / F.col(sent[0])).alias("rescale")
+    )
+    return out.withColumn("frac", F.try_divide("outside", "n"))
 
 
 def reweighted_rate(df: DataFrame, stratum: str, bad: Column, population: DataFrame) -> DataFrame:
@@ -129,8 +173,13 @@ def mantel_haenszel(df: DataFrame, stratum: list[str], exposed: Column, hit: Col
     )
 
 
-def paired(a: DataFrame, b: DataFrame, key: list[str], hit: str = "hit") -> DataFrame:
-    """Paired outcomes of two conditions: n, both, only_a, only_b, neither, chi2, significant."""
+def paired(a: DataFrame, b: DataFrame, key: list[str], hit: str = "hit", order: str | None = None) -> DataFrame:
+    """Paired outcomes of two conditions: n, both, only_a, only_b, neither, chi2, significant.
+
+    Of rows that repeat a key in a condition the last by `order` counts; without an order keys must not repeat.
+    """
+    if order is not None:
+        a, b = (d.groupBy(*key).agg(F.max_by(hit, order).alias(hit)) for d in (a, b))
     x = a.select(*(F.col(k).alias(f"_{k}") for k in key), F.col(hit).alias("_a"))
     y = b.select(*key, F.col(hit).alias("_b"))
     # Keys may be null and then match each other.

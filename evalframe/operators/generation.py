@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalframe.functions import geometry as geo
+from evalframe.functions import text as tx
 from evalframe.functions.geometry import MAX_EDGE, MAX_PIXELS
 from evalframe.operators import windows
 
@@ -97,26 +100,76 @@ def pick_spread(df: DataFrame, axes: list[str], key: str, seed: int) -> DataFram
     return rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(choose, df.schema)
 
 
+def arms(points: DataFrame, box: str, question: str, wordings: dict[str, str], box_wording: str) -> DataFrame:
+    """points plus arm, answer_type, ask (the text to send), gold_box and gold_text, a row for each arm that a point can be asked in.
+
+    repeat: as it is; quadrant_mc: which quarter, as a choice of four; crop: the half-size window around
+    the target, moved into the image, with the box remapped (a target that straddles its edge has no
+    such row); bbox: the box is asked for; and one arm for each wording, put before the question.
+    """
+    b, q = F.col(box), F.col(question)
+    cx, cy = (b["x0"] + b["x1"]) / 2, (b["y0"] + b["y1"]) / 2
+    corner = lambda c: F.least(F.greatest(c - 0.25, F.lit(0.0)), F.lit(0.5))
+    cropped = geo.crop_remap(b, geo.box(corner(cx), corner(cy), corner(cx) + 0.5, corner(cy) + 0.5))
+    quarter = F.concat(F.lit("Which quarter of the image contains "), q, F.lit("?"))
+    letter = geo.quadrant(cx, cy)
+
+    def row(arm: str, kind: str, ask: Column, gold: Column | None = None, text: Column | None = None) -> Column:
+        none = F.lit(None)
+        return F.struct(
+            F.lit(arm).alias("arm"), F.lit(kind).alias("answer_type"), ask.alias("ask"), (none if gold is None else gold).alias("gold_box"),
+            (none if text is None else text).cast("string").alias("gold_text"),
+        )
+
+    rows = [row("repeat", "point", q, b), row("quadrant_mc", "choice", quarter, text=letter), row("crop", "point", q, cropped)]
+    rows += [row("bbox", "bbox", F.concat(F.lit(box_wording), q), b)]
+    rows += [row(name, "point", F.concat(F.lit(words), q), b) for name, words in wordings.items()]
+    made = points.select(*points.columns, F.inline(F.array(*rows)))
+    return made.where((F.col("arm") != "crop") | F.col("gold_box").isNotNull())
+
+
 def training_records(df: DataFrame, prompt: Column, completion: Column, key: str = "uid", **nested: Column) -> DataFrame:
     """key and one nested JSON record per row."""
     parts = [prompt.alias("prompt"), completion.alias("completion"), *(v.alias(k) for k, v in nested.items())]
     return df.select(key, F.to_json(F.struct(*parts)).alias("record"))
 
 
-def operand_search(numbers: Column, ops: Column, pred: Column, pool: Column, tol: float = 1e-6) -> Column:
-    """How a left-to-right calculation must change to give pred: nothing, one operator, two operands swapped, or one operand from the pool."""
-
-    def run(ns: Column, os: Column) -> Column:
-        step = lambda acc, i: (
-            F.when(F.get(os, i) == "+", acc + F.get(ns, i + 1)).when(F.get(os, i) == "-", acc - F.get(ns, i + 1))
-            .when(F.get(os, i) == "*", acc * F.get(ns, i + 1)).otherwise(F.try_divide(acc, F.get(ns, i + 1)))
-        )
-        return F.aggregate(F.sequence(F.lit(0), F.size(os) - 1), F.get(ns, F.lit(0)), step)
-
-    near = lambda v: F.coalesce(F.abs(v - pred) <= tol * F.greatest(F.lit(1.0), F.abs(pred)), F.lit(False))
-    put = lambda a, i, v: F.transform(a, lambda x, k: F.when(k == i, v).otherwise(x))
-    at = lambda a: F.sequence(F.lit(0), F.size(a) - 1)
-    other_op = F.exists(at(ops), lambda i: F.exists(F.array(*map(F.lit, "+-*/")), lambda o: near(run(numbers, put(ops, i, o)))))
-    swap = F.exists(at(ops), lambda i: near(run(put(put(numbers, i, F.get(numbers, i + 1)), i + 1, F.get(numbers, i)), ops)))
-    other = F.exists(at(numbers), lambda i: F.exists(pool, lambda v: near(run(put(numbers, i, v), ops))))
-    return F.when(near(run(numbers, ops)), "exact").when(other_op, "operator").when(swap, "swapped").when(other, "operand").otherwise("unexplained")
+def operand_search(expression: Column, pred: Column, trace: Column) -> Column:
+    """How a calculation, run from left to right, must change to give the answer: wrong_operation (any other choice of
+    operators, or the two operands of a single one swapped), wrong_operand (one operand replaced by a number of the
+    trace or the answer), else unclassified, as is what can't be read as numbers and operators."""
+    e = F.regexp_replace(F.coalesce(expression, F.lit("")), ",", "")
+    vals = F.transform(F.split(e, r"[+\-*/]"), lambda t: F.trim(t).try_cast("double"))
+    ops = F.transform(F.regexp_extract_all(e, F.lit(r"[+\-*/]"), F.lit(0)), lambda o: F.instr(F.lit("+-*/"), o) - 1)
+    mentioned = lambda x: F.transform(
+        F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"-?\d[\d,]*(?:\.\d+)?"), F.lit(0)),
+        lambda n: F.regexp_replace(n, ",", "").try_cast("double"),
+    )
+    answers = F.coalesce(tx.readings(pred), F.slice(F.array_sort(mentioned(pred)), 1, 1))
+    pool = F.array_distinct(F.concat(mentioned(trace), mentioned(pred)))
+
+    def step(acc: Column, v: Column, o: Column) -> Column:
+        return F.when(o == 0, acc + v).when(o == 1, acc - v).when(o == 2, acc * v).otherwise(F.try_divide(acc, v))
+
+    def run(numbers: Column, op: Callable[[Column], Column]) -> Column:
+        rest = F.sequence(F.lit(1), F.size(numbers) - 1)
+        return F.aggregate(rest, F.get(numbers, F.lit(0)), lambda acc, i: step(acc, F.get(numbers, i), op(i - 1)))
+
+    def near(v: Column) -> Column:
+        return F.coalesce(F.exists(answers, lambda p: F.abs(v - p) <= F.greatest(F.lit(1e-6), 1e-6 * F.abs(p))), F.lit(False))
+
+    # A choice of operators is a number with a digit from 0 to 3 for each.
+    digit = lambda c: lambda i: F.floor(c / F.pow(F.lit(4.0), i)).cast("int") % 4
+    own = F.aggregate(F.sequence(F.lit(0), F.size(ops) - 1), F.lit(0.0), lambda acc, i: acc + F.get(ops, i) * F.pow(F.lit(4.0), i))
+    choices = F.sequence(F.lit(0).cast("long"), F.pow(F.lit(4.0), F.size(ops)).cast("long") - 1)
+    others = F.exists(choices, lambda c: (c != own) & near(run(vals, digit(c))))
+    swapped = (F.size(vals) == 2) & F.exists(F.array(*map(F.lit, range(4))), lambda o: near(step(F.get(vals, F.lit(1)), F.get(vals, F.lit(0)), o)))
+    put = lambda k, v: F.transform(vals, lambda x, i: F.when(i == k, v).otherwise(x))
+    replaced = F.exists(
+        F.sequence(F.lit(0), F.size(vals) - 1), lambda k: F.exists(pool, lambda v: near(run(put(k, v), lambda i: F.get(ops, i))))
+    )
+    readable = (F.size(vals) >= 2) & ~F.exists(vals, lambda v: v.isNull())
+    return (
+        F.when(~readable, "unclassified").when((F.size(answers) > 0) & (others | swapped), "wrong_operation")
+        .when((F.size(answers) > 0) & replaced, "wrong_operand").otherwise("unclassified")
+    )

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalframe.operators.dedup import first
+from evalframe.storage import stored
 
 _NODE = r"([A-Za-z0-9_]+)\s*(?:\[+|\(+|\{+)\s*\"?([^\]\)\}\"]*)\"?\s*(?:\]+|\)+|\}+)"
 _EDGE = r"^\s*([A-Za-z0-9_]+)[^-=.]*?\s*(-->|==>|-\.->|---)\s*(?:\|[^|]*\|\s*)?([A-Za-z0-9_]+)"
@@ -43,27 +45,56 @@ def has_edge(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, directed: boo
     return j.select(*pairs.columns, F.when(known, F.coalesce("_e", F.lit(False))).alias("has_edge"))
 
 
+def edge_style(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs (gid, a, b as labels) plus style: of the first edge between the two, in either direction; null without one."""
+    n = nodes.select("gid", "id", "label")
+    j = pairs.join(n.select("gid", F.col("label").alias("a"), F.col("id").alias("_a")), ["gid", "a"], "left")
+    j = j.join(n.select("gid", F.col("label").alias("b"), F.col("id").alias("_b")), ["gid", "b"], "left")
+    e = undirected(edges).groupBy("gid", F.col("src").alias("_a"), F.col("dst").alias("_b")).agg(F.min_by("style", "seq").alias("style"))
+    return j.join(e, ["gid", "_a", "_b"], "left").select(*pairs.columns, "style")
+
+
+def unconnected_pair(nodes: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
+    """gid, a, b: one pair of labels (a before b) without an edge in either direction, those at two hops or more
+    preferred, picked by a hash of seed and gid among the candidates in the order of their labels.
+
+    A chart's labels are held against each other, so its pairs grow with the square of its nodes.
+    Charts in which all labels are connected give no row.
+    """
+    n = nodes.groupBy("gid", "label").agg(F.max("id").alias("id"))
+    x, y = (n.select("gid", F.col("label").alias(s), F.col("id").alias(f"_{s}")) for s in "ab")
+    e = undirected(edges).select("gid", F.col("src").alias("_a"), F.col("dst").alias("_b")).distinct()
+    free = x.join(y, "gid").where("a < b").join(e, ["gid", "_a", "_b"], "left_anti")
+    # Not connected by an edge means two hops or more, or no path: all candidates are far ones but a node's two labels.
+    free = free.withColumn("far", F.col("_a") != F.col("_b"))
+    best = free.groupBy("gid").agg(F.max("far").alias("far"))
+    rows = free.join(best, ["gid", "far"])
+    w = W.partitionBy("gid")
+    place = F.row_number().over(w.orderBy("a", "b")) - 1
+    count = F.count(F.lit(1)).over(w)
+    pick = F.pmod(F.xxhash64(F.lit(seed), F.col("gid")), count)
+    return rows.withColumn("_at", place).withColumn("_pick", pick).where("_at = _pick").select("gid", "a", "b")
+
+
 def hops(edges: DataFrame, sources: DataFrame, limit: int | None = None, directed: bool = False) -> DataFrame:
     """Fewest edges from each (gid, src) to every node it reaches: gid, src, node, hops; 0 to itself.
 
     Breadth first until a round arrives nowhere new; only where a `limit` is asked for, no deeper than that.
     """
-    checkpoints = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     e = (edges if directed else undirected(edges)).select("gid", "src", "dst").distinct()
     found = sources.select("gid", "src", F.col("src").alias("node"), F.lit(0).alias("hops")).distinct()
     front, reached = found, found
     depth = 0
-    # Stored each round, else the plan grows by a level a round; in the checkpoint folder where there is one.
-    cut = lambda df: df.checkpoint() if checkpoints else df.localCheckpoint()
     while limit is None or depth < limit:
         depth += 1
         step = front.select("gid", "src", F.col("node").alias("_n")).join(e.select("gid", F.col("src").alias("_n"), "dst"), ["gid", "_n"])
         step = step.select("gid", "src", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(reached.select("gid", "src", "node"), ["gid", "src", "node"], "left_anti").withColumn("hops", F.lit(depth)))
+        # Stored each round, else the plan grows by a level a round.
+        front = stored(step.join(reached.select("gid", "src", "node"), ["gid", "src", "node"], "left_anti").withColumn("hops", F.lit(depth)))
         if front.isEmpty():
             break
         reached = reached.unionByName(front)
-        reached = cut(reached) if depth % 16 == 0 else reached
+        reached = stored(reached) if depth % 16 == 0 else reached
     return reached
 
 

@@ -47,39 +47,83 @@ def join_check(a: DataFrame, b: DataFrame, key: str, values: list[str]) -> DataF
     )
 
 
-def misses_on_other_box(points: DataFrame, boxes: DataFrame, scene: str, key: str) -> DataFrame:
-    """Misses that lie in some other box of their scene; points have x, y, hit and key, boxes key and box."""
-    b = boxes.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), F.col("box").alias("_b"))
-    on = (F.col(scene) == F.col("_s")) & (F.col(key) != F.col("_k")) & geo.in_box(F.col("x"), F.col("y"), F.col("_b"))
-    return points.where("not hit").join(b, on, "left_semi")
+def _cells(b: Column, grid: int) -> Column:
+    """Cells of a grid over the unit square that a box touches; what lies beyond counts to the outermost."""
+    at = lambda v: F.least(F.greatest(F.floor(v * grid), F.lit(0)), F.lit(grid - 1)).cast("int")
+    xs, ys = F.sequence(at(b["x0"]), at(b["x1"])), F.sequence(at(b["y0"]), at(b["y1"]))
+    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: x * grid + y)))
 
 
-def without_overlap(boxes: DataFrame, scene: str, key: str) -> DataFrame:
+def _point_cell(x: Column, y: Column, grid: int) -> Column:
+    return _cells(geo.box(x, y, x, y), grid)[0]
+
+
+def misses_on_other_box(points: DataFrame, boxes: DataFrame, scene: str, key: str, grid: int = 16) -> DataFrame:
+    """Misses that lie in some other box of their scene; points have x, y, hit and key, boxes key and box.
+
+    Points and boxes meet in cells of the scene; a point's cell is one of any box that holds it.
+    """
+    b = boxes.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), F.col("box").alias("_b"), F.explode(_cells(F.col("box"), grid)).alias("_c"))
+    rows = points.where("not hit").withColumn("_cell", _point_cell(F.col("x"), F.col("y"), grid))
+    on = (F.col(scene) == F.col("_s")) & (F.col("_cell") == F.col("_c")) & (F.col(key) != F.col("_k"))
+    return rows.join(b, on & geo.in_box(F.col("x"), F.col("y"), F.col("_b")), "left_semi").drop("_cell")
+
+
+def overlapping(boxes: DataFrame, scene: str, key: str, own: str = "box", others: str = "box", grid: int = 16, size: float = 1.0) -> DataFrame:
+    """Distinct (scene, key) whose own box overlaps another's `others` box in the scene; size is the extent of coordinates.
+
+    Overlapping boxes share a cell of the grid.
+    """
+    cells = lambda c: F.explode(_cells(geo.box(*(F.col(c)[x] / size for x in ("x0", "y0", "x1", "y1"))), grid))
+    b = boxes.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), F.col(others).alias("_b"), cells(others).alias("_c"))
+    a = boxes.select(scene, key, F.col(own).alias("_a"), cells(own).alias("_cell"))
+    on = (F.col(scene) == F.col("_s")) & (F.col("_cell") == F.col("_c")) & (F.col(key) != F.col("_k")) & geo.overlaps(F.col("_a"), F.col("_b"))
+    return a.join(b, on, "left_semi").select(scene, key).distinct()
+
+
+def without_overlap(boxes: DataFrame, scene: str, key: str, grid: int = 16) -> DataFrame:
     """Boxes that overlap no other box of their scene."""
-    b = boxes.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), F.col("box").alias("_b"))
-    on = (F.col(scene) == F.col("_s")) & (F.col(key) != F.col("_k")) & geo.overlaps(F.col("box"), F.col("_b"))
-    return boxes.join(b, on, "left_anti")
+    return boxes.join(overlapping(boxes, scene, key, grid=grid), [scene, key], "left_anti")
 
 
 def nearest_right(boxes: DataFrame, scene: str, key: str, tolerance: float) -> DataFrame:
-    """For each box the nearest other whose centre lies to its right within tolerance in height: key, neighbour, distance."""
+    """For each box the nearest other whose centre lies to its right within tolerance in height: key, neighbour, distance.
+
+    Boxes meet in bands of height, as high as the tolerance, and the bands next to their own.
+    """
     cx, cy = (lambda b: (b["x0"] + b["x1"]) / 2), (lambda b: (b["y0"] + b["y1"]) / 2)
-    o = boxes.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), F.col("box").alias("_b"))
+    band = lambda b: F.floor(cy(b) / tolerance)
+    o = boxes.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), F.col("box").alias("_b"), band(F.col("box")).alias("_h"))
+    a = boxes.withColumn("_band", F.explode(F.array(*(band(F.col("box")) + i for i in (-1, 0, 1)))))
     dx = cx(F.col("_b")) - cx(F.col("box"))
-    j = boxes.join(o, (F.col(scene) == F.col("_s")) & (F.col(key) != F.col("_k")) & (dx > 0) & (F.abs(cy(F.col("_b")) - cy(F.col("box"))) <= tolerance))
+    near = (dx > 0) & (F.abs(cy(F.col("_b")) - cy(F.col("box"))) <= tolerance)
+    j = a.join(o, (F.col(scene) == F.col("_s")) & (F.col("_band") == F.col("_h")) & (F.col(key) != F.col("_k")) & near)
     j = j.withColumn("_d", dx)
     return j.groupBy(scene, key).agg(F.min_by("_k", F.struct("_d", "_k")).alias("neighbour"), F.min("_d").alias("distance"))
 
 
-def smallest_enclosing(boxes: DataFrame, scene: str, key: str, max_area: float) -> DataFrame:
-    """For each box the smallest other that contains it and is no larger than max_area: key, outer."""
-    o = boxes.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), F.col("box").alias("_b"))
+def smallest_enclosing(boxes: DataFrame, scene: str, key: str, max_area: float, grid: int = 16) -> DataFrame:
+    """For each box the smallest other that contains it and is no larger than max_area: key, outer.
+
+    A box that contains another touches the cell of the other's first corner.
+    """
     a, b = F.col("box"), F.col("_b")
+    small = boxes.where(geo.area(a) <= max_area)
+    o = small.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), a.alias("_b"), F.explode(_cells(a, grid)).alias("_c"))
     holds = (b["x0"] <= a["x0"]) & (b["y0"] <= a["y0"]) & (b["x1"] >= a["x1"]) & (b["y1"] >= a["y1"])
-    j = boxes.join(o, (F.col(scene) == F.col("_s")) & (F.col(key) != F.col("_k")) & holds & (geo.area(b) <= max_area))
+    inner = boxes.withColumn("_cell", _point_cell(a["x0"], a["y0"], grid))
+    j = inner.join(o, (F.col(scene) == F.col("_s")) & (F.col("_cell") == F.col("_c")) & (F.col(key) != F.col("_k")) & holds)
     return j.groupBy(scene, key).agg(F.min_by("_k", F.struct(geo.area(b), F.col("_k"))).alias("outer"))
 
 
+def whitelist(df: DataFrame, wanted: DataFrame, key: str = "uid") -> DataFrame:
+    """Rows whose key is wanted; raises if there are none for a wanted key."""
+    missing = wanted.select(key).distinct().join(df.select(key), key, "left_anti").limit(5).collect()
+    if missing:
+        raise ValueError("not found: " + ", ".join(str(r[0]) for r in missing))
+    return df.join(wanted.select(key).distinct(), key, "left_semi")
+
+
 def batches(df: DataFrame, by: str, order: str, size: int) -> DataFrame:
     """Rows numbered into batches of size within each group."""
     r = F.row_number().over(W.partitionBy(by).orderBy(order))

@@ -10,18 +10,40 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalframe.functions import stats
+from evalframe.storage import stored
 
 
 def stable_hash(seed: int, key: Column) -> Column:
     return F.sha1(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def positions(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """df plus _row (place from 1 in the order, within by's groups) and _n (the group's size), in no single task.
+
+    Rows are dealt into ranges of the order and stored, so that the ranges are the same for counting
+    and for numbering; a row's place is its place in its range after the rows of the ranges before,
+    of which there is one count a range and group.
+    """
+    by = by or []
+    names = [f"_by{i}" for i in range(len(by))]
+    part = W.partitionBy("_part", *by)
+    dealt = stored(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_part", *(F.col(c).alias(n) for c, n in zip(by, names))).agg(F.count(F.lit(1)).alias("_c"))
+    group = W.partitionBy(*names) if by else W.partitionBy(F.lit(0))
+    before = F.sum("_c").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select(F.col("_part").alias("_p"), *names, F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_c").over(group).alias("_n"))
+    on = F.col("_part") == F.col("_p")
+    for c, n in zip(by, names):
+        on &= F.col(c).eqNullSafe(F.col(n))
+    local = dealt.withColumn("_local", F.row_number().over(part.orderBy(*order)))
+    out = local.join(counts, on)
+    return out.select(*df.columns, (F.col("_before") + F.col("_local")).alias("_row"), "_n")
+
+
 def equal_count_bins(df: DataFrame, value: str, k: int, tie: str, by: list[str] | None = None) -> DataFrame:
     """Rows with a value, and their bin (from 0) of about equal counts within each of by's groups."""
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    kept = df.where(F.col(value).isNotNull())
-    rank = F.row_number().over(group.orderBy(value, tie))
-    return kept.withColumn("bin", stats.equal_count_bin(rank, F.count(F.lit(1)).over(group), k))
+    placed = positions(df.where(F.col(value).isNotNull()), [value, tie], by)
+    return placed.withColumn("bin", stats.equal_count_bin(F.col("_row"), F.col("_n"), k)).drop("_row", "_n")
 
 
 def bin_summary(binned: DataFrame, value: str, score: str) -> DataFrame:
@@ -47,19 +69,48 @@ def bin_trend(summary: DataFrame, min_n: int) -> DataFrame:
 
 def order_statistics(df: DataFrame, value: str, parts: int, tie: str) -> DataFrame:
     """The values at positions i * n // parts of the sorted column, for i from 1 to parts - 1: part, cut."""
-    w = W.partitionBy(F.lit(0))
-    ranked = df.where(F.col(value).isNotNull()).select(
-        F.col(value).alias("cut"), (F.row_number().over(w.orderBy(value, tie)) - 1).alias("_r"), F.count(F.lit(1)).over(w).alias("_n")
-    )
+    placed = positions(df.where(F.col(value).isNotNull()).select(F.col(value).alias("cut"), F.col(tie).alias("_tie")), ["cut", "_tie"])
     cuts = F.array(*(F.struct(F.lit(i).alias("part"), F.floor(F.col("_n") * i / parts).alias("at")) for i in range(1, parts)))
-    return ranked.select("cut", "_r", F.inline(cuts)).where("_r = at").select("part", "cut")
+    return placed.select("cut", "_row", F.inline(cuts)).where("_row - 1 = at").select("part", "cut")
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, **cuts: tuple[str, int]) -> DataFrame:
+    """by's columns, n, and a column for each cut: ("median", 0), or ("exclusive", q) for cut point q of 100.
+
+    Only the values at the cuts' places are gathered. Rows without a value are left out.
+    """
+    kept = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    placed = positions(kept, ["_v"], by)
+    n, out, aggs = F.col("n"), [], []
+    for name, (kind, q) in cuts.items():
+        count = F.col("_n")
+        if kind == "median":
+            low, high = F.floor((count + 1) / 2), F.floor(count / 2) + 1
+        else:
+            low = F.least(F.greatest(F.floor(F.lit(q) * (count + 1) / 100), F.lit(1)), F.greatest(count - 1, F.lit(1)))
+            high = F.least(low + 1, count)
+        aggs += [F.max(F.when(F.col("_row") == low, F.col("_v"))).alias(f"_{name}l"), F.max(F.when(F.col("_row") == high, F.col("_v"))).alias(f"_{name}h")]
+        a, b = F.col(f"_{name}l"), F.col(f"_{name}h")
+        if kind == "median":
+            out.append(((a + b) / 2).alias(name))
+        else:
+            j = F.least(F.greatest(F.floor(F.lit(q) * (n + 1) / 100), F.lit(1)), n - 1)
+            delta = F.lit(q) * (n + 1) - j * 100
+            out.append(F.when(n > 2, (a * (100 - delta) + b * delta) / 100).otherwise(a).alias(name))
+    return placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *aggs).select(*by, "n", *out)
 
 
 def stratified_sample(df: DataFrame, cell: list[str], per_cell: int, key: str, seed: int) -> DataFrame:
     """Up to per_cell rows of each cell, and the cell's size as pool."""
-    w = W.partitionBy(*cell)
-    rank = F.row_number().over(w.orderBy(stable_hash(seed, F.col(key)), key))
-    return df.withColumn("pool", F.count(F.lit(1)).over(w)).withColumn("_r", rank).where(F.col("_r") <= per_cell).drop("_r")
+    # Ranks alone, so that each task keeps no more than per_cell rows of a cell before the shuffle.
+    rank = F.row_number().over(W.partitionBy(*cell).orderBy(stable_hash(seed, F.col(key)), key))
+    kept = df.withColumn("_r", rank).where(F.col("_r") <= per_cell).drop("_r")
+    names = [f"_c{i}" for i in range(len(cell))]
+    pools = df.groupBy(*(F.col(c).alias(n) for c, n in zip(cell, names))).agg(F.count(F.lit(1)).alias("pool"))
+    on = F.lit(True)
+    for c, n in zip(cell, names):
+        on &= F.col(c).eqNullSafe(F.col(n))
+    return kept.join(pools, on).select(*df.columns, "pool")
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
@@ -82,16 +133,84 @@ def capped_then_filled(df: DataFrame, group: str, cap: int, n: int, tie: str) ->
     return df.withColumn("_r", rank).orderBy(F.col("_r") > cap, group, tie).limit(n).drop("_r")
 
 
+def running_total(df: DataFrame, value: str, seq: str) -> DataFrame:
+    """df plus spent_before, the sum of the values before a row in the order of seq, and written, its place."""
+    dealt = stored(df.repartitionByRange(seq).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_part").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_t"), F.count(F.lit(1)).alias("_c"))
+    # One row a range.
+    prior = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_t").over(prior), F.lit(0.0)).alias("_at"), F.coalesce(F.sum("_c").over(prior), F.lit(0)).alias("_k"))
+    w = W.partitionBy("_part").orderBy(seq)
+    own = F.coalesce(F.sum(value).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    rows = dealt.withColumn("_own", own).withColumn("_i", F.row_number().over(w)).join(sums, F.col("_part") == F.col("_p"))
+    return rows.select(*df.columns, (F.col("_at") + F.col("_own")).alias("spent_before"), (F.col("_k") + F.col("_i")).alias("written"))
+
+
 def affordable(df: DataFrame, cost: str, cap: float, seq: str) -> DataFrame:
     """Rows admitted while what was spent before them stays under the cap; spent_before is added."""
-    w = W.orderBy(seq).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("spent_before", F.coalesce(F.sum(cost).over(w), F.lit(0.0))).where(F.col("spent_before") < cap)
+    return running_total(df, cost, seq).where(F.col("spent_before") < cap).drop("written")
+
+
+def spend(calls: DataFrame, prices: DataFrame, by: list[str], limit: float | None = None) -> DataFrame:
+    """by's columns, calls, usd (tokens at the model's prices of a million) and exhausted: whether the limit is reached.
+
+    prices: model, usd_in, usd_out; a call of a model without a price raises nothing but counts no dollars.
+    """
+    usd = F.col("in_tokens") / 1e6 * F.col("usd_in") + F.col("out_tokens") / 1e6 * F.col("usd_out")
+    out = calls.join(F.broadcast(prices), "model", "left").groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum(usd), F.lit(0.0)).alias("usd"))
+    return out.withColumn("exhausted", F.lit(False) if limit is None else F.col("usd") >= limit)
+
+
+def submission_window(df: DataFrame, cost: str, seq: str, limit: float, concurrency: int, first: int = 8) -> DataFrame:
+    """df plus spent, calls and window: how many calls may be in flight after a row.
+
+    Before any call has come back that is the first wave, at most `first`; afterwards as many as the
+    rest of the limit pays for at the mean cost so far, from 1 to concurrency. exhausted tells where
+    the spend has reached the limit: nothing is submitted any more.
+    """
+    total = running_total(df, cost, seq)
+    spent = F.col("spent_before") + F.coalesce(F.col(cost), F.lit(0.0))
+    mean = spent / F.col("written")
+    afford = F.when(mean > 0, F.floor((F.lit(limit) - spent) / mean)).otherwise(F.lit(concurrency))
+    window = F.greatest(F.lit(1), F.least(F.lit(max(concurrency, 1)), afford)).cast("int")
+    return total.select(
+        *df.columns, spent.alias("spent"), F.col("written").alias("calls"), F.lit(min(max(concurrency, 1), first)).alias("first_wave"),
+        window.alias("window"), (spent >= limit).alias("exhausted"),
+    )
+
+
+def failure_rate(df: DataFrame, failed: Column, seq: str, last: int = 200, chunk: int = 20_000) -> DataFrame:
+    """Share of failures among the last rows up to each, and how many those are.
+
+    Rows are taken in chunks of the order; a chunk is preceded by the last rows of the one before.
+    """
+    if chunk < last:
+        raise ValueError("a chunk must hold the last rows")
+    rows = positions(df.withColumn("_f", failed.cast("double")), [seq]).withColumn("_chunk", F.floor((F.col("_row") - 1) / chunk))
+    # The end of a chunk also stands before the next one.
+    ends = (F.col("_row") - 1) % chunk >= chunk - (last - 1)
+    at = F.when(ends, F.array("_chunk", F.col("_chunk") + 1)).otherwise(F.array("_chunk"))
+    both = rows.withColumn("_in", F.explode(at))
+    w = W.partitionBy("_in").orderBy("_row").rowsBetween(-(last - 1), 0)
+    both = both.withColumn("recent", F.count(F.lit(1)).over(w)).withColumn("failure_rate", F.avg("_f").over(w))
+    return both.where("_in = _chunk").select(*df.columns, "recent", "failure_rate")
+
+
+#: What the text of an error that repeating can't mend holds.
+FATAL = ("credit balance", "billing", "spend limit", "quota")
+
 
+def retry_plan(df: DataFrame, error: Column, attempt: Column, most: int = 3) -> DataFrame:
+    """df plus action (done, abort, retry, give_up) and wait: seconds before the next attempt, doubling from 1.
 
-def failure_rate(df: DataFrame, failed: Column, seq: str, last: int = 200) -> DataFrame:
-    """Share of failures among the last rows up to each, and how many those are."""
-    w = W.orderBy(seq).rowsBetween(-(last - 1), 0)
-    return df.withColumn("recent", F.count(F.lit(1)).over(w)).withColumn("failure_rate", F.avg(failed.cast("double")).over(w))
+    attempt counts from 0. An error that names billing aborts the run; any other is retried until `most` attempts are spent.
+    """
+    told = F.lower(error)
+    fatal = F.lit(False)
+    for words in FATAL:
+        fatal |= told.contains(words)
+    action = F.when(error.isNull(), "done").when(fatal, "abort").when(attempt >= most - 1, "give_up").otherwise("retry")
+    return df.withColumn("action", action).withColumn("wait", F.when(F.col("action") == "retry", F.pow(F.lit(2.0), attempt)))
 
 
 def extremes(df: DataFrame, group: str, score: str, tie: str) -> DataFrame:

@@ -110,11 +110,6 @@ def _(t):
     return t.judged.groupBy("verdict", "gt_quality").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a23_funnel", "SELECT count(*) AS parsed, count(score) AS strict, count(*) FILTER (WHERE score >= 0.3) AS followed, count(*) FILTER (WHERE score >= 0.5) AS hit FROM scored")
-def _(t):
-    s = F.col("score")
-    return t.scored.agg(F.count(F.lit(1)).alias("parsed"), F.count(s).alias("strict"), F.count_if(s >= 0.3).alias("followed"), F.count_if(s >= 0.5).alias("hit"))
-
 
 @query("a25_vision_adds", "SELECT dataset, count(*) AS n, round(avg(c.score), 9) AS blind, round(avg(s.score), 9) AS sighted, round(100 * (avg(s.score) - avg(c.score)), 9) AS vision_adds_pp FROM scored s JOIN control c ON c.src_uid = s.uid WHERE s.score IS NOT NULL GROUP BY dataset")
 def _(t):
@@ -179,9 +174,15 @@ def _(t):
     return _r(ag.drill_down(t.scored, ["primitive", "dataset"]), "value", "delta", "spread")
 
 
-@query("v07_conservation", "SELECT 'x' AS path, 0 AS depth, count(*) AS n, count(*) AS of_children FROM scored WHERE false HAVING count(*) > 0")
+@query("v07_conservation", """WITH g AS (SELECT primitive, dataset, count(score) AS n FROM scored GROUP BY 1, 2), p AS (SELECT primitive, sum(n) AS n FROM g GROUP BY 1), m AS (SELECT max(primitive) AS m FROM p)
+SELECT '' AS path, CAST(0 AS INT) AS depth, CAST((SELECT sum(n) FROM g) AS BIGINT) AS n, CAST((SELECT sum(n) - 1 FROM g) AS BIGINT) AS of_children
+UNION ALL SELECT primitive, CAST(1 AS INT), CAST(n - 1 AS BIGINT), CAST(n AS BIGINT) FROM p, m WHERE primitive = m""")
 def _(t):
-    return ag.conservation_violations(ag.drill_down(t.scored, ["primitive", "dataset"]))
+    tree = ag.drill_down(t.scored, ["primitive", "dataset"])
+    # One row is lost at the second level of the last primitive: its parent and its children no longer agree with it.
+    last = t.scored.agg(F.max("primitive")).first()[0]
+    lost = F.when((F.col("depth") == 1) & (F.col("path") == last), 1).otherwise(0)
+    return ag.conservation_violations(tree.withColumn("n", F.col("n") - lost))
 
 
 @query("a48_advantages", "SELECT uid, round(mu, 9) AS mu, round(sd, 9) AS sigma, sd <= 1e-9 AS dead, round(CASE WHEN sd > 1e-9 THEN (score - mu) / sd END, 6) AS advantage FROM (SELECT *, avg(score) OVER w AS mu, stddev_pop(score) OVER w AS sd FROM scored WHERE score IS NOT NULL WINDOW w AS (PARTITION BY dataset, family))")
@@ -222,13 +223,6 @@ def _(t):
     return ag.chi2_against(t.scored, "picked", e).withColumn("chi2", F.round("chi2", 6))
 
 
-@query("t07_mcnemar_exact", """WITH b AS (SELECT dataset, count(*) FILTER (WHERE s.score >= 0.5 AND c.score < 0.5) AS b, count(*) FILTER (WHERE s.score < 0.5 AND c.score >= 0.5) AS c FROM scored s JOIN control c ON c.src_uid = s.uid WHERE s.uid % 97 = 0 GROUP BY dataset)
-SELECT dataset, CASE WHEN b + c > 0 THEN round(least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))), 6) END AS p FROM b""")
-def _(t):
-    c = t.control.select(F.col("src_uid").alias("uid"), F.col("score").alias("bs"))
-    j = t.scored.join(c, "uid").where("uid % 97 = 0").groupBy("dataset").agg(F.count_if(F.expr("score >= 0.5 AND bs < 0.5")).alias("b"), F.count_if(F.expr("score < 0.5 AND bs >= 0.5")).alias("c"))
-    return j.select("dataset", F.round(stats.mcnemar_exact(F.col("b"), F.col("c")), 6).alias("p"))
-
 
 @query("t07_mcnemar_exact_whole", """WITH b AS (SELECT dataset, count(*) FILTER (WHERE s.score >= 0.5 AND c.score < 0.5) AS b, count(*) FILTER (WHERE s.score < 0.5 AND c.score >= 0.5) AS c FROM scored s JOIN control c ON c.src_uid = s.uid GROUP BY dataset)
 SELECT dataset, b, c, CASE WHEN b + c > 0 THEN round(least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))), 6) END AS p FROM b""")
@@ -270,17 +264,6 @@ def _(t):
     return r.select("rung", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "n")
 
 
-@query("v01_manifest_checks", """SELECT uid, issue FROM (SELECT uid, unnest(list_filter([CASE WHEN x1 - x0 < 0.02 THEN 'thin' END, CASE WHEN y1 - y0 < 0.02 THEN 'flat' END,
- CASE WHEN x1 > 0.7 THEN 'right' END, CASE WHEN (x1 - x0) * (y1 - y0) > 0.1 THEN 'large' END], lambda i: i IS NOT NULL)) AS issue FROM boxes)""")
-def _(t):
-    rules = [("x1 - x0 < 0.02", "thin"), ("y1 - y0 < 0.02", "flat"), ("x1 > 0.7", "right"), ("(x1 - x0) * (y1 - y0) > 0.1", "large")]
-    return t.boxes.select("uid", F.explode(F.array_compact(F.array(*(F.when(F.expr(e), n) for e, n in rules)))).alias("issue"))
-
-
-@query("v02_eligibility", "SELECT CASE WHEN size IS NULL THEN 'no_size' WHEN score IS NULL THEN 'no_score' WHEN score < 0.2 THEN 'too_hard' WHEN n_true = 0 THEN 'empty' ELSE 'eligible' END AS reason, count(*) AS n FROM scored GROUP BY 1")
-def _(t):
-    reason = F.when(F.col("size").isNull(), "no_size").when(F.col("score").isNull(), "no_score").when(F.col("score") < 0.2, "too_hard").when(F.col("n_true") == 0, "empty").otherwise("eligible")
-    return t.scored.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("v04_count_crosscheck", "SELECT o_orderkey, declared, drawn FROM (SELECT o_orderkey, o_orderkey % 9 AS declared FROM orders) JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS drawn FROM lineitem GROUP BY 1) USING (o_orderkey) WHERE declared <> drawn")
@@ -290,27 +273,6 @@ def _(t):
     return d.join(n, "o_orderkey").where("declared <> drawn")
 
 
-_E = "SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer JOIN supplier ON c_custkey % 50 = s_suppkey % 50 WHERE c_custkey < 40"
-
-
-@query("r04_hops", f"""WITH RECURSIVE e AS ({_E}), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-w AS (SELECT DISTINCT src, src AS node, 0 AS hops FROM u UNION SELECT w.src, u.dst, w.hops + 1 FROM w JOIN u ON u.src = w.node WHERE w.hops < 12)
-SELECT src, node, min(hops) AS hops FROM w GROUP BY 1, 2""")
-def _(t):
-    c, s = t.customer.where("c_custkey < 40"), t.supplier
-    e = c.join(s, F.expr("c_custkey % 50 = s_suppkey % 50")).select(F.lit(0).alias("gid"), F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
-    starts = graph.undirected(e).select("gid", "src").distinct()
-    return graph.hops(e, starts, 12).select("src", "node", "hops")
-
-
-@query("r02_has_edge", f"""WITH e AS ({_E}) SELECT a.n_nationkey AS a, b.n_nationkey AS b, EXISTS (SELECT 1 FROM e WHERE e.src = a.n_nationkey AND e.dst = b.n_nationkey) AS has_edge FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey""")
-def _(t):
-    c, s = t.customer.where("c_custkey < 40"), t.supplier
-    z = F.lit(0).alias("gid")
-    e = c.join(s, F.expr("c_custkey % 50 = s_suppkey % 50")).select(z, F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
-    nodes = t.nation.select(z, F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("label"))
-    n1, n2 = t.nation.select("n_regionkey", F.col("n_nationkey").alias("a")), t.nation.select("n_regionkey", F.col("n_nationkey").alias("b"))
-    return graph.has_edge(n1.join(n2, "n_regionkey").select(z, "a", "b"), nodes, e).select("a", "b", "has_edge")
 
 
 def _edges(t):

@@ -26,10 +26,10 @@ def _(t):
     return gen.ladder(t.spark, {"wide": 7 / 3, "page": 1500 / 950}, {"small": 0.5, "large": 1.0}, 30)
 
 
-@query("f25_label_words", r"SELECT p_partkey, array_to_string(list_distinct(regexp_extract_all(p_name || ' ' || p_type, '\b([A-Za-z][A-Za-z-]{3,})\b')), ' ') IS NOT NULL AS has, CAST(len(list_distinct(regexp_extract_all(p_name || ' ' || p_type, '\b([A-Za-z][A-Za-z-]{3,})\b'))) AS INT) AS n FROM part")
+@query("f25_label_words", r"SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(p_name || ' ' || p_type, '\b([A-Za-z][A-Za-z-]{3,})\b'))), ' ') AS words FROM part")
 def _(t):
     w = gen.words_of(F.concat_ws(" ", "p_name", "p_type"))
-    return t.part.select("p_partkey", F.array_join(w, " ").isNotNull().alias("has"), F.size(w).alias("n"))
+    return t.part.select("p_partkey", F.array_join(F.array_sort(w), " ").alias("words"))
 
 
 @query("q03_word_choices")
@@ -54,11 +54,12 @@ def _(t):
     return gen.pick_spread(gen.banded_quota(s, "size", 5, 40, "uid"), ["dataset", "primitive", "family"], "uid", 0)
 
 
-@query("w14_band_quotas", """WITH b AS (SELECT CAST(floor((row_number() OVER (ORDER BY size, uid) * 5 - 1) / count(*) OVER ()) AS INT) AS bin FROM scored WHERE size IS NOT NULL)
-SELECT bin, CAST(8 AS BIGINT) AS quota, count(*) AS n FROM b GROUP BY bin""")
+@query("w14_band_quotas", """WITH b AS (SELECT CAST(floor((row_number() OVER (ORDER BY size, uid) * 5 - 1) / count(*) OVER ()) AS INT) AS bin FROM scored WHERE size IS NOT NULL),
+n AS (SELECT bin, count(*) AS n FROM b GROUP BY bin), e AS (SELECT *, n * 43.0 / sum(n) OVER () AS e FROM n), f AS (SELECT *, floor(e) AS f, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, bin) AS r FROM e)
+SELECT bin, CAST(f + CASE WHEN r <= 43 - sum(f) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota, n FROM f""")
 def _(t):
     s = t.scored.where("size IS NOT NULL")
-    return gen.banded_quota(s, "size", 5, 40, "uid").groupBy("bin", "quota").agg(F.count(F.lit(1)).alias("n"))
+    return gen.banded_quota(s, "size", 5, 43, "uid").groupBy("bin", "quota").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q05_training_records", """SELECT uid, '{"prompt":"' || primitive || '","completion":"' || gold_option || '","meta":{"family":' || family::VARCHAR || '}}' AS record FROM scored""")
@@ -66,18 +67,6 @@ def _(t):
     return gen.training_records(t.scored, F.col("primitive"), F.col("gold_option"), meta=F.struct("family"))
 
 
-@query("f36_operand_search", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'operator' WHEN 2 THEN 'swapped' WHEN 3 THEN 'operand' ELSE 'unexplained' END AS how FROM orders")
-def _(t):
-    k = F.col("o_orderkey") % 5
-    ns, ops = F.array(F.lit(10.0), F.lit(4.0), F.lit(3.0)), F.array(F.lit("-"), F.lit("*"))
-    pred = F.when(k == 0, 18.0).when(k == 1, 42.0).when(k == 2, -18.0).when(k == 3, 88.0 * 3).otherwise(1234.5)
-    return t.orders.select("o_orderkey", gen.operand_search(ns, ops, pred, F.array(F.lit(92.0))).alias("how"))
-
-
-@query("f20_cited_pages", "SELECT doc_id, CASE WHEN doc_id % 25 BETWEEN 1 AND 20 AND doc_id % 25 <> 3 THEN least(doc_id % 25, 3)::VARCHAR || ',' || greatest(doc_id % 25, 3)::VARCHAR ELSE '3' END AS pages FROM documents")
-def _(t):
-    said = F.concat(F.lit("See Slide "), (F.col("doc_id") % 25).cast("string"), F.lit(", page 3 and slide 3; page 99."))
-    return t.documents.select("doc_id", F.array_join(F.transform(tx.cited_pages(said), lambda p: p.cast("string")), ",").alias("pages"))
 
 
 @query("f24_rubric_batches", "SELECT qid, (rn - 1) // 5 AS batch, string_agg('T' || pos::VARCHAR || ': ' || uid, chr(10) ORDER BY pos) AS prompt FROM (SELECT qid, uid, rn, (rn - 1) % 5 + 1 AS pos FROM (SELECT qid, uid, row_number() OVER (PARTITION BY qid ORDER BY uid) AS rn FROM examples)) GROUP BY 1, 2")
@@ -190,12 +179,3 @@ def _(t):
 def _(t):
     m = t.nation.agg(F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("m"))
     return m.select(F.explode("m").alias("label", "id"))
-
-
-@query("s10_edge_questions", "SELECT nation.n_nationkey AS src, r.n_nationkey AS dst, pol AS polarity FROM nation, (SELECT n_nationkey, n_regionkey AS rk FROM nation) r, (VALUES (true), (false)) AS p(pol) WHERE (rk = nation.n_regionkey) = pol AND nation.n_nationkey < r.n_nationkey AND (nation.n_nationkey + r.n_nationkey) % 5 = 0")
-def _(t):
-    a = t.nation.select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("ra"))
-    b = t.nation.select(F.col("n_nationkey").alias("dst"), F.col("n_regionkey").alias("rb"))
-    # A region stands for a flowchart: pairs inside are edges, across are not; bounded by the labels of a chart.
-    j = a.join(b, F.expr("src < dst AND (src + dst) % 5 = 0"))
-    return j.select("src", "dst", (F.col("ra") == F.col("rb")).alias("polarity"))

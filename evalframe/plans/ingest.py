@@ -37,9 +37,11 @@ def _(t):
     return logs.read_manifest(t.spark, path, "uid string, size long")
 
 
-@query("s01_missing_file", "SELECT seq FROM log WHERE false")
+@query("s01_missing_file", "SELECT seq, uid, pred FROM log WHERE seq % 50 <> 7")
 def _(t):
-    return logs.read_log(t.spark, logs.scratch(t.spark, "absent"), _ROW).select("seq")
+    """A log that is there and one that is not: the second adds nothing."""
+    absent = logs.read_log(t.spark, logs.scratch(t.spark, "absent"), _ROW)
+    return logs.read_log(t.spark, _torn(t), _ROW).unionByName(absent).select("seq", "uid", "pred")
 
 
 @query("s06_infographic", "SELECT 'infographic:' || p_partkey::VARCHAR AS uid, p_name AS question, p_type || '|' || p_brand AS golds FROM part")
@@ -95,6 +97,15 @@ def _(t):
     return adapters.load("counting", m).select("uid", F.get("gold_text", F.lit(0)).alias("gold"), F.col("meta")["family"].alias("family"))
 
 
+@query("s14_word_choices", "SELECT 'svg_word_mc:' || p_partkey::VARCHAR AS uid, substr('ABCD', CAST(p_partkey % 4 AS INT) + 1, 1) AS gold, length(p_name) AS answer_len FROM part")
+def _(t):
+    m = t.part.select(
+        F.col("p_partkey").cast("string").alias("uid"), F.lit("Which word is on it?").alias("question"), F.array("p_name", "p_type").alias("options"),
+        F.substring(F.lit("ABCD"), (F.col("p_partkey") % 4 + 1).cast("int"), F.lit(1)).alias("answer"), F.col("p_name").alias("answer_text"), F.array("p_type").alias("distractors"),
+    )
+    return adapters.load("svg_word_mc", m).select("uid", F.get("gold_text", F.lit(0)).alias("gold"), F.col("meta")["answer_len"].cast("long").alias("answer_len"))
+
+
 @query("s15_run_names", """SELECT 'set' || (r_regionkey)::VARCHAR AS dataset, 'model-' || r_regionkey::VARCHAR AS model, CAST(r_regionkey * 1000 AS INT) AS budget, 'plain' AS condition, CAST(1 AS INT) AS run FROM region""")
 def _(t):
     k = F.col("r_regionkey").cast("string")
@@ -102,16 +113,12 @@ def _(t):
     return t.region.select(name.alias("f")).select(*logs.run_parts(F.col("f")))
 
 
-@query("k07_fingerprint", "SELECT count(*) AS n_lines FROM log")
-def _(t):
-    return logs.fingerprint(t.spark, _torn(t)).agg(F.sum("n_lines").alias("n_lines"))
-
 
 @query("x01_streamed_log", "SELECT uid, seq, pred FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY (pred IS NOT NULL) DESC, seq DESC) AS r FROM log) WHERE r = 1")
 def _(t):
     source, table, mark = (logs.scratch(t.spark, k) for k in ("waves", "table", "mark"))
     rows = t.log.select("seq", "uid", "model", "pred", F.when(F.col("failed"), "error").alias("error"), "cost")
-    rows.repartitionByRange(4, "seq").write.json(source)
+    rows.repartitionByRange("seq").write.json(source)
     runlog.append_log(runlog.read_waves(t.spark, source, per_trigger=2), table, mark).awaitTermination()
     return runlog.latest_table(t.spark, table, F.col("pred").isNotNull()).select("uid", "seq", "pred")
 
@@ -136,3 +143,20 @@ def _(t):
     a = t.part.select(F.col("p_partkey").alias("gid"), F.array(F.lit("x"), F.lit("y"), F.lit("z")).alias("items"))
     b = t.part.select(F.col("p_partkey").alias("gid"), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("z"), F.lit("y"), F.lit("x"))).otherwise(F.array(F.lit("x"), F.lit("y"))).alias("items"))
     return graph.graph_f1(a, b, "items").select("gid", F.round("f1", 9).alias("f1"), "exact")
+
+
+_LONE = f"CASE WHEN p_size % 2 = 0 THEN {_FLOW.replace('chr(10)', 'char(10)')} || char(10) || 'd[\"apart\"]' ELSE {_FLOW.replace('chr(10)', 'char(10)')} END"
+
+
+@query("s10_edge_questions", """WITH r AS (SELECT p_partkey AS k, p_size % 2 = 0 AS lone, p_size % 3 = 0 AS ghost FROM part)
+SELECT 'flowlearn_sim:word:' || k || ':' || q.f AS uid, q.g AS gold, q.m AS false_mode FROM (SELECT k, unnest(list_filter([{'f': 'atob:yes', 'g': 'yes', 'm': NULL}, {'f': 'atob:no', 'g': 'no', 'm': CASE WHEN ghost THEN 'phantom_node' ELSE 'reversed_edge' END},
+  {'f': 'between:yes', 'g': 'yes', 'm': NULL}, CASE WHEN lone THEN {'f': 'between:no', 'g': 'no', 'm': 'unconnected'} END, {'f': 'nodes', 'g': CASE WHEN lone THEN '4' ELSE '3' END, 'm': NULL}, {'f': 'arrows', 'g': '3', 'm': NULL}], lambda x: x IS NOT NULL)) AS q FROM r)""")
+def _(t):
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    ghost = F.struct(F.when(F.col("p_size") % 3 == 0, "nowhere").otherwise(F.col("p_brand")).alias("a"), F.col("p_name").alias("b"))
+    m = t.part.select(
+        F.col("p_partkey").cast("string").alias("image"), F.lit("word").alias("variant"), F.expr(_LONE).alias("mermaid"),
+        F.struct(pair("p_name", "p_brand").alias("yes"), ghost.alias("no")).alias("atob"),
+        F.struct(pair("p_name", "p_type").alias("yes"), pair("p_type", "p_brand").alias("no")).alias("between"),
+    )
+    return adapters.load("flowlearn_sim", m).select("uid", F.get("gold_text", F.lit(0)).alias("gold"), F.col("meta")["false_mode"].alias("false_mode"))

@@ -91,12 +91,6 @@ def _(t):
     return t.answers.select("uid", F.size(items).alias("n_items"), F.array_join(items, "|").alias("items"))
 
 
-@query("f11_failure_mode")
-def _(t):
-    rows = [("A, B, C", "C, B, A"), ("A, B", "A, B, C"), ("A, B, C", "A, B"), ("A, B, C", "A, B, X"), ("28", "28%"), ("x", "y")]
-    df = t.spark.createDataFrame(rows, "gold string, pred string")
-    return df.select("gold", "pred", tx.failure_mode(F.col("pred"), F.array("gold")).alias("mode"))
-
 
 @query("f12_fold", "SELECT uid, regexp_replace(lower(pred), '[^a-z0-9]', '', 'g') AS folded FROM answers")
 def _(t):
@@ -134,18 +128,6 @@ def _(t):
     return t.answers.select("uid", tx.answer_surface(F.col("num_pred")).alias("kind"))
 
 
-_SC = r"""try_cast(regexp_replace(regexp_replace(lower(trim({x})), '[,$% ]', '', 'g'), '(thousand|million|billion|trillion)$', '') AS DOUBLE)
-  * CASE WHEN lower(trim({x})) LIKE '%million' THEN 1e6 WHEN lower(trim({x})) LIKE '%thousand' THEN 1e3 ELSE 1 END"""
-
-
-@query("f30_format_equivalent", f"""WITH f AS (SELECT *, {_SC.format(x='num_pred')} AS p, {_SC.format(x='num_gold')} AS g FROM answers)
-SELECT uid, p AS pred_number, CASE WHEN p IS NOT NULL AND g IS NOT NULL THEN abs(p - g) <= 1e-9 * greatest(abs(p), abs(g))
-  ELSE regexp_replace(lower(num_pred), '[^a-z0-9]', '', 'g') = regexp_replace(lower(num_gold), '[^a-z0-9]', '', 'g') END AS same FROM f""")
-def _(t):
-    p = F.col("num_pred")
-    return t.answers.select("uid", tx.scaled_number(p).alias("pred_number"), tx.format_equivalent(p, F.array("num_gold")).alias("same"))
-
-
 @query("f40_size_bucket", "SELECT uid, CASE WHEN s < 200 THEN '<200px' WHEN s < 400 THEN '200-399px' WHEN s < 600 THEN '400-599px' ELSE '>=600px' END AS bucket FROM (SELECT uid, sqrt((x1 - x0) * (y1 - y0) * 1568 * 882) AS s FROM boxes)")
 def _(t):
     s = F.sqrt(F.expr("(x1 - x0) * (y1 - y0) * 1568 * 882"))

@@ -9,9 +9,10 @@ from evalframe.functions import answers as an
 from evalframe.functions import geometry as geo
 from evalframe.functions import stats
 from evalframe.operators import aggregates as ag
-from evalframe.operators import dedup, windows
+from evalframe.operators import dedup, joins, windows
 from evalframe.plans.base import query
 from evalframe.plans.selection import usable
+from evalframe.sources import logs
 
 
 def _r(df, *cols):
@@ -50,11 +51,6 @@ def _(t):
     return t.examples.select("uid", F.when(F.col("qid").isin(1, 3), "fuzzy").otherwise("strict").alias("confidence"))
 
 
-@query("p06_whitelist", "SELECT uid FROM examples WHERE uid IN ('q1', 'q5', 'q9')")
-def _(t):
-    keys = t.spark.createDataFrame([("q1",), ("q5",), ("q9",)], "uid string")
-    return t.examples.join(F.broadcast(keys), "uid", "left_semi").select("uid")
-
 
 @query("p08_usable", "SELECT tag, count(*) FILTER (WHERE pred IS NOT NULL AND NOT failed) AS n_usable, count(*) AS n FROM log GROUP BY tag")
 def _(t):
@@ -88,10 +84,12 @@ def _(t):
     return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.count_distinct("source").alias("sources"))
 
 
-@query("k02_todo_manifest", "SELECT dataset, array_to_string(list(uid ORDER BY uid), ',') AS uids FROM examples WHERE uid NOT IN (SELECT uid FROM log WHERE pred IS NOT NULL AND NOT failed) GROUP BY dataset")
+@query("k02_todo_manifest", "SELECT dataset, uid FROM examples WHERE uid NOT IN (SELECT uid FROM log WHERE pred IS NOT NULL AND NOT failed)")
 def _(t):
-    left = t.examples.join(t.log.where(usable()).select("uid").distinct(), "uid", "left_anti")
-    return left.groupBy("dataset").agg(F.array_join(F.sort_array(F.collect_list("uid")), ",").alias("uids"))
+    left = joins.todo(t.examples, t.log, usable())
+    path = logs.scratch(t.spark, "todo")
+    left.select("dataset", "uid").write.json(path)
+    return logs.read_manifest(t.spark, path, "dataset string, uid string")
 
 
 @query("j08_suffix_pairing", r"SELECT a.src_uid AS id, a.score, s.score AS sighted FROM control a JOIN scored s ON s.uid = CAST(regexp_extract(a.uid, ':(\d+)$', 1) AS BIGINT)")
@@ -162,11 +160,6 @@ def _(t):
     return _r(t.scored.select("score", F.inline(rows)).groupBy("dataset", "primitive", "family").agg(F.count("score").alias("n"), F.avg("score").alias("acc")), "acc")
 
 
-@query("a24_independence", "SELECT family = 0 AS followed, count(*) AS n, round(avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END), 9) AS rate FROM scored WHERE score IS NOT NULL GROUP BY 1")
-def _(t):
-    s = t.scored.where("score IS NOT NULL")
-    return _r(s.groupBy((F.col("family") == 0).alias("followed")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("score") >= 0.5, 1.0).otherwise(0.0)).alias("rate")), "rate")
-
 
 @query("a28_format_artifacts", "SELECT dataset, count(*) FILTER (WHERE score = 0) AS hard_zeros, count(*) FILTER (WHERE score < 1) AS non_exact, count(*) FILTER (WHERE score < 1 AND equivalent) AS equivalent FROM scored JOIN judged USING (uid) GROUP BY dataset")
 def _(t):
@@ -215,10 +208,6 @@ def _(t):
     return _r(t.scored.groupBy("dataset").agg(F.count_if(bad).alias("n"), F.avg(F.when(bad, 1.0).otherwise(0.0)).alias("frac")), "frac")
 
 
-@query("a40_reverse_frame", "SELECT rung, count(*) FILTER (WHERE x * 1.6 > 1 OR y * 1.6 > 1) AS outside, count(*) AS n FROM boxes GROUP BY rung")
-def _(t):
-    return t.boxes.groupBy("rung").agg(F.count_if(F.expr("x * 1.6 > 1 OR y * 1.6 > 1")).alias("outside"), F.count(F.lit(1)).alias("n"))
-
 
 @query("a41_list_integrity", "SELECT failure_mode, count(*) AS n, count(*) FILTER (WHERE score < 0.5) AS failed FROM scored WHERE failure_mode LIKE 'mode%' GROUP BY failure_mode")
 def _(t):
@@ -226,11 +215,6 @@ def _(t):
     return s.groupBy("failure_mode").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") < 0.5).alias("failed"))
 
 
-@query("a42_addressing_distance", "SELECT abs(family - n_true % 7) AS dist, count(*) AS n, round(avg(score), 9) AS acc FROM scored GROUP BY 1 HAVING count(*) >= 40")
-def _(t):
-    g = t.scored.groupBy(F.abs(F.col("family") - F.col("n_true") % 7).alias("dist")).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("acc"))
-    return _r(g.where("n >= 40"), "acc")
-
 
 @query("a43_thin_bins_null", "SELECT failure_mode, n_true, count(score) AS n, CASE WHEN count(score) >= 150 THEN round(avg(score), 9) END AS acc FROM scored WHERE failure_mode IS NOT NULL GROUP BY 1, 2")
 def _(t):
@@ -284,16 +268,9 @@ def _(t):
 
 @query("w19_shuffle", "SELECT uid, row_number() OVER (ORDER BY sha1('8:' || uid), uid) AS place FROM examples")
 def _(t):
-    return t.examples.select("uid", F.row_number().over(W.orderBy(windows.stable_hash(8, F.col("uid")), "uid")).cast("long").alias("place"))
-
+    hashed = t.examples.select("uid", windows.stable_hash(8, F.col("uid")).alias("h"))
+    return windows.positions(hashed, ["h", "uid"]).select("uid", F.col("_row").cast("long").alias("place"))
 
-@query("t13_permutation_null", "SELECT rep, count(*) AS n, CAST(sum(CASE WHEN a.gold_option = b.picked THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM (SELECT rep, gold_option, row_number() OVER (PARTITION BY rep ORDER BY uid) AS r FROM scored, range(1, 6) AS g(rep)) a JOIN (SELECT rep, picked, row_number() OVER (PARTITION BY rep ORDER BY sha1(rep::VARCHAR || ':' || uid::VARCHAR), uid) AS r FROM scored, range(1, 6) AS g(rep)) b USING (rep, r) GROUP BY rep")
-def _(t):
-    reps = t.scored.select("uid", "gold_option", "picked", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))).alias("rep"))
-    h = F.sha1(F.concat(F.col("rep").cast("string"), F.lit(":"), F.col("uid").cast("string")))
-    a = reps.select("rep", "gold_option", F.row_number().over(W.partitionBy("rep").orderBy("uid")).alias("r"))
-    b = reps.select("rep", "picked", F.row_number().over(W.partitionBy("rep").orderBy(h, "uid")).alias("r"))
-    return a.join(b, ["rep", "r"]).groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gold_option") == F.col("picked")).alias("hits"))
 
 
 @query("t13_permutation_mean", "SELECT CAST(20 AS BIGINT) AS shuffles, round(avg(rate), 9) AS mean_rate FROM (SELECT rep, sum(CASE WHEN a.gold_option = b.picked THEN 1 ELSE 0 END) / count(*) AS rate FROM (SELECT rep, gold_option, row_number() OVER (PARTITION BY rep ORDER BY uid) AS r FROM scored, range(1, 21) AS g(rep)) a JOIN (SELECT rep, picked, row_number() OVER (PARTITION BY rep ORDER BY sha1(rep::VARCHAR || ':' || uid::VARCHAR), uid) AS r FROM scored, range(1, 21) AS g(rep)) b USING (rep, r) GROUP BY rep)")
@@ -314,10 +291,6 @@ def _(t):
     return t.events.select("event_id", p["kind"].alias("kind"), F.round(p["x"], 9).alias("x"))
 
 
-@query("f17_to_unit", "SELECT event_id, round(CASE WHEN value > 1 THEN value / 500 ELSE value END, 9) AS v, value > 1 AS violates FROM events")
-def _(t):
-    return t.events.select("event_id", F.round(an.to_unit(F.col("value"), F.lit(500)), 9).alias("v"), (F.col("value") > 1).alias("violates"))
-
 
 @query("f18_verdicts", "SELECT tag, CASE WHEN failed THEN 'call_error' WHEN pred IS NULL THEN 'wrong_format' WHEN pred = 'v1' THEN 'correct' ELSE 'wrong' END AS verdict, count(*) AS n FROM log GROUP BY 1, 2")
 def _(t):
@@ -332,13 +305,6 @@ def _(t):
     return t.embeddings.select("vec_id", an.checked_box(text)[0].alias("left_edge"))
 
 
-@query("f35_arithmetic_slip", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'wrong_operation' WHEN 2 THEN 'wrong_operand' ELSE 'unparsed' END AS slip FROM orders")
-def _(t):
-    k = F.col("o_orderkey") % 4
-    pred = F.when(k == 0, 137.0).when(k == 1, 63.0).when(k == 2, 1100.0)
-    pool = F.array(F.lit(100.0), F.lit(37.0), F.lit(1000.0))
-    return t.orders.select("o_orderkey", an.arithmetic_slip(F.lit("100 + 37"), F.lit(137.0), F.when(k == 2, F.lit(1037.0)).otherwise(pred), pool).alias("slip"))
-
 
 @query("f37_expression_value", "SELECT o_orderkey, round(CASE o_orderkey % 3 WHEN 0 THEN o_orderkey + 3 WHEN 1 THEN o_orderkey * 3 ELSE o_orderkey / 4 END, 9)::DOUBLE AS v FROM orders")
 def _(t):
@@ -347,13 +313,6 @@ def _(t):
     return t.orders.select("o_orderkey", F.round(an.expression_value(e), 9).alias("v"))
 
 
-@query("f33_slide_equivalent", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN length(p_type) >= 4 ELSE false END AS same FROM part")
-def _(t):
-    k = F.col("p_partkey") % 3
-    p = F.when(k == 0, F.concat(F.col("p_size").cast("string"), F.lit(" million"))).when(k == 1, F.col("p_type")).otherwise(F.lit("12"))
-    g = F.when(k == 0, F.concat(F.lit("$"), F.col("p_size").cast("string"))).when(k == 1, F.concat(F.lit("the "), F.col("p_type"), F.lit(" one"))).otherwise(F.lit("twelve"))
-    return t.part.select("p_partkey", an.slide_equivalent(p, g).alias("same"))
-
 
 @query("f34_corrected_score", "SELECT uid, CASE WHEN equivalent THEN 1.0 ELSE score END AS score FROM scored JOIN judged USING (uid)")
 def _(t):
@@ -377,17 +336,6 @@ def _(t):
     return t.orders.select("o_orderkey", F.round((500 + F.col("o_orderkey") % 3000) * (400 + F.col("o_custkey") % 2500) / 1e6, 9).alias("mp"))
 
 
-@query("r03_first_style", "SELECT l_orderkey, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS r FROM lineitem) WHERE r = 1")
-def _(t):
-    l = t.lineitem.withColumn("seq", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))  # noqa: E741
-    return dedup.first(l, ["l_orderkey"]).select("l_orderkey", "l_returnflag")
-
-
-@query("r06_unconnected_pairs", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE NOT EXISTS (SELECT 1 FROM customer JOIN supplier ON c_custkey = s_suppkey WHERE least(c_nationkey, s_nationkey) = a.n_nationkey AND greatest(c_nationkey, s_nationkey) = b.n_nationkey)")
-def _(t):
-    e = t.customer.join(t.supplier, F.expr("c_custkey = s_suppkey")).select(F.least("c_nationkey", "s_nationkey").alias("a"), F.greatest("c_nationkey", "s_nationkey").alias("b"))
-    x, y = t.nation.select("n_regionkey", F.col("n_nationkey").alias("a")), t.nation.select("n_regionkey", F.col("n_nationkey").alias("b"))
-    return x.join(y, "n_regionkey").where("a < b").join(e.distinct(), ["a", "b"], "left_anti").select("a", "b")
 
 
 @query("t05_chi2_picks", "WITH g AS (SELECT gold_option AS o, count(*) AS g FROM scored GROUP BY 1), p AS (SELECT picked AS o, count(*) AS p FROM scored GROUP BY 1) SELECT round(sum(pow(p - g, 2) / g), 9) AS chi2 FROM g JOIN p USING (o)")
@@ -399,8 +347,7 @@ def _(t):
 
 @query("t10_exclusive_p90", "SELECT dataset, round((l[j] * (100 - d) + l[j + 1] * d) / 100, 6) AS p90 FROM (SELECT *, 90 * (n + 1) - j * 100 AS d FROM (SELECT *, least(greatest(90 * (n + 1) // 100, 1), n - 1) AS j FROM (SELECT dataset, count(size) AS n, list(size ORDER BY size) AS l FROM scored WHERE size IS NOT NULL GROUP BY dataset)))")
 def _(t):
-    g = t.scored.where("size IS NOT NULL").groupBy("dataset").agg(F.sort_array(F.collect_list("size")).alias("l"))
-    return g.select("dataset", F.round(stats.exclusive_percentile(F.col("l"), 90), 6).alias("p90"))
+    return windows.percentiles(t.scored, ["dataset"], "size", p90=("exclusive", 90)).select("dataset", F.round("p90", 6).alias("p90"))
 
 
 @query("t14_chance", "SELECT rung, round(avg((x1 - x0) * (y1 - y0)), 9) AS chance FROM boxes GROUP BY rung")
@@ -408,7 +355,10 @@ def _(t):
     return _r(t.boxes.groupBy("rung").agg(F.avg(geo.area(F.col("box"))).alias("chance")), "chance")
 
 
-@query("t16_disjoint_intervals")
+_CI = "(({p} + 1.9208 / n) / (1 + 3.8416 / n) {s} 1.96 / (1 + 3.8416 / n) * sqrt({p} * (1 - {p}) / n + 0.9604 / n / n))"
+
+
+@query("t16_disjoint_intervals", f"WITH c AS (SELECT dataset, avg(score) AS a, count(score) AS n FROM scored GROUP BY dataset), i AS (SELECT dataset, greatest({_CI.format(p='a', s='-')}, 0) AS lo, least({_CI.format(p='a', s='+')}, 1) AS hi FROM c) SELECT x.dataset, y.dataset AS other, x.hi < y.lo OR y.hi < x.lo AS disjoint FROM i x JOIN i y ON x.dataset < y.dataset")
 def _(t):
     c = ag.accuracy_cell(t.scored, ["dataset"])
     o = c.select(F.col("dataset").alias("other"), F.col("ci_lo").alias("lo2"), F.col("ci_hi").alias("hi2"))

@@ -294,12 +294,6 @@ def _(t):
     return a.exceptAll(b).withColumn("side", F.lit("only_a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("only_b")))
 
 
-@query("x02_spend_by_model", """SELECT model, count(*) AS calls, round(sum(cost * CASE model WHEN 'view' THEN 1.0 WHEN 'click' THEN 3.0 ELSE 5.0 END / 1e6), 9) AS usd FROM log GROUP BY model""")
-def _(t):
-    prices = t.spark.createDataFrame([("view", 1.0), ("click", 3.0), ("signup", 5.0), ("error", 5.0), ("purchase", 5.0)], "model string, usd double")
-    j = t.log.join(F.broadcast(prices), "model")
-    return j.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum(F.col("cost") * F.col("usd") / 1e6), 9).alias("usd"))
-
 
 @query("x04_failure_rate", """SELECT seq, recent, round(r, 9) AS failure_rate FROM (SELECT seq, count(*) OVER w AS recent, avg(CASE WHEN failed THEN 1.0 ELSE 0.0 END) OVER w AS r
 FROM log WINDOW w AS (ORDER BY seq ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))""")
@@ -308,10 +302,6 @@ def _(t):
     return f.select("seq", "recent", F.round("failure_rate", 9).alias("failure_rate"))
 
 
-@query("x05_retryable", """SELECT event_type, count(*) AS n, event_type IN ('error', 'signup') AS fatal FROM events GROUP BY event_type""")
-def _(t):
-    return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.first(F.col("event_type").isin("error", "signup")).alias("fatal"))
-
 
 @query("x06_affordable", """SELECT seq, round(s, 6) AS spent_before FROM (SELECT seq, coalesce(sum(cost) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM log) WHERE s < 5000""")
 def _(t):
@@ -323,11 +313,6 @@ def _(t):
     return t.examples.select("uid", windows.stable_hash(0, F.col("uid")).alias("h"))
 
 
-@query("q07_arms", "SELECT uid, arm FROM examples, (VALUES ('crop'), ('bbox'), ('quadrant')) AS a(arm)")
-def _(t):
-    arms = t.spark.createDataFrame([("crop",), ("bbox",), ("quadrant",)], "arm string")
-    return t.examples.select("uid").crossJoin(F.broadcast(arms))
-
 
 @query("q08_blind_control", "SELECT 'blind:' || uid AS uid, uid AS src_uid, dataset FROM examples")
 def _(t):

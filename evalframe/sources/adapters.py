@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.functions import geometry as geo
+from evalframe.operators import graph
+from evalframe.storage import stored
 
 _ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
@@ -109,3 +111,65 @@ def counting(m: DataFrame) -> DataFrame:
     q = F.lower("question")
     family = F.when(q.contains("arrows"), "connections").when(q.contains("bars"), "bars").otherwise("other")
     return _example(m, "counting", F.col("uid"), F.col("question"), F.lit("count"), F.array(F.col("true_count").cast("string")), family=family)
+
+
+@adapter("svg_word_mc")
+def word_choices(m: DataFrame) -> DataFrame:
+    """uid, question, options, answer (letter), answer_text, distractors."""
+    return _example(
+        m, "svg_word_mc", F.col("uid"), F.col("question"), F.lit("choice"), F.array(F.col("answer").cast("string")),
+        options=F.array_join("options", "|"), answer_text=F.col("answer_text"), distractors=F.array_join(F.coalesce("distractors", F.array()), "|"),
+        answer_len=F.length(F.coalesce("answer_text", F.lit(""))),
+    )
+
+
+@adapter("flowlearn_sim")
+def flowcharts(m: DataFrame, seed: int = 0) -> DataFrame:
+    """image, variant, mermaid, and atob and between, each with a pair (a, b) of labels under yes and no: up to six rows a chart.
+
+    Two families of edge questions, with and without direction, each with either polarity, and the
+    counts of nodes and arrows. Golds are read off the parsed chart, not the polarity. A pair that is
+    meant to be unconnected but isn't is replaced by one that is (graph.unconnected_pair); a chart
+    without such a pair has no such row, and one without nodes has none at all.
+    """
+    nodes, edges = graph.parse_flowcharts(m, "image", "mermaid")
+    nodes, edges = stored(nodes, "nodes"), stored(edges, "edges")
+    counts = nodes.groupBy("gid").agg(F.count(F.lit(1)).alias("n_nodes")).join(edges.groupBy("gid").agg(F.count(F.lit(1)).alias("n_arrows")), "gid", "left")
+    charts_ = m.select(F.col("image").alias("gid"), "variant", "atob", "between").join(counts.fillna(0), "gid")
+
+    one = lambda family, polarity: F.struct(F.lit(family).alias("family"), F.lit(polarity).alias("polarity"), F.col(f"{family}.{polarity}").alias("p"))
+    asked = F.inline(F.array(*(one(f, p) for f in ("atob", "between") for p in ("yes", "no"))))
+    pairs = charts_.select("gid", "variant", asked).select("gid", "variant", "family", "polarity", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    pairs = pairs.where("a IS NOT NULL AND b IS NOT NULL")
+    linked = graph.has_edge(pairs, nodes, edges, directed=False).withColumnRenamed("has_edge", "joined")
+    free = graph.unconnected_pair(nodes, edges, seed).select("gid", F.col("a").alias("_fa"), F.col("b").alias("_fb"))
+    wrong = (F.col("family") == "between") & (F.col("polarity") == "no") & F.coalesce(F.col("joined"), F.lit(True))
+    rows = linked.withColumn("_wrong", wrong).join(free, "gid", "left")
+    rows = rows.select("gid", "variant", "family", "polarity", *(F.when(F.col("_wrong"), F.col(f"_f{c}")).otherwise(F.col(c)).alias(c) for c in "ab"))
+    rows = rows.where("a IS NOT NULL AND b IS NOT NULL")
+
+    there = graph.has_edge(rows, nodes, edges).withColumnRenamed("has_edge", "_forth")
+    there = graph.has_edge(there, nodes, edges, directed=False).withColumnRenamed("has_edge", "_any")
+    turned = lambda df: df.select(*({"a": F.col("b").alias("a"), "b": F.col("a").alias("b")}.get(c, F.col(c)) for c in df.columns))
+    back = turned(graph.has_edge(turned(there), nodes, edges).withColumnRenamed("has_edge", "_back"))
+    back = graph.edge_style(back, nodes, edges)
+    derived = F.when(F.col("family") == "atob", F.col("_forth")).otherwise(F.col("_any"))
+    gold = F.when(F.coalesce(derived, F.lit(False)), "yes").otherwise("no")
+    why = F.when(derived.isNull(), "phantom_node").when(F.col("_back"), "reversed_edge").otherwise("unconnected")
+    ask = F.when(
+        F.col("family") == "atob", F.concat(F.lit('Is there an arrow from "'), "a", F.lit('" to "'), "b", F.lit('"? An arrow the other way round does not count.'))
+    ).otherwise(F.concat(F.lit('Does an arrow join "'), "a", F.lit('" and "'), "b", F.lit('", in whichever direction?')))
+    uid = F.concat_ws(":", "variant", "gid", "family", "polarity")
+    edge_rows = _example(
+        back, "flowlearn_sim", uid, ask, F.lit("boolean"), F.array(gold), family=F.col("family"), polarity=F.col("polarity"),
+        false_mode=F.when(F.col("polarity") == "no", why), edge_style=F.col("style"), disagrees=(gold != F.col("polarity")),
+    )
+    kinds = F.array(
+        F.struct(F.lit("nodes").alias("family"), F.lit("How many boxes does the chart have?").alias("q"), F.col("n_nodes").alias("n")),
+        F.struct(F.lit("arrows").alias("family"), F.lit("How many arrows does the chart have?").alias("q"), F.col("n_arrows").alias("n")),
+    )
+    count_rows = charts_.select("gid", "variant", F.inline(kinds))
+    uid = F.concat_ws(":", "variant", "gid", "family")
+    return edge_rows.unionByName(_example(
+        count_rows, "flowlearn_sim", uid, F.col("q"), F.lit("count"), F.array(F.col("n").cast("string")), family=F.col("family"), true_count=F.col("n")
+    ))

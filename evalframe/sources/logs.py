@@ -3,23 +3,17 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalframe.storage import scratch  # noqa: F401
+
 #: Sidecar files of a run, told by how their names end.
 SIDECARS = r"(judged|equiv|gtaudit|todo|missing|summary)\.jsonl?$"
 
 
-def scratch(spark: SparkSession, kind: str) -> str:
-    """A new path in the folder that all executors share; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(root or 'file://' + tempfile.mkdtemp()).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
@@ -99,6 +93,13 @@ def changed(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("before")).unionByName(b.exceptAll(a).withColumn("side", F.lit("now")))
 
 
+def require_unchanged(stored: DataFrame, now: DataFrame) -> None:
+    """Raise if what a summary was made from is not what is there now."""
+    names = sorted({r.source_file for r in changed(stored, now).select("source_file").distinct().limit(1000).collect()})
+    if names:
+        raise ValueError(f"made from other files than there are now: {len(names)} differ, {', '.join(names[:3])}")
+
+
 def write_unless_empty(df: DataFrame, path: str, fmt: str = "json") -> int:
     """Write and return the number of rows; nothing is written, and what is there stays, if there are none."""
     n = df.count()
