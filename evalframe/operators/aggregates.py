@@ -140,6 +140,23 @@ def frame_audit(df: DataFrame, by: list[str], x: str, y: str, sent: tuple[str, s
     return out.withColumn("frac", F.try_divide("outside", "n"))
 
 
+def three_costs(evidence: DataFrame, whole: DataFrame, key: str, score: str, equivalent: str, several: Column, computed: Column) -> DataFrame:
+    """cost, as_scored, corrected: what finding, combining and computing cost, in points of the mean score.
+
+    retrieval: all pages against the evidence alone, over the keys that both have; integration:
+    questions on several pages against those on one; derivation: computed answers against quoted ones,
+    both with the evidence. Corrected scores count an answer that is equivalent as right.
+    """
+    fixed = lambda: F.when(F.col(equivalent), F.lit(1.0)).otherwise(F.col(score))
+    e = evidence.select(F.col(key).alias("_k"), F.col(score).alias("_s"), fixed().alias("_f"), several.alias("_several"), computed.alias("_computed"))
+    w = whole.select(F.col(key).alias("_k"), F.col(score).alias("_ws"), fixed().alias("_wf"))
+    both = e.join(w, "_k").agg((F.avg("_ws") - F.avg("_s")).alias("s"), (F.avg("_wf") - F.avg("_f")).alias("f"))
+    split = lambda by, c: F.avg(F.when(F.col(by), F.col(c))) - F.avg(F.when(~F.col(by), F.col(c)))
+    named = lambda name, s, f: F.struct(F.lit(name).alias("cost"), (100 * s).alias("as_scored"), (100 * f).alias("corrected"))
+    own = e.agg(F.array(*(named(n, split(b, "_s"), split(b, "_f")) for n, b in (("integration", "_several"), ("derivation", "_computed")))).alias("c"))
+    return both.select(F.inline(F.array(named("retrieval", F.col("s"), F.col("f"))))).unionByName(own.select(F.inline("c")))
+
+
 def reweighted_rate(df: DataFrame, stratum: str, bad: Column, population: DataFrame) -> DataFrame:
     """Rate of bad over the population's strata sizes (stratum, size), by the strata observed."""
     rates = df.groupBy(stratum).agg(F.avg(bad.cast("double")).alias("rate"), F.count(F.lit(1)).alias("audited"))

@@ -43,6 +43,15 @@ def ladder(spark, aspects: dict[str, float], rungs: dict[str, float], scenes: in
     )
 
 
+#: How a scene's seed follows from the set's and the scene's number.
+SEED_STEP, SCENE_STEP = 100_003, 7919
+
+
+def scene_seeds(spark, scenes: int, seed: int) -> DataFrame:
+    """scene and seed: a seed of its own for each scene, whichever task makes it."""
+    return spark.range(scenes).select(F.col("id").alias("scene"), (F.lit(seed * SEED_STEP).cast("long") + F.col("id") * SCENE_STEP).alias("seed"))
+
+
 def words_of(text: Column) -> Column:
     """Words of a text, each once, in order."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"\b({WORD})\b"), F.lit(1)))

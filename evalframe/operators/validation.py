@@ -65,5 +65,26 @@ def eligibility(labels: DataFrame, scene: str = "scene", key: str = "uid", min_f
     return df.select(*labels.columns, reason.alias("reason"))
 
 
+def box_checks(rows: DataFrame) -> DataFrame:
+    """uid and five flags of a delivered box.
+
+    rows: uid, box in pixels, image (w, h) as told, file (w, h) as it is, shrunk (whether the service
+    shrank it), and ink: the extent in pixels of what is painted inside the box, null if nothing is.
+    in_bounds, non_degenerate (two pixels a side), undownscaled (delivered as it is), has_ink, and
+    tight: the ink reaches all four edges.
+    """
+    b, image, file, ink = (F.col(c) for c in ("box", "image", "file", "ink"))
+    inside = (b["x0"] >= 0) & (b["x0"] < b["x1"]) & (b["x1"] <= image["w"]) & (b["y0"] >= 0) & (b["y0"] < b["y1"]) & (b["y1"] <= image["h"])
+    sent = geo.delivered(file["w"], file["h"])
+    edge = lambda side, end: F.floor(ink[side]) == F.floor(b[side]) if not end else F.ceil(ink[side]) == F.ceil(b[side])
+    tight = edge("x0", False) & edge("y0", False) & edge("x1", True) & edge("y1", True)
+    return rows.select(
+        "uid", (inside & (file["w"] == image["w"]) & (file["h"] == image["h"])).alias("in_bounds"),
+        ((b["x1"] - b["x0"] >= 2) & (b["y1"] - b["y0"] >= 2)).alias("non_degenerate"),
+        ((sent["w"] == file["w"]) & (sent["h"] == file["h"]) & ~F.col("shrunk")).alias("undownscaled"), ink.isNotNull().alias("has_ink"),
+        F.coalesce(tight, F.lit(False)).alias("tight"),
+    )
+
+
 def _beside_flag(df: DataFrame, keys: DataFrame, scene: str, key: str, flag: str) -> DataFrame:
     return df.join(keys.withColumn(flag, F.lit(True)), [scene, key], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))

@@ -170,9 +170,21 @@ def _(t):
     return t.documents.where(need > (F.col("doc_id") % 60) / 10).select("doc_id")
 
 
-@query("v05_box_checks", "SELECT uid, x0 < 0 OR y0 < 0 OR x1 > 1 OR y1 > 1 AS outside, x1 - x0 < 0.01 OR y1 - y0 < 0.01 AS thin, (x1 - x0) * (y1 - y0) > 0.06 AS large FROM boxes")
+@query("v05_box_checks", """SELECT uid, x0 >= 0 AND x0 < x1 AND x1 <= w AND y0 >= 0 AND y0 < y1 AND y1 <= h AND uid % 17 <> 0 AS in_bounds, x1 - x0 >= 2 AND y1 - y0 >= 2 AS non_degenerate,
+  CASE WHEN uid % 17 = 0 THEN 2000 ELSE w END <= 1568 AND uid % 6 <> 0 AS undownscaled, uid % 10 <> 0 AS has_ink, uid % 10 <> 0 AND spill = 0 AS tight FROM manifest""")
 def _(t):
-    return t.boxes.selectExpr("uid", "x0 < 0 OR y0 < 0 OR x1 > 1 OR y1 > 1 AS outside", "x1 - x0 < 0.01 OR y1 - y0 < 0.01 AS thin", "(x1 - x0) * (y1 - y0) > 0.06 AS large")
+    from evalframe.functions import geometry as geo
+    from evalframe.operators import validation
+
+    size = lambda w, h: F.struct(w.alias("w"), h.alias("h"))
+    ink = F.when(F.col("uid") % 10 != 0, geo.box(F.col("x0") + F.col("spill"), *(F.col(c) for c in ("y0", "x1", "y1"))))
+    m = t.manifest.withColumn("image", size(F.col("w"), F.col("h"))).withColumn("ink", ink).withColumn("shrunk", F.col("uid") % 6 == 0)
+    return validation.box_checks(m.withColumn("file", size(F.when(F.col("uid") % 17 == 0, 2000).otherwise(F.col("w")), F.col("h"))))
+
+
+@query("q02_scene_seeds", "SELECT CAST(s AS BIGINT) AS scene, CAST(17 * 100003 + s * 7919 AS BIGINT) AS seed FROM range(200) AS g(s)")
+def _(t):
+    return gen.scene_seeds(t.spark, 200, 17)
 
 
 @query("r01_labels_to_ids", "SELECT n_name AS label, n_nationkey AS id FROM nation")

@@ -168,10 +168,16 @@ def _(t):
     return j.groupBy("dataset").agg(F.count_if(s == 0).alias("hard_zeros"), F.count_if(s < 1).alias("non_exact"), F.count_if((s < 1) & F.col("equivalent")).alias("equivalent"))
 
 
-@query("a30_three_costs", "SELECT round(avg(score) FILTER (WHERE primitive = 'F') - avg(score) FILTER (WHERE primitive = 'O'), 9) AS retrieval, round(avg(score) FILTER (WHERE family < 3) - avg(score) FILTER (WHERE family >= 3), 9) AS integration FROM scored")
-def _(t):
-    m = lambda e: F.avg(F.when(F.expr(e), F.col("score")))
-    return t.scored.agg(F.round(m("primitive = 'F'") - m("primitive = 'O'"), 9).alias("retrieval"), F.round(m("family < 3") - m("family >= 3"), 9).alias("integration"))
+@query("a30_three_costs", """WITH e AS (SELECT s.uid, s.score AS s, CASE WHEN j.equivalent THEN 1.0 ELSE s.score END AS f, s.n_true > 6 AS several, s.family < 3 AS computed FROM scored s LEFT JOIN judged j USING (uid)),
+w AS (SELECT c.src_uid AS uid, c.score AS s, CASE WHEN j.equivalent THEN 1.0 ELSE c.score END AS f FROM control c LEFT JOIN judged j ON j.uid = c.src_uid),
+r AS (SELECT 'retrieval' AS cost, avg(w.s) - avg(e.s) AS s, avg(w.f) - avg(e.f) AS f FROM e JOIN w USING (uid) UNION ALL SELECT 'integration', avg(s) FILTER (WHERE several) - avg(s) FILTER (WHERE NOT several), avg(f) FILTER (WHERE several) - avg(f) FILTER (WHERE NOT several) FROM e
+ UNION ALL SELECT 'derivation', avg(s) FILTER (WHERE computed) - avg(s) FILTER (WHERE NOT computed), avg(f) FILTER (WHERE computed) - avg(f) FILTER (WHERE NOT computed) FROM e)
+SELECT cost, round(100 * s, 9) AS as_scored, round(100 * f, 9) AS corrected FROM r""")
+def _(t):
+    told = t.judged.select("uid", "equivalent")
+    whole = t.control.select(F.col("src_uid").alias("uid"), "score").join(told, "uid", "left")
+    costs = ag.three_costs(t.scored.join(told, "uid", "left"), whole, "uid", "score", "equivalent", F.col("n_true") > 6, F.col("family") < 3)
+    return _r(costs, "as_scored", "corrected")
 
 
 @query("a31_two_by_two", "SELECT s.family < 3 AS near, s.primitive = 'F' AS easy, count(*) AS n, round(avg(s.score - c.score), 9) AS gap FROM scored s JOIN control c ON c.src_uid = s.uid WHERE s.score IS NOT NULL GROUP BY 1, 2")
