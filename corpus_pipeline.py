@@ -1,7 +1,8 @@
 """From documents to a training mixture: quality, lines, near duplicates, benchmarks, mixing.
 
 Each stage takes what its predecessor kept and returns the columns of documents (the last adds
-where in the mixture a row stands). Repeated doc_ids are taken as one document.
+where in the mixture a row stands). Every stage reads only COLUMNS, so further columns, whatever
+their names, are not carried; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,37 +26,55 @@ def _resized(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; all labels of the given documents may be learnt from."""
+    """Documents that the quality classifier accepts; all labels of the given documents may be learnt from.
+
+    Null and empty texts are scored like any other; rows that repeat a doc_id are judged each by its text;
+    a score at the threshold is accepted; without labels of both classes all documents get one score.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality_model.score_quality(docs.select(*COLUMNS), labels, usable=F.lit(True), keep=COLUMNS)
     return scored.where("predicted = 1").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines; documents of which no word is left go, those that had none stay."""
+    """Texts without repeated lines; documents of which no word is left go, those that had none stay.
+
+    Null texts stay null. Of equal or similar lines the one of the smallest (doc_id, line number) stays; rows
+    that repeat a doc_id lose the same line numbers.
+    """
     docs = docs.select(*COLUMNS)
-    cleaned = line_dedup.dedup_lines(docs, line_dedup.WHOLE, n_removed="_removed")
+    cleaned = line_dedup.dedup_lines(docs, n_removed="_removed")
     left = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x00-\x20]")
     return _resized(cleaned.where((F.col("_removed") == 0) | left))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates (five words, similarity 0.8)."""
+    """The smallest doc_id of each group of near duplicates (five words, similarity 0.8).
+
+    Null and wordless texts are alone and stay. Rows that repeat a doc_id are one document and stay or go together.
+    """
     docs = docs.select(*COLUMNS)
     found = ngram_jaccard.near_duplicates(docs)
     gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of benchmark items; documents that are mostly such passages go."""
+    """Texts without passages of benchmark items; documents that are mostly such passages go.
+
+    Null and empty texts have no passage and stay; repeated rows are treated alike; without items nothing changes.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_contamination(docs.select(*COLUMNS), items, keep=COLUMNS, with_text=True)
     return _resized(found.where(~F.col("over_limit")).withColumn("text", F.col("clean_text")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mixed corpus, as often as it takes them, with their place in it."""
+    """The documents of the mixed corpus, as often as it takes them, with their place in it.
+
+    Null sources form one source; documents without words cost nothing and ride along with their block; rows
+    that repeat a doc_id are taken together.
+    """
     return mixing.mix_sources(docs.select(*COLUMNS), keep=COLUMNS)
 
 
