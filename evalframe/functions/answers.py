@@ -133,3 +133,31 @@ def bucket(value: Column, edges: list[float], labels: list[str]) -> Column:
     for edge, label in zip(reversed(edges), reversed(labels[:-1])):
         out = F.when(value < edge, label).otherwise(out)
     return F.when(value.isNotNull(), out)
+
+
+def by_group(value: Column, groups: dict[str, tuple], other: str) -> Column:
+    """The name of the first group that holds the value, else other."""
+    out = F.lit(other)
+    for name, members in reversed(groups.items()):
+        out = F.when(value.isin(*members), name).otherwise(out)
+    return out
+
+
+def cell_name(several: Column, computed: Column) -> Column:
+    """Name of a cell of evidence by arithmetic."""
+    return F.concat_ws("_", F.when(several, "multi").otherwise("single"), F.when(computed, "arith").otherwise("plain"))
+
+
+def vision_status(exempt: Column, blind: Column, threshold: float = 0.5) -> Column:
+    """Whether an item was answered without its image: exempt, untested, answerable, or confirmed to need it."""
+    return F.when(exempt, "exempt").when(blind.isNull(), "untested").when(blind >= threshold, "answerable").otherwise("confirmed")
+
+
+def corrected_score(score: Column, equivalent: Column) -> Column:
+    """An answer that is equivalent to the gold counts as right."""
+    return F.when(equivalent, F.lit(1.0)).otherwise(score)
+
+
+def legible(size: Column, floor: int = 9) -> Column:
+    """(size, raised): a type size raised to the floor, and whether it was."""
+    return F.struct(F.greatest(size, F.lit(floor)).alias("size"), (size < floor).alias("raised"))

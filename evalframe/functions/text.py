@@ -105,6 +105,17 @@ def bare(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip(x)), _WS, " "), r"^[ .]+|[ .]+$", "")
 
 
+def is_said(x: Column, words: str, anywhere: bool = False) -> Column:
+    """Whether a text is the words, stripped and in any case, or with anywhere holds them."""
+    t = F.lower(F.coalesce(x, F.lit("")))
+    return t.contains(words.lower()) if anywhere else strip(t) == words.lower()
+
+
+def refers_to(x: Column, marks: tuple[str, ...]) -> Column:
+    """Whether a text names one of the marks (patterns) as a whole word, in any case."""
+    return x.rlike(r"(?i)\b(" + "|".join(marks) + r")\b")
+
+
 def list_items(x: Column) -> Column:
     """Items split at the first of comma, semicolon or line feed that occurs; bare, blanks left out."""
     t = strip(F.coalesce(x, F.lit("")))

@@ -99,13 +99,13 @@ def _(t):
 
 @query("f44_family_map", "SELECT family, CASE WHEN family IN (0, 1) THEN 'title' WHEN family IN (2, 5) THEN 'axis' ELSE 'other' END AS fam, count(*) AS n FROM scored GROUP BY 1, 2")
 def _(t):
-    f = F.col("family")
-    return t.scored.groupBy("family", F.when(f.isin(0, 1), "title").when(f.isin(2, 5), "axis").otherwise("other").alias("fam")).agg(F.count(F.lit(1)).alias("n"))
+    name = an.by_group(F.col("family"), {"title": (0, 1), "axis": (2, 5)}, "other")
+    return t.scored.groupBy("family", name.alias("fam")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("f45_cell_names", "SELECT CASE WHEN n_true > 6 THEN 'multi' ELSE 'single' END || '_' || CASE WHEN family < 3 THEN 'arith' ELSE 'plain' END AS cell, count(*) AS n FROM scored GROUP BY 1")
 def _(t):
-    name = F.concat(F.when(F.col("n_true") > 6, "multi").otherwise("single"), F.lit("_"), F.when(F.col("family") < 3, "arith").otherwise("plain"))
+    name = an.cell_name(F.col("n_true") > 6, F.col("family") < 3)
     return t.scored.groupBy(name.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -48,7 +48,7 @@ def _(t):
 
 @query("p05_confidence", "SELECT uid, CASE WHEN qid IN (1, 3) THEN 'fuzzy' ELSE 'strict' END AS confidence FROM examples")
 def _(t):
-    return t.examples.select("uid", F.when(F.col("qid").isin(1, 3), "fuzzy").otherwise("strict").alias("confidence"))
+    return t.examples.select("uid", an.by_group(F.col("qid"), {"fuzzy": (1, 3)}, "strict").alias("confidence"))
 
 
 
@@ -322,7 +322,7 @@ def _(t):
 
 @query("f34_corrected_score", "SELECT uid, CASE WHEN equivalent THEN 1.0 ELSE score END AS score FROM scored JOIN judged USING (uid)")
 def _(t):
-    return t.scored.join(t.judged, "uid").select("uid", F.when(F.col("equivalent"), 1.0).otherwise(F.col("score")).alias("score"))
+    return t.scored.join(t.judged, "uid").select("uid", an.corrected_score(F.col("score"), F.col("equivalent")).alias("score"))
 
 
 @query("f41_bucket", "SELECT doc_id, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 2000 THEN 'medium' ELSE 'long' END AS size FROM documents")
@@ -375,7 +375,7 @@ def _(t):
 
 @query("v08_legibility_floor", "SELECT p_partkey, greatest(p_size, 9) AS size, p_size < 9 AS raised FROM part")
 def _(t):
-    return t.part.select("p_partkey", F.greatest("p_size", F.lit(9)).alias("size"), (F.col("p_size") < 9).alias("raised"))
+    return t.part.select("p_partkey", an.legible(F.col("p_size")).alias("l")).select("p_partkey", "l.*")
 
 
 @query("q04_ladder_grid", "SELECT a.r_name AS aspect, n_name AS rung, o AS scene FROM region a, nation, range(3) AS s(o)")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalframe.functions import answers as an
 from evalframe.functions import text as tx
 from evalframe.operators import dedup, joins, windows
 from evalframe.plans.base import query
+from evalframe.sources import logs
 
 def usable():
     return F.col("pred").isNotNull() & ~F.col("failed")
@@ -316,28 +318,28 @@ def _(t):
 
 @query("q08_blind_control", "SELECT 'blind:' || uid AS uid, uid AS src_uid, dataset FROM examples")
 def _(t):
-    return t.examples.select(F.concat(F.lit("blind:"), "uid").alias("uid"), F.col("uid").alias("src_uid"), "dataset")
+    return logs.blind_control(t.examples).select("uid", "src_uid", "dataset")
 
 
 @query("s16_tags", """SELECT DISTINCT tag, regexp_extract(tag, '^([a-z]+)_', 1) AS model, regexp_replace(tag, '^[a-z]+_', '') AS protocol FROM log""")
 def _(t):
-    return t.log.select("tag", F.regexp_extract("tag", "^([a-z]+)_", 1).alias("model"), F.regexp_replace("tag", "^[a-z]+_", "").alias("protocol")).distinct()
+    return t.log.select("tag", *logs.tag_parts(F.col("tag"), ["ar", "arm", "model"])).distinct()
 
 
 @query("p04_not_applicable", "SELECT uid, lower(trim(coalesce(pred, ''))) = 'small ring' AS na, contains(lower(coalesce(pred, '')), 'ring') AS na_contains FROM answers")
 def _(t):
-    p = F.coalesce("pred", F.lit(""))
-    return t.answers.select("uid", (F.lower(tx.strip(p)) == "small ring").alias("na"), F.lower(p).contains("ring").alias("na_contains"))
+    p = F.col("pred")
+    return t.answers.select("uid", tx.is_said(p, "Small ring").alias("na"), tx.is_said(p, "ring", anywhere=True).alias("na_contains"))
 
 
 @query("p07_refers_to_mark", r"SELECT uid, regexp_matches(gold, '(?i)\b(ring|bolt|letter|labell?ed)\b') AS refers FROM answers")
 def _(t):
-    return t.answers.select("uid", F.col("gold").rlike(r"(?i)\b(ring|bolt|letter|labell?ed)\b").alias("refers"))
+    return t.answers.select("uid", tx.refers_to(F.col("gold"), ("ring", "bolt", "letter", "labell?ed")).alias("refers"))
 
 
 @query("p13_vision_status", """SELECT s.uid, CASE WHEN s.family = 0 THEN 'exempt' WHEN c.score IS NULL THEN 'untested' WHEN c.score >= 0.5 THEN 'answerable' ELSE 'confirmed' END AS status
 FROM scored s LEFT JOIN control c ON c.src_uid = s.uid""")
 def _(t):
     c = t.control.select(F.col("src_uid").alias("uid"), F.col("score").alias("blind"))
-    status = F.when(F.col("family") == 0, "exempt").when(F.col("blind").isNull(), "untested").when(F.col("blind") >= 0.5, "answerable").otherwise("confirmed")
+    status = an.vision_status(F.col("family") == 0, F.col("blind"))
     return t.scored.join(c, "uid", "left").select("uid", status.alias("status"))

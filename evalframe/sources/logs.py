@@ -64,6 +64,22 @@ def run_parts(name: Column) -> list[Column]:
     ]
 
 
+def tag_parts(tag: Column, models: list[str]) -> list[Column]:
+    """model and protocol of a run's tag: the longest of the known models that it begins with, and the rest without
+    the number of a repeat; nulls for a tag of no known model."""
+    model = F.lit(None).cast("string")
+    for name in sorted(models, key=len):
+        model = F.when(tag.startswith(f"{name}_"), F.lit(name)).otherwise(model)
+    rest = F.regexp_replace(F.substring(tag, F.length(model) + 2, F.length(tag)), r"_r\d+$", "")
+    return [model.alias("model"), rest.alias("protocol")]
+
+
+def blind_control(examples: DataFrame, prefix: str = "blind") -> DataFrame:
+    """The examples under a uid of their own, with the source's uid beside it, to be asked without their images."""
+    keep = [c for c in examples.columns if c not in ("uid", "images")]
+    return examples.select(F.concat(F.lit(f"{prefix}:"), "uid").alias("uid"), F.col("uid").alias("src_uid"), *keep)
+
+
 def resolve_arm(runs: DataFrame, wanted: str | None = None, canonical: str | None = None, across: bool = False) -> list[str]:
     """File names of the arm to read: the one asked for, the canonical one, or the only one; never several models.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evalframe.operators import dedup
+from evalframe.operators.windows import FATAL
 
 SCHEMA = "seq long, uid string, model string, pred string, error string, cost double"
 
@@ -48,10 +50,19 @@ class Limits:
     spend: float
     window: int = 200
     failure_rate: float = 0.5
+    concurrency: int = 32
+    first_wave: int = 8
+
+    def in_flight(self, spent: float, calls: int) -> int:
+        """Calls that may be in flight: the first wave before any came back, then what the rest of the spend pays for."""
+        if not calls:
+            return max(1, min(self.concurrency, self.first_wave))
+        afford = int((self.spend - spent) / (spent / calls)) if spent else self.concurrency
+        return max(1, min(self.concurrency, afford))
 
 
 def guard(stream: DataFrame, limits: Limits) -> DataFrame:
-    """Per model, after each wave: spent, calls, failures among the last calls, and whether to stop.
+    """Per model, after each wave: spent, calls, failures among the last calls, how many may be in flight, and whether to stop.
 
     State per model is the running spend and a ring of the last outcomes, so it is bounded. Rows
     of a wave may be out of order between files; they count in the order of seq within the wave.
@@ -67,10 +78,10 @@ def guard(stream: DataFrame, limits: Limits) -> DataFrame:
         state.update((spent, calls, ring))
         failing = len(ring) >= window and ring.count("1") > rate * len(ring)
         why = "spend" if spent >= spend else "failures" if failing else None
-        yield pd.DataFrame({"model": [key[0]], "spent": [spent], "calls": [calls], "failures": [ring.count("1")], "stop": [why]})
+        yield pd.DataFrame({"model": [key[0]], "spent": [spent], "calls": [calls], "failures": [ring.count("1")], "in_flight": [limits.in_flight(spent, calls)], "stop": [why]})
 
     return stream.groupBy("model").applyInPandasWithState(
-        step, "model string, spent double, calls long, failures long, stop string", "spent double, calls long, ring string",
+        step, "model string, spent double, calls long, failures long, in_flight int, stop string", "spent double, calls long, ring string",
         "update", GroupStateTimeout.NoTimeout,
     )
 
@@ -81,5 +92,6 @@ def latest_table(spark: SparkSession, table: str, usable: Column) -> DataFrame:
 
 
 def is_fatal(error: Column) -> Column:
-    """Errors that repeating can't mend: billing and credentials."""
-    return F.lower(error).rlike("credit balance|billing|authentication|invalid api key|permission")
+    """Errors that repeating can't mend, told as windows.retry_plan tells them."""
+    told = F.lower(error)
+    return reduce(lambda p, q: p | q, (told.contains(words) for words in FATAL))

@@ -215,3 +215,9 @@ def test_stream_guard_stops_on_spend_and_failures(spark, tmp_path):
         got.setdefault(r.model, []).append((r.calls, r.spent, r.stop))
     assert sorted(got["good"]) == [(10, 5.0, None), (20, 10.0, None), (30, 15.0, "spend")]
     assert sorted(got["bad"])[1] == (20, 10.0, "failures")
+    flight = {(r.model, r.calls): r.in_flight for r in spark.table("guarded").collect()}
+    assert (flight["good", 10], flight["good", 20], flight["good", 30]) == (14, 4, 1)
+    limits = runlog.Limits(spend=5.0, concurrency=3)
+    assert (limits.in_flight(0.0, 0), runlog.Limits(spend=5.0).in_flight(0.0, 0), limits.in_flight(0.0, 9)) == (3, 8, 3)
+    told = spark.createDataFrame([("Your Credit Balance is low",), ("timeout",), (None,)], "e string")
+    assert [r.v for r in told.select(runlog.is_fatal(F.col("e")).alias("v")).collect()] == [True, False, None]
