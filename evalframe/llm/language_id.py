@@ -1,4 +1,4 @@
-"""Language identification of web pages by Bayesian evidence fusion.
+"""Language identification of web pages and of plain texts by Bayesian evidence fusion.
 
 Evidence: the visible text's likelihood under byte-trigram models, the language that the markup
 declares, and a prior for the host that is smoothed hierarchically: all pages, then the
@@ -6,10 +6,16 @@ address suffix, then the host. How far declarations can be trusted, and the prio
 grouped sums of the text posteriors over all pages; a page's own share is taken out of its host.
 
 Trigram models are learnt from at most `sample_per_language` labelled documents per language,
-whole texts, chosen by a hash of the key. Edge cases: null and empty pages have no text evidence
+whole texts, chosen by a hash of the key, of those that `usable` admits, so that accuracy can be
+told on the others. With `markup` tags, entities, scripts and comments are taken off first; only
+whole tags are, so a bare `<` costs no text. Without it the text is taken as it is and declares
+nothing.
+
+Edge cases: null and empty pages have no text evidence
 and follow declaration and host; pages without a host share one; unknown declarations count as
 none; without labelled documents the result has null languages; ties go to the first language
-by name; repeated rows are judged alike; an empty table gives an empty result.
+by name; repeated rows are judged alike; keys that repeat among the documents are one of the
+sample; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,14 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.llm.batches import map_texts
 from evalframe.llm.common import join_small, materialize
 
 _HIDDEN = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
-_TAG = re.compile(rb"<[^>]*>?|&[a-zA-Z#0-9]+;")
+_TAG = re.compile(rb"</?[a-zA-Z][^<>]*>|<[!?][^<>]*>|&#?[a-zA-Z0-9]+;")
 _DECLARED = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
 #: Bytes of text models: letters in lower case and non-ASCII bytes; the rest a space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -52,18 +58,25 @@ def visible(page: bytes) -> bytes:
     return _TAG.sub(b" ", _HIDDEN.sub(b" ", page))
 
 
-def fit(docs: DataFrame, cfg: Settings, key: str, text: str, lang: str) -> tuple[list[str], np.ndarray]:
+def fit(
+    docs: DataFrame, cfg: Settings = Settings(), key: str = "doc_id", text: str = "text", lang: str = "lang", usable: Column | None = None
+) -> tuple[list[str], np.ndarray]:
     """Language names, sorted, and each one's log probabilities of hashed trigrams."""
-    names = sorted(r[0] for r in docs.where(F.col(lang).isNotNull()).select(lang).distinct().collect())
+    if usable is not None:
+        docs = docs.where(usable)
+    docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("_l"))
+    names = sorted(r[0] for r in docs.where("_l is not null").select("_l").distinct().collect())
     if not names:
         return [], np.zeros((0, _SIZE))
-    keys = docs.where(F.col(text).isNotNull()).select(key, F.col(lang).alias("_l"))
-    parts = [keys.where(F.col("_l") == n).orderBy(F.xxhash64(key), key).limit(cfg.sample_per_language) for n in names]
+    keys = docs.where("t is not null and _l is not null").select("k", F.xxhash64("k").alias("u"), F.xxhash64("t").alias("v"), "_l").distinct()
+    parts = [keys.where(F.col("_l") == n).orderBy("u", "k", "v").limit(cfg.sample_per_language) for n in names]
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
     # At most sample_per_language rows a language: bounded by the parameter.
-    rows = docs.select(key, F.col(text).cast("binary").alias("_t")).join(F.broadcast(chosen), key)
+    texts = docs.select("k", F.col("t").cast("binary").alias("_t"), F.xxhash64("t").alias("v"))
+    # A row repeated is one of the sample: hashed texts tell.
+    rows = texts.join(F.broadcast(chosen.drop("u")), ["k", "v"]).dropDuplicates(["k", "v", "_l"])
 
     def count(batches):
         sums = {}
@@ -82,24 +95,24 @@ def fit(docs: DataFrame, cfg: Settings, key: str, text: str, lang: str) -> tuple
 
 
 def identify(
-    pages: DataFrame, docs: DataFrame, cfg: Settings = Settings(), key: str = "page_id", url: str = "url", html: str = "html",
-    doc_key: str = "doc_id", doc_text: str = "text", doc_lang: str = "lang",
+    pages: DataFrame, model: tuple[list[str], np.ndarray], cfg: Settings = Settings(), key: str = "page_id", url: str = "url",
+    html: str = "html", markup: bool = True,
 ) -> DataFrame:
-    """key, lang, confidence, text_lang, declared, suffix, host, posterior (by language, in name order)."""
-    names, table = fit(docs, cfg, doc_key, doc_text, doc_lang)
+    """key, lang, confidence, text_lang, declared, suffix, host, ll, posterior (by language, in name order); model is that of fit."""
+    names, table = model
     k = len(names)
-    model = pages.sparkSession.sparkContext.broadcast(table)
+    held = pages.sparkSession.sparkContext.broadcast(table)
 
     def factory():
-        table = model.value
+        table = held.value
 
         def fn(texts):
             logs, declared = [], []
             for t in texts:
-                grams = trigrams(visible(t)) if t else np.zeros(0, np.int64)
+                grams = trigrams(visible(t) if markup else t) if t else np.zeros(0, np.int64)
                 ll = cfg.weight * table[:, grams].sum(1) if k else np.zeros(0)
                 logs.append((np.maximum(ll - ll.max(), -cfg.most_nats) if k else ll).tolist())
-                m = _DECLARED.search(t) if t else None
+                m = _DECLARED.search(t) if t and markup else None
                 d = m.group(1).lower().decode() if m else None
                 declared.append(d if d in names else None)
             return [pa.array(logs, pa.list_(pa.float64())), pa.array(declared, pa.string())]
@@ -107,14 +120,14 @@ def identify(
         return fn
 
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
-    rows = pages.select(F.col(key), host.alias("host"), html)
-    rows = map_texts(rows, factory, "ll array<double>, declared string", [key, "host"], html)
+    rows = pages.select(F.col(key).alias("_key"), host.alias("host"), F.col(html).alias("_html"))
+    rows = map_texts(rows, factory, "ll array<double>, declared string", ["_key", "host"], "_html")
     rows = rows.withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1)).withColumn("declared", F.coalesce("declared", F.lit("")))
     rows = materialize(rows.withColumn("p", _normal(F.transform("ll", F.exp))), "pages")
     if not names:
         empty = F.lit(None).cast("string")
-        return rows.select(key, empty.alias("lang"), F.lit(None).cast("double").alias("confidence"), empty.alias("text_lang"),
-                           F.nullif("declared", F.lit("")).alias("declared"), "suffix", "host", F.array().cast("array<double>").alias("posterior"))
+        return rows.select(F.col("_key").alias(key), empty.alias("lang"), F.lit(None).cast("double").alias("confidence"), empty.alias("text_lang"),
+                           F.nullif("declared", F.lit("")).alias("declared"), "suffix", "host", "ll", F.array().cast("array<double>").alias("posterior"))
 
     sums = F.array(*(F.sum(F.get("p", F.lit(i))) for i in range(k)))
     hosts = materialize(rows.groupBy("host", "suffix").agg(sums.alias("hs"), F.count(F.lit(1)).alias("hn")), "hosts")
@@ -146,9 +159,9 @@ def identify(
     label = F.array(*map(F.lit, names))
     best = lambda a: F.get(label, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
     return joined.select(
-        key, best(F.col("posterior")).alias("lang"), F.array_max("posterior").alias("confidence"),
+        F.col("_key").alias(key), best(F.col("posterior")).alias("lang"), F.array_max("posterior").alias("confidence"),
         F.when(F.array_max("p") > F.array_min("p"), best(F.col("p"))).alias("text_lang"),
-        F.nullif("declared", F.lit("")).alias("declared"), "suffix", "host", "posterior",
+        F.nullif("declared", F.lit("")).alias("declared"), "suffix", "host", "ll", "posterior",
     )
 
 

@@ -111,9 +111,10 @@ _BASE32 = f"""array_to_string(list_transform(range(0, 8), lambda k: array_to_str
   lambda s: substr({_B32}, (((('0x' || substr(h, k * 5 + 1, 5))::BIGINT >> s) & 31) + 1)::INTEGER, 1)), '')), '')"""
 
 WARC = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
-f AS (SELECT page_id, octet_length(encode(t)) AS n, {_BASE32} AS digest, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT page_id, url, octet_length(encode(t)) AS n, {_BASE32} AS digest, min(page_id) OVER (PARTITION BY t) AS first FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to
+       CASE WHEN page_id <> first THEN first END AS refers_to, 3::INT AS n_records, 'GET' AS request_method,
+       '/' || regexp_extract(regexp_replace(coalesce(url, ''), '^[a-zA-Z]+://', ''), '^[^/]*/(.*)$', 1) AS request_path
 FROM f"""

@@ -20,6 +20,7 @@ from evalframe.llm import quality_rules as qr
 from evalframe.llm import substring_dedup as sd
 from evalframe.llm import toxicity as tx
 from evalframe.llm import warc
+from evalframe.llm.common import discard
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return mx.mix_sources(docs, keep=["doc_id", "source"]).select("doc_id", "source", "n_tokens", "epoch", "block")
+    return mx.mix_sources(docs, keep=["doc_id", "source"]).select("doc_id", "source", "n_tokens", "epoch", "block", "place")
 
 
 def _fold(n: int):
@@ -74,26 +75,35 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by page_id, and documents by doc_id: plain texts without markup, whose source stands for the host."""
+    """Pages by page_id, and documents by doc_id: plain texts without markup, whose source stands for the host.
+
+    The model does not see the documents that held_out marks.
+    """
     docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
-    found = li.identify(pages, docs).withColumn("doc_id", F.lit(None).cast("long"))
-    plain = docs.select("doc_id", F.concat(F.lit("source://"), "source").alias("url"), F.col("text").alias("html"))
-    told = li.identify(plain, docs, key="doc_id").withColumn("page_id", F.lit(None).cast("long"))
-    return found.unionByName(told).drop("posterior").select("doc_id", "page_id", "lang", "confidence", "text_lang", "declared", "suffix", "host")
+    model = li.fit(docs, usable=_fold(5) != 0)
+    found = li.identify(pages, model).withColumn("doc_id", F.lit(None).cast("long")).withColumn("held_out", F.lit(None).cast("boolean"))
+    plain = docs.select("doc_id", F.concat(F.lit("source://"), "source").alias("url"), "text")
+    told = li.identify(plain, model, key="doc_id", html="text", markup=False)
+    told = told.withColumn("page_id", F.lit(None).cast("long")).withColumn("held_out", _fold(5) == 0)
+    columns = ["doc_id", "page_id", "held_out", "lang", "confidence", "text_lang", "declared", "suffix", "host"]
+    return found.unionByName(told).select(*columns)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archives(_table(spark, sf_dir, "pages"))
-    captures = warc.assemble(warc.read_records(spark, path, with_payload=False))
+    records = warc.read_records(spark, path, with_payload=False)
+    captures = warc.with_referred(warc.assemble(records))
+    discard(records)
     size, digest = warc.payload_facts(captures)
+    records = F.lit(1) + F.col("request").isNotNull().cast("int") + F.col("metadata").isNotNull().cast("int")
     return captures.select(
         "page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("response.kind").alias("record_type"),
-        F.col("response.refers_to").cast("long").alias("refers_to"),
+        "refers_to", records.alias("n_records"), F.col("request.fields")["method"].alias("request_method"), F.col("request.fields")["path"].alias("request_path"),
     )
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = ld.dedup_lines(_table(spark, sf_dir, "documents"), ld.WHOLE, n_removed="n_removed")
+    cleaned = ld.dedup_lines(_table(spark, sf_dir, "documents"), n_removed="n_removed")
     return cleaned.select("doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

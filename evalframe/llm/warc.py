@@ -1,18 +1,23 @@
 """WARC archives: written from page rows, read back, and assembled into one row per capture.
 
 Each page gives three records: a request, a response (or a revisit, if a page with a smaller key
-has the same payload) and metadata. Request and metadata name the response in
-WARC-Concurrent-To; the reader joins the three through it and emits one nested row per capture.
+has the same payload; it names that page's response record in WARC-Refers-To) and metadata.
+Request and metadata name the response in WARC-Concurrent-To; the reader joins the three through
+it and emits one nested row per capture.
 
 Archives are plain WARC/1.1 files in a folder that all executors share. Spark's text writer
 makes them (its separator is the blank line that ends a record), so files appear only when
 their task is committed, and a lost executor's are written anew. Files hold at most
-`records_per_file` records; the reader takes one file at a time into a task.
+`records_per_file` records of payloads up to `large_bytes`, and one capture of a larger payload,
+which bounds their bytes; the reader takes one file at a time into a task and parses it once: the
+records are stored before they are joined. Digests are made twice, from the payloads where they
+are: moving payloads or storing them again would cost more.
 
 Edge cases: a null payload is empty; null urls are written as an empty target; rows that repeat
 key, url and payload are one set of records and are given back as often as they came; equal
 payloads are told by SHA-1, ties in the key are all responses; payloads may hold blank lines or
-look like WARC records, as lengths are followed; an empty table gives an empty archive.
+look like WARC records, as lengths are followed; a response without its request or metadata stays, with
+nulls for them; an empty table gives an empty archive. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +34,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.llm.batches import map_texts
-from evalframe.llm.common import materialize, new_path
+from evalframe.llm.common import discard, materialize, new_path
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
 @dataclass(frozen=True)
 class Settings:
-    records_per_file: int = 6000
+    records_per_file: int = 3000
+    large_bytes: int = 200_000
     date: str = "2024-01-01T00:00:00Z"
     min_revisit_bytes: int = 0  # payloads below this size are always written in full
 
@@ -59,27 +65,32 @@ def _record(kind: str, ident: str, uri: str, mime: str, body: str, headers: list
     return "\r\n".join(lines) + "\r\n\r\n" + body
 
 
-def capture_records(key: int, url: str | None, html: str | None, digest: str, refers_to: int | None, copies: int, date: str) -> list[str]:
-    """The response or revisit, the request and the metadata of one page row."""
-    uri = re.sub(r"[\r\n]", "", url or "")
+def target(url: str | None) -> str:
+    return re.sub(r"[\r\n]", "", url or "")
+
+
+def capture_records(key: int, url: str | None, html: str | None, digest: str, first: dict | None, copies: int, date: str) -> list[str]:
+    """The response, or the revisit of the first page (key, url) of that payload, the request and the metadata of one page row."""
+    uri = target(url)
     payload = html or ""
     size = len(payload.encode())
     main = record_id(key, url, digest, "response")
     host, _, path = re.sub(r"^[a-zA-Z]+://", "", uri).partition("/")
     status = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     told = [("WARC-Payload-Digest", f"sha1:{digest}")]
-    if refers_to is None:
+    if first is None:
         body = f"{status}Content-Length: {size}\r\n\r\n{payload}"
-        first = _record("response", main, uri, "application/http;msgtype=response", body, told, date)
+        held = _record("response", main, uri, "application/http;msgtype=response", body, told, date)
     else:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        told += [("WARC-Profile", profile), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
-        first = _record("revisit", main, uri, "application/http;msgtype=response", status + "\r\n", told, date)
+        told += [("WARC-Profile", profile), ("WARC-Refers-To", record_id(first["key"], first["url"], digest, "response"))]
+        told += [("WARC-Refers-To-Target-URI", target(first["url"])), ("WARC-Refers-To-Date", date)]
+        held = _record("revisit", main, uri, "application/http;msgtype=response", status + "\r\n", told, date)
     near = [("WARC-Concurrent-To", main)]
     ask = f"GET /{path} HTTP/1.1\r\nHost: {host}\r\n\r\n"
     facts = f"pageId: {key}\r\npayloadBytes: {size}\r\ncopies: {copies}\r\n"
     return [
-        first,
+        held,
         _record("request", record_id(main, "request"), uri, "application/http;msgtype=request", ask, near, date),
         _record("metadata", record_id(main, "metadata"), uri, "application/warc-fields", facts, near, date),
     ]
@@ -98,17 +109,19 @@ def write_archives(pages: DataFrame, cfg: Settings = Settings(), path: str | Non
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
     named = map_texts(rows, digests, "digest string, size bigint", ["key", "url"], "html")
     named = materialize(named.groupBy("key", "url", "digest", "size").agg(F.count(F.lit(1)).alias("copies")), "digests")
-    first = named.where(F.col("size") >= cfg.min_revisit_bytes).groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    first = named.where(F.col("size") >= cfg.min_revisit_bytes).groupBy("digest").agg(F.min(F.struct("key", "url")).alias("first"), F.max("key").alias("last"))
     # Only rows that differ from the plain case travel to the payloads: revisits and repeated rows.
-    odd = named.join(first.where("first <> last"), "digest", "left").select(
-        "key", "url", "digest", "copies", F.when(F.col("key") > F.col("first"), F.col("first")).alias("refers_to")
+    # Stored, so that the join with it can split the partition of a payload with very many copies.
+    first = materialize(first.where("first.key <> last"), "first")
+    odd = named.join(first.hint("merge"), "digest", "left").select(
+        "key", "url", "digest", "copies", F.when(F.col("key") > F.col("first.key"), F.col("first")).alias("first")
     )
-    odd = materialize(odd.where("copies > 1 or refers_to is not null"), "revisits")
+    odd = materialize(odd.where("copies > 1 or first is not null"), "revisits")
     full = map_texts(rows, digests, "digest string, size bigint", ["key", "url", "html"], "html")
     same = (full.key.eqNullSafe(odd.key)) & (full.url.eqNullSafe(odd.url)) & (full.digest == odd.digest)
     n_odd = odd.count()
-    joined = full.join(F.broadcast(odd) if n_odd <= 200_000 else odd, same, "left").select(
-        full.key, full.url, full.html, full.digest, odd.refers_to, F.coalesce(odd.copies, F.lit(1)).alias("copies")
+    joined = full.join(F.broadcast(odd) if n_odd <= 200_000 else odd.hint("merge"), same, "left").select(
+        full.key, full.url, full.html, full.digest, odd["first"], F.coalesce(odd.copies, F.lit(1)).alias("copies")
     )
     date = cfg.date
 
@@ -122,8 +135,12 @@ def write_archives(pages: DataFrame, cfg: Settings = Settings(), path: str | Non
                     out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    text = joined.mapInArrow(records, "value string")
-    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", cfg.records_per_file).text(path)
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    # Large payloads apart, one capture a file.
+    for rows, most in ((joined.where(size <= cfg.large_bytes), cfg.records_per_file), (joined.where(size > cfg.large_bytes), 3)):
+        out = rows.mapInArrow(records, "value string").write.mode("append")
+        out.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(path)
+    discard(named, first, odd)
     return path
 
 
@@ -143,7 +160,10 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """All records: kind, record_id, concurrent_to, uri, fields, and of responses the payload and its digest as read."""
+    """All records, parsed once and stored: kind, record_id, concurrent_to, uri, fields, and of responses the payload and its digest as read.
+
+    fields: of metadata as they are, of requests method, path and protocol.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
     names = ["kind", "record_id", "concurrent_to", "uri", "told_digest", "refers_to", "read_digest", "read_bytes", "fields", "payload"]
 
@@ -160,11 +180,14 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                         payload = body.decode() if with_payload else None
                     elif kind == "metadata":
                         fields = [(k.decode(), v.decode()) for k, v in _HEADER.findall(bytes(block))]
+                    elif kind == "request":
+                        line = bytes(block[: bytes(block).index(b"\r\n")]).decode()
+                        fields = list(zip(("method", "path", "protocol"), (line.split(" ", 1)[0], *line.split(" ", 1)[1].rsplit(" ", 1))))
                     told = h.get("warc-payload-digest")
                     refers = h.get("warc-refers-to")
                     rows.append((
                         kind, h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-target-uri"),
-                        told and told.removeprefix("sha1:"), refers and refers.removeprefix("<urn:page:").removesuffix(">"),
+                        told and told.removeprefix("sha1:"), refers,
                         digest, size, fields, payload,
                     ))
                     if len(rows) >= 500:
@@ -177,7 +200,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
     schema = ", ".join(f"{n} string" for n in names[:7]) + ", read_bytes bigint, fields map<string,string>, payload string"
-    return files.mapInArrow(parse, schema)
+    return materialize(files.mapInArrow(parse, schema), "records")
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -191,9 +214,10 @@ def assemble(records: DataFrame) -> DataFrame:
     )
     # Repeated rows wrote equal records; one of each is joined and the copies come back at the end.
     main = main.dropDuplicates(["record_id"])
-    ask = records.where("kind = 'request'").select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("id"), "uri").alias("request"))
+    ask = records.where("kind = 'request'").select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("id"), "uri", "fields").alias("request"))
     facts = records.where("kind = 'metadata'").select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("id"), "fields").alias("metadata"))
-    whole = main.join(ask.dropDuplicates(["record_id"]), "record_id", "left").join(facts.dropDuplicates(["record_id"]), "record_id", "left")
+    whole = main.join(ask.dropDuplicates(["record_id"]).hint("merge"), "record_id", "left")
+    whole = whole.join(facts.dropDuplicates(["record_id"]).hint("merge"), "record_id", "left")
     copies = F.greatest(F.coalesce(F.col("metadata.fields")["copies"].cast("int"), F.lit(1)), F.lit(1))
     whole = whole.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     return whole.select(
@@ -201,6 +225,15 @@ def assemble(records: DataFrame) -> DataFrame:
     )
 
 
+def with_referred(captures: DataFrame) -> DataFrame:
+    """captures plus refers_to: the page_id of the response that a revisit's WARC-Refers-To names; null for responses."""
+    captures = materialize(captures, "captures")
+    named = captures.where("response.kind = 'response'").select(F.col("response.record_id").alias("_id"), F.col("page_id").alias("refers_to"))
+    # Stored, so that the join can split the partition of a response that very many revisits name.
+    named = materialize(named.dropDuplicates(["_id"]), "responses")
+    return captures.join(named.hint("merge"), F.col("response.refers_to") == F.col("_id"), "left").drop("_id")
+
+
 def payload_facts(captures: DataFrame) -> tuple[Column, Column]:
     """Bytes and digest of a capture's full payload: as read from a response, as told of a revisit."""
     size = F.coalesce(F.col("response.read_bytes"), F.col("metadata.fields")["payloadBytes"].cast("long"))

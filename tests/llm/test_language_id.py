@@ -23,7 +23,7 @@ def test_evidence_is_fused(spark):
     ]
     d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     p = spark.createDataFrame([(*x, "h") for x in pages], "page_id long, url string, html string, host string")
-    rows = li.identify(p.repartition(3), d).collect()
+    rows = li.identify(p.repartition(3), li.fit(d)).collect()
     assert len(rows) == len(pages)
     got = {r.page_id: r for r in rows}
     assert all(got[i].lang == [*WORDS][i % 3] for i in range(300))
@@ -35,6 +35,6 @@ def test_evidence_is_fused(spark):
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string, lang string")
     p = spark.createDataFrame([(1, "http://h.x/", "<p>a</p>")], "page_id long, url string, html string")
-    assert li.identify(p, d).first().lang is None
+    assert li.identify(p, li.fit(d)).first().lang is None
     d = spark.createDataFrame([(1, "kato", "aa")], "doc_id long, text string, lang string")
-    assert li.identify(p.limit(0), d).count() == 0
+    assert li.identify(p.limit(0), li.fit(d)).count() == 0

@@ -13,11 +13,12 @@ PAGES = [
 
 def want(pages):
     out = []
-    for key, _, html in pages:
+    for key, url, html in pages:
         raw = (html or "").encode()
         first = min(k for k, _, h in pages if (h or "") == (html or ""))
         digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
-        out.append((key, len(raw), digest, "response" if key == first else "revisit", None if key == first else first))
+        path = "/" + (url or "").replace("\r\n", "").split("://")[-1].partition("/")[2]
+        out.append((key, len(raw), digest, "response" if key == first else "revisit", None if key == first else first, 3, "GET", path))
     return sorted(out, key=str)
 
 
@@ -45,3 +46,24 @@ def test_small_payloads_are_never_revisits(spark):
     path = warc.write_archives(df, warc.Settings(min_revisit_bytes=3))
     kinds = {r.page_id: r.response.kind for r in warc.assemble(warc.read_records(spark, path)).collect()}
     assert kinds == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+
+
+def test_revisits_name_a_record_and_lost_requests_show(spark):
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    records = warc.read_records(spark, warc.write_archives(df))
+    ids = {r.record_id for r in records.where("kind = 'response'").collect()}
+    rows = warc.with_referred(warc.assemble(records)).collect()
+    told = [r.response.refers_to for r in rows if r.response.kind == "revisit"]
+    assert told and set(told) <= ids
+    without = warc.assemble(records.where("kind <> 'request' or concurrent_to <> %r" % told[0])).collect()
+    assert len(without) == len(PAGES) and {r.request is None for r in without} == {r.response.record_id == told[0] for r in without}
+
+
+def test_large_payloads_get_files_of_their_own(spark):
+    df = spark.createDataFrame([(i, "http://h/", str(i) * n) for i, n in enumerate((10, 3_000_000, 20, 2_000_000))], "page_id long, url string, html string")
+    path = warc.write_archives(df.repartition(1), warc.Settings(large_bytes=1000))
+    sizes = sorted(r.length for r in spark.read.format("binaryFile").load(path).select("length").collect())
+    assert sizes[-2] < 2_100_000 and sizes[-1] < 3_100_000
+    rows = warc.assemble(warc.read_records(spark, path)).collect()
+    assert {(r.page_id, len(r.response.payload)) for r in rows} == {(0, 10), (1, 3_000_000), (2, 20), (3, 2_000_000)}
+    assert all(r.request.fields["path"] == "/" and r.request.fields["protocol"] == "HTTP/1.1" for r in rows)
