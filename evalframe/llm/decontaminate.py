@@ -6,6 +6,14 @@ given number of consecutive item words, or a whole shorter item) ends there. Wor
 windows form the spans that are removed; a document whose covered share passes a limit is
 marked for removal as a whole.
 
+A benchmark of up to `automaton_words` words, which is counted first, is one automaton that every
+task holds. A larger one never passes the driver: its items are dealt into shards of about that
+many words, and documents go to the shards that may hold a window of theirs. Windows are stood for
+by the least of their `seed`-word hashes, so a document goes where it shares one with an item;
+items shorter than a window have shards of their own, through which every text goes. A task reads
+its rows sorted by shard and block, items first, builds that shard's automaton once and streams
+the block's texts; texts are told apart by two hashes, so equal ones are streamed once.
+
 Normalised words: A-Z lower-cased, runs of digits, ASCII letters and non-ASCII characters.
 Edge cases: null or empty texts and items have no words and no hits; equal items are all
 listed; repeated rows are treated alike; empty tables give empty results; documents keep all
@@ -20,10 +28,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evalframe.llm.batches import ALNUM, map_texts
+from evalframe.llm.common import discard, join_small, materialize
+from evalframe.llm.token_hash import WordHashes, signed, sliding_min, windows
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -32,8 +43,14 @@ _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 class Limits:
     window: int = 10
     max_coverage: float = 0.5  # above this share of covered words the whole document should go
-    #: Words of items in one automaton (some 200 bytes a word); more items go to further automata.
+    #: Words of items in one automaton (some 200 bytes a word); a larger benchmark is dealt into shards.
     automaton_words: int = 500_000
+    seed: int = 5
+    #: Words of documents that one building of a shard's automaton serves.
+    block_words: int = 5_000_000
+
+
+ADDED = ("n_words", "spans", "item_ids", "over_limit", "clean_text")
 
 
 class SuffixAutomaton:
@@ -139,17 +156,104 @@ class Matcher:
                     spans.append((start + i - size + 1, start + i + 1))
 
 
-def _shards(benchmark: DataFrame, item: str, text: str, most: int) -> list[list[tuple]]:
-    """Items in lists of bounded size, read one partition at a time."""
-    shards, size = [[]], 0
-    for row in benchmark.select(item, F.col(text).cast("binary")).toLocalIterator():
-        n = len(row[1] or b"") // 4
-        if shards[-1] and size + n > most:
-            shards.append([])
-            size = 0
-        shards[-1].append((row[0], None if row[1] is None else bytes(row[1])))
-        size += n
-    return shards
+def _tokens(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(ALNUM).split()
+
+
+def _benchmark(benchmark: DataFrame, limits: Limits, item: str, text: str) -> tuple[list | None, DataFrame]:
+    """The items if they are few enough to be held by every task, and the table of them (item, text)."""
+    table = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    # A word and its separator are two bytes at least.
+    words = table.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 2
+    if words > limits.automaton_words:
+        return None, table
+    rows = table.select("item", F.col("text").cast("binary")).collect()
+    return sorted((r[0], bytes(r[1])) for r in rows), table
+
+
+def _marks() -> list[Column]:
+    return [F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2")]
+
+
+def _seeds(df: DataFrame, limits: Limits, keep: list[str]) -> DataFrame:
+    """keep, n_words and seeds: the distinct least seed-word hashes of the text's windows."""
+    window, seed = limits.window, min(limits.seed, limits.window)
+
+    def factory():
+        hashes = WordHashes()
+
+        def fn(texts):
+            words = [_tokens(t) for t in texts]
+            least = [sliding_min(windows(hashes.of(w), seed), window - seed + 1) for w in words]
+            return [pa.array([len(w) for w in words], pa.int64()), pa.array([signed(np.unique(x)) for x in least], pa.list_(pa.int64()))]
+
+        return fn
+
+    return map_texts(df, factory, "n_words bigint, seeds array<bigint>", keep, "text")
+
+
+def _sharded(docs: DataFrame, table: DataFrame, limits: Limits) -> DataFrame:
+    """t1, t2, spans, items: what each different text has of the items, from all the shards it went to."""
+    item_type = table.schema["item"].dataType
+    known = materialize(_seeds(table, limits, ["item", "text"]).where("n_words > 0"), "items")
+    long = F.col("n_words") >= limits.window
+    sums = {r.long: r.words for r in known.groupBy(long.alias("long")).agg(F.sum("n_words").alias("words")).collect()}
+    n_long, n_short = (-(-sums.get(kind, 0) // limits.automaton_words) for kind in (True, False))
+    number = F.xxhash64("item", "text")
+    shard = F.when(long, F.pmod(number, F.lit(max(n_long, 1)))).otherwise(n_long + F.pmod(number, F.lit(max(n_short, 1))))
+    items = materialize(known.withColumn("shard", shard.cast("int")), "items")
+    places = materialize(items.where(long).select(F.explode("seeds").alias("s"), "shard").distinct(), "seeds")
+
+    texts = docs.where("text IS NOT NULL").select("text", *_marks())
+    seen = materialize(_seeds(texts, limits, ["t1", "t2"]).dropDuplicates(["t1", "t2"]), "seen")
+    route = seen.select("t1", "t2", "n_words", F.explode("seeds").alias("s")).join(places.hint("merge"), "s").drop("s").distinct()
+    every = seen.where("n_words > 0").select("t1", "t2", "n_words", F.explode(F.sequence(F.lit(n_long), F.lit(n_long + n_short - 1))).alias("shard"))
+    route = materialize(route.unionByName(every) if n_short else route, "route")
+    blocks = route.groupBy("shard").agg(F.greatest(F.ceil(F.sum("n_words") / limits.block_words), F.lit(1)).cast("int").alias("blocks"))
+    blocks = materialize(blocks, "blocks")
+    n_blocks = blocks.count()
+    route = join_small(route, blocks, ["shard"], n_blocks, "inner")
+    route = route.select("t1", "t2", "shard", F.pmod(F.xxhash64("t1", "t2"), "blocks").cast("int").alias("block"))
+    streamed = texts.dropDuplicates(["t1", "t2"]).join(route.hint("merge"), ["t1", "t2"])
+
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = join_small(items, blocks, ["shard"], n_blocks, "inner").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("shard", "block", F.lit(0).alias("kind"), "item", none("bigint", "t1"), none("bigint", "t2"), "text")
+    rows = rows.unionByName(streamed.select("shard", "block", F.lit(1).alias("kind"), none(item_type, "item"), "t1", "t2", "text"))
+    rows = rows.repartition("shard", "block").sortWithinPartitions("shard", "block", "kind")
+    window = limits.window
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def located(batches):
+        at, held, matcher = None, [], None
+        for b in batches:
+            kept, spans, found = [], [], []
+            for i, (shard, block, kind, item, text) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 3, 6)))):
+                if (shard, block) != at:
+                    at, held, matcher = (shard, block), [], None
+                if kind == 0:
+                    held.append((item, text.encode()))
+                    continue
+                if matcher is None:
+                    matcher, held = Matcher(held, window), []
+                s, names = matcher.scan(_tokens(text.encode()))
+                if s:
+                    kept.append(i)
+                    spans.append([{"start": x, "end": y} for x, y in s])
+                    found.append(sorted(names))
+            rows_at = pa.array(kept, pa.int64())
+            cols = [b.column(4).take(rows_at), b.column(5).take(rows_at), pa.array(spans, span), pa.array(found, pa.list_(b.column(3).type))]
+            yield pa.RecordBatch.from_arrays(cols, names=["t1", "t2", "spans", "items"])
+
+    kind = item_type.simpleString()
+    parts = rows.mapInArrow(located, f"t1 bigint, t2 bigint, spans array<struct<start:int,end:int>>, items array<{kind}>")
+    # A text has a row a shard at most; spans of different shards may overlap and are united when they are used.
+    out = materialize(parts, "found").groupBy("t1", "t2").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")
+    )
+    out = materialize(out, "found")
+    discard(known, items, places, seen, route, blocks)
+    return out
 
 
 def find_contamination(
@@ -162,32 +266,36 @@ def find_contamination(
     keep: list[str] | None = None,
     with_text: bool = False,
 ) -> DataFrame:
-    """keep columns plus n_words, spans (in words), item_ids (sorted), over_limit, and clean_text if asked.
-
-    A benchmark beyond one automaton's bound is matched shard after shard over the same rows; a
-    task holds one automaton at a time.
-    """
-    sc = docs.sparkSession.sparkContext
-    shards = [sc.broadcast(s) for s in _shards(benchmark, item, item_text, limits.automaton_words)]
+    """keep columns plus n_words, spans (in words), item_ids (sorted), over_limit, and clean_text if asked."""
+    keep = docs.columns if keep is None else keep
+    clash = sorted({*ADDED[: 4 + with_text]} & set(keep))
+    if clash:
+        raise ValueError(f"there are columns {clash} already")
+    few, table = _benchmark(benchmark, limits, item, item_text)
     window, most = limits.window, limits.max_coverage
-    item_type = benchmark.schema[item].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(few) if few is not None else None
+    found: list[str] = []
+    if shared is None:
+        hits = _sharded(docs.select(F.col(text).alias("text")), table, limits)
+        name = "_hits"
+        while any(c.startswith(name) for c in docs.columns):
+            name += "_"
+        found = [f"{name}spans", f"{name}items"]
+        marked = docs.withColumns({f"{name}1": F.xxhash64(text), f"{name}2": F.xxhash64(text, F.lit(1))})
+        hits = hits.withColumnsRenamed({"t1": f"{name}1", "t2": f"{name}2", "spans": found[0], "items": found[1]})
+        docs = marked.join(hits.hint("merge"), [f"{name}1", f"{name}2"], "left")
 
     def factory():
-        one = Matcher(shards[0].value, window) if len(shards) == 1 else None
+        matcher = Matcher(shared.value, window) if shared is not None else None
 
-        def fn(texts):
-            tokens = [None if t is None else t.translate(ALNUM).split() for t in texts]
-            spans = [[] for _ in texts]
-            items = [set() for _ in texts]
-            for shard in shards:
-                matcher = one or Matcher(shard.value, window)
-                for k, tok in enumerate(tokens):
-                    if tok:
-                        s, i = matcher.scan(tok)
-                        if s:
-                            spans[k] = _union(spans[k], s)
-                            items[k] |= i
-            n = [len(t or ()) for t in tokens]
+        def fn(texts, *told):
+            tokens = [_tokens(t) for t in texts]
+            if matcher is not None:
+                pairs = [matcher.scan(tok) for tok in tokens]
+            else:
+                pairs = [(_union([(x["start"], x["end"]) for x in s or ()], []), set(i or ())) for s, i in zip(*told)]
+            spans, items = [s for s, _ in pairs], [i for _, i in pairs]
+            n = [len(t) for t in tokens]
             hit = [sum(b - a for a, b in s) for s in spans]
             cols = [
                 pa.array(n, pa.int64()),
@@ -203,10 +311,10 @@ def find_contamination(
 
         return fn
 
-    arrow_item = pa.int64() if item_type in ("bigint", "int") else pa.string()
-    kind = "bigint" if arrow_item == pa.int64() else "string"
+    kind = table.schema["item"].dataType.simpleString()
+    arrow_item = to_arrow_type(table.schema["item"].dataType)
     fields = f"n_words bigint, spans array<struct<start:int,end:int>>, item_ids array<{kind}>, over_limit boolean"
-    return map_texts(docs, factory, fields + ", clean_text string" * with_text, keep, text)
+    return map_texts(docs, factory, fields + ", clean_text string" * with_text, keep, text, with_row=found)
 
 
 def _union(a: list, b: list) -> list:

@@ -39,8 +39,8 @@ def test_spans_equal_brute_force(spark):
     d = spark.createDataFrame([*docs, docs[0]], "doc_id long, text string")
     b = spark.createDataFrame(long_items, "item_id long, text string")
     want = {i: brute(t, long_items) for i, t in docs}
-    for most in (500_000, 20):  # one automaton, several
-        got = dc.find_contamination(d, b, dc.Limits(automaton_words=most), with_text=True).collect()
+    for most in (500_000, 20):  # one automaton in every task, shards
+        got = dc.find_contamination(d, b, dc.Limits(automaton_words=most, block_words=300), with_text=True).collect()
         assert len(got) == len(docs) + 1
         for r in got:
             n_hit = sum(s.end - s.start for s in r.spans)
@@ -67,3 +67,22 @@ def test_query_and_empty_tables(spark, tmp_path):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     assert dc.find_contamination(d, none).where("size(spans) > 0").count() == 0
     assert dc.find_contamination(d.limit(0), none).count() == 0
+
+
+def test_clashes_keys_and_long_texts(spark):
+    import pytest
+
+    docs, items = case()
+    rnd = random.Random(1)
+    long = " ".join(f"n{rnd.randrange(10**6)}" for _ in range(200_000))
+    seq = [t for _, t in items if len(WORD.findall((t or "").translate(LOWER))) >= 11][0]
+    rows = [(1, long + " " + seq, 5, 6, "s"), (1, seq + " " + long, 5, 6, "s"), (1, None, 5, 6, "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, t1 int, shard int, items string")
+    wide = [x for x in items if len(WORD.findall((x[1] or "").translate(LOWER))) >= 10]
+    b = spark.createDataFrame([(f"i{i}", t) for i, t in wide], "item_id string, text string")
+    for most in (500_000, 20):
+        got = dc.find_contamination(d, b, dc.Limits(automaton_words=most)).collect()
+        assert sorted(len(r.spans) for r in got) == [0, 1, 1] and all((r.t1, r.shard, r.items) == (5, 6, "s") for r in got)
+        assert {i for r in got for i in r.item_ids} >= {f"i{i}" for i, t in wide if t == seq}
+    with pytest.raises(ValueError):
+        dc.find_contamination(d.withColumnRenamed("items", "spans"), b)
