@@ -8,8 +8,10 @@ of their own in the same way. A score is the sum of table entries, made for a wh
 Training takes the features (not the texts) of at most `sample_rows` labelled documents, chosen
 by a hash of the key; scoring covers every whole text. Edge cases: null and empty texts have
 zero features and get a score like any other; missing or null labels are not used; labels of
-one class only, or none, give that class's smoothed rate to all; repeated rows score alike; an
-empty table gives an empty result.
+one class only, or none, give that class's smoothed rate to all; repeated rows score alike; a key
+that repeats, in the table or the labels, is one row of the training (its lesser features and
+label); a very long text has features like any other; an empty table gives an empty result;
+columns named as the added ones raise.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ FEATURES = (
 )
 
 
+#: An odd multiplier: four words as one number of 64 bits.
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
 @dataclass(frozen=True)
 class Settings:
     sample_rows: int = 20_000
@@ -57,7 +63,8 @@ def features(text: bytes | None) -> list[float]:
         kinds[x] = kinds.get(x, 0) + 1
     ids = dict(zip(kinds, range(len(kinds))))
     a = np.fromiter(map(ids.__getitem__, w), np.int64, n)
-    four = a[:-3] * 1_000_003 + a[1:-2] * 10_007 + a[2:-1] * 101 + a[3:] if n > 3 else a[:0]
+    u = a.astype(np.uint64)
+    four = ((u[:-3] * _ODD + u[1:-2]) * _ODD + u[2:-1]) * _ODD + u[3:] if n > 3 else u[:0]
     lines = [x for x in t.split(b"\n") if x.strip()]
     marks = sum(int(count[c]) for c in b"#*$%&|<>@^~_=+{}[]\\")
     letters = max(1, int(count[65:91].sum() + count[97:123].sum()))
@@ -190,10 +197,11 @@ def _with_features(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 def train(
     docs: DataFrame, labels: DataFrame, usable: Column, cfg: Settings = Settings(), key: str = "doc_id", text: str = "text"
 ) -> Model:
-    rows = labels.where(usable & F.col("quality").isin(0, 1)).select(key, F.col("quality").cast("int").alias("_y"))
-    # Bounded by sample_rows, so it may be broadcast and its features collected.
-    chosen = rows.orderBy(F.xxhash64(key), key).limit(cfg.sample_rows)
-    got = _with_features(docs.select(key, text).join(F.broadcast(chosen), key), text, ["_y"]).toPandas()
+    rows = labels.where(usable & F.col("quality").isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.min("quality").cast("int").alias("_y"))
+    # Bounded by sample_rows, so it may be broadcast and its features collected: one row a key.
+    chosen = rows.orderBy(F.xxhash64("k"), "k").limit(cfg.sample_rows)
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
+    got = _with_features(texts, "t", ["k", "_y"]).groupBy("k", "_y").agg(F.min("features").alias("features")).toPandas()
     got = sorted(zip(map(tuple, got["features"]), got["_y"]))
     x = np.array([f for f, _ in got], float).reshape(len(got), len(FEATURES))
     return fit(x, np.array([y for _, y in got], float), cfg)
@@ -209,6 +217,9 @@ def score_quality(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """keep columns plus score (the probability of label 1) and predicted (score at the threshold or above)."""
+    clash = {"score", "predicted"} & set(docs.columns if keep is None else keep)
+    if clash:
+        raise ValueError(f"there are columns {sorted(clash)} already")
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, usable, cfg, key, text))
     threshold = cfg.threshold
 

@@ -5,9 +5,15 @@ cutoff may be used in a stratum only if the labelled good documents show, by an
 test, that it rejects no more than a share `risk` of them. All cutoffs, rules and strata are
 tested together, so the level is divided by their number (Bonferroni).
 
+The risk holds for each rule. A document is kept if no rule rejects it, so up to as many times the
+risk as there are rules of the good documents of a stratum may be rejected together. A cutoff
+needs some hundred labelled good documents even if it rejects none of them (1,400 for the default
+risk and level with four strata); strata with fewer are judged by the base rules alone.
+
 Edge cases: null or empty text has no words and fails the base rules; null strata form one
 stratum; repeated rows are judged alike; strata without labels get no rule; labels that are
-missing or null are not used; an empty table gives an empty result. Other columns are ignored.
+missing or null are not used; very long texts are counted whole; an empty table gives an empty
+result. Other columns are ignored, whatever their names but those of the counts.
 """
 
 from __future__ import annotations

@@ -7,8 +7,10 @@ sample of labelled documents (`sample_per_class`, whole texts). The sentence sco
 locate the offending sentences.
 
 Edge cases: null and empty texts have no sentence and score 0; missing or null labels are not
-used; with no labels of either class every score is the prior; repeated rows score alike; an
-empty table gives an empty result.
+used; with no labels of either class every score is the prior; repeated rows score alike; a key
+that repeats, in the table or the labels, is one row of the training (toxic if any label says so);
+very long texts are read whole; an empty table gives an empty result; columns named as the added
+ones raise.
 """
 
 from __future__ import annotations
@@ -125,11 +127,12 @@ class Scorer:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, key: str, text: str) -> list:
     """(text, label) of at most `most` labelled documents a class, whole, the first by a hash of the key."""
-    usable = labels.where(train & F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("y"))
-    parts = [usable.where(F.col("y") == c).orderBy(F.xxhash64(key), key).limit(most) for c in (0, 1)]
+    usable = labels.where(train & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
+    parts = [usable.where(F.col("y") == c).orderBy(F.xxhash64("k"), "k").limit(most) for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    # At most 2 * most rows: bounded by the parameter, so it may be broadcast and collected.
-    rows = docs.join(F.broadcast(chosen), key).select(F.col(text).cast("binary").alias("t"), "y").collect()
+    # At most 2 * most rows, one a key: bounded by the parameter, so it may be broadcast and collected.
+    texts = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).join(F.broadcast(chosen), "k")
+    rows = texts.groupBy("k", "y").agg(F.min("t").alias("t")).collect()
     return sorted(((None if r.t is None else bytes(r.t), r.y) for r in rows), key=lambda r: (r[0] or b"", r[1]))
 
 
@@ -143,6 +146,9 @@ def score_toxicity(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """keep columns plus score, predicted and sentences: (number, score) of those at the threshold or above."""
+    clash = {"score", "predicted", "sentences"} & set(docs.columns if keep is None else keep)
+    if clash:
+        raise ValueError(f"there are columns {sorted(clash)} already")
     rows = sample(docs, labels, "toxic", train, cfg.sample_per_class, key, text)
     model = docs.sparkSession.sparkContext.broadcast(fit(rows, cfg))
     threshold = cfg.threshold

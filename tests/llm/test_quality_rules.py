@@ -57,3 +57,42 @@ def test_without_labels_only_base_rules_hold(spark):
     got = {r.doc_id: (r.base_failed, r.kept) for r in qr.quality_rules(docs, labels).collect()}
     assert got == {1: (True, False), 2: (True, False)}
     assert qr.quality_rules(docs.limit(0), labels).count() == 0
+
+
+def test_chosen_cutoffs_equal_those_of_the_sql(spark, tmp_path):
+    """Enough labelled documents for cutoffs in two strata; the verdicts are those of the query's SQL."""
+    import random
+
+    import duckdb
+
+    from evalframe.llm import oracles
+    from evalframe.llm.queries import op1_quality_rules
+
+    rnd = random.Random(4)
+    docs, labels = [], []
+    for i in range(5200):
+        lang = ("xx", "yy", "zz")[0 if i < 2500 else 1 if i < 5000 else 2]
+        words = [f"word{rnd.randrange(10**6)}" for _ in range(24)]
+        if i % 50 == 0:
+            words = [w + "%%&" for w in words]
+        if i % 50 == 1:
+            words = words[:12] * 2
+        docs.append((i, " ".join(words) + ("\nline" * 9 if i % 50 == 2 else ""), lang))
+        labels.append((i, int(i % 50 > 2)))
+    docs += [(6000, None, None), (6001, "", "xx"), (6002, "%% " * 50_000 + " ".join(f"v{k}" for k in range(50_000)), "xx")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: tuple(r) for r in op1_quality_rules(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    cur = con.execute(oracles.quality_rules())
+    names = [d[0] for d in cur.description]
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    want = {r[names.index("doc_id")]: tuple(r[names.index(c)] for c in cols) for r in cur.fetchall()}
+    assert got == want
+    judged = {i: got[i][-1] for i, _ in labels if not got[i][-2]}
+    junk = [i for i in judged if i % 50 <= 2 and i < 5000]
+    assert junk and sum(judged[i] for i in junk) < len(junk) and all(judged[i] for i in judged if i % 50 > 2)
+    # 200 labels are too few for a cutoff in the third stratum: only the base rules judge there.
+    assert all(judged[i] for i in judged if i >= 5000)
