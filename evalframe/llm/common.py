@@ -30,16 +30,24 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/evalframe-{kind}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, kind: str = "step") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, kind: str = "step", rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it: cuts lineage and survives lost executors.
+
+    rows, if it is known about how many there are, keeps small tables from being written in many files.
+    """
     spark = df.sparkSession
     path = new_path(spark, kind)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(parts(rows))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def parts(rows: int) -> int:
+    """Partitions for so many rows of a few numbers: a task takes up to 100,000, and there are eight at least."""
+    return max(8, -(-rows // 100_000))
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete tables that materialize wrote and nothing reads any more."""
     for df in frames:
@@ -68,39 +76,46 @@ def words(text: Column) -> Column:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of the graph's nodes, component being its smallest node.
 
-    Distributed union-find by alternating large-star and small-star rounds: each round hangs a
-    node's larger neighbours, then its smaller ones, on the smallest. Only minima per node are
-    aggregated, so a hub is combined before the shuffle. Each round is stored in the shared
-    folder; the loop ends when a round changes no edge. Empty input gives an empty result.
+    Distributed union-find by contraction: every node that has a smaller neighbour hangs on the least
+    one, chains are shortened by pointer jumping, and the edges between what hangs on nothing are the
+    next round's graph, which has at most half as many nodes with an edge. Aggregates are minima, combined
+    before the shuffle, and joins are of stored tables, one side unique, so a hub with a large part of all
+    edges is split. Rounds and jumps grow with the logarithm of the graph. Empty input gives an empty result.
     """
-    cur = materialize(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
-    )
-    mark = _mark(cur)
-    while mark[0]:
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least.hint("merge"), "u")
-        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            hung.select("u", F.col("m").alias("v"))
-        )
-        nxt = materialize(small.where("u <> v").distinct(), "edges")
+    cur = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    cur = materialize(cur, "edges")
+    n, hung = cur.count(), []
+    while n:
+        on = _jumped(materialize(cur.groupBy("u").agg(F.min("v").alias("v")), "hung", n), n)
+        hung.append(on)
+        x, y = (on.select(F.col("u").alias(f"_{s}"), F.col("v").alias(f"_{s}r")).hint("merge") for s in "uv")
+        up = cur.join(x, F.col("u") == F.col("_u")).join(y, F.col("v") == F.col("_v"), "left")
+        left, right = F.col("_ur"), F.coalesce("_vr", "v")
+        nxt = up.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where("u <> v")
+        nxt = materialize(nxt.coalesce(parts(n)).distinct(), "edges", n)
         discard(cur)
-        cur, last, mark = nxt, mark, _mark(nxt)
-        if mark == last:
-            break
-    found = cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return found.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(
-            F.count(F.lit(1)),
-            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
-            F.bit_xor(F.xxhash64("v", "u")),
-        ).first()
-    )
+        cur, n = nxt, nxt.count()
+    discard(cur)
+    # A node hangs once; where it hung on a node that hung later, that one's place is its own.
+    found = edges.sparkSession.createDataFrame([], edges.select(F.col(a).alias("node"), F.col(a).alias("component")).schema)
+    for on in reversed(hung):
+        later = found.select(F.col("node").alias("_v"), "component").hint("merge")
+        placed = on.join(later, F.col("v") == F.col("_v"), "left").select(F.col("u").alias("node"), F.coalesce("component", "v").alias("component"))
+        placed = materialize(placed.unionByName(found), "found")
+        discard(on, found)
+        found = placed
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _jumped(on: DataFrame, n: int) -> DataFrame:
+    """on (u hangs on v) with every v replaced by the node at the end of its chain."""
+    while True:
+        up = on.select(F.col("u").alias("_v"), F.col("v").alias("_r"))
+        nxt = on.join(up.hint("merge"), F.col("v") == F.col("_v"), "left")
+        nxt = materialize(nxt.select("u", F.coalesce("_r", "v").alias("v"), F.col("_r").isNotNull().alias("moved")), "hung", n)
+        moved = not nxt.where("moved").isEmpty()
+        discard(on)
+        on = nxt.select("u", "v")
+        on.stored_at = nxt.stored_at
+        if not moved:
+            return on

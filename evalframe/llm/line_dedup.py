@@ -97,10 +97,12 @@ def _signatures(lines: DataFrame, cfg: Settings) -> DataFrame:
 def _bands(signed: DataFrame, cfg: Settings) -> DataFrame:
     """t, id: the buckets of each line. An empty value borrows the next one that is not, marked by the distance."""
     k = cfg.bands * cfg.rows
-    full = [
-        F.coalesce(*(F.col(f"m{(i + j) % k}").cast("long") + F.lit(j << 32) for j in range(k))).alias(f"v{i}") for i in range(k)
-    ]
-    named = signed.select(F.col("h1").alias("id"), *full)
+    named = signed.select(F.col("h1").alias("id"), *(F.col(f"m{i}").cast("long").alias(f"v{i}") for i in range(k)))
+    step = 1
+    while step < k:  # each round doubles how far a value may come from
+        far = lambda i: F.col(f"v{(i + step) % k}") + F.lit(step << 32)  # noqa: E731, B023
+        named = named.select("id", *(F.coalesce(f"v{i}", far(i)).alias(f"v{i}") for i in range(k)))
+        step *= 2
     band = lambda b: F.xxhash64(F.lit(b), *(f"v{b * cfg.rows + r}" for r in range(cfg.rows)))
     return named.select("id", F.explode(F.array(*(band(b) for b in range(cfg.bands)))).alias("t"))
 
@@ -116,7 +118,7 @@ def shingle_set(line: Column, size: int) -> Column:
 
 
 #: Words of 64 bits that a set's shingles flip.
-BITS = ("o0", "o1", "o2", "o3")
+BITS = tuple(f"o{i}" for i in range(16))
 
 
 def _may_link(pct: int):
@@ -131,10 +133,10 @@ def _may_link(pct: int):
 
 
 def _facts(texts: DataFrame, size: int) -> DataFrame:
-    """id, size, o0 to o3: the size of each line's set and the bits that its members flip."""
+    """id, size, o0 to o15: the size of each line's set and the bits that its members flip."""
     g = texts.select("id", F.explode(shingle_set(F.col("line"), size)).alias("g"))
-    bit, word = F.expr("shiftleft(1L, cast(g & 63 AS int))"), F.expr("shiftright(g, 6) & 3")
-    flips = (F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(o) for i, o in enumerate(BITS))
+    g = g.select("id", F.expr("shiftleft(1L, cast(g & 63 AS int))").alias("bit"), F.expr("cast(shiftright(g, 6) & 15 AS int)").alias("word"))
+    flips = (F.bit_xor(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(o) for i, o in enumerate(BITS))
     return g.groupBy("id").agg(F.count(F.lit(1)).alias("size"), *flips)
 
 
@@ -142,32 +144,40 @@ def find_repeated_lines(docs: DataFrame, cfg: Settings = Settings(), key: str =
     """key, drop: the sorted numbers of a document's lines that go; only documents that lose any."""
     lines = materialize(_lines(docs, cfg, key, text), "lines")
     signed = _signatures(lines, cfg)
-    keyed = _bands(signed, cfg)
-    # Lines that share a bucket with another; their texts are what candidates are decided by.
-    ends = keyed.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("t")
-    ends = materialize(ends, "shared")
-    keyed = materialize(keyed.join(ends.hint("merge"), "t", "left_semi"), "bands")
-    ids = materialize(keyed.select(F.col("id").alias("h1")).distinct(), "ids")
-    texts = semi_join(lines.where("line is not null").select("h1", "h2", "line"), ids, ["h1"], ids.count())
-    # A line's id is its first hash. Of lines that share it but not the second, one stands in the links.
-    texts = texts.groupBy(F.col("h1").alias("id")).agg(F.min("h2").alias("h2"), F.min_by("line", "h2").alias("line"))
-    texts = materialize(texts, "texts")
-    discard(signed, ends, ids)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        x = texts.select(F.col("id").alias("a"), F.col("line").alias("la"))
-        y = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-        both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
-        both = both.select("a", "b", shingle_set(F.col("la"), cfg.shingle).alias("sa"), shingle_set(F.col("lb"), cfg.shingle).alias("sb"))
-        both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")))
-        union = F.size("sa") + F.size("sb") - F.col("c")
-        return both.where(F.col("c") * 100 >= union * cfg.threshold_pct).select("a", "b")
-
-    facts = lambda ids: _facts(texts.join(ids.hint("merge"), "id", "left_semi"), cfg.shingle)
-    comp = link_groups(keyed, verify, facts, _may_link(cfg.threshold_pct))
+    held: list[DataFrame] = []
+
+    def prepare(ids: DataFrame):
+        # Lines that share a bucket with another: their texts are what candidates are decided by.
+        ids = materialize(ids.select(F.col("id").alias("h1")), "ids")
+        texts = semi_join(lines.where("line is not null").select("h1", "h2", "line"), ids, ["h1"], ids.count())
+        # A line's id is its first hash. Of lines that share it but not the second, one stands in the links.
+        texts = texts.groupBy(F.col("h1").alias("id")).agg(F.min("h2").alias("h2"), F.min_by("line", "h2").alias("line"))
+        texts = materialize(texts, "texts")
+        facts = materialize(_facts(texts, cfg.shingle), "facts")
+        discard(ids)
+        held.extend((texts, facts))
+
+        def verify(pairs: DataFrame, thinned: bool) -> DataFrame:
+            if not thinned:
+                u, v = (facts.select([F.col(c).alias(f"{side}_{c}") for c in facts.columns]).hint("merge") for side in "uv")
+                pairs = pairs.join(u, F.col("a") == F.col("u_id")).join(v, F.col("b") == F.col("v_id"))
+                pairs = pairs.where(may(lambda c: F.col(f"u_{c}"), lambda c: F.col(f"v_{c}"))).select("a", "b")
+            x = texts.select(F.col("id").alias("a"), F.col("line").alias("la"))
+            y = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
+            both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
+            both = both.select("a", "b", shingle_set(F.col("la"), cfg.shingle).alias("sa"), shingle_set(F.col("lb"), cfg.shingle).alias("sb"))
+            both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")))
+            union = F.size("sa") + F.size("sb") - F.col("c")
+            return both.where(F.col("c") * 100 >= union * cfg.threshold_pct).select("a", "b")
+
+        return facts, verify
+
+    may = _may_link(cfg.threshold_pct)
+    comp = link_groups(_bands(signed, cfg), prepare, may)
+    texts = held[0]
     named = comp.withColumnRenamed("node", "id").join(texts.select("id", "h2").hint("merge"), "id")
     named = materialize(named.select(F.col("id").alias("h1"), "h2", "component"), "named")
-    discard(keyed, texts, comp)
+    discard(signed, *held, comp)
 
     # Groups are components, or else equal lines.
     occ = join_small(lines.select("key", "pos", "h1", "h2"), named, ["h1", "h2"], named.count())

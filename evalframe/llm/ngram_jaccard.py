@@ -155,9 +155,7 @@ def near_duplicates(
     sets, classes, full = _candidates(docs, cfg, key, text)
     keyed = materialize(_buckets(full, pct), "keyed")
     facts = full.drop("grams")
-    comp = link_groups(
-        keyed, lambda pairs: _verified(pairs, full, cfg), lambda ids: facts.join(ids.hint("merge"), "id", "left_semi"), _may_link(pct)
-    )
+    comp = link_groups(keyed, lambda _: (facts, lambda pairs, _: _verified(pairs, full, cfg)), _may_link(pct))
     discard(keyed, full)
     # A key on several texts holds their classes together.
     several = sets.where("n > 0").groupBy("key").agg(F.min("s1").alias("a"), F.max("s1").alias("b"), F.count(F.lit(1)).alias("c"))
