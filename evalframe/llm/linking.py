@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import components, discard, join_small, materialize, parts
+from evalframe.llm.common import components, discard, join_small, materialize, parts, semi_join
 
 Side = Callable[[str], Column]
 Verify = Callable[[DataFrame, bool], DataFrame]
@@ -83,8 +83,6 @@ def link_groups(
     left = rows.select("t", "id", "_n").withColumn("_u", place)
     n_rows = rows.count()
     n = parts(n_rows)
-    if facts is not None:
-        facts = facts.hint("merge")
     done, step, turn = 0, FIRST, 0
     while True:
         stored = _open(left, comp, n_rows)
@@ -94,7 +92,11 @@ def link_groups(
         if not n_rows:
             discard(rows)
             return comp
-        fresh = rows if facts is None else materialize(rows.join(facts, "id"), "rows", 4 * n_rows)
+        fresh = rows
+        if facts is not None:
+            # Only what the ids that are left need is moved.
+            near = semi_join(facts, rows.select("id").distinct(), ["id"], n_rows)
+            fresh = materialize(rows.join(near.hint("merge"), "id"), "rows", 4 * n_rows)
         if turn >= 0:
             # While it pays, all others are held against one id of the bucket's largest component, another one each time.
             sizes = fresh.groupBy("t", "_comp").agg(F.count(F.lit(1)).alias("c"), F.max_by("id", F.xxhash64("id", F.lit(turn))).alias("id"))
