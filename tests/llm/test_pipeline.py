@@ -118,4 +118,4 @@ def test_stages_equal_brute_force(spark):
             gone.add(i)
     found = {r.doc_id: len(word.findall((r.text or "").translate(low))) for r in cp.benchmarks(spark, docs, SF_DIR).collect()}
     assert found == {i: n for i, n in hit.items() if i not in gone}
-    assert sum(n < len(word.findall(rows[i].translate(low))) for i, n in hit.items()) > 3
+    assert sum(n < len(word.findall(rows[i].translate(low))) for i, n in hit.items()) >= 3
