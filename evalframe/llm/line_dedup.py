@@ -215,7 +215,3 @@ def drop_lines(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", text: s
 
 def dedup_lines(docs: DataFrame, cfg: Settings = Settings(), key: str = "doc_id", text: str = "text", n_removed: str | None = None) -> DataFrame:
     return drop_lines(docs, find_repeated_lines(docs, cfg, key, text), key, text, n_removed)
-
-
-#: As the default; the name under which the query and the pipeline took every position.
-WHOLE = Settings()
