@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from evalframe.llm.license_scan import TEMPLATES, split
 from evalframe.llm.quality_rules import Limits
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -118,3 +119,53 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
        CASE WHEN page_id <> first THEN first END AS refers_to, 3::INT AS n_records, 'GET' AS request_method,
        '/' || regexp_extract(regexp_replace(coalesce(url, ''), '^[a-zA-Z]+://', ''), '^[^/]*/(.*)$', 1) AS request_path
 FROM f"""
+
+
+def _rows(rows: list[tuple]) -> str:
+    told = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(map(told, r)) + ")" for r in rows)
+
+
+def license_scan() -> str:
+    """Every template's words at every relative position, without an index."""
+    names = [(k, t.label, t.base, len(t.words), t.need, len(t.phrases)) for k, t in enumerate(TEMPLATES)]
+    words = [(k, q, w.decode()) for k, t in enumerate(TEMPLATES) for q, w in enumerate(t.words)]
+    phrases = [(k, i, j, len(split(p.encode())), w.decode()) for k, t in enumerate(TEMPLATES) for i, p in enumerate(t.phrases) for j, w in enumerate(split(p.encode()))]
+    return rf"""
+WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS ws FROM documents
+), t(k, label, base, size, need, n_phrases) AS (VALUES {_rows(names)}
+), tw(k, q, x) AS (VALUES {_rows(words)}
+), tp(k, i, j, size, x) AS (VALUES {_rows(phrases)}
+), w AS (SELECT doc_id, unnest(ws) AS x, unnest(range(0, len(ws))) AS p FROM d
+), a AS (
+  SELECT doc_id, k, p - q AS start, count(*) AS same FROM w JOIN tw USING (x) JOIN t USING (k)
+  GROUP BY doc_id, k, p - q HAVING count(*) >= any_value(need)
+), f AS (SELECT doc_id, k, i, p - j AS start, any_value(size) AS size FROM w JOIN tp USING (x) GROUP BY doc_id, k, i, p - j HAVING count(*) = any_value(size)
+), ok AS (
+  SELECT a.doc_id, a.k, a.start, any_value(a.same / t.size) AS coverage
+  FROM a JOIN t ON t.k = a.k JOIN f ON f.doc_id = a.doc_id AND f.k = a.k AND f.start >= a.start AND f.start + f.size <= a.start + t.size
+  GROUP BY a.doc_id, a.k, a.start HAVING count(DISTINCT f.i) = any_value(t.n_phrases)
+), s AS (
+  SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+         string_agg(DISTINCT CASE WHEN base THEN label END, ',' ORDER BY CASE WHEN base THEN label END) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score
+  FROM ok JOIN t USING (k) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN s USING (doc_id)"""
+
+
+LEXICAL_SEARCH = rf"""
+WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS ws FROM documents
+), it AS (SELECT item_id, x, count(*) AS times FROM (SELECT item_id, unnest({_ITEM_WORDS}) AS x FROM benchmark) GROUP BY item_id, x
+), c AS (SELECT count(*) AS n, sum(len(ws)) AS l FROM d WHERE len(ws) > 0
+), tf AS (SELECT doc_id, x, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS x FROM d) GROUP BY doc_id, x
+), w AS (
+  SELECT x, floor(1000 * ln(CAST(2 * any_value(n) + 2 AS DOUBLE) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY x
+), m AS (SELECT doc_id, 100 - 75 + CAST((75 * len(ws) * n) // l AS BIGINT) AS m FROM d, c WHERE len(ws) > 0
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * CAST((1000000000 * tf) // (1000 * tf + 8 * m) AS BIGINT)) AS BIGINT) AS score
+  FROM it JOIN tf USING (x) JOIN w USING (x) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""

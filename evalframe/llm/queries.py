@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from evalframe.llm import decontaminate as dc
 from evalframe.llm import language_id as li
+from evalframe.llm import lexical_search as ls
+from evalframe.llm import license_scan as lc
 from evalframe.llm import line_dedup as ld
 from evalframe.llm import mixing as mx
 from evalframe.llm import ngram_jaccard as nj
@@ -20,6 +22,7 @@ from evalframe.llm import quality_rules as qr
 from evalframe.llm import substring_dedup as sd
 from evalframe.llm import toxicity as tx
 from evalframe.llm import warc
+from evalframe.llm import whitening as wh
 from evalframe.llm.common import discard
 
 
@@ -116,6 +119,37 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lc.scan_licenses(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("places", lambda p: p["base"])
+    starts = F.transform(base, lambda p: p["start"])
+    labels = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+    best = F.array_max(F.transform("places", lambda p: p["coverage"]))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("places")).alias("labels"), F.coalesce(best, F.lit(0.0)).alias("score"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ls.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, fit = wh.fit_whitening(_table(spark, sf_dir, "embeddings"))
+    if fit is None:
+        none = "cast(null as int) component", "0L n", "0L deviation", "0D whitened", "0D explained", "0D identity_error"
+        return rows.where("false").selectExpr("vec_id", *none)
+    told = wh.whiten(rows, fit, keep=["vec_id"])
+    error, shares = wh.identity_error(told, fit.n), F.array(*map(F.lit, fit.explained()))
+    flat = told.select("vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return flat.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(fit.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(shares, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -127,6 +161,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_license_scan": op11_license_scan,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
@@ -135,4 +172,6 @@ ORACLES: dict[str, str] = {
     "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op5_decontaminate": oracles.DECONTAMINATE,
     "op7_warc": oracles.WARC,
+    "op11_license_scan": oracles.license_scan(),
+    "op12_lexical_search": oracles.LEXICAL_SEARCH,
 }
