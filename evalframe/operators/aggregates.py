@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evalframe.functions import answers as an
 from evalframe.functions import geometry as geo
 from evalframe.functions import stats
-from evalframe.operators import windows
+from evalframe.operators import drill, windows
 
 SUPPRESS_BELOW = 30
 
@@ -231,27 +231,16 @@ def chi2_against(df: DataFrame, option: str, expected: DataFrame) -> DataFrame:
 
 
 def drill_down(df: DataFrame, dims: list[str], score: str = "score", min_n: int = SUPPRESS_BELOW) -> DataFrame:
-    """Every path prefix of the dimensions: path, depth, n, value, delta to the parent, spread of its large children."""
-    rolled = df.rollup(*dims).agg(F.count(score).alias("n"), F.avg(score).alias("value"), F.grouping_id().alias("_g"))
-    depth = F.lit(len(dims)) - F.length(F.regexp_replace(F.bin("_g"), "0", ""))
-    names = [F.coalesce(F.col(d).cast("string"), F.lit("(null)")) for d in dims]
-    rolled = rolled.withColumn("depth", depth.cast("int")).withColumn("_p", F.array(*names))
-    rolled = rolled.select(
-        F.array_join(F.slice("_p", F.lit(1), F.col("depth")), "/").alias("path"),
-        F.when(F.col("depth") > 0, F.array_join(F.slice("_p", F.lit(1), F.greatest(F.col("depth") - 1, F.lit(0))), "/")).alias("parent"),
-        "depth", "n", "value",
-    )
-    up = rolled.select(F.col("path").alias("parent"), (F.col("depth") + 1).alias("depth"), F.col("value").alias("_pv"))
-    large = rolled.where((F.col("n") >= min_n) & F.col("parent").isNotNull())
-    kids = large.groupBy(F.col("parent").alias("path"), (F.col("depth") - 1).alias("depth")).agg(
-        (F.max("value") - F.min("value")).alias("spread")
-    )
-    out = rolled.join(up, ["parent", "depth"], "left").join(kids, ["path", "depth"], "left")
-    return out.select("path", "depth", "n", "value", (F.col("value") - F.col("_pv")).alias("delta"), "spread")
+    """Every path prefix of the dimensions: path (as drill.path_text), depth, n, value, delta to the parent, spread of its large children."""
+    nested: tuple[drill.Dim, ...] = ()
+    for d in reversed(dims):
+        nested = (drill.Dim(d, F.col(d), nested),)
+    tree = drill.drill_tree(df, nested, F.col(score), min_n=min_n)
+    return tree.select(drill.path_text(F.col("path")).alias("path"), "depth", "n", "value", "delta", F.get("splits", F.lit(0))["spread"].alias("spread"))
 
 
 def conservation_violations(tree: DataFrame) -> DataFrame:
-    """Parents whose children's counts don't add up to their own."""
-    parent = F.when(F.col("depth") > 0, F.regexp_replace("path", "/?[^/]*$", ""))
+    """Parents in the text form of drill_down whose children's counts don't add up to their own; drill.violations takes whole trees."""
+    parent = F.when(F.col("depth") > 0, F.regexp_replace("path", r"/?(?:[^/\\]|\\.)*$", ""))
     kids = tree.where("depth > 0").groupBy(parent.alias("path"), (F.col("depth") - 1).alias("depth")).agg(F.sum("n").alias("of_children"))
     return tree.select("path", "depth", "n").join(kids, ["path", "depth"]).where("n <> of_children")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalframe.functions import geometry as geo
+from evalframe.operators import windows
 
 
 def todo(examples: DataFrame, log: DataFrame, usable: Column, key: str = "uid") -> DataFrame:
@@ -126,5 +127,5 @@ def whitelist(df: DataFrame, wanted: DataFrame, key: str = "uid") -> DataFrame:
 
 def batches(df: DataFrame, by: str, order: str, size: int) -> DataFrame:
     """Rows numbered into batches of size within each group."""
-    r = F.row_number().over(W.partitionBy(by).orderBy(order))
-    return df.withColumn("batch", F.floor((r - 1) / size))
+    placed = windows.positions(df, [order], [by])
+    return placed.withColumn("batch", F.floor((F.col("_row") - 1) / size)).drop("_row", "_n")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalframe.functions import stats
+from evalframe.functions import permute, stats
 from evalframe.storage import stored
 
 
@@ -40,6 +40,27 @@ def positions(df: DataFrame, order: list[str], by: list[str] | None = None) -> D
     return out.select(*df.columns, (F.col("_before") + F.col("_local")).alias("_row"), "_n")
 
 
+def counted_positions(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by's columns, the different values of each group, and of each how many rows have it (_c), how many are before it (_before) and in the group (_n).
+
+    Rows are reduced to counts before they are dealt into ranges, so a value that half of all rows have is one row.
+    """
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    dealt = stored(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "counts")
+    names = [f"_by{i}" for i in range(len(by))]
+    sums = dealt.groupBy("_part", *(F.col(c).alias(n) for c, n in zip(by, names))).agg(F.sum("_c").alias("_s"))
+    # One row a range and group.
+    group = W.partitionBy(*names) if by else W.partitionBy(F.lit(0))
+    before = F.sum("_s").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(F.col("_part").alias("_p"), *names, F.coalesce(before, F.lit(0)).alias("_at"), F.sum("_s").over(group).alias("_n"))
+    on = F.col("_part") == F.col("_p")
+    for c, n in zip(by, names):
+        on &= F.col(c).eqNullSafe(F.col(n))
+    own = F.sum("_c").over(W.partitionBy("_part", *by).orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    out = dealt.withColumn("_own", F.coalesce(own, F.lit(0))).join(sums, on)
+    return out.select(*by, value, "_c", (F.col("_at") + F.col("_own")).alias("_before"), "_n")
+
+
 def equal_count_bins(df: DataFrame, value: str, k: int, tie: str, by: list[str] | None = None) -> DataFrame:
     """Rows with a value, and their bin (from 0) of about equal counts within each of by's groups."""
     placed = positions(df.where(F.col(value).isNotNull()), [value, tie], by)
@@ -67,20 +88,36 @@ def bin_trend(summary: DataFrame, min_n: int) -> DataFrame:
     )
 
 
-def order_statistics(df: DataFrame, value: str, parts: int, tie: str) -> DataFrame:
-    """The values at positions i * n // parts of the sorted column, for i from 1 to parts - 1: part, cut."""
-    placed = positions(df.where(F.col(value).isNotNull()).select(F.col(value).alias("cut"), F.col(tie).alias("_tie")), ["cut", "_tie"])
+def order_statistics(df: DataFrame, value: str, parts: int, tie: str | None = None) -> DataFrame:
+    """The values at positions i * n // parts of the sorted column, for i from 1 to parts - 1: part, cut.
+
+    Which of equal values stands first changes no cut, so tie is taken and not read.
+    """
+    placed = counted_positions(df.where(F.col(value).isNotNull()).select(F.col(value).alias("cut")), [], "cut")
     cuts = F.array(*(F.struct(F.lit(i).alias("part"), F.floor(F.col("_n") * i / parts).alias("at")) for i in range(1, parts)))
-    return placed.select("cut", "_row", F.inline(cuts)).where("_row - 1 = at").select("part", "cut")
+    return placed.select("cut", "_before", "_c", F.inline(cuts)).where("at >= _before AND at < _before + _c").select("part", "cut")
+
+
+def cumulative_share(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Rows with a value, and share: of the rows of their group, those whose value is not larger."""
+    kept = df.where(F.col(value).isNotNull())
+    counted = counted_positions(kept.select(*by, value), by, value)
+    told = counted.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate([*by, value])), ((F.col("_before") + F.col("_c")) / F.col("_n")).alias("share"))
+    on = F.lit(True)
+    for i, c in enumerate([*by, value]):
+        on &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return kept.join(told, on).select(*df.columns, "share")
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, **cuts: tuple[str, int]) -> DataFrame:
     """by's columns, n, and a column for each cut: ("median", 0), or ("exclusive", q) for cut point q of 100.
 
-    Only the values at the cuts' places are gathered. Rows without a value are left out.
+    Rows are reduced to the different values and their counts; only the values at the cuts' places are gathered.
+    Rows without a value are left out.
     """
     kept = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    placed = positions(kept, ["_v"], by)
+    placed = counted_positions(kept, by, "_v")
+    there = lambda row: (row > F.col("_before")) & (row <= F.col("_before") + F.col("_c"))
     n, out, aggs = F.col("n"), [], []
     for name, (kind, q) in cuts.items():
         count = F.col("_n")
@@ -89,7 +126,7 @@ def percentiles(df: DataFrame, by: list[str], value: str, **cuts: tuple[str, int
         else:
             low = F.least(F.greatest(F.floor(F.lit(q) * (count + 1) / 100), F.lit(1)), F.greatest(count - 1, F.lit(1)))
             high = F.least(low + 1, count)
-        aggs += [F.max(F.when(F.col("_row") == low, F.col("_v"))).alias(f"_{name}l"), F.max(F.when(F.col("_row") == high, F.col("_v"))).alias(f"_{name}h")]
+        aggs += [F.max(F.when(there(low), F.col("_v"))).alias(f"_{name}l"), F.max(F.when(there(high), F.col("_v"))).alias(f"_{name}h")]
         a, b = F.col(f"_{name}l"), F.col(f"_{name}h")
         if kind == "median":
             out.append(((a + b) / 2).alias(name))
@@ -97,7 +134,7 @@ def percentiles(df: DataFrame, by: list[str], value: str, **cuts: tuple[str, int
             j = F.least(F.greatest(F.floor(F.lit(q) * (n + 1) / 100), F.lit(1)), n - 1)
             delta = F.lit(q) * (n + 1) - j * 100
             out.append(F.when(n > 2, (a * (100 - delta) + b * delta) / 100).otherwise(a).alias(name))
-    return placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *aggs).select(*by, "n", *out)
+    return placed.groupBy(*by).agg(F.sum("_c").alias("n"), *aggs).select(*by, "n", *out)
 
 
 def stratified_sample(df: DataFrame, cell: list[str], per_cell: int, key: str, seed: int) -> DataFrame:
@@ -130,7 +167,8 @@ def allocate(cells: DataFrame, weight: str, total: int, tie: str) -> DataFrame:
 def capped_then_filled(df: DataFrame, group: str, cap: int, n: int, tie: str) -> DataFrame:
     """n rows: at most cap of a group first, further ones only if that doesn't give enough."""
     rank = F.row_number().over(W.partitionBy(group).orderBy(tie))
-    return df.withColumn("_r", rank).orderBy(F.col("_r") > cap, group, tie).limit(n).drop("_r")
+    # No group gives more than n rows beyond its cap, so that each task keeps no more of it before the shuffle.
+    return df.withColumn("_r", rank).where(F.col("_r") <= cap + n).orderBy(F.col("_r") > cap, group, tie).limit(n).drop("_r")
 
 
 def running_total(df: DataFrame, value: str, seq: str) -> DataFrame:
@@ -215,17 +253,37 @@ def retry_plan(df: DataFrame, error: Column, attempt: Column, most: int = 3) ->
 
 def extremes(df: DataFrame, group: str, score: str, tie: str) -> DataFrame:
     """Best, worst and upper-middle row of each group: column pick."""
-    w = W.partitionBy(group)
-    r, n = F.row_number().over(w.orderBy(score, tie)), F.count(F.lit(1)).over(w)
-    ranked = df.withColumn("_r", r).withColumn("_n", n)
+    ranked = positions(df, [score, tie], [group])
     at = {"worst": F.lit(1), "best": F.col("_n"), "median": F.floor(F.col("_n") / 2) + 1}
     picks = F.array(*(F.struct(F.lit(k).alias("pick"), v.cast("long").alias("at")) for k, v in at.items()))
-    return ranked.select(*df.columns, "_r", F.inline(picks)).where("_r = at").drop("_r", "at")
+    return ranked.select(*df.columns, "_row", F.inline(picks)).where("_row = at").drop("_row", "at")
 
 
 def advantages(df: DataFrame, group: str, value: str) -> DataFrame:
     """Mean and spread of each group and each row's standardised value; a group without spread is dead."""
-    w = W.partitionBy(group)
-    out = df.withColumn("mu", F.avg(value).over(w)).withColumn("sigma", F.stddev_pop(value).over(w))
+    # Combined before the shuffle; rows then meet one row a group.
+    own = df.groupBy(F.col(group).alias("_g")).agg(F.avg(value).alias("mu"), F.stddev_pop(value).alias("sigma"))
+    out = df.join(own, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
     dead = F.col("sigma") <= 1e-9
     return out.withColumn("dead", dead).withColumn("advantage", F.when(~dead, (F.col(value) - F.col("mu")) / F.col("sigma")))
+
+
+def shuffled(df: DataFrame, order: list[str], seed: int, out: str = "place") -> DataFrame:
+    """df plus a place from 0: a permutation, keyed by the seed, of the rows' positions in the order."""
+    placed = stored(positions(df, order).withColumn("_at", F.col("_row") - 1).drop("_row", "_n"), "placed")
+    return placed.withColumn(out, permute.permuted(F.col("_at"), placed.count(), F.lit(seed))).drop("_at")
+
+
+def permutation_null(df: DataFrame, order: list[str], left: list[str], right: list[str], hit: Column, shuffles: int) -> DataFrame:
+    """A row a shuffle: rep (from 1) and rate, the share of rows for which hit holds when they get the right columns of other rows.
+
+    Rows are placed in the order once. In each shuffle the row at a position gets the columns of the row at its
+    permuted position, so all shuffles are one join on positions, and nothing is sorted for them.
+    """
+    placed = positions(df.select(*dict.fromkeys([*order, *left, *right])), order)
+    placed = stored(placed.select(*left, *(F.col(c).alias(f"_r_{c}") for c in right), (F.col("_row") - 1).alias("_at")), "placed")
+    n = placed.count()
+    asked = placed.select(*left, "_at", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(shuffles).cast("long"))).alias("rep"))
+    asked = asked.withColumn("_to", permute.permuted(F.col("_at"), n, F.col("rep"))).drop("_at")
+    drawn = placed.select(F.col("_at").alias("_to"), *(F.col(f"_r_{c}").alias(c) for c in right))
+    return asked.join(drawn, "_to").groupBy("rep").agg(F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("rate"))

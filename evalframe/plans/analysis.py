@@ -166,7 +166,7 @@ _TREE = """WITH g AS (SELECT CASE WHEN grouping(primitive) = 0 AND grouping(data
   CAST(2 - grouping(primitive) - grouping(dataset) AS INT) AS depth, count(score) AS n, avg(score) AS value FROM scored GROUP BY ROLLUP (primitive, dataset))
 SELECT g.path, g.depth, g.n, round(g.value, 9) AS value, round(g.value - p.value, 9) AS delta, round(k.spread, 9) AS spread FROM g
 LEFT JOIN g p ON p.path = g.parent AND p.depth = g.depth - 1
-LEFT JOIN (SELECT parent, max(value) - min(value) AS spread FROM g WHERE n >= 30 AND parent IS NOT NULL GROUP BY parent) k ON k.parent = g.path"""
+LEFT JOIN (SELECT parent, max(value) - min(value) AS spread FROM g WHERE n >= 30 AND parent IS NOT NULL GROUP BY parent HAVING count(*) >= 2) k ON k.parent = g.path"""
 
 
 @query("a46_drill_down", _TREE)

@@ -239,7 +239,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY m) - 1 AS k, count(*) OVER () AS n F
 SELECT count(*) FILTER (WHERE m <= 0.1) AS found, count(*) FILTER (WHERE m > 0.25) AS lost, count(*) FILTER (WHERE m <= 0.1 AND hit) AS hit_given_found, round(max(m) FILTER (WHERE k = n // 2), 9) AS upper_median FROM r""")
 def _(t):
     b = t.boxes.withColumn("m", F.expr("greatest(abs(x - (x0 + x1) / 2), abs(y - (y0 + y1) / 2))")).withColumn("hit", geo.in_box(F.col("x"), F.col("y"), F.col("box")))
-    mid = windows.order_statistics(b, "m", 2, "uid").select(F.round("cut", 9).alias("upper_median"))
+    mid = windows.order_statistics(b, "m", 2).select(F.round("cut", 9).alias("upper_median"))
     found = F.col("m") <= 0.1
     return b.agg(F.count_if(found).alias("found"), F.count_if(F.col("m") > 0.25).alias("lost"), F.count_if(found & F.col("hit")).alias("hit_given_found")).crossJoin(mid)
 
@@ -281,11 +281,11 @@ def _(t):
 
 @query("t13_permutation_mean", "SELECT CAST(20 AS BIGINT) AS shuffles, round(avg(rate), 9) AS mean_rate FROM (SELECT rep, sum(CASE WHEN a.gold_option = b.picked THEN 1 ELSE 0 END) / count(*) AS rate FROM (SELECT rep, gold_option, row_number() OVER (PARTITION BY rep ORDER BY uid) AS r FROM scored, range(1, 21) AS g(rep)) a JOIN (SELECT rep, picked, row_number() OVER (PARTITION BY rep ORDER BY sha1(rep::VARCHAR || ':' || uid::VARCHAR), uid) AS r FROM scored, range(1, 21) AS g(rep)) b USING (rep, r) GROUP BY rep)")
 def _(t):
-    reps = t.scored.select("uid", "gold_option", "picked", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(20).cast("long"))).alias("rep"))
+    reps = t.scored.select("uid", "picked", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(20).cast("long"))).alias("rep"))
     h = F.sha1(F.concat(F.col("rep").cast("string"), F.lit(":"), F.col("uid").cast("string")))
-    a = reps.select("rep", "gold_option", F.row_number().over(W.partitionBy("rep").orderBy("uid")).alias("r"))
-    b = reps.select("rep", "picked", F.row_number().over(W.partitionBy("rep").orderBy(h, "uid")).alias("r"))
-    rates = a.join(b, ["rep", "r"]).groupBy("rep").agg((F.count_if(F.col("gold_option") == F.col("picked")) / F.count(F.lit(1))).alias("rate"))
+    a = windows.positions(t.scored.select("uid", "gold_option"), ["uid"]).select("gold_option", F.col("_row").alias("r"))
+    b = windows.positions(reps.select("rep", "uid", "picked", h.alias("h")), ["h", "uid"], ["rep"]).select("rep", "picked", F.col("_row").alias("r"))
+    rates = b.join(a, "r").groupBy("rep").agg((F.count_if(F.col("gold_option") == F.col("picked")) / F.count(F.lit(1))).alias("rate"))
     return rates.agg(F.count(F.lit(1)).alias("shuffles"), F.round(F.avg("rate"), 9).alias("mean_rate"))
 
 

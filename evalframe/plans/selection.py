@@ -213,7 +213,7 @@ def _(t):
 @query("w04_tertiles", """WITH r AS (SELECT size AS cut, row_number() OVER (ORDER BY size, uid) - 1 AS r, count(*) OVER () AS n FROM scored WHERE size IS NOT NULL)
 SELECT CAST(part AS INT) AS part, cut FROM r, range(1, 3) AS g(part) WHERE r = n * part // 3""")
 def _(t):
-    return windows.order_statistics(t.scored, "size", 3, "uid")
+    return windows.order_statistics(t.scored, "size", 3)
 
 
 @query("w05_stratified_sample", """SELECT dataset, primitive, uid, pool FROM (SELECT *, count(*) OVER (PARTITION BY dataset, primitive) AS pool,
@@ -273,9 +273,7 @@ def _(t):
 
 @query("w20_distance_cdf", "SELECT uid, round(cume_dist() OVER (PARTITION BY rung ORDER BY x), 9) AS share FROM boxes")
 def _(t):
-    from pyspark.sql import Window as W
-
-    return t.boxes.select("uid", F.round(F.cume_dist().over(W.partitionBy("rung").orderBy("x")), 9).alias("share"))
+    return windows.cumulative_share(t.boxes.select("uid", "rung", "x"), ["rung"], "x").select("uid", F.round("share", 9).alias("share"))
 
 
 @query("u01_union_arms", "SELECT uid, score, 'sighted' AS arm FROM scored UNION ALL SELECT src_uid AS uid, score, 'blind' AS arm FROM control")

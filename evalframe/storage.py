@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +30,12 @@ def stored(df: DataFrame, kind: str = "step") -> DataFrame:
     path = scratch(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a table of few columns is broadcast.
+SMALL_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df to be joined as a broadcast if it is counted to be small, else by sorting."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df.hint("merge")
