@@ -63,6 +63,21 @@ def semi_join(df: DataFrame, keys: DataFrame, on: list[str], n_keys: int) -> Dat
     return df.join(F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys.hint("merge"), on, "left_semi")
 
 
+def only_ids(facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of facts whose id stands in the stored pairs (a, b), if these are few enough to be broadcast; else all."""
+    if 2 * pairs.count() > BROADCAST_KEYS:
+        return facts
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return facts.join(F.broadcast(ids), "id", "left_semi")
+
+
+def has_repeated_keys(docs: DataFrame, key: str, text: str) -> bool:
+    """Whether a key stands on rows with different texts."""
+    mark = F.xxhash64(text)
+    same = docs.groupBy(key).agg(F.min(mark).alias("_lo"), F.max(mark).alias("_hi"))
+    return not same.where("_lo <> _hi").isEmpty()
+
+
 def join_small(df: DataFrame, small: DataFrame, on: list[str], n_rows: int, how: str = "left") -> DataFrame:
     """Join with a table of few columns; broadcast it only when its counted size is small."""
     return df.join(F.broadcast(small) if n_rows <= BROADCAST_KEYS // 4 else small.hint("merge"), on, how)

@@ -15,8 +15,8 @@ its rows sorted by shard and block, items first, builds that shard's automaton o
 the block's texts; texts are told apart by two hashes, so equal ones are streamed once.
 
 Normalised words: A-Z lower-cased, runs of digits, ASCII letters and non-ASCII characters.
-Edge cases: null or empty texts and items have no words and no hits; equal items are all
-listed; repeated rows are treated alike; empty tables give empty results; documents keep all
+Edge cases: null or empty texts and items have no words and no hits; an item whose id is null
+covers words like any other and is not listed; equal items are all listed; repeated rows are treated alike; empty tables give empty results; documents keep all
 their columns, and the result columns replace none (a clash raises).
 """
 
@@ -168,7 +168,7 @@ def _benchmark(benchmark: DataFrame, limits: Limits, item: str, text: str) -> tu
     if words > limits.automaton_words:
         return None, table
     rows = table.select("item", F.col("text").cast("binary")).collect()
-    return sorted((r[0], bytes(r[1])) for r in rows), table
+    return sorted(((r[0], bytes(r[1])) for r in rows), key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0, x[1])), table
 
 
 def _marks() -> list[Column]:
@@ -240,7 +240,7 @@ def _sharded(docs: DataFrame, table: DataFrame, limits: Limits) -> DataFrame:
                 if s:
                     kept.append(i)
                     spans.append([{"start": x, "end": y} for x, y in s])
-                    found.append(sorted(names))
+                    found.append(_named(names))
             rows_at = pa.array(kept, pa.int64())
             cols = [b.column(4).take(rows_at), b.column(5).take(rows_at), pa.array(spans, span), pa.array(found, pa.list_(b.column(3).type))]
             yield pa.RecordBatch.from_arrays(cols, names=["t1", "t2", "spans", "items"])
@@ -301,7 +301,7 @@ def find_contamination(
                 pa.array(n, pa.int64()),
                 pa.array([[{"start": a, "end": b} for a, b in s] for s in spans],
                          pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                pa.array([sorted(i) for i in items], pa.list_(arrow_item)),
+                pa.array([_named(i) for i in items], pa.list_(arrow_item)),
                 pa.array([h > most * k for h, k in zip(hit, n)], pa.bool_()),
             ]
             if with_text:
@@ -317,6 +317,11 @@ def find_contamination(
     return map_texts(docs, factory, fields + ", clean_text string" * with_text, keep, text, with_row=found)
 
 
+def _named(items: set) -> list:
+    """In order; an item without an id covers words and is not named."""
+    return sorted(i for i in items if i is not None)
+
+
 def _union(a: list, b: list) -> list:
     out: list = []
     for x, y in sorted([*a, *b]):

@@ -17,8 +17,9 @@ runs of separators (controls and spaces), trimming and lower-casing.
    occurrence goes.
 
 Edge cases: blank lines are never removed; null and empty texts stay as they are; lines whose
-normalised form is shorter than `min_chars` lose their exact copies only; rows that repeat a key
-are taken as one document and lose the same line numbers; very long lines are shingled whole;
+normalised form is shorter than `min_chars` lose their exact copies only; equal rows
+of a key are one document and lose the same lines, rows of a key with different texts are told
+apart by their text; a null key is a key like others, the smallest; very long lines are shingled whole;
 empty tables give empty results; other columns stay, whatever their names, but one named as
 `n_removed` raises.
 """
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import BROADCAST_KEYS, discard, join_small, materialize, semi_join
+from evalframe.llm.common import BROADCAST_KEYS, discard, has_repeated_keys, join_small, materialize, only_ids, semi_join
 from evalframe.llm.linking import link_groups
 
 
@@ -53,11 +54,15 @@ def normal_line(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, cfg: Settings, key: str, text: str) -> DataFrame:
-    """key, pos, h1, h2, and line (normalised; null where shorter than min_chars) of the lines that are not blank."""
-    df = docs.select(F.col(key).alias("key"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    """key, mark, pos, h1, h2, and line (normalised; null where shorter than min_chars) of the lines that are not blank.
+
+    mark tells texts of one key apart; it is null where no key has several.
+    """
+    mark = F.xxhash64(text) if has_repeated_keys(docs, key, text) else F.lit(None).cast("long")
+    df = docs.select(F.col(key).alias("key"), mark.alias("mark"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     df = df.withColumn("line", normal_line(F.col("line"))).where(F.length("line") > 0)
     long = F.when(F.length("line") >= cfg.min_chars, F.col("line"))
-    return df.select("key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), long.alias("line"))
+    return df.select("key", "mark", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), long.alias("line"))
 
 
 def _minima(lines: DataFrame, cfg: Settings, thin: bool) -> DataFrame:
@@ -141,7 +146,7 @@ def _facts(texts: DataFrame, size: int) -> DataFrame:
 
 
 def find_repeated_lines(docs: DataFrame, cfg: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, drop: the sorted numbers of a document's lines that go; only documents that lose any."""
+    """key, mark, drop: the sorted numbers of a text's lines that go; only texts that lose any. mark is null where the key has one text."""
     lines = materialize(_lines(docs, cfg, key, text), "lines")
     signed = _signatures(lines, cfg)
     held: list[DataFrame] = []
@@ -162,8 +167,11 @@ def find_repeated_lines(docs: DataFrame, cfg: Settings = Settings(), key: str =
                 u, v = (facts.select([F.col(c).alias(f"{side}_{c}") for c in facts.columns]).hint("merge") for side in "uv")
                 pairs = pairs.join(u, F.col("a") == F.col("u_id")).join(v, F.col("b") == F.col("v_id"))
                 pairs = pairs.where(may(lambda c: F.col(f"u_{c}"), lambda c: F.col(f"v_{c}"))).select("a", "b")
-            x = texts.select(F.col("id").alias("a"), F.col("line").alias("la"))
-            y = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
+            # Only the texts of these pairs are moved: a round of few pairs does not shuffle all candidates' lines.
+            pairs = materialize(pairs, "pairs")
+            near = only_ids(texts, pairs)
+            x = near.select(F.col("id").alias("a"), F.col("line").alias("la"))
+            y = near.select(F.col("id").alias("b"), F.col("line").alias("lb"))
             both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
             both = both.select("a", "b", shingle_set(F.col("la"), cfg.shingle).alias("sa"), shingle_set(F.col("lb"), cfg.shingle).alias("sb"))
             both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")))
@@ -180,14 +188,15 @@ def find_repeated_lines(docs: DataFrame, cfg: Settings = Settings(), key: str =
     discard(signed, *held, comp)
 
     # Groups are components, or else equal lines.
-    occ = join_small(lines.select("key", "pos", "h1", "h2"), named, ["h1", "h2"], named.count())
+    occ = join_small(lines.select("key", "mark", "pos", "h1", "h2"), named, ["h1", "h2"], named.count())
     other = F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0))
-    occ = occ.select("key", "pos", F.coalesce("component", "h1").alias("g1"), other.alias("g2"))
-    keep = occ.groupBy("g1", "g2").agg(F.min(F.struct("key", "pos")).alias("keep"), F.count(F.lit(1)).alias("n"))
+    occ = occ.select("key", "mark", "pos", F.coalesce("component", "h1").alias("g1"), other.alias("g2"))
+    keep = occ.groupBy("g1", "g2").agg(F.min(F.struct("key", "mark", "pos")).alias("keep"), F.count(F.lit(1)).alias("n"))
     # Stored, so that the join with it can split a hot line.
     keep = materialize(keep.where("n > 1").select("g1", "g2", "keep"), "keep")
-    gone = occ.join(keep.hint("merge"), ["g1", "g2"]).where((F.col("key") != F.col("keep.key")) | (F.col("pos") != F.col("keep.pos")))
-    out = gone.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+    kept = F.col("key").eqNullSafe(F.col("keep.key")) & F.col("mark").eqNullSafe(F.col("keep.mark")) & (F.col("pos") == F.col("keep.pos"))
+    gone = occ.join(keep.hint("merge"), ["g1", "g2"]).where(~kept)
+    out = gone.groupBy(F.col("key").alias(key), "mark").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
     out = materialize(out, "dropped")
     discard(lines, named, keep)
     return out
@@ -198,12 +207,13 @@ def drop_lines(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", text: s
     if n_removed in docs.columns:
         raise ValueError(f"there is a column {n_removed} already")
     size = dropped.agg(F.coalesce(F.sum(F.size("drop") + 1), F.lit(0))).first()[0]
-    # Clashing names: the list travels under a name that no column has.
+    # Clashing names: the list, and what it is joined by, travel under names that no column has.
     name = "_drop"
-    while name in docs.columns:
+    while any(c.startswith(name) for c in docs.columns):
         name += "_"
-    gone = dropped.withColumnRenamed("drop", name)
-    joined = docs.join(F.broadcast(gone) if size <= BROADCAST_KEYS else gone.hint("merge"), key, "left")
+    gone = dropped.select(F.col(key).alias(f"{name}key"), F.col("mark").alias(f"{name}mark"), F.col("drop").alias(name))
+    same = F.col(key).eqNullSafe(F.col(f"{name}key")) & (F.col(f"{name}mark").isNull() | (F.col(f"{name}mark") == F.xxhash64(text)))
+    joined = docs.join(F.broadcast(gone) if size <= BROADCAST_KEYS else gone.hint("merge"), same, "left")
     # A mark for each line up to the last that goes: false for those between two that go, true for these.
     between = lambda p, i: p - F.coalesce(F.get(name, i - 1), F.lit(-1)) - 1
     marks = F.flatten(F.transform(name, lambda p, i: F.concat(F.array_repeat(F.lit(False), between(p, i)), F.array(F.lit(True)))))

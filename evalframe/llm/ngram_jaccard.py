@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.llm.batches import map_texts
-from evalframe.llm.common import components, discard, materialize, semi_join
+from evalframe.llm.common import components, discard, materialize, only_ids, semi_join
 from evalframe.llm.linking import link_groups
 from evalframe.llm.token_hash import WordHashes, signed, windows
 
@@ -205,6 +205,8 @@ def _verified(pairs: DataFrame, full: DataFrame, cfg: Settings) -> DataFrame:
     near = pairs.join(x.hint("merge"), F.col("a") == F.col("x_id")).join(y.hint("merge"), F.col("b") == F.col("y_id"))
     near = near.where(_may_link(pct)(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}")))
     near = materialize(near.select("a", "b", (F.col("x_n") + F.col("y_n")).alias("m")), "pairs")
+    # Only the sets of these pairs are cut and moved.
+    full = only_ids(full, near)
     # Fragment of a hash: its top bits, as k equal ranges of the unsigned order.
     frag = lambda g: F.shiftrightunsigned(g, 32) * k / F.lit(2**32)
     cut = full.select(

@@ -250,10 +250,11 @@ def _runs(starts: DataFrame, window: int) -> DataFrame:
     return starts.select("key", "mark", spans.alias("spans"))
 
 
-def join_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with their spans, null where they lose nothing; broadcast only behind a count."""
+def join_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text", name: str = "spans") -> DataFrame:
+    """docs with their spans in a column of that name, null where they lose nothing; broadcast only behind a count."""
     size = spans.agg(F.coalesce(F.sum(F.size("spans") + 1), F.lit(0))).first()[0]
     marked = docs.withColumn(MARK, F.xxhash64(text))
+    spans = spans.withColumnRenamed("spans", name)
     return marked.join(F.broadcast(spans) if size <= BROADCAST_KEYS else spans.hint("merge"), [key, MARK], "left").drop(MARK)
 
 
@@ -263,10 +264,11 @@ def remove_spans(
     make: Callable[[list[bytes], list[bytes]], tuple],
     text: str = "text",
     keep: list[str] | None = None,
+    name: str = "spans",
 ) -> DataFrame:
     """keep columns plus the fields (name, Spark type, Arrow type) that make gives for (all words, kept words).
 
-    docs has the column spans of join_spans.
+    docs has the column of join_spans, of the same name.
     """
     types = [t for _, _, t in fields]
 
@@ -280,14 +282,18 @@ def remove_spans(
 
         return fn
 
-    return map_texts(docs, factory, ", ".join(f"{n} {t}" for n, t, _ in fields), keep, text, with_row=["spans"])
+    return map_texts(docs, factory, ", ".join(f"{n} {t}" for n, t, _ in fields), keep, text, with_row=[name])
 
 
 def deduplicated_text(docs: DataFrame, cfg: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs plus clean_text: the kept words joined by single spaces."""
-    joined = join_spans(docs, find_repeats(docs, cfg, key, text), key, text)
+    """docs plus clean_text: the kept words joined by single spaces; a column of that name is replaced, any other stays."""
+    name = "spans"
+    while name in docs.columns:
+        name += "_"
+    joined = join_spans(docs, find_repeats(docs, cfg, key, text), key, text, name)
     fields = [("clean_text", "string", pa.string())]
-    return remove_spans(joined, fields, lambda _, left: (b" ".join(left).decode(),), text, docs.columns)
+    keep = [c for c in docs.columns if c != "clean_text"]
+    return remove_spans(joined, fields, lambda _, left: (b" ".join(left).decode(),), text, keep, name)
 
 
 def _gaps(spans: list[dict], n: int):

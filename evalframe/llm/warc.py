@@ -28,6 +28,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,7 +70,7 @@ def target(url: str | None) -> str:
     return re.sub(r"[\r\n]", "", url or "")
 
 
-def capture_records(key: int, url: str | None, html: str | None, digest: str, first: dict | None, copies: int, date: str) -> list[str]:
+def capture_records(key: object, url: str | None, html: str | None, digest: str, first: dict | None, copies: int, date: str) -> list[str]:
     """The response, or the revisit of the first page (key, url) of that payload, the request and the metadata of one page row."""
     uri = target(url)
     payload = html or ""
@@ -88,7 +89,8 @@ def capture_records(key: int, url: str | None, html: str | None, digest: str, fi
         held = _record("revisit", main, uri, "application/http;msgtype=response", status + "\r\n", told, date)
     near = [("WARC-Concurrent-To", main)]
     ask = f"GET /{path} HTTP/1.1\r\nHost: {host}\r\n\r\n"
-    facts = f"pageId: {key}\r\npayloadBytes: {size}\r\ncopies: {copies}\r\n"
+    named = "" if key is None else f"pageId: {quote(str(key), safe='')}\r\n"
+    facts = f"{named}payloadBytes: {size}\r\ncopies: {copies}\r\n"
     return [
         held,
         _record("request", record_id(main, "request"), uri, "application/http;msgtype=request", ask, near, date),
@@ -117,12 +119,15 @@ def write_archives(pages: DataFrame, cfg: Settings = Settings(), path: str | Non
         "key", "url", "digest", "copies", F.when(F.col("key") > F.col("first.key"), F.col("first")).alias("first")
     )
     odd = materialize(odd.where("copies > 1 or first is not null"), "revisits")
-    full = map_texts(rows, digests, "digest string, size bigint", ["key", "url", "html"], "html")
-    same = (full.key.eqNullSafe(odd.key)) & (full.url.eqNullSafe(odd.url)) & (full.digest == odd.digest)
     n_odd = odd.count()
-    joined = full.join(F.broadcast(odd) if n_odd <= 200_000 else odd.hint("merge"), same, "left").select(
-        full.key, full.url, full.html, full.digest, odd["first"], F.coalesce(odd.copies, F.lit(1)).alias("copies")
-    )
+
+    def with_digests(rows: DataFrame) -> DataFrame:
+        full = map_texts(rows, digests, "digest string, size bigint", ["key", "url", "html"], "html")
+        same = (full.key.eqNullSafe(odd.key)) & (full.url.eqNullSafe(odd.url)) & (full.digest == odd.digest)
+        return full.join(F.broadcast(odd) if n_odd <= 200_000 else odd.hint("merge"), same, "left").select(
+            full.key, full.url, full.html, full.digest, odd["first"], F.coalesce(odd.copies, F.lit(1)).alias("copies")
+        )
+
     date = cfg.date
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +141,9 @@ def write_archives(pages: DataFrame, cfg: Settings = Settings(), path: str | Non
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
     size = F.coalesce(F.octet_length("html"), F.lit(0))
-    # Large payloads apart, one capture a file.
-    for rows, most in ((joined.where(size <= cfg.large_bytes), cfg.records_per_file), (joined.where(size > cfg.large_bytes), 3)):
-        out = rows.mapInArrow(records, "value string").write.mode("append")
+    # Large payloads apart, one capture a file; told apart before they are hashed, so that each is hashed by one of the two.
+    for part, most in ((rows.where(size <= cfg.large_bytes), cfg.records_per_file), (rows.where(size > cfg.large_bytes), 3)):
+        out = with_digests(part).mapInArrow(records, "value string").write.mode("append")
         out.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(path)
     discard(named, first, odd)
     return path
@@ -179,7 +184,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                         digest, size = sha1_base32(body), len(body)
                         payload = body.decode() if with_payload else None
                     elif kind == "metadata":
-                        fields = [(k.decode(), v.decode()) for k, v in _HEADER.findall(bytes(block))]
+                        fields = [(k.decode(), unquote(v.decode()) if k == b"pageId" else v.decode()) for k, v in _HEADER.findall(bytes(block))]
                     elif kind == "request":
                         line = bytes(block[: bytes(block).index(b"\r\n")]).decode()
                         fields = list(zip(("method", "path", "protocol"), (line.split(" ", 1)[0], *line.split(" ", 1)[1].rsplit(" ", 1))))
@@ -203,8 +208,8 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
     return materialize(files.mapInArrow(parse, schema), "records")
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: page_id, url, response, request, metadata; repeated as often as it was captured.
+def assemble(records: DataFrame, key_type: str = "bigint") -> DataFrame:
+    """One nested row per capture: page_id (of key_type, null if the page had none), url, response, request, metadata; repeated as often as it was captured.
 
     A response without its request or metadata is kept, with nulls for them.
     """
@@ -221,7 +226,7 @@ def assemble(records: DataFrame) -> DataFrame:
     copies = F.greatest(F.coalesce(F.col("metadata.fields")["copies"].cast("int"), F.lit(1)), F.lit(1))
     whole = whole.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     return whole.select(
-        F.col("metadata.fields")["pageId"].cast("long").alias("page_id"), F.col("uri").alias("url"), "response", "request", "metadata"
+        F.col("metadata.fields")["pageId"].cast(key_type).alias("page_id"), F.col("uri").alias("url"), "response", "request", "metadata"
     )
 
 
