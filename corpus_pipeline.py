@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.llm import decontaminate, line_dedup, mixing, ngram_jaccard, quality_model
-from evalframe.llm.common import BROADCAST_KEYS, materialize
+from evalframe.llm.common import BROADCAST_KEYS, has_repeated_keys, materialize
 
 #: The columns of documents; other columns are not carried.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,7 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines; documents of which no word is left go, those that had none stay.
 
     Null texts stay null. Of equal or similar lines the one of the smallest (doc_id, line number) stays; rows
-    that repeat a doc_id lose the same line numbers.
+    that repeat a doc_id are told apart by their texts.
     """
     docs = docs.select(*COLUMNS)
     cleaned = line_dedup.dedup_lines(docs, n_removed="_removed")
@@ -51,9 +51,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near duplicates (five words, similarity 0.8).
 
-    Null and wordless texts are alone and stay. Rows that repeat a doc_id are one document and stay or go together.
+    Null and wordless texts are alone and stay. Equal rows of a doc_id stay or go together; rows of a doc_id with
+    different texts are documents of their own.
     """
     docs = docs.select(*COLUMNS)
+    if has_repeated_keys(docs, "doc_id", "text"):
+        row = F.struct("doc_id", F.xxhash64("text").alias("mark"))
+        docs = docs.withColumn("_row", row)
+        found = ngram_jaccard.near_duplicates(docs, key="_row").where(~F.col("_row").eqNullSafe(F.col("component_id")))
+        gone = found.select(F.col("_row.doc_id").alias("_id"), F.col("_row.mark").alias("_mark")).distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
+        return docs.join(gone.hint("merge"), same, "left_anti").select(*COLUMNS)
     found = ngram_jaccard.near_duplicates(docs)
     gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
