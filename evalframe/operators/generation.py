@@ -143,10 +143,15 @@ def training_records(df: DataFrame, prompt: Column, completion: Column, key: str
     return df.select(key, F.to_json(F.struct(*parts)).alias("record"))
 
 
-def operand_search(expression: Column, pred: Column, trace: Column) -> Column:
+def operand_search(expression: Column, pred: Column, trace: Column, most_values: int = 65_536) -> Column:
     """How a calculation, run from left to right, must change to give the answer: wrong_operation (any other choice of
     operators, or the two operands of a single one swapped), wrong_operand (one operand replaced by a number of the
-    trace or the answer), else unclassified, as is what can't be read as numbers and operators."""
+    trace or the answer), else unclassified, as is what can't be read as numbers and operators.
+
+    Choices of operators are followed as the different values that they reach, operand by operand. Up to eight
+    operators these are never more than 4 ** 8; a longer calculation that reaches more than most_values is undecided,
+    as to decide it in general is as hard as to split numbers into two equal sums.
+    """
     e = F.regexp_replace(F.coalesce(expression, F.lit("")), ",", "")
     vals = F.transform(F.split(e, r"[+\-*/]"), lambda t: F.trim(t).try_cast("double"))
     ops = F.transform(F.regexp_extract_all(e, F.lit(r"[+\-*/]"), F.lit(0)), lambda o: F.instr(F.lit("+-*/"), o) - 1)
@@ -167,11 +172,19 @@ def operand_search(expression: Column, pred: Column, trace: Column) -> Column:
     def near(v: Column) -> Column:
         return F.coalesce(F.exists(answers, lambda p: F.abs(v - p) <= F.greatest(F.lit(1e-6), 1e-6 * F.abs(p))), F.lit(False))
 
-    # A choice of operators is a number with a digit from 0 to 3 for each.
-    digit = lambda c: lambda i: F.floor(c / F.pow(F.lit(4.0), i)).cast("int") % 4
-    own = F.aggregate(F.sequence(F.lit(0), F.size(ops) - 1), F.lit(0.0), lambda acc, i: acc + F.get(ops, i) * F.pow(F.lit(4.0), i))
-    choices = F.sequence(F.lit(0).cast("long"), F.pow(F.lit(4.0), F.size(ops)).cast("long") - 1)
-    others = F.exists(choices, lambda c: (c != own) & near(run(vals, digit(c))))
+    # What the own operators have reached, and all that others have: null once those are too many.
+    number, every = F.lit(None).cast("double"), F.array(*map(F.lit, range(4)))
+
+    def reach(s: Column, i: Column) -> Column:
+        x, o = F.get(vals, i), F.get(ops, i - 1)
+        changed = F.transform(F.filter(every, lambda c: c != o), lambda c: step(s["own"], x, c))
+        further = F.flatten(F.transform(s["others"], lambda v: F.transform(every, lambda c: step(v, x, c))))
+        others = F.array_distinct(F.array_compact(F.concat(further, changed)))
+        return F.struct(step(s["own"], x, o).alias("own"), F.when(F.size(others) <= most_values, others).alias("others"))
+
+    start = F.struct(F.coalesce(F.get(vals, F.lit(0)), number).alias("own"), F.array().cast("array<double>").alias("others"))
+    reached = F.aggregate(F.sequence(F.lit(1), F.size(vals) - 1), start, reach, lambda s: s["others"])
+    others = F.exists(reached, near)
     swapped = (F.size(vals) == 2) & F.exists(F.array(*map(F.lit, range(4))), lambda o: near(step(F.get(vals, F.lit(1)), F.get(vals, F.lit(0)), o)))
     put = lambda k, v: F.transform(vals, lambda x, i: F.when(i == k, v).otherwise(x))
     replaced = F.exists(
@@ -179,6 +192,6 @@ def operand_search(expression: Column, pred: Column, trace: Column) -> Column:
     )
     readable = (F.size(vals) >= 2) & ~F.exists(vals, lambda v: v.isNull())
     return (
-        F.when(~readable, "unclassified").when((F.size(answers) > 0) & (others | swapped), "wrong_operation")
-        .when((F.size(answers) > 0) & replaced, "wrong_operand").otherwise("unclassified")
+        F.when(~readable, "unclassified").when((F.size(answers) > 0) & (F.coalesce(others, F.lit(False)) | swapped), "wrong_operation")
+        .when((F.size(answers) > 0) & others.isNull(), "undecided").when((F.size(answers) > 0) & replaced, "wrong_operand").otherwise("unclassified")
     )

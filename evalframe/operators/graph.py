@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalframe.operators import windows
 from evalframe.operators.dedup import first
 from evalframe.storage import stored
 
@@ -54,26 +56,74 @@ def edge_style(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     return j.join(e, ["gid", "_a", "_b"], "left").select(*pairs.columns, "style")
 
 
+def ids_of_labels(nodes: DataFrame) -> DataFrame:
+    """gid, label, id: the largest id of those that share a label."""
+    return nodes.groupBy("gid", "label").agg(F.max("id").alias("id"))
+
+
 def unconnected_pair(nodes: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
-    """gid, a, b: one pair of labels (a before b) without an edge in either direction, those at two hops or more
-    preferred, picked by a hash of seed and gid among the candidates in the order of their labels.
+    """gid, a, b: one pair of labels (a before b) without an edge in either direction, picked by a hash of seed and gid
+    among all such pairs of the chart in the order of their labels.
 
-    A chart's labels are held against each other, so its pairs grow with the square of its nodes.
-    Charts in which all labels are connected give no row.
+    Pairs are counted, not made: a label has as many as there are labels behind it less its neighbours among these.
+    The label in which the picked place falls, and the label behind it that leaves as many free ones before it, are
+    found by numbers of rows. Charts in which all labels are connected give no row.
+    """
+    placed = windows.positions(ids_of_labels(nodes), ["label"], ["gid"])
+    placed = stored(placed.select("gid", "label", "id", F.col("_row").alias("r"), F.col("_n").alias("labels")), "labels")
+    x, y = (placed.select("gid", F.col("id").alias(c), F.col("r").alias(f"r{c}")) for c in ("src", "dst"))
+    near = edges.select("gid", "src", "dst").join(x, ["gid", "src"]).join(y, ["gid", "dst"])
+    near = near.select("gid", F.least("rsrc", "rdst").alias("r"), F.greatest("rsrc", "rdst").alias("rb")).where("r < rb").distinct()
+    near = stored(near, "near")
+    degree = near.groupBy("gid", "r").agg(F.count(F.lit(1)).alias("_d"))
+    free = placed.join(degree, ["gid", "r"], "left").select("gid", "r", "label", (F.col("labels") - F.col("r") - F.coalesce("_d", F.lit(0))).alias("free"))
+    summed = windows.prefix_sums(free, ["gid"], "r", "free").where("_n > 0")
+    pick = F.pmod(F.xxhash64(F.lit(seed), F.col("gid")), F.col("_n")) - F.col("_before")
+    first = summed.withColumn("k", pick).where("k >= 0 AND k < free").select("gid", "r", F.col("label").alias("a"), "k")
+    first = stored(first, "first")
+    # Of the neighbours behind it, those that have no more than k free labels before them lie before the picked one.
+    behind = windows.positions(near.join(first, ["gid", "r"]).select("gid", "r", "rb", "k"), ["rb"], ["gid"])
+    passed = behind.groupBy("gid").agg(F.count_if(F.col("rb") - F.col("r") - F.col("_row") <= F.col("k")).alias("_m"))
+    told = first.join(passed, "gid", "left").select("gid", "a", (F.col("r") + 1 + F.col("k") + F.coalesce("_m", F.lit(0))).alias("r"))
+    return told.join(placed.select("gid", "r", F.col("label").alias("b")), ["gid", "r"]).select("gid", "a", "b")
+
+
+def hops_between(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, directed: bool = False) -> DataFrame:
+    """Asked pairs (gid, a, b as labels) plus hops: fewest edges from a to b; 0 to itself, null if a label is unknown or nothing leads there.
+
+    Both ends are searched breadth first, a level at a time in turn, and a pair is done when its two searches meet or
+    one of them arrives nowhere new; so only nodes within about half of the way are held, and only for pairs that are open.
     """
-    n = nodes.groupBy("gid", "label").agg(F.max("id").alias("id"))
-    x, y = (n.select("gid", F.col("label").alias(s), F.col("id").alias(f"_{s}")) for s in "ab")
-    e = undirected(edges).select("gid", F.col("src").alias("_a"), F.col("dst").alias("_b")).distinct()
-    free = x.join(y, "gid").where("a < b").join(e, ["gid", "_a", "_b"], "left_anti")
-    # Not connected by an edge means two hops or more, or no path: all candidates are far ones but a node's two labels.
-    free = free.withColumn("far", F.col("_a") != F.col("_b"))
-    best = free.groupBy("gid").agg(F.max("far").alias("far"))
-    rows = free.join(best, ["gid", "far"])
-    w = W.partitionBy("gid")
-    place = F.row_number().over(w.orderBy("a", "b")) - 1
-    count = F.count(F.lit(1)).over(w)
-    pick = F.pmod(F.xxhash64(F.lit(seed), F.col("gid")), count)
-    return rows.withColumn("_at", place).withColumn("_pick", pick).where("_at = _pick").select("gid", "a", "b")
+    ids = ids_of_labels(nodes)
+    end = lambda c: ids.select("gid", F.col("label").alias(c), F.col("id").alias(f"_{c}"))
+    known = stored(pairs.select("gid", "a", "b").distinct().join(end("a"), ["gid", "a"]).join(end("b"), ["gid", "b"]), "pairs")
+    pair = ["gid", "_a", "_b"]
+    out = [known.where("_a = _b").select(*pair, F.lit(0).alias("hops"))]
+    open_ = known.where("_a <> _b").select(*pair).distinct()
+    e = stored((edges if directed else undirected(edges)).select("gid", "src", "dst").where("src <> dst").distinct(), "edges")
+    steps = {"_a": e.select("gid", F.col("src").alias("n"), F.col("dst").alias("m")), "_b": e.select("gid", F.col("dst").alias("n"), F.col("src").alias("m"))}
+    front = {s: open_.select(*pair, F.col(s).alias("n")) for s in steps}
+    seen, depth, side = dict(front), 0, "_a"
+    while True:
+        depth += 1
+        other = "_b" if side == "_a" else "_a"
+        new = front[side].join(steps[side], ["gid", "n"]).select(*pair, F.col("m").alias("n")).distinct()
+        # Stored each round, else the plan grows by a level a round.
+        new = stored(new.join(seen[side], [*pair, "n"], "left_anti"), "front")
+        met = stored(new.join(seen[other], [*pair, "n"], "left_semi").select(*pair).distinct(), "met")
+        out.append(met.withColumn("hops", F.lit(depth)))
+        # Open pairs arrived somewhere new and have not met.
+        still = stored(new.select(*pair).distinct().join(met, pair, "left_anti"), "open")
+        if still.isEmpty():
+            break
+        left = lambda rows: rows.join(still, pair, "left_semi")  # noqa: E731, B023
+        front, seen = {side: left(new), other: left(front[other])}, {side: left(seen[side].unionByName(new)), other: left(seen[other])}
+        if depth % 4 == 0:
+            front, seen = ({s: stored(d, "reached") for s, d in x.items()} for x in (front, seen))
+        side = other
+    found = reduce(DataFrame.unionByName, out)
+    told = known.join(found, pair).select("gid", "a", "b", "hops")
+    return pairs.join(told, ["gid", "a", "b"], "left").select(*pairs.columns, "hops")
 
 
 def hops(edges: DataFrame, sources: DataFrame, limit: int | None = None, directed: bool = False) -> DataFrame:

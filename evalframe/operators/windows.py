@@ -45,20 +45,24 @@ def counted_positions(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
     Rows are reduced to counts before they are dealt into ranges, so a value that half of all rows have is one row.
     """
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    dealt = stored(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "counts")
+    return prefix_sums(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")), by, value, "_c")
+
+
+def prefix_sums(df: DataFrame, by: list[str], order: str, weight: str) -> DataFrame:
+    """df plus _before (the weights before a row in its group's order) and _n (all of the group's), in no single task. The order is without ties."""
+    dealt = stored(df.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()), "counts")
     names = [f"_by{i}" for i in range(len(by))]
-    sums = dealt.groupBy("_part", *(F.col(c).alias(n) for c, n in zip(by, names))).agg(F.sum("_c").alias("_s"))
+    sums = dealt.groupBy("_part", *(F.col(c).alias(n) for c, n in zip(by, names))).agg(F.sum(weight).alias("_c"))
     # One row a range and group.
     group = W.partitionBy(*names) if by else W.partitionBy(F.lit(0))
-    before = F.sum("_s").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select(F.col("_part").alias("_p"), *names, F.coalesce(before, F.lit(0)).alias("_at"), F.sum("_s").over(group).alias("_n"))
+    before = F.sum("_c").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(F.col("_part").alias("_p"), *names, F.coalesce(before, F.lit(0)).alias("_at"), F.sum("_c").over(group).alias("_n"))
     on = F.col("_part") == F.col("_p")
     for c, n in zip(by, names):
         on &= F.col(c).eqNullSafe(F.col(n))
-    own = F.sum("_c").over(W.partitionBy("_part", *by).orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    own = F.sum(weight).over(W.partitionBy("_part", *by).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
     out = dealt.withColumn("_own", F.coalesce(own, F.lit(0))).join(sums, on)
-    return out.select(*by, value, "_c", (F.col("_at") + F.col("_own")).alias("_before"), "_n")
+    return out.select(*df.columns, (F.col("_at") + F.col("_own")).alias("_before"), "_n")
 
 
 def equal_count_bins(df: DataFrame, value: str, k: int, tie: str, by: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from evalframe.functions import answers as an
 from evalframe.functions import stats
 from evalframe.functions import text as tx
 from evalframe.operators import generation as gen
-from evalframe.operators import joins, windows
+from evalframe.operators import graph, joins, windows
 from evalframe.plans.base import query
 from evalframe.sources import logs
 
@@ -189,5 +189,5 @@ def _(t):
 
 @query("r01_labels_to_ids", "SELECT n_name AS label, n_nationkey AS id FROM nation")
 def _(t):
-    m = t.nation.agg(F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("m"))
-    return m.select(F.explode("m").alias("label", "id"))
+    nodes = t.nation.select(F.lit(0).alias("gid"), F.col("n_name").alias("label"), F.col("n_nationkey").alias("id"))
+    return graph.ids_of_labels(nodes).select("label", "id")
