@@ -12,6 +12,7 @@ from evalframe.functions import answers as an
 from evalframe.functions import geometry as geo
 from evalframe.functions import stats
 from evalframe.operators import drill, windows
+from evalframe.storage import small_side
 
 SUPPRESS_BELOW = 30
 
@@ -160,7 +161,7 @@ def three_costs(evidence: DataFrame, whole: DataFrame, key: str, score: str, equ
 def reweighted_rate(df: DataFrame, stratum: str, bad: Column, population: DataFrame) -> DataFrame:
     """Rate of bad over the population's strata sizes (stratum, size), by the strata observed."""
     rates = df.groupBy(stratum).agg(F.avg(bad.cast("double")).alias("rate"), F.count(F.lit(1)).alias("audited"))
-    both = rates.join(F.broadcast(population), stratum)
+    both = rates.join(small_side(population), stratum)
     return both.agg(
         F.try_divide(F.sum(F.col("rate") * F.col("size")), F.sum("size")).alias("rate"), F.sum("audited").alias("audited")
     )

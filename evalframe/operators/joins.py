@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalframe.functions import geometry as geo
 from evalframe.operators import windows
+from evalframe.storage import stored
 
 
 def todo(examples: DataFrame, log: DataFrame, usable: Column, key: str = "uid") -> DataFrame:
@@ -48,43 +51,89 @@ def join_check(a: DataFrame, b: DataFrame, key: str, values: list[str]) -> DataF
     )
 
 
-def _cells(b: Column, grid: int) -> Column:
-    """Cells of a grid over the unit square that a box touches; what lies beyond counts to the outermost."""
-    at = lambda v: F.least(F.greatest(F.floor(v * grid), F.lit(0)), F.lit(grid - 1)).cast("int")
-    xs, ys = F.sequence(at(b["x0"]), at(b["x1"])), F.sequence(at(b["y0"]), at(b["y1"]))
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: x * grid + y)))
-
+#: Where a row of split_cells stands: its scene and the level and place of its cell.
+CELL = ("_s", "_l", "_cx", "_cy")
 
-def _point_cell(x: Column, y: Column, grid: int) -> Column:
-    return _cells(geo.box(x, y, x, y), grid)[0]
 
+def split_cells(rows: DataFrame, most: int = 256, deepest: int = 20) -> DataFrame:
+    """rows (_s, a scene, and _x0, _y0, _x1, _y1 in the unit square) with the cells they touch, a row each: _l, _cx, _cy.
 
-def misses_on_other_box(points: DataFrame, boxes: DataFrame, scene: str, key: str, grid: int = 16) -> DataFrame:
+    A scene is one cell, and a cell of more than `most` rows is split in four, again and again, so that cells are
+    small where rows lie close. A split that would give more than half again as many rows is not made: rows that cover
+    most of a cell come no further apart by it. What lies beyond the square counts to its outermost cells, and rows
+    with a common point have a common cell, whatever was split.
+    """
+    cell = list(CELL)
+    cur = rows.withColumns({"_l": F.lit(0), "_cx": F.lit(0).cast("long"), "_cy": F.lit(0).cast("long")})
+    done: list[DataFrame] = []
+    for level in range(1, deepest + 1):
+        counts = cur.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+        if counts.isEmpty():
+            break
+        cur, counts = stored(cur, "cells"), stored(counts, "large")
+        side = 1 << level
+        at = lambda v: F.least(F.greatest(F.floor(F.col(v) * side), F.lit(0)), F.lit(side - 1))  # noqa: E731, B023
+        # Of the two halves of a cell those that the row reaches.
+        halves = lambda c, low, high: F.sequence(F.greatest(2 * F.col(c), at(low)), F.least(2 * F.col(c) + 1, at(high)))  # noqa: E731, B023
+        xs, ys = halves("_cx", "_x0", "_x1"), halves("_cy", "_y0", "_y1")
+        inside = cur.join(counts.select(*cell), cell, "left_semi")
+        made = inside.groupBy(*cell).agg(F.sum(F.size(xs) * F.size(ys)).alias("_k"), F.count(F.lit(1)).alias("_n"))
+        split = stored(made.where("2 * _k <= 3 * _n").select(*cell), "split")
+        if split.isEmpty():
+            break
+        done.append(cur.join(split, cell, "left_anti"))
+        kids = cur.join(split, cell, "left_semi").withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
+        cur = kids.withColumn("_l", F.lit(level))
+    return reduce(DataFrame.unionByName, [*done, cur])
+
+
+def _placed(df: DataFrame, scene: str, box: Column, size: float = 1.0, **kept: Column) -> DataFrame:
+    corners = {f"_{c}": (box[c] / size).cast("double") for c in ("x0", "y0", "x1", "y1")}
+    rows = df.select(F.col(scene).alias("_s"), *(v.alias(k) for k, v in kept.items()), *(v.alias(k) for k, v in corners.items()))
+    # A box of which an end is missing, or that ends before it begins, meets nothing.
+    return rows.where("_x0 <= _x1 AND _y0 <= _y1")
+
+
+def _meeting(own: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with cells split by the rows of both."""
+    both = own.withColumn("_own", F.lit(True)).unionByName(others.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    cells = split_cells(both)
+    other = [c for c in others.columns if c[:2] not in ("_x", "_y")]
+    return cells.where("_own").select(*own.columns, *CELL[1:]), cells.where("NOT _own").select(*other, *CELL[1:])
+
+
+def misses_on_other_box(points: DataFrame, boxes: DataFrame, scene: str, key: str) -> DataFrame:
     """Misses that lie in some other box of their scene; points have x, y, hit and key, boxes key and box.
 
-    Points and boxes meet in cells of the scene; a point's cell is one of any box that holds it.
+    Points and boxes meet in cells of the scene.
     """
-    b = boxes.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), F.col("box").alias("_b"), F.explode(_cells(F.col("box"), grid)).alias("_c"))
-    rows = points.where("not hit").withColumn("_cell", _point_cell(F.col("x"), F.col("y"), grid))
-    on = (F.col(scene) == F.col("_s")) & (F.col("_cell") == F.col("_c")) & (F.col(key) != F.col("_k"))
-    return rows.join(b, on & geo.in_box(F.col("x"), F.col("y"), F.col("_b")), "left_semi").drop("_cell")
+    x, y = F.col("x"), F.col("y")
+    own = _placed(points.where("not hit"), scene, geo.box(x, y, x, y), _row=F.struct(*points.columns))
+    a, b = _meeting(own, _placed(boxes, scene, F.col("box"), _k=F.col(key), _b=F.col("box")))
+    inside = geo.in_box(F.col("_row.x"), F.col("_row.y"), F.col("_b"))
+    found = a.alias("a").join(b.alias("b"), _same_cell() & (F.col(f"_row.{key}") != F.col("_k")) & inside, "left_semi")
+    return found.select("_row.*")
 
 
-def overlapping(boxes: DataFrame, scene: str, key: str, own: str = "box", others: str = "box", grid: int = 16, size: float = 1.0) -> DataFrame:
+def overlapping(boxes: DataFrame, scene: str, key: str, own: str = "box", others: str = "box", size: float = 1.0) -> DataFrame:
     """Distinct (scene, key) whose own box overlaps another's `others` box in the scene; size is the extent of coordinates.
 
-    Overlapping boxes share a cell of the grid.
+    Overlapping boxes share a cell of the scene.
     """
-    cells = lambda c: F.explode(_cells(geo.box(*(F.col(c)[x] / size for x in ("x0", "y0", "x1", "y1"))), grid))
-    b = boxes.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), F.col(others).alias("_b"), cells(others).alias("_c"))
-    a = boxes.select(scene, key, F.col(own).alias("_a"), cells(own).alias("_cell"))
-    on = (F.col(scene) == F.col("_s")) & (F.col("_cell") == F.col("_c")) & (F.col(key) != F.col("_k")) & geo.overlaps(F.col("_a"), F.col("_b"))
-    return a.join(b, on, "left_semi").select(scene, key).distinct()
+    a, b = _meeting(
+        _placed(boxes, scene, F.col(own), size, _key=F.col(key), _a=F.col(own)), _placed(boxes, scene, F.col(others), size, _k=F.col(key), _b=F.col(others))
+    )
+    found = a.alias("a").join(b.alias("b"), _same_cell() & (F.col("_key") != F.col("_k")) & geo.overlaps(F.col("_a"), F.col("_b")), "left_semi")
+    return found.select(F.col("_s").alias(scene), F.col("_key").alias(key)).distinct()
+
+
+def _same_cell() -> Column:
+    return reduce(lambda p, q: p & q, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in CELL))
 
 
-def without_overlap(boxes: DataFrame, scene: str, key: str, grid: int = 16) -> DataFrame:
+def without_overlap(boxes: DataFrame, scene: str, key: str) -> DataFrame:
     """Boxes that overlap no other box of their scene."""
-    return boxes.join(overlapping(boxes, scene, key, grid=grid), [scene, key], "left_anti")
+    return boxes.join(overlapping(boxes, scene, key), [scene, key], "left_anti")
 
 
 def nearest_right(boxes: DataFrame, scene: str, key: str, tolerance: float) -> DataFrame:
@@ -103,18 +152,19 @@ def nearest_right(boxes: DataFrame, scene: str, key: str, tolerance: float) -> D
     return j.groupBy(scene, key).agg(F.min_by("_k", F.struct("_d", "_k")).alias("neighbour"), F.min("_d").alias("distance"))
 
 
-def smallest_enclosing(boxes: DataFrame, scene: str, key: str, max_area: float, grid: int = 16) -> DataFrame:
+def smallest_enclosing(boxes: DataFrame, scene: str, key: str, max_area: float) -> DataFrame:
     """For each box the smallest other that contains it and is no larger than max_area: key, outer.
 
     A box that contains another touches the cell of the other's first corner.
     """
     a, b = F.col("box"), F.col("_b")
-    small = boxes.where(geo.area(a) <= max_area)
-    o = small.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), a.alias("_b"), F.explode(_cells(a, grid)).alias("_c"))
-    holds = (b["x0"] <= a["x0"]) & (b["y0"] <= a["y0"]) & (b["x1"] >= a["x1"]) & (b["y1"] >= a["y1"])
-    inner = boxes.withColumn("_cell", _point_cell(a["x0"], a["y0"], grid))
-    j = inner.join(o, (F.col(scene) == F.col("_s")) & (F.col("_cell") == F.col("_c")) & (F.col(key) != F.col("_k")) & holds)
-    return j.groupBy(scene, key).agg(F.min_by("_k", F.struct(geo.area(b), F.col("_k"))).alias("outer"))
+    corner = geo.box(a["x0"], a["y0"], a["x0"], a["y0"])
+    x, y = _meeting(_placed(boxes, scene, corner, _key=F.col(key), _a=a), _placed(boxes.where(geo.area(a) <= max_area), scene, a, _k=F.col(key), _b=a))
+    own = F.col("_a")
+    holds = (b["x0"] <= own["x0"]) & (b["y0"] <= own["y0"]) & (b["x1"] >= own["x1"]) & (b["y1"] >= own["y1"])
+    j = x.alias("a").join(y.alias("b"), _same_cell() & (F.col("_key") != F.col("_k")) & holds)
+    found = j.groupBy(F.col("a._s").alias("_s"), "_key").agg(F.min_by("_k", F.struct(geo.area(b), F.col("_k"))).alias("outer"))
+    return found.select(F.col("_s").alias(scene), F.col("_key").alias(key), "outer")
 
 
 def whitelist(df: DataFrame, wanted: DataFrame, key: str = "uid") -> DataFrame:

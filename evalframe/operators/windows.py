@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalframe.functions import permute, stats
-from evalframe.storage import stored
+from evalframe.storage import small_side, stored
 
 
 def stable_hash(seed: int, key: Column) -> Column:
@@ -176,16 +176,20 @@ def capped_then_filled(df: DataFrame, group: str, cap: int, n: int, tie: str) ->
 
 
 def running_total(df: DataFrame, value: str, seq: str) -> DataFrame:
-    """df plus spent_before, the sum of the values before a row in the order of seq, and written, its place."""
-    dealt = stored(df.repartitionByRange(seq).withColumn("_part", F.spark_partition_id()), "ranges")
-    sums = dealt.groupBy("_part").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_t"), F.count(F.lit(1)).alias("_c"))
+    """df plus spent_before, the sum of the values before a row in the order of seq, and written, its place.
+
+    Values are added as decimals of twelve places, so that a total does not depend on how the rows are dealt.
+    """
+    exact = F.coalesce(F.col(value), F.lit(0)).cast("decimal(26,12)")
+    dealt = stored(df.repartitionByRange(seq).withColumn("_part", F.spark_partition_id()).withColumn("_exact", exact), "ranges")
+    sums = dealt.groupBy("_part").agg(F.sum("_exact").alias("_t"), F.count(F.lit(1)).alias("_c"))
     # One row a range.
     prior = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_t").over(prior), F.lit(0.0)).alias("_at"), F.coalesce(F.sum("_c").over(prior), F.lit(0)).alias("_k"))
+    sums = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_t").over(prior), F.lit(0)).alias("_at"), F.coalesce(F.sum("_c").over(prior), F.lit(0)).alias("_k"))
     w = W.partitionBy("_part").orderBy(seq)
-    own = F.coalesce(F.sum(value).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    own = F.coalesce(F.sum("_exact").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = dealt.withColumn("_own", own).withColumn("_i", F.row_number().over(w)).join(sums, F.col("_part") == F.col("_p"))
-    return rows.select(*df.columns, (F.col("_at") + F.col("_own")).alias("spent_before"), (F.col("_k") + F.col("_i")).alias("written"))
+    return rows.select(*df.columns, (F.col("_at") + F.col("_own")).cast("double").alias("spent_before"), (F.col("_k") + F.col("_i")).alias("written"))
 
 
 def affordable(df: DataFrame, cost: str, cap: float, seq: str) -> DataFrame:
@@ -199,7 +203,7 @@ def spend(calls: DataFrame, prices: DataFrame, by: list[str], limit: float | Non
     prices: model, usd_in, usd_out; a call of a model without a price raises nothing but counts no dollars.
     """
     usd = F.col("in_tokens") / 1e6 * F.col("usd_in") + F.col("out_tokens") / 1e6 * F.col("usd_out")
-    out = calls.join(F.broadcast(prices), "model", "left").groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum(usd), F.lit(0.0)).alias("usd"))
+    out = calls.join(small_side(prices), "model", "left").groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum(usd), F.lit(0.0)).alias("usd"))
     return out.withColumn("exhausted", F.lit(False) if limit is None else F.col("usd") >= limit)
 
 
