@@ -276,6 +276,14 @@ def advantages(df: DataFrame, group: str, value: str) -> DataFrame:
     return out.withColumn("dead", dead).withColumn("advantage", F.when(~dead, (F.col(value) - F.col("mu")) / F.col("sigma")))
 
 
+def group_statistics(df: DataFrame, group: list[str], value: str, samples: int) -> DataFrame:
+    """A row a group: n (values), mean, pstdev, best, worst, dead (no spread), and truncated: fewer values than samples were asked for."""
+    out = df.groupBy(*group).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("pstdev"), F.max(value).alias("best"), F.min(value).alias("worst")
+    )
+    return out.withColumn("dead", F.col("pstdev") <= 1e-9).withColumn("truncated", F.col("n") < samples)
+
+
 def shuffled(df: DataFrame, order: list[str], seed: int, out: str = "place") -> DataFrame:
     """df plus a place from 0: a permutation, keyed by the seed, of the rows' positions in the order."""
     placed = stored(positions(df, order).withColumn("_at", F.col("_row") - 1).drop("_row", "_n"), "placed")

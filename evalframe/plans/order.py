@@ -46,3 +46,10 @@ def _(t):
 @query("w20_shares_of_ties", "SELECT uid, line, round(cume_dist() OVER (PARTITION BY rung ORDER BY v), 9) AS share FROM ties WHERE v IS NOT NULL")
 def _(t):
     return windows.cumulative_share(t.ties, ["rung"], "v").select("uid", "line", F.round("share", 9).alias("share"))
+
+
+@query("a48_group_statistics", """SELECT dataset, family, count(score) AS n, round(avg(score), 9) AS mean, round(stddev_pop(score), 9) AS pstdev, max(score) AS best, min(score) AS worst,
+  stddev_pop(score) <= 1e-9 AS dead, count(score) < 390 AS truncated FROM scored GROUP BY dataset, family""")
+def _(t):
+    out = windows.group_statistics(t.scored, ["dataset", "family"], "score", 390)
+    return out.select("dataset", "family", "n", F.round("mean", 9).alias("mean"), F.round("pstdev", 9).alias("pstdev"), "best", "worst", "dead", "truncated")

@@ -12,7 +12,7 @@ from evalframe.streaming import ledger as lg
 
 #: A dollar a million tokens is a thousand nano-dollars a token.
 _NANO = tuple((m, int(i * 1000), int(o * 1000)) for m, i, o in _PRICES)
-_BUDGET = lg.Budget(150_000_000)
+_BUDGET = lg.Budget(25_000_000_000)
 #: Of five rows two are in the stored log; the others come in waves, late or not.
 _STORED = "seq % 5 < 2"
 
@@ -29,8 +29,9 @@ def _waves(df: DataFrame) -> DataFrame:
   coalesce(regexp_matches(lower(error), 'credit balance|billing|spend limit|quota'), false) AS fatal, row_number() OVER (PARTITION BY model ORDER BY seq DESC) AS back
   FROM calls LEFT JOIN (VALUES {", ".join(f"('{m}', {i}::BIGINT, {o}::BIGINT)" for m, i, o in _NANO)}) AS v(m, i, o) ON m = model),
 s AS (SELECT model, coalesce(sum(nano), 0)::BIGINT AS nano, count(*) AS calls, count(*) FILTER (WHERE fatal) AS fatal, count(*) FILTER (WHERE bad) AS failed,
-  count(*) FILTER (WHERE back <= 200) AS recent, count(*) FILTER (WHERE back <= 200 AND bad) AS recent_failed FROM p GROUP BY model)
-SELECT *, CASE WHEN fatal > 0 THEN 'fatal' WHEN recent >= 200 AND recent_failed > 0.5 * recent THEN 'failures' WHEN nano >= {_BUDGET.nano} THEN 'spend' END AS stop FROM s""")
+  count(*) FILTER (WHERE back <= 200) AS recent, count(*) FILTER (WHERE back <= 200 AND bad) AS recent_failed FROM p GROUP BY model),
+r AS (SELECT *, CASE WHEN fatal > 0 THEN 'fatal' WHEN recent >= 200 AND recent_failed > 0.5 * recent THEN 'failures' WHEN nano >= {_BUDGET.nano} THEN 'spend' END AS stop FROM s)
+SELECT *, CASE WHEN stop IS NOT NULL THEN 0 ELSE greatest(1, least(3000, CASE WHEN nano > 0 THEN floor(({_BUDGET.nano} - nano) / (nano / calls)) ELSE 3000 END)) END::INT AS in_flight FROM r""")
 def _(t):
     prices = t.spark.createDataFrame(list(_NANO), "model string, nano_in long, nano_out long")
     told = ["seq", "model", "in_tokens", "out_tokens", "error"]
@@ -38,7 +39,7 @@ def _(t):
     stream = lg.priced(_waves(t.calls.where(f"NOT ({_STORED})").select(*told)), prices)
     table, mark = scratch(t.spark, "ledger"), scratch(t.spark, "mark")
     lg.run_to_table(lg.ledger(stream, _BUDGET, log), table, mark)
-    return lg.ledger_table(t.spark, table, lg.stored_states(log, _BUDGET)).withColumn("stop", lg.stop_reason(_BUDGET))
+    return lg.ledger_table(t.spark, table, lg.stored_states(log, _BUDGET)).withColumn("stop", lg.stop_reason(_BUDGET)).withColumn("in_flight", lg.in_flight(_BUDGET, 3000))
 
 
 @query("x08_streamed_latest", "SELECT uid, count(*) AS n_rows, max(seq) FILTER (WHERE pred IS NOT NULL AND NOT failed) AS last_usable, max_by(pred, seq) FILTER (WHERE pred IS NOT NULL AND NOT failed) AS pred FROM log GROUP BY uid")

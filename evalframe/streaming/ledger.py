@@ -128,6 +128,14 @@ def stop_reason(budget: Budget) -> Column:
     return F.when(F.col("fatal") > 0, "fatal").when(failing, "failures").when(F.col("nano") >= budget.nano, "spend")
 
 
+def in_flight(budget: Budget, concurrency: int, first: int = 8) -> Column:
+    """Calls that may be in flight: the first wave before any came back, then what the rest of the budget pays for at the mean cost so far; 0 once the run stops."""
+    mean = F.col("nano") / F.col("calls")
+    afford = F.when(mean > 0, F.floor((budget.nano - F.col("nano")) / mean)).otherwise(F.lit(concurrency))
+    going = F.when(F.col("calls") == 0, F.least(F.lit(concurrency), F.lit(first))).otherwise(F.least(F.lit(concurrency), afford))
+    return F.when(stop_reason(budget).isNotNull(), 0).otherwise(F.greatest(F.lit(1), going)).cast("int")
+
+
 def ledger(stream: DataFrame, budget: Budget, log: DataFrame | None = None) -> DataFrame:
     """After each wave, of the models it has: nano, calls, fatal, failed, recent, recent_failed; carried on from the stored log."""
     begun = None if log is None else stored_totals(log, budget).groupBy("model")
