@@ -136,18 +136,46 @@ def without_overlap(boxes: DataFrame, scene: str, key: str) -> DataFrame:
     return boxes.join(overlapping(boxes, scene, key), [scene, key], "left_anti")
 
 
-def nearest_right(boxes: DataFrame, scene: str, key: str, tolerance: float) -> DataFrame:
+def nearest_right(boxes: DataFrame, scene: str, key: str, tolerance: float, most: int = 256, steps: int = 10) -> DataFrame:
     """For each box the nearest other whose centre lies to its right within tolerance in height: key, neighbour, distance.
 
-    Boxes meet in bands of height, as high as the tolerance, and the bands next to their own.
+    Boxes meet in bands of height, as high as the tolerance, and the bands next to their own. Where a band of a scene
+    holds more than `most` boxes, bands are cut into cells, narrow ones first: a box looks no further right than its
+    cell is wide, and only those that have found none go on to cells four times as wide, up to the whole width.
     """
-    cx, cy = (lambda b: (b["x0"] + b["x1"]) / 2), (lambda b: (b["y0"] + b["y1"]) / 2)
-    band = lambda b: F.floor(cy(b) / tolerance)
-    o = boxes.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), F.col("box").alias("_b"), band(F.col("box")).alias("_h"))
-    a = boxes.withColumn("_band", F.explode(F.array(*(band(F.col("box")) + i for i in (-1, 0, 1)))))
-    dx = cx(F.col("_b")) - cx(F.col("box"))
-    near = (dx > 0) & (F.abs(cy(F.col("_b")) - cy(F.col("box"))) <= tolerance)
-    j = a.join(o, (F.col(scene) == F.col("_s")) & (F.col("_band") == F.col("_h")) & (F.col(key) != F.col("_k")) & near)
+    box = F.col("box")
+    cx, cy = (box["x0"] + box["x1"]) / 2, (box["y0"] + box["y1"]) / 2
+    all_ = boxes.select(scene, key, cx.alias("_x"), cy.alias("_y"), F.floor(cy / tolerance).alias("_h")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    crowd = all_.groupBy(scene, "_h").agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("a"), F.max("_x").alias("b"))
+    told = crowd.agg(F.max("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).first()
+    if told.n is None or told.n <= most or told.a == told.b:
+        return _right_of(all_, all_, scene, key, tolerance, None, None)
+    all_ = left = stored(all_, "centres")
+    found: list[DataFrame] = []
+    for k in range(steps, -1, -1):
+        # A little less than the width, so that no rounding of cells leaves out what a box can reach; at last, all.
+        width = (told.b - told.a) / 4**k
+        near = stored(_right_of(left, all_, scene, key, tolerance, told.a, width, width * (1 - 1e-9) if k else None), "right")
+        found.append(near)
+        if k:
+            done = near.select(F.col(scene).alias("_ds"), F.col(key).alias("_dk"))
+            left = stored(left.join(done, (F.col(scene) == F.col("_ds")) & (F.col(key) == F.col("_dk")), "left_anti"), "left")
+            if left.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, found)
+
+
+def _right_of(left: DataFrame, all_: DataFrame, scene: str, key: str, tolerance: float, start: float | None, width: float | None, reach: float | None = None) -> DataFrame:
+    """The nearest of all_ to the right of each of left, no further than reach if one is given, met in cells of a width."""
+    cell = F.lit(0) if width is None else F.floor((F.col("_x") - start) / width)
+    o = all_.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), F.col("_x").alias("_ox"), F.col("_y").alias("_oy"), F.col("_h").alias("_oh"), cell.alias("_oc"))
+    rows = left.withColumn("_band", F.explode(F.array(*(F.col("_h") + i for i in (-1, 0, 1)))))
+    rows = rows.withColumn("_c", cell if width is None else F.explode(F.array(cell, cell + 1)))
+    dx = F.col("_ox") - F.col("_x")
+    near = (dx > 0) & (F.abs(F.col("_oy") - F.col("_y")) <= tolerance)
+    if reach is not None:
+        near &= dx <= reach
+    j = rows.join(o, (F.col(scene) == F.col("_s")) & (F.col("_band") == F.col("_oh")) & (F.col("_c") == F.col("_oc")) & (F.col(key) != F.col("_k")) & near)
     j = j.withColumn("_d", dx)
     return j.groupBy(scene, key).agg(F.min_by("_k", F.struct("_d", "_k")).alias("neighbour"), F.min("_d").alias("distance"))
 

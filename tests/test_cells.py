@@ -51,3 +51,18 @@ def test_a_crowded_corner_is_split_and_a_stack_is_not(spark):
     assert max(sizes) <= 100 and sum(sizes) < 2 * 3005
     stack = spark.range(500).select(F.lit(1).alias("_s"), "id", *(F.lit(v).alias(c) for c, v in (("_x0", 0.1), ("_y0", 0.1), ("_x1", 0.9), ("_y1", 0.9))))
     assert joins.split_cells(stack, most=100).count() == 500
+
+
+def test_nearest_to_the_right_in_narrow_cells_first(spark):
+    rows = [r for r in corner(500) if r[0] is not None and r[4] is not None]
+    rows += [(1, 9000, 0.0, 0.0, 0.9, 0.001, 0.95, 0.002)]
+    df = table(spark, rows)
+    tolerance, want = 0.0004, {}
+    centre = lambda r: ((r[4] + r[6]) / 2, (r[5] + r[7]) / 2)
+    for r in rows:
+        x, y = centre(r)
+        near = [(centre(o)[0] - x, o[1]) for o in rows if o[0] == r[0] and o[1] != r[1] and centre(o)[0] - x > 0 and abs(centre(o)[1] - y) <= tolerance]
+        if near:
+            want[r[1]] = min(near)[1]
+    for most in (256, 20):
+        assert {r.uid: r.neighbour for r in joins.nearest_right(df, "scene", "uid", tolerance, most=most).collect()} == want
