@@ -21,12 +21,13 @@ def map_texts(
     keep: list[str] | None = None,
     text: str = "text",
     with_row: list[str] | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """keep columns (all by default) plus the fields that the factory's function makes of the texts.
 
     The factory runs once per task; its function gets a batch's texts as UTF-8 bytes (null as
     None) and, if with_row names columns, their values as further lists. Fields must not clash
-    with kept columns.
+    with kept columns. rows cuts batches into smaller ones, where what is made of a text is large.
     """
     keep = df.columns if keep is None else keep
     extra = with_row or []
@@ -39,7 +40,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = factory()
-        for b in batches:
+        for b in (x.slice(i, rows or len(x)) for x in batches for i in range(0, len(x), rows or len(x) or 1)):
             texts = b.column(at).cast(pa.binary()).to_pylist()
             cols = fn(texts, *(b.column(i).to_pylist() for i in more))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in kept] + cols, names=out_names)

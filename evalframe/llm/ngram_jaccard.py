@@ -72,7 +72,7 @@ def _first_pass(docs: DataFrame, cfg: Settings, key: str, text: str) -> DataFram
 
         return fn
 
-    return map_texts(docs, factory, "n bigint, s1 bigint, s2 bigint, grams array<bigint>", [key], text)
+    return map_texts(docs, factory, "n bigint, s1 bigint, s2 bigint, grams array<bigint>", [key], text, rows=1000)
 
 
 def _full_sets(docs: DataFrame, cfg: Settings, key: str, text: str) -> DataFrame:
@@ -93,7 +93,7 @@ def _full_sets(docs: DataFrame, cfg: Settings, key: str, text: str) -> DataFrame
         return fn
 
     fields = "id bigint, n bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, grams array<bigint>"
-    return map_texts(docs, factory, fields, [], text)
+    return map_texts(docs, factory, fields, [], text, rows=1000)
 
 
 def _candidates(docs: DataFrame, cfg: Settings, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -191,7 +191,7 @@ def _with_features(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     def factory():
         return lambda texts: [pa.array([features(t) for t in texts], pa.list_(pa.float64()))]
 
-    return map_texts(df, factory, "features array<double>", keep, text)
+    return map_texts(df, factory, "features array<double>", keep, text, rows=1000)
 
 
 def train(
@@ -231,4 +231,4 @@ def score_quality(
 
         return fn
 
-    return map_texts(docs, factory, "score double, predicted int", keep, text)
+    return map_texts(docs, factory, "score double, predicted int", keep, text, rows=1000)
