@@ -64,3 +64,24 @@ def polarity(df: DataFrame, exposed: Column, hit: Column, stratum: str, sizes: l
     # One row each.
     out = cells.crossJoin(F.broadcast(crude)).crossJoin(F.broadcast(adjusted))
     return out.select("exposed", "n", "k", F.try_divide("k", "n").alias("acc"), "crude", "odds_ratio", "lo", "hi", "n_strata")
+
+
+def wrong_numbers(df: DataFrame, by: str, key: str, gold: str, pred: str, pool: list[str], shuffles: int = 20) -> DataFrame:
+    """Whether wrong numbers are near misses or other numbers of the page: a row a group, with n (wrong ones), median_error
+    (relative to a gold that is not 0), within_tenth, and of all groups together seen (the answer is one of the page's
+    numbers, in the columns of pool) and by_chance (the same after the answers were shuffled over the questions).
+    """
+    g, p = F.col(gold), F.col(pred)
+    wrong = df.where(g.isNotNull() & p.isNotNull() & (F.abs(p - g) > 1e-6 * F.greatest(F.lit(1.0), F.abs(g))))
+    error = F.try_divide(F.abs(p - g), F.abs(g))
+    told = wrong.withColumn("_e", error)
+    share = F.avg(F.when(F.col("_e").isNotNull(), (F.col("_e") <= 0.1).cast("double")))
+    cells = told.groupBy(by).agg(F.count(F.lit(1)).alias("n"), share.alias("within_tenth"))
+    middle = windows.percentiles(told, [by], "_e", median_error=("median", 0)).select(F.col(by).alias("_by"), "median_error")
+    there = F.lit(False)
+    for c in pool:
+        there |= F.coalesce(F.abs(p - F.col(c)) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(c)), F.lit(False))
+    seen = wrong.agg(F.avg(there.cast("double")).alias("seen"))
+    null = windows.permutation_null(wrong, [key], pool, [pred], there, shuffles).agg(F.avg("rate").alias("by_chance"))
+    out = cells.join(middle, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return out.crossJoin(F.broadcast(seen)).crossJoin(F.broadcast(null)).select(by, "n", "median_error", "within_tenth", "seen", "by_chance")  # one row each

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from evalframe.functions import answers as an
 from evalframe.functions import geometry as geo
+from evalframe.functions import permute
 from evalframe.operators import graph, reports
-from evalframe.plans.base import query
+from evalframe.plans.base import BASE, query
 from evalframe.plans.measures import _D
 from evalframe.plans.selection import _HIT
 
@@ -89,3 +90,21 @@ def _(t):
     side = lambda c, odd: F.collect_set(F.when(F.col("l_linenumber") % 2 == odd, F.col(c) % 7)).alias("items")
     sets = lambda c, odd: t.lineitem.groupBy(F.col("l_orderkey").alias("gid")).agg(side(c, odd))
     return graph.graph_f1(sets("l_suppkey", 1), sets("l_partkey", 0), "items").select("gid", F.round("f1", 9).alias("f1"), "exact")
+
+
+#: Numbers of a page, the right one and the one that was answered.
+BASE["readings"] = """
+SELECT o_orderkey AS uid, o_orderpriority AS dataset, CAST(o_custkey % 97 AS DOUBLE) AS gold, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST((o_orderkey * 7 + o_custkey) % 97 AS DOUBLE) END AS pred,
+       CAST(o_custkey * 3 % 97 AS DOUBLE) AS p1, CAST((o_custkey + o_orderkey * 7) % 97 * (o_orderkey % 2) AS DOUBLE) AS p2, CAST(o_orderkey % 89 AS DOUBLE) AS p3
+FROM {orders}"""
+_KEYED = permute.permuted_sql("keyed", "pos", "n", "key")
+
+
+@query("report_wrong_numbers", f"""WITH RECURSIVE wrong AS (SELECT *, CASE WHEN gold <> 0 THEN abs(pred - gold) / abs(gold) END AS e FROM readings WHERE abs(pred - gold) > 1e-6 * greatest(1, abs(gold))),
+numbered AS (SELECT *, row_number() OVER (ORDER BY uid) - 1 AS pos, count(*) OVER () AS n FROM wrong), keyed AS (SELECT pos, n, key FROM numbered, range(1, 21) AS g(key)), walk AS ({_KEYED[0]} UNION ALL {_KEYED[1]}),
+rates AS (SELECT key, avg(CASE WHEN b.pred = a.p1 OR b.pred = a.p2 OR b.pred = a.p3 THEN 1.0 ELSE 0.0 END) AS rate FROM walk JOIN numbered a ON a.pos = walk.pos JOIN numbered b ON b.pos = walk.place WHERE walk.turns > 0 AND walk.place < walk.n GROUP BY key)
+SELECT dataset, count(*) AS n, round(median(e), 9) AS median_error, round(avg(CASE WHEN e <= 0.1 THEN 1.0 WHEN e > 0.1 THEN 0.0 END), 9) AS within_tenth,
+  round((SELECT avg(CASE WHEN pred = p1 OR pred = p2 OR pred = p3 THEN 1.0 ELSE 0.0 END) FROM wrong), 9) AS seen, round((SELECT avg(rate) FROM rates), 9) AS by_chance FROM wrong GROUP BY dataset""")
+def _(t):
+    out = reports.wrong_numbers(t.readings, "dataset", "uid", "gold", "pred", ["p1", "p2", "p3"])
+    return out.select("dataset", "n", *(F.round(c, 9).alias(c) for c in ("median_error", "within_tenth", "seen", "by_chance")))
