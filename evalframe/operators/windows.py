@@ -5,6 +5,12 @@ Samples are picked by a hash of seed and key: the same for any partitioning, dif
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -303,3 +309,89 @@ def permutation_null(df: DataFrame, order: list[str], left: list[str], right: li
     asked = asked.withColumn("_to", permute.permuted(F.col("_at"), n, F.col("rep"))).drop("_at")
     drawn = placed.select(F.col("_at").alias("_to"), *(F.col(f"_r_{c}").alias(c) for c in right))
     return asked.join(drawn, "_to").groupBy("rep").agg(F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("rate"))
+
+
+#: Rows of a shuffle that one group sorts, places that one group compares, and rows that a task hashes at once.
+_DEALT, _PLACES, _HASHED = 1 << 19, 1 << 17, 100_000
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], shuffles: int, bins: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """A row a shuffle and range of hashes: the first 64 bits, the keys and the codes of the rows that fall there."""
+
+    def packed(keys: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        texts = [b"%d" % k for k in keys.tolist()]
+        for rep in range(1, shuffles + 1):
+            lead = b"%d:" % rep
+            h = np.frombuffer(b"".join([hashlib.sha1(lead + t).digest()[:8] for t in texts]), ">u8").astype("u8")
+            at = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
+            by = np.argsort(at, kind="stable")
+            found, starts = np.unique(at[by], return_index=True)
+            cuts = [*starts.tolist(), len(by)]
+            columns = [pa.array([x[by[i:j]].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in (h, keys, codes)]
+            told = [pa.array([rep] * len(found), pa.int64()), pa.array(found.astype("i8"), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*told, *columns], names=["rep", "bin", "hashes", "keys", "codes"])
+
+    held: list[tuple] = []
+    for b in batches:
+        held.append((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).astype(kind)))
+        if sum(len(k) for k, _ in held) >= _HASHED:
+            yield from packed(*map(np.concatenate, zip(*held)))
+            held = []
+    if any(len(k) for k, _ in held):
+        yield from packed(*map(np.concatenate, zip(*held)))
+
+
+def _in_order(rep: int, hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The order of the whole hashes, then of the keys; all 160 bits are asked only where 64 do not tell two rows apart."""
+    order = np.lexsort((keys, hashes))
+    if (np.diff(hashes[order]) == 0).any():
+        whole = [(hashlib.sha1(b"%d:%d" % (rep, k)).digest(), k) for k in keys.tolist()]
+        order = np.array(sorted(range(len(whole)), key=whole.__getitem__))
+    return order
+
+
+def hash_order_null(df: DataFrame, key: str, left: str, right: str, shuffles: int) -> DataFrame:
+    """A row a shuffle: rep (from 1) and rate, the share of rows whose left value is the right value of the row dealt to their place.
+
+    Rows stand in the order of key, unique whole numbers. Shuffle rep deals them in the order of sha1("rep:key"). Hashes
+    spread evenly, so their ranges hold about as many rows each; a range is packed (8 bytes of hash, the key, a code of
+    the value) when it is dealt, sorted in one group, and only the codes in their order are kept, a byte each as a rule.
+    """
+    values = df.select(F.explode(F.array(left, right)).alias("_v")).where("_v IS NOT NULL").distinct()
+    values = stored(positions(values, ["_v"]).select("_v", F.col("_row").alias("_id")), "values")
+    kinds, n = values.count(), df.count()
+    kind = "u1" if kinds < 255 else "i8"
+    code = lambda c, none: df.join(small_side(values), F.col(c) == F.col("_v"), "left").select(key, F.coalesce("_id", F.lit(none).cast("long")).alias("_c"))
+    bins = max(1, -(-n // _DEALT))
+    # Every row is hashed once a shuffle, so tasks are cut by rows and not by the stored files.
+    drawn = code(right, kinds + 1).select(F.col(key).cast("long"), "_c").repartition(max(1, -(-n // (5 * _HASHED))))
+    drawn = drawn.mapInArrow(lambda batches: _dealt(batches, shuffles, bins, kind), "rep long, bin long, hashes binary, keys binary, codes binary")
+
+    def ordered(frame: pd.DataFrame) -> pd.DataFrame:
+        h, keys, codes = (np.frombuffer(b"".join(frame[c]), t) for c, t in (("hashes", "u8"), ("keys", "i8"), ("codes", kind)))
+        rep = int(frame["rep"].iloc[0])
+        return pd.DataFrame({"rep": [rep], "bin": [int(frame["bin"].iloc[0])], "n": [len(codes)], "codes": [codes[_in_order(rep, h, keys)].tobytes()]})
+
+    runs = stored(drawn.groupBy("rep", "bin").applyInPandas(ordered, "rep long, bin long, n long, codes binary"), "runs")
+    # One row a range; _first is the place of its first row.
+    prior = W.partitionBy("_rep").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    firsts = runs.select(F.col("rep").alias("_rep"), F.col("bin").alias("_bin"), "n").withColumn("_first", F.coalesce(F.sum("n").over(prior), F.lit(0))).drop("n")
+    runs = runs.join(firsts, (F.col("rep") == F.col("_rep")) & (F.col("bin") == F.col("_bin")))
+    width = np.dtype(kind).itemsize
+    blocks = F.sequence(F.floor(F.col("_first") / _PLACES), F.floor((F.col("_first") + F.col("n") - 1) / _PLACES))
+    pieces = runs.withColumn("block", F.explode(blocks)).withColumn("_from", F.greatest(F.col("block") * _PLACES, F.col("_first")))
+    size = F.least((F.col("block") + 1) * _PLACES, F.col("_first") + F.col("n")) - F.col("_from")
+    cut = F.substring("codes", ((F.col("_from") - F.col("_first")) * width + 1).cast("int"), (size * width).cast("int"))
+    pieces = pieces.select("rep", "block", (F.col("_from") - F.col("block") * _PLACES).alias("at"), cut.alias("codes"))
+    at = F.col("_row") - 1
+    asked = positions(code(left, 0), [key]).select(F.floor(at / _PLACES).alias("block"), (at % _PLACES).cast("int").alias("at"), "_c")
+
+    def compared(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        own = np.empty(len(mine), kind)
+        own[mine["at"].to_numpy()] = mine["_c"].to_numpy()
+        told = [np.frombuffer(c, kind) for c in theirs["codes"]]
+        hits = [int((own[i : i + len(c)] == c).sum()) for i, c in zip(theirs["at"].tolist(), told)]
+        return pd.DataFrame({"rep": theirs["rep"], "hits": hits})
+
+    hits = asked.groupBy("block").cogroup(pieces.groupBy("block")).applyInPandas(compared, "rep long, hits long")
+    return hits.groupBy("rep").agg((F.sum("hits") / F.lit(n)).alias("rate"))

@@ -281,12 +281,8 @@ def _(t):
 
 @query("t13_permutation_mean", "SELECT CAST(20 AS BIGINT) AS shuffles, round(avg(rate), 9) AS mean_rate FROM (SELECT rep, sum(CASE WHEN a.gold_option = b.picked THEN 1 ELSE 0 END) / count(*) AS rate FROM (SELECT rep, gold_option, row_number() OVER (PARTITION BY rep ORDER BY uid) AS r FROM scored, range(1, 21) AS g(rep)) a JOIN (SELECT rep, picked, row_number() OVER (PARTITION BY rep ORDER BY sha1(rep::VARCHAR || ':' || uid::VARCHAR), uid) AS r FROM scored, range(1, 21) AS g(rep)) b USING (rep, r) GROUP BY rep)")
 def _(t):
-    reps = t.scored.select("uid", "picked", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(20).cast("long"))).alias("rep"))
-    h = F.sha1(F.concat(F.col("rep").cast("string"), F.lit(":"), F.col("uid").cast("string")))
-    a = windows.positions(t.scored.select("uid", "gold_option"), ["uid"]).select("gold_option", F.col("_row").alias("r"))
-    b = windows.positions(reps.select("rep", "uid", "picked", h.alias("h")), ["h", "uid"], ["rep"]).select("rep", "picked", F.col("_row").alias("r"))
-    rates = b.join(a, "r").groupBy("rep").agg((F.count_if(F.col("gold_option") == F.col("picked")) / F.count(F.lit(1))).alias("rate"))
-    return rates.agg(F.count(F.lit(1)).alias("shuffles"), F.round(F.avg("rate"), 9).alias("mean_rate"))
+    rates = windows.hash_order_null(t.scored, "uid", "gold_option", "picked", 20)
+    return rates.agg(F.lit(20).cast("long").alias("shuffles"), F.round(F.avg("rate"), 9).alias("mean_rate"))
 
 
 @query("f16_lenient_point", "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'box' ELSE 'point' END AS kind, round(CASE WHEN user_id % 2 = 0 THEN (user_id + 10) / 2 ELSE user_id END, 9)::DOUBLE AS x FROM events")
