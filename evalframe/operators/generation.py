@@ -153,15 +153,23 @@ def operand_search(expression: Column, pred: Column, trace: Column, most_values:
     as to decide it in general is as hard as to split numbers into two equal sums.
     """
     e = F.regexp_replace(F.coalesce(expression, F.lit("")), ",", "")
-    vals = F.transform(F.split(e, r"[+\-*/]"), lambda t: F.trim(t).try_cast("double"))
-    ops = F.transform(F.regexp_extract_all(e, F.lit(r"[+\-*/]"), F.lit(0)), lambda o: F.instr(F.lit("+-*/"), o) - 1)
+    numbers = F.transform(F.split(e, r"[+\-*/]"), lambda t: F.trim(t).try_cast("double"))
+    signs = F.transform(F.regexp_extract_all(e, F.lit(r"[+\-*/]"), F.lit(0)), lambda o: F.instr(F.lit("+-*/"), o) - 1)
     mentioned = lambda x: F.transform(
         F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"-?\d[\d,]*(?:\.\d+)?"), F.lit(0)),
         lambda n: F.regexp_replace(n, ",", "").try_cast("double"),
     )
-    answers = F.coalesce(tx.readings(pred), F.slice(F.array_sort(mentioned(pred)), 1, 1))
-    pool = F.array_distinct(F.concat(mentioned(trace), mentioned(pred)))
+    told = F.coalesce(tx.readings(pred), F.slice(F.array_sort(mentioned(pred)), 1, 1))
+    read = F.struct(numbers.alias("vals"), signs.alias("ops"), told.alias("answers"))
+    return _bound(read, lambda r: _searched(r["vals"], r["ops"], r["answers"], F.array_distinct(F.concat(mentioned(trace), mentioned(pred))), most_values))
 
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once a row; an expression is otherwise worked out wherever it stands, in lambdas for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _searched(vals: Column, ops: Column, answers: Column, pool: Column, most_values: int) -> Column:
     def step(acc: Column, v: Column, o: Column) -> Column:
         return F.when(o == 0, acc + v).when(o == 1, acc - v).when(o == 2, acc * v).otherwise(F.try_divide(acc, v))
 
@@ -184,14 +192,16 @@ def operand_search(expression: Column, pred: Column, trace: Column, most_values:
 
     start = F.struct(F.coalesce(F.get(vals, F.lit(0)), number).alias("own"), F.array().cast("array<double>").alias("others"))
     reached = F.aggregate(F.sequence(F.lit(1), F.size(vals) - 1), start, reach, lambda s: s["others"])
-    others = F.exists(reached, near)
+    # true or false; null where too many values were reached.
+    others = _bound(reached, lambda found: F.exists(found, near))
     swapped = (F.size(vals) == 2) & F.exists(F.array(*map(F.lit, range(4))), lambda o: near(step(F.get(vals, F.lit(1)), F.get(vals, F.lit(0)), o)))
     put = lambda k, v: F.transform(vals, lambda x, i: F.when(i == k, v).otherwise(x))
-    replaced = F.exists(
-        F.sequence(F.lit(0), F.size(vals) - 1), lambda k: F.exists(pool, lambda v: near(run(put(k, v), lambda i: F.get(ops, i))))
-    )
+    replaced = _bound(pool, lambda held: F.exists(
+        F.sequence(F.lit(0), F.size(vals) - 1), lambda k: F.exists(held, lambda v: near(run(put(k, v), lambda i: F.get(ops, i))))
+    ))
     readable = (F.size(vals) >= 2) & ~F.exists(vals, lambda v: v.isNull())
-    return (
-        F.when(~readable, "unclassified").when((F.size(answers) > 0) & (F.coalesce(others, F.lit(False)) | swapped), "wrong_operation")
-        .when((F.size(answers) > 0) & others.isNull(), "undecided").when((F.size(answers) > 0) & replaced, "wrong_operand").otherwise("unclassified")
+    how = lambda found: (
+        F.when(F.coalesce(found, F.lit(False)) | swapped, "wrong_operation").when(found.isNull(), "undecided")
+        .when(replaced, "wrong_operand").otherwise("unclassified")
     )
+    return F.when(~readable | (F.coalesce(F.size(answers), F.lit(0)) <= 0), "unclassified").otherwise(_bound(others, how))

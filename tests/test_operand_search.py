@@ -18,3 +18,9 @@ def test_long_calculations(spark):
     ones = "+".join(["1"] * 30)
     primes = "+".join(map(str, (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67, 71, 73, 79, 83, 89, 97, 101, 103, 107, 109, 113)))
     assert found(spark, [(ones, "28", ""), (primes, "123456", "")], most_values=2000) == {0: "wrong_operation", 1: "undecided"}
+
+
+def test_a_calculation_is_read_once_a_row(spark):
+    df = spark.createDataFrame([("1+2", "3", "")], "e string, p string, t string").select(gen.operand_search(F.col("e"), F.col("p"), F.col("t")).alias("v"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1 and plan.count("[+\\-*/], 0") == 1
