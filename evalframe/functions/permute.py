@@ -10,6 +10,8 @@ All is whole-number arithmetic below 2**62, so the same permutation can be writt
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,18 +20,6 @@ ROUNDS = 6
 PRIME = 2_147_483_647
 #: Fixed multipliers of keys and rounds.
 _KEY, _ROUND, _MIX = 1_000_003, 7_919, 48_271
-#: Times that a position may go through again before an error is raised; that comes to pass with a chance under n ** (-most / 2).
-_MOST = 100
-
-
-def _round_key(key: Column, i: Column) -> Column:
-    return ((key % PRIME) * _KEY + (i + 1) * _ROUND) % PRIME
-
-
-def _mixed(half: Column, k: Column) -> Column:
-    x = (half + k) % PRIME
-    y = (x * x % PRIME * _MIX + k) % PRIME
-    return y * y % PRIME
 
 
 def _grid(n: int) -> tuple[int, int]:
@@ -37,30 +27,40 @@ def _grid(n: int) -> tuple[int, int]:
     return a, -(-n // a)
 
 
-def _turned(at: Column, n: int, key: Column) -> Column:
-    """Where all rounds take a position of the grid. Lambdas bind what is used twice, so the expression stays small."""
-    a, b = _grid(n)
-
-    def turn(s: Column, i: Column) -> Column:
-        k = _round_key(key, i)
-        left = F.struct(((s["l"] + _mixed(s["r"], k)) % a).alias("l"), s["r"].alias("r"))
-        return F.when(i % 2 == 0, left).otherwise(F.struct(s["l"].alias("l"), ((s["r"] + _mixed(s["l"], k)) % b).alias("r")))
-
-    start = F.struct(F.call_function("div", at, F.lit(b)).alias("l"), (at % b).alias("r"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: s["l"] * b + s["r"])
-
-
 def permuted(at: Column, n: int, key: Column) -> Column:
-    """Where a position (from 0, below n) goes in the permutation of a key (0 and more)."""
+    """Where a position (from 0, below n) goes in the permutation of a key (0 and more); -1 without a position or key.
+
+    Arrays are turned in the tasks: as one expression a round would be written into the next several times, and lambdas,
+    which would bind it, are interpreted for each row.
+    """
     if n > PRIME * PRIME:
         raise ValueError("too many positions")
     a, b = _grid(max(n, 1))
+    rounds, prime, by_key, by_round, mix = ROUNDS, PRIME, _KEY, _ROUND, _MIX
+
+    def turned(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+        half = list(divmod(x, b))
+        for i in range(rounds):
+            rk = (k % prime * by_key + (i + 1) * by_round) % prime
+            m = (half[1 - i % 2] + rk) % prime
+            m = (m * m % prime * mix + rk) % prime
+            half[i % 2] = (half[i % 2] + m * m % prime) % (b if i % 2 else a)
+        return half[0] * b + half[1]
+
+    @F.pandas_udf("long")
+    def walked(x: pd.Series, k: pd.Series) -> pd.Series:
+        x, k = x.to_numpy("i8"), k.to_numpy("i8")
+        x = turned(x, k)
+        out = np.flatnonzero(x >= n)
+        while len(out) and n > 0:
+            x[out] = turned(x[out], k[out])
+            out = out[x[out] >= n]
+        return pd.Series(x)
+
     at, key = at.cast("long"), key.cast("long")
-    again = F.sequence(F.lit(1), F.lit(max(1, min(a * b - n, _MOST))))
-    inside = lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("a position is still outside")).cast("long"))
-    found = F.aggregate(again, _turned(at, n, key), lambda x, _: F.when(x < n, x).otherwise(_turned(x, n, key)), inside)
+    whole = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     # Never null for a position, which a join on it need not ask.
-    return F.coalesce(found, F.lit(-1).cast("long"))
+    return F.coalesce(F.when(at.isNotNull() & key.isNotNull(), walked(whole(at), whole(key))), F.lit(-1).cast("long"))
 
 
 def permuted_sql(source: str, at: str, n: str, key: str) -> tuple[str, str]:

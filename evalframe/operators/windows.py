@@ -296,6 +296,10 @@ def shuffled(df: DataFrame, order: list[str], seed: int, out: str = "place") ->
     return placed.withColumn(out, permute.permuted(F.col("_at"), placed.count(), F.lit(seed))).drop("_at")
 
 
+#: Positions that one task turns.
+_TURNED = 2_000_000
+
+
 def permutation_null(df: DataFrame, order: list[str], left: list[str], right: list[str], hit: Column, shuffles: int) -> DataFrame:
     """A row a shuffle: rep (from 1) and rate, the share of rows for which hit holds when they get the right columns of other rows.
 
@@ -305,10 +309,13 @@ def permutation_null(df: DataFrame, order: list[str], left: list[str], right: li
     placed = positions(df.select(*dict.fromkeys([*order, *left, *right])), order)
     placed = stored(placed.select(*left, *(F.col(c).alias(f"_r_{c}") for c in right), (F.col("_row") - 1).alias("_at")), "placed")
     n = placed.count()
-    asked = placed.select(*left, "_at", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(shuffles).cast("long"))).alias("rep"))
+    # A row becomes one a shuffle, so tasks are cut by those and not by the few files that hold the rows.
+    asked = placed.select(*left, "_at").repartition(max(1, -(-n * shuffles // _TURNED)))
+    asked = asked.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(shuffles).cast("long"))).alias("rep"))
     asked = asked.withColumn("_to", permute.permuted(F.col("_at"), n, F.col("rep"))).drop("_at")
     drawn = placed.select(F.col("_at").alias("_to"), *(F.col(f"_r_{c}").alias(c) for c in right))
-    return asked.join(drawn, "_to").groupBy("rep").agg(F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("rate"))
+    # By sorting: what the stored rows take as files, and not what they become, would pass for small.
+    return asked.join(drawn.hint("merge"), "_to").groupBy("rep").agg(F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("rate"))
 
 
 #: Rows of a shuffle that one group sorts, places that one group compares, and rows that a task hashes at once.

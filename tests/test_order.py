@@ -65,3 +65,17 @@ def test_groups_are_numbered_in_ranges(spark):
     assert (got[None, "worst"], got[None, "best"]) == (3, 2)
     for r in windows.advantages(df, "g", "v").where("g is null or g = 'b'").collect():
         assert (r.dead, r.advantage) == ((True, None) if r.g == "b" else (False, 1.0 if r.v == 3.0 else -1.0))
+
+
+def test_positions_are_turned_as_arrays(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 5).alias("key"))
+    plan = df.select(permute.permuted(F.col("id"), 1000, F.col("key")).alias("to"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan
+    odd = df.select(permute.permuted(F.when(F.col("id") > 0, F.col("id")), 1000, F.lit(2)).alias("to")).where("to < 0").count()
+    assert odd == 1
+
+
+def test_shuffles_against_chance_are_never_broadcast(spark):
+    df = spark.range(1000).select("id", F.lit("a").alias("l"), F.lit("b").alias("r"))
+    rates = windows.permutation_null(df, ["id"], ["l"], ["r"], F.col("l") == F.col("r"), 4)
+    assert rates.count() == 4 and "SortMergeJoin" in rates._jdf.queryExecution().executedPlan().toString()
