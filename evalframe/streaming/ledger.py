@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -146,27 +146,29 @@ _LAST = "uid string, rows bigint, seq bigint, pred string"
 
 
 class _Latest(StatefulProcessor):
+    """Taken as rows: keys are many and have a part or two a wave, for which a frame each costs more than the state."""
+
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "rows bigint, seq bigint, pred string", self.ttl_ms)
 
-    def _add(self, frames: Iterator[pd.DataFrame]) -> tuple:
-        n, seq, pred = self.last.get() if self.last.exists() else (0, None, None)
-        for part in (row for f in frames for row in f.itertuples(index=False)):
-            n += int(part.rows)
-            if not pd.isna(part.seq) and (seq is None or part.seq > seq):
-                seq, pred = int(part.seq), part.pred
+    def _add(self, parts: Iterator[Row]) -> tuple:
+        n, seq, pred = self.last.get() or (0, None, None)
+        for part in parts:
+            n += part.rows
+            if part.seq is not None and (seq is None or part.seq > seq):
+                seq, pred = part.seq, part.pred
         self.last.update((n, seq, pred))
         return n, seq, pred
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         self._add(iter([initialState]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         n, seq, pred = self._add(rows)
-        yield pd.DataFrame({"uid": [key[0]], "rows": [n], "seq": pd.array([seq], "Int64"), "pred": [pred]})
+        yield Row(uid=key[0], rows=n, seq=seq, pred=pred)
 
 
 def stored_last(log: DataFrame, usable: Column) -> DataFrame:
@@ -200,7 +202,7 @@ def latest(stream: DataFrame, usable: Column, ttl_ms: int = 7 * 24 * 3_600_000,
     """
     told = stream.select("uid", "seq", "pred", F.coalesce(usable, F.lit(False)).alias("usable"))
     begun = None if log is None else stored_last(log, usable).groupBy("uid")
-    return _last_parts(told).groupBy("uid").transformWithStateInPandas(_Latest(ttl_ms), _LAST, "Update", "ProcessingTime", begun)
+    return _last_parts(told).groupBy("uid").transformWithState(_Latest(ttl_ms), _LAST, "Update", "ProcessingTime", begun)
 
 
 @contextmanager

@@ -73,3 +73,22 @@ def test_a_model_of_the_stored_log_alone_keeps_its_state(spark):
     lg.run_to_table(lg.ledger(spark.readStream.schema(SCHEMA).json(waves), budget, log), table, scratch(spark, "mark"))
     got = lg.ledger_table(spark, table, lg.stored_states(log, budget)).withColumn("stop", lg.stop_reason(budget))
     assert sorted((r.model, r.nano, r.recent, r.stop) for r in got.collect()) == [("new", 1, 1, None), ("old", 12, 1, "spend")]
+
+
+def test_latest_is_told_in_rows_without_frames():
+    class Held:
+        state = None
+
+        def get(self):
+            return self.state
+
+        def update(self, state):
+            self.state = state
+
+    from pyspark.sql import Row
+
+    p = lg._Latest(1000)
+    p.last = Held()
+    p.handleInitialState(("a",), Row(uid="a", rows=2, seq=None, pred=None), None)
+    parts = [Row(uid="a", rows=1, seq=7, pred="x"), Row(uid="a", rows=3, seq=5, pred="y")]
+    assert [r.asDict() for r in p.handleInputRows(("a",), iter(parts), None)] == [{"uid": "a", "rows": 6, "seq": 7, "pred": "x"}]
