@@ -1,8 +1,10 @@
 """Components of exactly verified links inside buckets, without making a bucket's pairs at once.
 
-Ids in a bucket are candidates of each other. A bucket of two is one check. In larger ones each id
-is first held against the one leader that it shares most buckets with, and then, while many are
-found to link, against one id of its bucket's largest component. What then still holds ids of
+Ids in a bucket are candidates of each other; of buckets of the same ids one is kept. A bucket of
+two is one check. In larger ones each id is first held against the one leader that it shares most
+buckets with, a bucket's leader being the id that stands in most buckets (of edited copies, the
+least edited one shares most), and then, while many are found to link, against one id of its
+bucket's largest component. What then still holds ids of
 several components is settled in rounds: a few ids of each open bucket, drawn by hash, lead;
 every other id of another component is held against them, and a leader is done with its bucket.
 Each round quadruples the leaders, so even a bucket whose ids never link ends after a number of
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.llm.common import components, discard, join_small, materialize, parts, semi_join
@@ -41,20 +43,24 @@ def link_groups(
     distinct pairs (a, b), a < b, and whether they met may_link already, and returns those that link.
     Ids without a link are missing from the result; an empty table gives an empty one.
     """
-    ends = keyed.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("_n"))
-    ends = materialize(ends.where("lo <> hi"), "buckets")
-    larger = ends.where("_n > 2").select("t", "lo", "_n")
-    rows = materialize(join_small(keyed, larger, ["t"], larger.count(), "inner"), "rows")
+    ends = keyed.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("id")).alias("_ids"))
+    # Buckets of the same ids have the same pairs.
+    ends = materialize(ends.where("lo <> hi").groupBy("lo", "hi", "_n", "_ids").agg(F.min("t").alias("t")), "buckets")
+    larger = ends.where("_n > 2").select("t", "_n")
+    rows = join_small(keyed, larger, ["t"], larger.count(), "inner")
+    rows = materialize(rows.withColumn("_w", F.count(F.lit(1)).over(Window.partitionBy("id"))), "rows")
     twos = ends.where("_n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
     ids = rows.select("id").unionByName(twos.select(F.col("a").alias("id"))).unionByName(twos.select(F.col("b").alias("id")))
     facts, verify = prepare(ids.distinct())
 
-    shared = rows.where("id <> lo").groupBy("id", "lo").agg(F.count(F.lit(1)).alias("c"))
-    led = shared.groupBy("id").agg(F.max_by("lo", F.struct("c", "lo")).alias("lead"))
+    heads = rows.groupBy("t").agg(F.max_by("id", F.struct("_w", "id")).alias("lead"))
+    heads = materialize(heads, "heads")
+    shared = rows.join(heads.hint("merge"), "t").where("id <> lead").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("c"))
+    led = shared.groupBy("id").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead"))
     pairs = twos.unionByName(led.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")))
     links = materialize(verify(pairs.distinct(), False), "links")
     comp = materialize(components(links), "components")
-    discard(links, ends)
+    discard(links, ends, heads)
 
     def merged(comp: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
         """comp with the links among the pairs, and how many these are."""
@@ -80,7 +86,7 @@ def link_groups(
 
     # A place in [0, 1) by hash; the rounds go through a bucket's ids in this order.
     place = F.xxhash64("t", "id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    left = rows.select("t", "id", "_n").withColumn("_u", place)
+    left = rows.select("t", "id", "_n", "_w").withColumn("_u", place)
     n_rows = rows.count()
     n = parts(n_rows)
     done, step, turn = 0, FIRST, 0
@@ -99,7 +105,8 @@ def link_groups(
             fresh = materialize(rows.join(near.hint("merge"), "id"), "rows", 4 * n_rows)
         if turn >= 0:
             # While it pays, all others are held against one id of the bucket's largest component, another one each time.
-            sizes = fresh.groupBy("t", "_comp").agg(F.count(F.lit(1)).alias("c"), F.max_by("id", F.xxhash64("id", F.lit(turn))).alias("id"))
+            best = F.struct("_w", "id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+            sizes = fresh.groupBy("t", "_comp").agg(F.count(F.lit(1)).alias("c"), F.max_by("id", best).alias("id"))
             leads = sizes.groupBy("t").agg(F.max_by(F.struct("id", "_comp"), F.struct("c", "id")).alias("m")).select("t", "m.id")
             leads = materialize(fresh.join(leads.hint("merge"), ["t", "id"]), "leads", n_rows)
             pairs = materialize(candidates(fresh, leads), "pairs", n_rows)
@@ -107,14 +114,14 @@ def link_groups(
             comp, found = merged(comp, pairs)
             discard(leads, pairs)
             turn = turn + 1 if found > tried // 4 and turn < 3 else -1
-            left = rows.select("t", "id", "_n", "_u")
+            left = rows.select("t", "id", "_n", "_w", "_u")
         else:
             first = F.col("_u") * F.col("_n") < F.lit(float(done + step))
             # Two leaders meet once, by the order of their ids.
             once = (F.col("x._u") * F.col("x._n") >= F.lit(float(done + step))) | (F.col("x.id") > F.col("y.id"))
             comp, _ = merged(comp, candidates(fresh, fresh.where(first), once))
             done, step = done + step, step * 4
-            left = rows.where(F.col("_u") * F.col("_n") >= F.lit(float(done))).select("t", "id", "_n", "_u")
+            left = rows.where(F.col("_u") * F.col("_n") >= F.lit(float(done))).select("t", "id", "_n", "_w", "_u")
         if facts is not None:
             discard(fresh)
 

@@ -45,6 +45,10 @@ class Settings:
     fragments: int = 8  # of the pair check
 
 
+#: Of each of 2,048 ranges of the hash order, whether a set holds an odd number there; 64 ranges a column.
+PARITY = tuple(f"p{k}" for k in range(32))
+
+
 def shingle_set(words: list[bytes], n: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the n-grams; of a shorter text, of its whole sequence."""
     return np.unique(windows(hashes.of(words), min(n, len(words)))) if words else np.zeros(0, np.uint64)
@@ -75,8 +79,18 @@ def _first_pass(docs: DataFrame, cfg: Settings, key: str, text: str) -> DataFram
     return map_texts(docs, factory, "n bigint, s1 bigint, s2 bigint, grams array<bigint>", [key], text, rows=1000)
 
 
+def _parities(sets: list[np.ndarray]) -> list[pa.Array]:
+    """The columns of PARITY."""
+    n = 64 * len(PARITY)
+    shift = np.uint64(65 - n.bit_length())
+    odd = np.zeros((len(sets), len(PARITY)), np.int64)
+    for row, s in zip(odd, sets):
+        row[:] = np.packbits(np.bincount((s >> shift).astype(np.int64), minlength=n) & 1).view(np.int64)
+    return [pa.array(odd[:, k]) for k in range(len(PARITY))]
+
+
 def _full_sets(docs: DataFrame, cfg: Settings, key: str, text: str) -> DataFrame:
-    """id (half of the set's digest), n, parity (256 bits in four longs: of each of 256 ranges, whether it holds an odd number), grams."""
+    """id (half of the set's digest), n, the bits of PARITY, grams."""
     n = cfg.n
 
     def factory():
@@ -84,15 +98,14 @@ def _full_sets(docs: DataFrame, cfg: Settings, key: str, text: str) -> DataFrame
 
         def fn(texts):
             sets = [shingle_set((t or b"").lower().split(), n, hashes) for t in texts]
-            odd = [np.packbits(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64) for s in sets]
             ids = [(xxhash.xxh3_128_intdigest(s.tobytes()) >> 64) - (1 << 63) for s in sets]
             return [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    *(pa.array([int(o[k]) for o in odd], pa.int64()) for k in range(4)),
+                    *_parities(sets),
                     pa.array([signed(s) for s in sets], pa.list_(pa.int64()))]
 
         return fn
 
-    fields = "id bigint, n bigint, p0 bigint, p1 bigint, p2 bigint, p3 bigint, grams array<bigint>"
+    fields = f"id bigint, n bigint, {', '.join(f'{p} bigint' for p in PARITY)}, grams array<bigint>"
     return map_texts(docs, factory, fields, [], text, rows=1000)
 
 
@@ -155,7 +168,7 @@ def near_duplicates(
     sets, classes, full = _candidates(docs, cfg, key, text)
     keyed = materialize(_buckets(full, pct), "keyed")
     facts = full.drop("grams")
-    comp = link_groups(keyed, lambda _: (facts, lambda pairs, _: _verified(pairs, full, cfg)), _may_link(pct))
+    comp = link_groups(keyed, lambda _: (facts, lambda pairs, met: _verified(pairs, full, cfg, met)), _may_link(pct))
     discard(keyed, full)
     # A key on several texts holds their classes together.
     several = sets.where("n > 0").groupBy("key").agg(F.min("s1").alias("a"), F.max("s1").alias("b"), F.count(F.lit(1)).alias("c"))
@@ -190,20 +203,20 @@ def _may_link(pct: int):
 
     def test(x, y):
         low, high = F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))
-        odd = sum((F.bit_count(x(f"p{k}").bitwiseXOR(y(f"p{k}"))) for k in range(4)), F.lit(0))
+        odd = sum((F.bit_count(x(p).bitwiseXOR(y(p))) for p in PARITY), F.lit(0))
         return (low * 100 >= high * pct) & (odd * (100 + pct) <= (low + high) * (100 - pct))
 
     return test
 
 
-def _verified(pairs: DataFrame, full: DataFrame, cfg: Settings) -> DataFrame:
-    """Pairs whose overlaps, counted per fragment and summed, reach the threshold."""
+def _verified(pairs: DataFrame, full: DataFrame, cfg: Settings, met: bool = False) -> DataFrame:
+    """Pairs whose overlaps, counted per fragment and summed, reach the threshold; met: all may link."""
     pct, k = cfg.threshold_pct, cfg.fragments
-    sides = full.drop("grams")
+    sides = full.select("id", "n") if met else full.drop("grams")
     x = sides.select([F.col(c).alias(f"x_{c}") for c in sides.columns])
     y = sides.select([F.col(c).alias(f"y_{c}") for c in sides.columns])
     near = pairs.join(x.hint("merge"), F.col("a") == F.col("x_id")).join(y.hint("merge"), F.col("b") == F.col("y_id"))
-    near = near.where(_may_link(pct)(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}")))
+    near = near if met else near.where(_may_link(pct)(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}")))
     near = materialize(near.select("a", "b", (F.col("x_n") + F.col("y_n")).alias("m")), "pairs")
     # Only the sets of these pairs are cut and moved.
     full = only_ids(full, near)
