@@ -183,13 +183,16 @@ def _seeds(df: DataFrame, limits: Limits, keep: list[str]) -> DataFrame:
         hashes = WordHashes()
 
         def fn(texts):
-            words = [_tokens(t) for t in texts]
-            least = [sliding_min(windows(hashes.of(w), seed), window - seed + 1) for w in words]
-            return [pa.array([len(w) for w in words], pa.int64()), pa.array([signed(np.unique(x)) for x in least], pa.list_(pa.int64()))]
+            n, seeds = [], []
+            for t in texts:
+                words = _tokens(t)
+                n.append(len(words))
+                seeds.append(signed(np.unique(sliding_min(windows(hashes.of(words), seed), window - seed + 1))))
+            return [pa.array(n, pa.int64()), pa.array(seeds, pa.list_(pa.int64()))]
 
         return fn
 
-    return map_texts(df, factory, "n_words bigint, seeds array<bigint>", keep, "text")
+    return map_texts(df, factory, "n_words bigint, seeds array<bigint>", keep, "text", rows=1000)
 
 
 def _sharded(docs: DataFrame, table: DataFrame, limits: Limits) -> DataFrame:
@@ -289,13 +292,16 @@ def find_contamination(
         matcher = Matcher(shared.value, window) if shared is not None else None
 
         def fn(texts, *told):
-            tokens = [_tokens(t) for t in texts]
-            if matcher is not None:
-                pairs = [matcher.scan(tok) for tok in tokens]
-            else:
-                pairs = [(_union([(x["start"], x["end"]) for x in s or ()], []), set(i or ())) for s, i in zip(*told)]
-            spans, items = [s for s, _ in pairs], [i for _, i in pairs]
-            n = [len(t) for t in tokens]
+            n, spans, items = [], [], []
+            for k, t in enumerate(texts):  # the words of one text at a time
+                words = _tokens(t)
+                if matcher is not None:
+                    s, i = matcher.scan(words)
+                else:
+                    s, i = _union([(x["start"], x["end"]) for x in told[0][k] or ()], []), set(told[1][k] or ())
+                n.append(len(words))
+                spans.append(s)
+                items.append(i)
             hit = [sum(b - a for a, b in s) for s in spans]
             cols = [
                 pa.array(n, pa.int64()),
@@ -314,7 +320,7 @@ def find_contamination(
     kind = table.schema["item"].dataType.simpleString()
     arrow_item = to_arrow_type(table.schema["item"].dataType)
     fields = f"n_words bigint, spans array<struct<start:int,end:int>>, item_ids array<{kind}>, over_limit boolean"
-    return map_texts(docs, factory, fields + ", clean_text string" * with_text, keep, text, with_row=found)
+    return map_texts(docs, factory, fields + ", clean_text string" * with_text, keep, text, with_row=found, rows=1000)
 
 
 def _named(items: set) -> list:

@@ -86,3 +86,23 @@ def test_clashes_keys_and_long_texts(spark):
         assert {i for r in got for i in r.item_ids} >= {f"i{i}" for i, t in wide if t == seq}
     with pytest.raises(ValueError):
         dc.find_contamination(d.withColumnRenamed("items", "spans"), b)
+
+
+def test_a_batch_holds_the_words_of_one_text_at_a_time(spark, monkeypatch):
+    import tracemalloc
+
+    from evalframe.llm import decontaminate as dc
+
+    held = {}
+    monkeypatch.setattr(dc, "map_texts", lambda df, factory, *a, **b: held.update(factory=factory, **b) or df)
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", " ".join(f"q{k}" for k in range(12)))], "item_id string, text string")
+    dc.find_contamination(docs, items, with_text=True)
+    fn = held["factory"]()
+    texts = [b" ".join(b"w%d" % (k * i) for k in range(400)) for i in range(1000)]
+    tracemalloc.start()
+    n = fn(texts)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n.to_pylist() == [400] * 1000 and held["rows"] <= 1000
+    assert peak < 2 * sum(map(len, texts))
