@@ -31,7 +31,7 @@ def test_sets_just_under_the_threshold_do_not_pass_the_bits(spark):
     rnd = random.Random(5)
     base = [f"w{i}" for i in range(420)]
     docs = []
-    for i in range(12):  # 8 of 417 four-word shingles of each are its own or another's neighbour's
+    for i in range(12):
         w = list(base)
         for k in rnd.sample(range(5, 410), 9 + i % 3):
             w[k] = f"e{i}_{k}"
