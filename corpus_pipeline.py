@@ -73,8 +73,10 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no passage and stay; repeated rows are treated alike; without items nothing changes.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find_contamination(docs.select(*COLUMNS), items, keep=COLUMNS, with_text=True)
-    return _resized(found.where(~F.col("over_limit")).withColumn("text", F.col("clean_text")))
+    # The text as it was is not sent back beside the one that takes its place.
+    keep = [c for c in COLUMNS if c != "text"]
+    found = decontaminate.find_contamination(docs.select(*COLUMNS), items, keep=keep, with_text=True)
+    return _resized(found.where(~F.col("over_limit")).withColumnRenamed("clean_text", "text"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: ASCII letters to lower case, all other bytes below 0x80 but digits and letters to a space.
@@ -14,6 +14,21 @@ ALNUM = bytes(
 )
 
 
+#: Spark's limit on the rows of an Arrow batch.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def limit_batches(spark: SparkSession, rows: int) -> None:
+    """From now on the session's Arrow batches have so many rows at most; a smaller limit of its own stays.
+
+    A batch is held whole by the JVM, off its heap, and by the Python worker. The limit is read when a plan is
+    executed, so it can't be taken back once a lazy result is returned; it changes no result.
+    """
+    now = int(spark.conf.get(BATCH_ROWS))
+    if now <= 0 or now > rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def map_texts(
     df: DataFrame,
     factory: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]],
@@ -27,8 +42,10 @@ def map_texts(
 
     The factory runs once per task; its function gets a batch's texts as UTF-8 bytes (null as
     None) and, if with_row names columns, their values as further lists. Fields must not clash
-    with kept columns. rows cuts batches into smaller ones, where what is made of a text is large.
+    with kept columns. rows limits the session's batches, where texts or what is made of them are large.
     """
+    if rows is not None:
+        limit_batches(df.sparkSession, rows)
     keep = df.columns if keep is None else keep
     extra = with_row or []
     names = list(dict.fromkeys([*keep, text, *extra]))

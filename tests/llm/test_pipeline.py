@@ -119,3 +119,13 @@ def test_stages_equal_brute_force(spark):
     found = {r.doc_id: len(word.findall((r.text or "").translate(low))) for r in cp.benchmarks(spark, docs, SF_DIR).collect()}
     assert found == {i: n for i, n in hit.items() if i not in gone}
     assert sum(n < len(word.findall(rows[i].translate(low))) for i, n in hit.items()) >= 3
+
+
+def test_benchmarks_sends_each_text_back_once(spark, monkeypatch):
+    asked = []
+    real = cp.decontaminate.find_contamination
+    monkeypatch.setattr(cp.decontaminate, "find_contamination", lambda *a, **b: asked.append(b["keep"]) or real(*a, **b))
+    docs = odd_table(spark)
+    got = cp.benchmarks(spark, docs, SF_DIR)
+    assert got.columns == cp.COLUMNS and "text" not in asked[0]
+    assert {r.text for r in got.where("doc_id < 4").collect()} == {None, "", " \n\n "}
