@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evalframe.operators import windows
 from evalframe.operators.dedup import first
-from evalframe.storage import stored
+from evalframe.storage import small_side, stored
 
 _NODE = r"([A-Za-z0-9_]+)\s*(?:\[+|\(+|\{+)\s*\"?([^\]\)\}\"]*)\"?\s*(?:\]+|\)+|\}+)"
 _EDGE = r"^\s*([A-Za-z0-9_]+)[^-=.]*?\s*(-->|==>|-\.->|---)\s*(?:\|[^|]*\|\s*)?([A-Za-z0-9_]+)"
@@ -61,13 +61,53 @@ def ids_of_labels(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("gid", "label").agg(F.max("id").alias("id"))
 
 
+#: Rows of nodes and of edges up to which a chart is one row of arrays.
+SMALL_CHART = (32, 128)
+
+
 def unconnected_pair(nodes: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
     """gid, a, b: one pair of labels (a before b) without an edge in either direction, picked by a hash of seed and gid
     among all such pairs of the chart in the order of their labels.
 
+    Charts are counted first: those up to SMALL_CHART are moved once, as a row each; larger ones are never held whole.
+    Charts in which all labels are connected give no row, nor do rows without a gid.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    sizes = nodes.select("gid", one.alias("n"), none.alias("e")).unionByName(edges.select("gid", none.alias("n"), one.alias("e")))
+    sizes = sizes.where("gid IS NOT NULL").groupBy("gid").agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    large = stored(sizes.where((F.col("n") > SMALL_CHART[0]) | (F.col("e") > SMALL_CHART[1])).select("gid"), "large")
+    if large.isEmpty():
+        return _pair_of_small(nodes, edges, seed)
+    told = small_side(large)
+    kind = lambda how: (df.join(told, "gid", how) for df in (nodes, edges))
+    return _pair_of_small(*kind("left_anti"), seed).unionByName(_pair_of_large(*kind("left_semi"), seed))
+
+
+def _pair_of_small(nodes: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
+    """unconnected_pair of charts that a row holds: both tables are dealt by gid once, and what follows stays there."""
+    dealt = nodes.where("gid IS NOT NULL").select("gid", "id", "label").repartition("gid")
+    charts = ids_of_labels(dealt).groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("label", "id"))).alias("labels"))
+    linked = edges.where("gid IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL").select("gid", "src", "dst").repartition("gid")
+    # Least and greatest end: an edge counts in either direction.
+    ends = lambda x, y: F.struct(F.least(x, y), F.greatest(x, y))
+    linked = linked.groupBy("gid").agg(F.collect_set(ends(F.col("src"), F.col("dst"))).alias("edges"))
+    both = charts.join(linked.hint("merge"), "gid", "left")
+    joined = lambda x, y: F.coalesce(F.array_contains("edges", ends(x["id"], y["id"])), F.lit(False))
+    apart = lambda x, y: x["id"].isNull() | y["id"].isNull() | ~joined(x, y)
+    behind = lambda x, i: F.filter(F.slice("labels", i + 2, F.size("labels")), lambda y: apart(x, y))
+    pairs = F.flatten(F.transform("labels", lambda x, i: F.transform(behind(x, i), lambda y: F.struct(x["label"].alias("a"), y["label"].alias("b")))))
+    place = lambda p: F.pmod(F.xxhash64(F.lit(seed), F.col("gid")), F.nullif(F.size(p), F.lit(0)).cast("long")).cast("int")
+    # Bound once, for their number and the one that is picked.
+    picked = F.filter(F.transform(F.array(pairs), lambda p: F.get(p, place(p))), lambda p: p.isNotNull())
+    return both.select("gid", F.inline(picked))
+
+
+def _pair_of_large(nodes: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
+    """unconnected_pair of charts of any size.
+
     Pairs are counted, not made: a label has as many as there are labels behind it less its neighbours among these.
     The label in which the picked place falls, and the label behind it that leaves as many free ones before it, are
-    found by numbers of rows. Charts in which all labels are connected give no row.
+    found by numbers of rows.
     """
     placed = windows.positions(ids_of_labels(nodes), ["label"], ["gid"])
     placed = stored(placed.select("gid", "label", "id", F.col("_row").alias("r"), F.col("_n").alias("labels")), "labels")

@@ -74,3 +74,18 @@ def test_hops_between_asked_pairs(spark):
             want.append((g, a, b, None if x is None or y is None else bfs(edges, g, x, y, directed)))
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
         assert max(r.hops or 0 for r in got) >= 11
+
+
+def test_small_charts_are_moved_once_and_larger_ones_give_the_same_pairs(spark, monkeypatch):
+    nodes, edges = charts()
+    nodes += [(98, None, "no id"), (98, "a", None), (98, "a", "la"), (98, "b", "lb"), (None, "a", "x"), (None, "b", "y")]
+    edges += [(98, "a", "a", "solid", 0), (98, None, "b", "solid", 1)]
+    n, e = spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
+    pairs = lambda: sorted(map(str, graph.unconnected_pair(n, e, 7).collect()))
+    split = []
+    for most in ((0, 0), (5, 6)):
+        monkeypatch.setattr(graph, "SMALL_CHART", most)
+        split.append(pairs())
+    monkeypatch.setattr(graph, "SMALL_CHART", (32, 128))
+    monkeypatch.setattr(graph.windows, "positions", None)  # nothing is dealt into ranges
+    assert split == [pairs()] * 2 and len(split[0]) > 8
