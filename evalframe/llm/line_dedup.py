@@ -27,6 +27,7 @@ empty tables give empty results; other columns stay, whatever their names, but o
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +61,8 @@ def _lines(docs: DataFrame, cfg: Settings, key: str, text: str) -> DataFrame:
     """
     mark = F.xxhash64(text) if has_repeated_keys(docs, key, text) else F.lit(None).cast("long")
     df = docs.select(F.col(key).alias("key"), mark.alias("mark"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    df = df.withColumn("line", normal_line(F.col("line"))).where(F.length("line") > 0)
+    # A test of the line as it stands: one of the normalised form would normalise every line twice.
+    df = df.where(F.col("line").rlike(r"[^\x00-\x20]")).withColumn("line", normal_line(F.col("line")))
     long = F.when(F.length("line") >= cfg.min_chars, F.col("line"))
     return df.select("key", "mark", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), long.alias("line"))
 
@@ -81,28 +83,28 @@ def _minima(lines: DataFrame, cfg: Settings, thin: bool) -> DataFrame:
     return rows.groupBy("h1", "h2").agg(*(F.min(F.when(F.col("value") == i, F.col("rank"))).alias(f"m{i}") for i in range(k)))
 
 
-def _signatures(lines: DataFrame, cfg: Settings) -> DataFrame:
-    """h1, h2, m0, m1, ...: one row for each different line of at least min_chars; stored."""
-    names = [f"m{i}" for i in range(cfg.bands * cfg.rows)]
-    some = F.coalesce(*names).isNotNull()
+def _signatures(lines: DataFrame, cfg: Settings) -> list[DataFrame]:
+    """h1, h2, m0, m1, ...: one row for each different line of at least min_chars, in one or two stored tables."""
+    some = F.coalesce(*(f"m{i}" for i in range(cfg.bands * cfg.rows))).isNotNull()
     found = materialize(_minima(lines, cfg, thin=True), "signatures")
     few = materialize(found.where(~some).select("h1", "h2"), "few")
     n_few = few.count()
     if not n_few:
         discard(few)
-        return found
+        return [found]
     # Each line once: the rest is as many rows as lines that repeat themselves, not as their copies.
     again = semi_join(lines.where("line is not null").select("h1", "h2", "line"), few, ["h1", "h2"], 2 * n_few)
-    whole = _minima(again.dropDuplicates(["h1", "h2"]), cfg, thin=False)
-    out = materialize(found.where(some).unionByName(whole), "signatures")
-    discard(found, few)
-    return out
+    whole = materialize(_minima(again.dropDuplicates(["h1", "h2"]), cfg, thin=False), "signatures", n_few)
+    discard(few)
+    return [found, whole]
 
 
-def _bands(signed: DataFrame, cfg: Settings) -> DataFrame:
+def _bands(signed: list[DataFrame], cfg: Settings) -> DataFrame:
     """t, id: the buckets of each line. An empty value borrows the next one that is not, marked by the distance."""
     k = cfg.bands * cfg.rows
-    named = signed.select(F.col("h1").alias("id"), *(F.col(f"m{i}").cast("long").alias(f"v{i}") for i in range(k)))
+    # Where the first table has no value at all, the second has the line.
+    some = F.coalesce(*(f"m{i}" for i in range(k))).isNotNull()
+    named = reduce(DataFrame.unionByName, (df.where(some) for df in signed)).select(F.col("h1").alias("id"), *(F.col(f"m{i}").cast("long").alias(f"v{i}") for i in range(k)))
     step = 1
     while step < k:  # each round doubles how far a value may come from
         far = lambda i: F.col(f"v{(i + step) % k}") + F.lit(step << 32)  # noqa: E731, B023
@@ -116,8 +118,8 @@ def shingle_set(line: Column, size: int) -> Column:
     """Distinct hashes of a line's characters by `size`, at every position; of a shorter line, of itself."""
     # Four bytes a character, so that a shingle is cut out without counting; bound once for all positions.
     cut = lambda b: F.transform(
-        F.sequence(F.lit(0), F.greatest((F.octet_length(b) / 4).cast("int") - size, F.lit(0))),
-        lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * size))),
+        F.sequence(F.lit(1), F.greatest(F.octet_length(b) - (4 * size - 1), F.lit(1)), F.lit(4)),
+        lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * size))),
     )
     return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "UTF-32")), cut), F.lit(0)))
 
@@ -139,7 +141,9 @@ def _may_link(pct: int):
 
 def _facts(texts: DataFrame, size: int) -> DataFrame:
     """id, size, o0 to o15: the size of each line's set and the bits that its members flip."""
-    g = texts.select("id", F.explode(shingle_set(F.col("line"), size)).alias("g"))
+    # The set is made in a projection of its own and a set is never empty, so the outer form, which nothing is
+    # inferred for, changes no row: what takes the members one by one is compiled, which it is not around a lambda.
+    g = texts.select("id", shingle_set(F.col("line"), size).alias("set")).select("id", F.explode_outer("set").alias("g"))
     g = g.select("id", F.expr("shiftleft(1L, cast(g & 63 AS int))").alias("bit"), F.expr("cast(shiftright(g, 6) & 15 AS int)").alias("word"))
     flips = (F.bit_xor(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(o) for i, o in enumerate(BITS))
     return g.groupBy("id").agg(F.count(F.lit(1)).alias("size"), *flips)
@@ -174,7 +178,8 @@ def find_repeated_lines(docs: DataFrame, cfg: Settings = Settings(), key: str =
             y = near.select(F.col("id").alias("b"), F.col("line").alias("lb"))
             both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
             both = both.select("a", "b", shingle_set(F.col("la"), cfg.shingle).alias("sa"), shingle_set(F.col("lb"), cfg.shingle).alias("sb"))
-            both = both.withColumn("c", F.size(F.array_intersect("sa", "sb")))
+            # Exploded, so that the test stays behind the projection that makes the sets and what they share, once each.
+            both = both.select("a", "b", "sa", "sb", F.explode(F.array(F.size(F.array_intersect("sa", "sb")))).alias("c"))
             union = F.size("sa") + F.size("sb") - F.col("c")
             return both.where(F.col("c") * 100 >= union * cfg.threshold_pct).select("a", "b")
 
@@ -185,7 +190,7 @@ def find_repeated_lines(docs: DataFrame, cfg: Settings = Settings(), key: str =
     texts = held[0]
     named = comp.withColumnRenamed("node", "id").join(texts.select("id", "h2").hint("merge"), "id")
     named = materialize(named.select(F.col("id").alias("h1"), "h2", "component"), "named")
-    discard(signed, *held, comp)
+    discard(*signed, *held, comp)
 
     # Groups are components, or else equal lines.
     occ = join_small(lines.select("key", "mark", "pos", "h1", "h2"), named, ["h1", "h2"], named.count())
